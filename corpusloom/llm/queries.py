@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, quality, simhash
+from . import bpe, linededup, pii, quality, simhash
 from .common import table
 
 
@@ -26,5 +26,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_quality": op6_quality, "op8_lines": op8_lines, "op9_simhash": op9_simhash}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op6_quality": op6_quality, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
