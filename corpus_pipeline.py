@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import quality
+from corpusloom.llm import linededup, packing, pii, quality, simhash
 from corpusloom.llm.common import shared_folder, table
 
 
@@ -15,7 +15,35 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of runs of lines leave the texts; every document stays, some of them empty."""
+    return linededup.without_repeats(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and the terms that reveal it are replaced; every document stays."""
+    return pii.sanitised(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document, and its place in a training sequence."""
+    import public_tokenizers
+
+    return packing.packed_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("SimHash near-dedup", near_duplicate_stage),
+    ("PII", pii_stage),
+    ("packing", packing_stage),
+]
 
 #: The stages weigh n-grams, join positions and solve a linear program; SQL cannot state that, so tests use brute force.
 ORACLE_SQL = None
