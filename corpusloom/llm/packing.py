@@ -34,7 +34,7 @@ STEP = 8
 END_ID = 1
 #: classes of one piece length, for ranks
 SALTS = 256
-MAX_ROUNDS = 3000
+MAX_ROUNDS, STALL = 3000, 150
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -104,6 +104,21 @@ def best_pattern(duals: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(value[capacity]), pattern
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row exchange; one thread, whatever library numpy has for linear algebra."""
+    n = len(matrix)
+    work = np.concatenate([matrix.astype(float), np.eye(n)], axis=1)
+    for k in range(n):
+        p = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, p]] = work[[p, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0
+        rows = np.flatnonzero(factor)
+        work[rows] -= np.outer(factor[rows], work[k])
+    return work[:, n:]
+
+
 def solve(counts: np.ndarray, max_rounds: int = MAX_ROUNDS, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and their fractional numbers for demand `counts`; class i takes i + 1 of len(counts) units."""
     capacity = len(counts)
@@ -114,9 +129,14 @@ def solve(counts: np.ndarray, max_rounds: int = MAX_ROUNDS, tolerance: float = 1
     basis[np.arange(len(used)), used] = capacity // sizes
     inverse = np.diag(1.0 / (capacity // sizes))
     x = inverse @ counts[used]
+    best, since = np.inf, 0
     for k in range(max_rounds):
+        since = 0 if x.sum() < best - 1e-6 * counts.sum() else since + 1
+        best = min(best, x.sum())
+        if since > STALL:  # degenerate: patterns change, their number does not
+            break
         if k % 200 == 199:  # rounding errors of the updates
-            inverse = np.linalg.inv(basis[:, used].T.astype(float))
+            inverse = _inverse(basis[:, used].T)
             x = np.maximum(inverse @ counts[used], 0)
         duals = np.zeros(capacity)
         duals[used] = np.maximum(inverse.sum(axis=0), 0)
