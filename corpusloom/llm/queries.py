@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, packing, pii, quality, simhash
+from . import bpe, langid, linededup, packing, pii, quality, simhash
 from .common import table
 
 
@@ -36,5 +36,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op5_language": op5_language, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
