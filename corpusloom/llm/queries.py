@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, packing, pii, quality, simhash
+from . import bpe, htmldiff, langid, linededup, packing, pii, quality, simhash
 from .common import table
 
 
@@ -40,5 +40,9 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op5_language": op5_language, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmldiff.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_html": op4_html, "op5_language": op5_language, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
