@@ -44,3 +44,12 @@ def components(edges: DataFrame) -> DataFrame:
         mark = (seen["n"], seen["h"])
     own = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own)
+
+
+def named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component_id): for each row of `nodes` (node, least) the smallest `least` of its component."""
+    found = components(edges).select("node", "component")
+    own = checkpointed(nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c")))
+    several = own.where("c <> node").select("c").distinct()
+    lowest = own.join(several, "c").groupBy("c").agg(F.min("least").alias("lowest"))
+    return own.join(lowest, "c", "left").select("node", F.coalesce("lowest", "least").alias("component_id"))

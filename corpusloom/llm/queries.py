@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, htmldiff, langid, linededup, packing, pii, quality, simhash
+from . import bpe, chat, htmldiff, langid, linededup, packing, pii, quality, simhash, vectors
 from .common import table
 
 
@@ -44,5 +44,13 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmldiff.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_html": op4_html, "op5_language": op5_language, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_embeddings": op2_embeddings, "op3_chat": op3_chat, "op4_html": op4_html, "op5_language": op5_language, "op6_quality": op6_quality, "op7_packing": op7_packing, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpointed, packed
-from .components import components
+from .components import named
 
 RADIUS = 2
 TABLES = tuple(range(1, 2 ** (RADIUS + 1)))
@@ -124,13 +124,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id for every row."""
     own = checkpointed(docs.select("doc_id", fingerprints("text").alias("fp")))
     nodes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    comp = components(links(nodes)).select(F.col("node").alias("fp"), F.col("component"))
-    # the smallest doc_id of a component, handed to its fingerprints
-    named = nodes.join(comp, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    named = checkpointed(named)
-    multi = named.where("c <> fp").select("c").distinct()
-    least = named.join(multi, "c").groupBy("c").agg(F.min("least").alias("lowest"))
-    final = named.join(least, "c", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
+    final = named(nodes.withColumnRenamed("fp", "node"), links(nodes)).withColumnRenamed("node", "fp")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return own.join(final, "fp").select("doc_id", text, "component_id")
 
