@@ -1,0 +1,110 @@
+"""Relational operators of the text ledger as SQL that both Spark and another engine run as it stands.
+
+The ledger's tables are views over the input tables: `m`, one entry for each document with path, status
+and ownership, and `f`, what a scan has found. Plans are declarative; Catalyst picks joins and order.
+"""
+
+from __future__ import annotations
+
+M = """m AS (SELECT d.doc_id AS key, concat('dir', CAST(d.doc_id % 7 AS STRING), '/sub', CAST(d.doc_id % 3 AS STRING), '/f', CAST(d.doc_id AS STRING), '.md') AS path,
+  concat('dir', CAST(d.doc_id % 7 AS STRING)) AS folder, d.lang, d.source AS type, CAST(floor(d.n_chars / 6.0) AS BIGINT) AS words,
+  CASE WHEN d.doc_id % 11 = 0 THEN 'forgotten' WHEN d.doc_id % 13 = 0 THEN 'unreachable' WHEN d.doc_id % 17 = 0 THEN 'superseded' ELSE 'active' END AS status,
+  CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 'own' WHEN l.quality = 0 THEN 'other' ELSE 'undecided' END AS ownership,
+  d.doc_id % 19 = 0 AS holdout, d.doc_id % 29 <> 0 AS cached, 2015 + d.doc_id % 10 AS year
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+F = """f AS (SELECT CASE WHEN key % 23 = 0 THEN key + 1000000 ELSE key END AS key, CASE WHEN key % 6 = 0 THEN concat('moved/', path) ELSE path END AS path, words, lang, type, year FROM m WHERE key % 5 <> 0)"""
+RULES = """rules AS (SELECT * FROM (VALUES ('.', 'sam', 'own', 0), ('dir1', 'sam', 'other', 1), ('dir1/sub1', 'sam', 'own', 2), ('dir2', 'kim', 'own', 1), ('dir2', 'kim', 'other', 1), ('dir3/sub0', 'kim', 'own', 2)) AS t(rule_path, profile, ownership, depth))"""
+OWN = "own AS (SELECT * FROM m WHERE ownership = 'own' AND status IN ('active', 'unreachable') AND NOT holdout AND cached)"
+UNDER = "(rule_path = '.' OR path = rule_path OR substr(path, 1, length(rule_path) + 1) = concat(rule_path, '/'))"
+PROFILES = "profiles AS (SELECT * FROM (VALUES ('base', NULL, 'self'), ('sam', 'base', 'self'), ('acme', 'sam', 'given'), ('kim', 'base', 'given'), ('loop1', 'loop2', 'self'), ('loop2', 'loop1', 'self')) AS t(profile, parent, consent))"
+CHAIN = f"""{PROFILES}, chain AS (SELECT profile AS start, profile, parent, consent, 0 AS depth, concat('/', profile, '/') AS seen FROM profiles
+  UNION ALL SELECT c.start, p.profile, p.parent, p.consent, c.depth + 1, concat(c.seen, p.profile, '/') FROM chain c JOIN profiles p ON p.profile = c.parent WHERE c.seen NOT LIKE concat('%/', p.profile, '/%') AND c.depth < 20)"""
+WEEK = "CAST(extract(YEAROFWEEK FROM ts) AS BIGINT)"
+
+SQL: dict[str, str] = {
+    # sources and sinks
+    "o014_corpus_texts": f"WITH {M} SELECT m.key, d.n_chars, m.status FROM m JOIN documents d ON d.doc_id = m.key WHERE m.cached AND m.status <> 'forgotten'",
+    "o016_connector_add": f"WITH {M}, {F} SELECT f.key, f.path, 'web' AS origin, f.words FROM f LEFT JOIN m ON m.key = f.key WHERE m.key IS NULL AND f.words >= 150",
+    "o018_bridge_plan": f"WITH {M}, {F}, todo AS (SELECT f.path, f.words FROM f LEFT JOIN m ON m.path = f.path AND m.words = f.words AND m.key = f.key WHERE m.key IS NULL) SELECT path, CAST(floor((row_number() OVER (ORDER BY path) - 1) / 50) AS BIGINT) AS batch FROM todo",
+    "o019_bridge_diff": f"WITH {M}, {F} SELECT coalesce(f.path, m.path) AS path, CASE WHEN f.path IS NULL THEN 'delete' WHEN m.path IS NULL OR m.key <> f.key THEN 'write' ELSE 'keep' END AS action FROM f FULL OUTER JOIN m ON m.path = f.path",
+    # predicates
+    "o048_facet_precedence": f"WITH {M} SELECT key, coalesce(CASE WHEN key % 9 = 0 THEN 'note' END, nullif(type, 'src3'), CASE WHEN key % 2 = 0 THEN 'essay' END, 'unknown') AS type FROM m",
+    "o049_document_date": "SELECT event_id, CAST(coalesce(CASE WHEN event_id % 3 = 0 THEN CAST(ts AS DATE) END, CASE WHEN event_id % 3 = 1 THEN DATE '2020-01-01' END, DATE '1999-12-31') AS STRING) AS day FROM events",
+    "o057_under_path": f"WITH {M}, {RULES} SELECT m.key, rule_path, profile FROM m JOIN rules ON {UNDER}",
+    "o058_scope": f"WITH {M} SELECT key FROM m WHERE path LIKE 'dir1/%' OR (folder = 'dir2' AND path LIKE '%/sub0/%') OR lang = 'es'",
+    "o059_excludes": f"WITH {M} SELECT key FROM m WHERE NOT (path LIKE '%/sub2/%' OR (folder = 'dir4' AND path LIKE '%7.md'))",
+    "o060_own_texts": f"WITH {M}, {OWN} SELECT key, lang, type, words FROM own",
+    "o061_supported_languages": "SELECT doc_id, lang FROM documents WHERE lang NOT IN ('ja', 'zh', 'th', 'lo', 'km', 'my', 'bo')",
+    "o062_long_enough": f"WITH {M} SELECT key, words FROM m WHERE words >= 150",
+    "o063_rulings_in_slot": f"WITH {M}, r AS (SELECT * FROM (VALUES ('r1', NULL, NULL), ('r2', 'en.src1', NULL), ('r3', NULL, 'de'), ('r4', 'fr.src2', 'fr')) AS t(id, slot, lang)), s AS (SELECT DISTINCT concat(lang, '.', type) AS slot, lang FROM m) SELECT s.slot, r.id FROM s JOIN r ON (r.slot IS NULL OR r.slot = s.slot) AND (r.lang IS NULL OR r.lang = s.lang)",
+    "o064_applicable_metrics": "WITH need AS (SELECT * FROM (VALUES ('hedges_per_1k', 'en'), ('hedges_per_1k', 'de'), ('conjunction_opener_share', 'en'), ('contractions_per_1k', 'en')) AS t(metric, lang)), every AS (SELECT DISTINCT n.metric, d.lang FROM need n CROSS JOIN (SELECT DISTINCT lang FROM documents) d) SELECT e.metric, e.lang, n.metric IS NOT NULL AS applies FROM every e LEFT JOIN need n ON n.metric = e.metric AND n.lang = e.lang",
+    "o065_applicable_signs": "WITH signs AS (SELECT * FROM (VALUES ('s1', 'always', 'k1'), ('s2', 'unless_writer', 'k2'), ('s3', 'unless_writer', NULL), ('s4', 'unless_writer', 'k4')) AS t(id, tier, starter)), held AS (SELECT 'k1' AS starter), allowed AS (SELECT 's3' AS id), declined AS (SELECT 'k4' AS starter) SELECT s.id, CASE WHEN h.starter IS NOT NULL THEN 'deferred' WHEN s.tier = 'unless_writer' AND (a.id IS NOT NULL OR d.starter IS NOT NULL) THEN 'allowed' ELSE 'applies' END AS state FROM signs s LEFT JOIN held h ON h.starter = s.starter LEFT JOIN allowed a ON a.id = s.id LEFT JOIN declined d ON d.starter = s.starter",
+    "o066_mirror_slots": f"WITH {M}, {OWN}, exact AS (SELECT lang, type, count(*) AS n, sum(key) AS k, sum(key * key) AS kk FROM own GROUP BY lang, type), pool AS (SELECT lang, count(*) AS n, sum(key) AS k, sum(key * key) AS kk FROM own GROUP BY lang) SELECT p.lang, count(e.type) AS mirrors FROM pool p LEFT JOIN exact e ON e.lang = p.lang AND e.n = p.n AND e.k = p.k AND e.kk = p.kk GROUP BY p.lang",
+    # joins
+    "o067_classify_known": f"WITH {M}, {F} SELECT f.key, f.path, CASE WHEN m.key IS NULL THEN 'unknown' WHEN m.status = 'forgotten' THEN 'forgotten' WHEN m.holdout THEN 'holdout' WHEN m.status = 'superseded' THEN 'reverted' WHEN m.path = f.path THEN 'unchanged' ELSE 'renamed' END AS result FROM f LEFT JOIN m ON m.key = f.key",
+    "o068_changed_paths": f"WITH {M}, {F} SELECT f.key, f.path, m.key AS supersedes FROM f JOIN m ON lower(m.path) = lower(f.path) AND m.key <> f.key AND m.status IN ('active', 'unreachable')",
+    "o069_most_specific_rule": f"WITH {M}, {RULES}, hit AS (SELECT m.key, r.profile, r.ownership, r.depth, max(r.depth) OVER (PARTITION BY m.key, r.profile) AS top FROM m JOIN rules r ON {UNDER}) SELECT key, profile, min(ownership) AS ownership, count(DISTINCT ownership) > 1 AS asks FROM hit WHERE depth = top GROUP BY key, profile",
+    "o070_unreachable": f"WITH {M}, {F} SELECT m.key, m.path FROM m LEFT JOIN f ON f.key = m.key LEFT JOIN f g ON g.path = m.path WHERE m.status = 'active' AND f.key IS NULL AND g.key IS NULL",
+    "o073_inheritance": f"WITH RECURSIVE {CHAIN} SELECT start, profile, depth FROM chain",
+    "o074_slot_resolution": f"WITH RECURSIVE {CHAIN}, slots AS (SELECT * FROM (VALUES ('base', 'en._'), ('sam', 'en.src1'), ('base', 'de.src2')) AS t(profile, slot)), ask AS (SELECT * FROM (VALUES ('acme', 'en.src1', 0), ('acme', 'en._', 1), ('kim', 'en.src1', 0), ('kim', 'en._', 1)) AS t(start, slot, general)), hit AS (SELECT a.start, s.profile, s.slot, row_number() OVER (PARTITION BY a.start ORDER BY c.depth, a.general) AS rn FROM ask a JOIN chain c ON c.start = a.start JOIN slots s ON s.profile = c.profile AND s.slot = a.slot) SELECT start, profile, slot FROM hit WHERE rn = 1",
+    "o075_override_merge": f"WITH RECURSIVE {CHAIN}, r AS (SELECT * FROM (VALUES ('base', 'b1', NULL, 'use tea'), ('sam', 's1', 'b1', 'use coffee'), ('acme', 'a1', NULL, 'Use Tea'), ('base', 'b2', NULL, 'no jargon')) AS t(profile, id, overrides, text)), all_r AS (SELECT c.start, c.depth, r.* FROM chain c JOIN r ON r.profile = c.profile), gone AS (SELECT DISTINCT start, overrides AS id FROM all_r WHERE overrides IS NOT NULL), kept AS (SELECT a.*, row_number() OVER (PARTITION BY a.start, lower(a.text) ORDER BY a.depth, a.id) AS rn FROM all_r a LEFT JOIN gone g ON g.start = a.start AND g.id = a.id WHERE g.id IS NULL) SELECT start, id, text FROM kept WHERE rn = 1",
+    "o078_quote_found": "SELECT d.doc_id, contains(lower(d.text), lower(substr(b.text, 1, 20))) AS found FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40",
+    "o079_rejected_lessons": f"WITH {M}, rejected AS (SELECT lower(concat('lesson ', CAST(key % 50 AS STRING))) AS lesson FROM m WHERE ownership = 'other') SELECT m.key FROM m LEFT JOIN (SELECT DISTINCT lesson FROM rejected) r ON r.lesson = concat('lesson ', CAST(m.key % 97 AS STRING)) WHERE r.lesson IS NULL",
+    # aggregates
+    "o099_status": f"WITH {M} SELECT status, count(*) AS texts, sum(CASE WHEN holdout THEN 1 ELSE 0 END) AS holdouts, sum(CASE WHEN ownership = 'own' AND status = 'active' THEN 1 ELSE 0 END) AS own_active, sum(words) AS words FROM m GROUP BY status",
+    "o100_inventory_summary": f"WITH {M}, {F}, r AS (SELECT CASE WHEN m.key IS NULL THEN CASE WHEN f.words < 150 THEN 'skipped: too short' ELSE 'new' END WHEN m.status = 'forgotten' THEN 'forgotten' WHEN m.path = f.path THEN 'unchanged' ELSE 'renamed' END AS result FROM f LEFT JOIN m ON m.key = f.key) SELECT result, count(*) AS n FROM r GROUP BY result",
+    "o103_edit_rollup": f"WITH {M} SELECT type AS kind, count(DISTINCT key % 10) AS pairs, count(DISTINCT key % 10) < 2 AS seen_once FROM m GROUP BY type",
+    "o104_evidence_share": f"WITH {M} SELECT type, count(DISTINCT CASE WHEN ownership = 'own' THEN key END) AS seen, count(DISTINCT key) AS of_texts, count(DISTINCT CASE WHEN ownership = 'own' THEN key END) >= 2 AND 2 * count(DISTINCT CASE WHEN ownership = 'own' THEN key END) >= count(DISTINCT key) AS is_default FROM m GROUP BY type",
+    "o105_language_majority": f"WITH {M}, g AS (SELECT folder, lang, sum(words) AS words, min(key) AS seen FROM m GROUP BY folder, lang), r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY words DESC, seen) AS rn FROM g) SELECT folder, lang, words FROM r WHERE rn = 1",
+    "o109_rank_agreement": f"WITH {M}, arm AS (SELECT type, avg(words) AS a, avg(CASE WHEN ownership = 'own' THEN words ELSE 0 END) AS b FROM m GROUP BY type) SELECT round(avg(CASE WHEN (x.a < y.a) = (x.b < y.b) THEN 1.0 ELSE 0.0 END), 6) AS agreement, count(*) AS pairs FROM arm x JOIN arm y ON x.type < y.type",
+    "o110_familiarity_bins": f"WITH {M} SELECT CAST(floor(key % 100 / 20.0) AS BIGINT) AS bin, count(*) AS n, round(avg(CASE WHEN ownership = 'own' THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM m GROUP BY CAST(floor(key % 100 / 20.0) AS BIGINT)",
+    # windows, samples, sets
+    "o111_newest_in_group": f"WITH {M}, r AS (SELECT key, path, lang, type, year, row_number() OVER (PARTITION BY lang, type ORDER BY year DESC, path) AS rn FROM m) SELECT key, CASE WHEN rn = 1 THEN 'kept' ELSE 'skipped: near-duplicate' END AS result FROM r",
+    "o120_even_spread": f"WITH {M}, {OWN}, r AS (SELECT key, lang, row_number() OVER (PARTITION BY lang ORDER BY year, key) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM own) SELECT key, lang FROM r WHERE n <= 10 OR floor(i * 10.0 / n) > floor((i - 1) * 10.0 / n)",
+    "o121_capped_sample": f"WITH {M}, {OWN}, r AS (SELECT key, lang, sum(words) OVER (PARTITION BY lang ORDER BY year, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM own) SELECT key, lang, upto FROM r WHERE upto <= 20000",
+    "o123_one_per_text": f"WITH {M}, r AS (SELECT key, type, row_number() OVER (PARTITION BY type ORDER BY key) AS rn FROM m) SELECT key, type, rn FROM r ORDER BY rn, type LIMIT 25",
+    "o124_next_ids": f"WITH {M}, used AS (SELECT max(key) AS top FROM m WHERE ownership = 'own') SELECT m.key, used.top + row_number() OVER (ORDER BY m.key) AS id FROM m CROSS JOIN used WHERE m.ownership = 'other'",
+    "o125_snapshots_to_prune": f"WITH {M}, r AS (SELECT key, folder, row_number() OVER (PARTITION BY folder ORDER BY year DESC, key DESC) AS rn FROM m) SELECT key, folder FROM r WHERE rn > 5",
+    "o128_superseded": f"WITH {M}, {F} SELECT key FROM m WHERE status = 'active' EXCEPT SELECT key FROM f",
+    "o129_write_diff": f"WITH {M}, {F} SELECT path, key FROM f EXCEPT ALL SELECT path, key FROM m",
+    "o130_common_facets": f"WITH {M} SELECT type FROM m GROUP BY type HAVING count(DISTINCT lang) = (SELECT count(DISTINCT lang) FROM m)",
+    "o131_sign_union": "WITH own AS (SELECT * FROM (VALUES ('a', 'en'), ('b', 'en')) AS t(id, lang)), universal AS (SELECT * FROM (VALUES ('b', 'any'), ('c', 'any')) AS t(id, lang)) SELECT id, lang FROM own UNION ALL SELECT u.id, u.lang FROM universal u LEFT JOIN own o ON o.id = u.id WHERE o.id IS NULL",
+    "o137_language_segments": f"WITH {M}, s AS (SELECT folder, key, lang, words, CASE WHEN lag(lang) OVER (PARTITION BY folder ORDER BY key) = lang THEN 0 ELSE 1 END AS fresh FROM m WHERE words >= 40), g AS (SELECT *, sum(fresh) OVER (PARTITION BY folder ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg FROM s) SELECT folder, seg, min(lang) AS lang, count(*) AS blocks, sum(words) AS words FROM g GROUP BY folder, seg",
+    "o010_transcript_paragraphs": "WITH c AS (SELECT user_id, event_type, ts, value, CASE WHEN lag(event_type) OVER w = event_type AND lag(ts) OVER w >= ts - INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS para FROM c) SELECT user_id, para, min(event_type) AS speaker, count(*) AS cues, min(event_id) AS first_cue FROM g GROUP BY user_id, para",
+    "o181_iso_weeks": "SELECT date_trunc('week', ts) AS week, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY date_trunc('week', ts), event_type",
+    # lifecycle
+    "o152_ownership_decisions": f"WITH {M}, {RULES}, hit AS (SELECT m.key, r.profile, r.ownership, r.depth, max(r.depth) OVER (PARTITION BY m.key, r.profile) AS top FROM m JOIN rules r ON {UNDER}), best AS (SELECT key, profile, min(ownership) AS ownership, count(DISTINCT ownership) AS n FROM hit WHERE depth = top GROUP BY key, profile) SELECT m.key, b.profile, CASE WHEN m.ownership <> 'undecided' THEN m.ownership WHEN b.n = 1 THEN b.ownership ELSE 'question' END AS decision FROM m JOIN best b ON b.key = m.key",
+    "o153_manifest_patch": f"WITH {M}, patch AS (SELECT key, 'superseded' AS status, false AS removed FROM m WHERE key % 10 = 1 UNION ALL SELECT key, NULL, true FROM m WHERE key % 10 = 2 UNION ALL SELECT key + 5000000, 'active', false FROM m WHERE key % 10 = 3) SELECT coalesce(p.key, m.key) AS key, coalesce(p.status, m.status) AS status FROM m FULL OUTER JOIN patch p ON p.key = m.key WHERE NOT coalesce(p.removed, false)",
+    "o156_affected_slots": f"WITH {M}, touched AS (SELECT * FROM m WHERE key % 40 = 0) SELECT DISTINCT concat(lang, '.', type) AS slot FROM touched UNION SELECT DISTINCT concat(lang, '._') FROM touched",
+    "o161_starter_rules": f"WITH {M}, starter AS (SELECT key % 30 AS id, min(path) AS body FROM m GROUP BY key % 30), mine AS (SELECT id, CASE WHEN id % 4 = 0 THEN concat(body, ' edited') ELSE body END AS body FROM starter WHERE id < 20) SELECT s.id, CASE WHEN m.id IS NULL THEN 'add' WHEN md5(m.body) = md5(s.body) THEN 'same' ELSE 'edited, kept' END AS action FROM starter s LEFT JOIN mine m ON m.id = s.id",
+    "o165_facet_added": f"WITH {M} SELECT key, concat(lang, '.', type, '._') AS slot FROM m",
+    "o175_balanced_labels": f"WITH {M} SELECT key, (row_number() OVER (ORDER BY key) - 1 + key % 4) % 4 AS label FROM m",
+    "o176_inventory_compare": f"WITH {M}, {F} SELECT coalesce(f.path, m.path) AS path, CASE WHEN f.path IS NULL THEN 'missing' WHEN m.path IS NULL THEN 'extra' WHEN f.key = m.key THEN 'equal' ELSE 'differs' END AS outcome FROM f FULL OUTER JOIN (SELECT * FROM m WHERE key % 5 <> 4) m ON m.path = f.path",
+    "o177_changed_since": "SELECT event_id, ts FROM events WHERE ts >= (SELECT min(ts) FROM events) + INTERVAL 3 DAY + INTERVAL 1 SECOND",
+    "o178_expired_drafts": "WITH d AS (SELECT event_id AS id, ts AS created, max(ts) OVER () AS now FROM events) SELECT id, CASE WHEN created < now - INTERVAL 20 DAY THEN 'expired' ELSE 'open' END AS status FROM d",
+    "o180_edit_queue": "WITH q AS (SELECT user_id AS item, event_type AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT item, state FROM q WHERE rn = 1",
+    "o182_evidence_pruned": f"WITH {M} SELECT type AS lesson, count(*) AS seen_in, min(key) AS quote_from FROM m WHERE status <> 'forgotten' GROUP BY type HAVING count(*) > 0",
+    "o186_inherited_rulings": f"WITH RECURSIVE {CHAIN} SELECT start, profile AS inherited_from FROM chain WHERE depth > 0 AND consent <> 'self'",
+    "o187_rule_facets": f"WITH {M}, r AS (SELECT * FROM (VALUES ('.', 'type', 'any', 0), ('dir1', 'type', 'essay', 1), ('dir1/sub1', 'type', 'note', 2), ('dir1', 'year', 'old', 1)) AS t(rule_path, facet, value, depth)), h AS (SELECT m.key, r.facet, r.value, row_number() OVER (PARTITION BY m.key, r.facet ORDER BY r.depth DESC) AS rn FROM m JOIN r ON {UNDER}) SELECT key, facet, value FROM h WHERE rn = 1",
+    "o188_rule_coverage": f"WITH {M}, {RULES} SELECT rule_path, profile, count(m.key) AS texts FROM rules LEFT JOIN m ON {UNDER} AND m.path NOT LIKE '%9.md' GROUP BY rule_path, profile",
+    "o189_type_resolution": f"WITH {M} SELECT key, coalesce(CASE WHEN key % 4 = 0 THEN 'set' END, nullif(type, 'src1'), 'rule') AS type FROM m",
+    "o190_entry_lookup": f"WITH {M}, h AS (SELECT key, path, status, max(CASE WHEN status <> 'forgotten' THEN 1 ELSE 0 END) OVER (PARTITION BY folder) AS live FROM m WHERE path LIKE '%/sub1/%') SELECT key, path FROM h WHERE status <> 'forgotten' OR live = 0",
+    "o191_cascade_delete": f"WITH {M}, lost AS (SELECT key FROM m WHERE status = 'forgotten') SELECT m.key, CASE WHEN l.key IS NULL THEN m.path END AS quote FROM m LEFT JOIN lost l ON l.key = m.key",
+    "o194_stripped_records": f"WITH {M} SELECT key, CASE WHEN ownership = 'other' THEN NULL ELSE ownership END AS ownership FROM m",
+    "o195_requirements": f"WITH {M} SELECT folder, count(DISTINCT type) AS types, min(type) AS first_type FROM m GROUP BY folder",
+    "o196_emptied_slots": f"WITH {M}, {OWN}, slots AS (SELECT DISTINCT lang, type FROM m) SELECT s.lang, s.type FROM slots s LEFT JOIN own o ON o.lang = s.lang AND o.type = s.type WHERE o.key IS NULL",
+    "o200_approved_view": f"WITH {M}, approved AS (SELECT key, 'superseded' AS status FROM m WHERE key % 6 = 0) SELECT m.key, coalesce(a.status, m.status) AS status FROM m LEFT JOIN approved a ON a.key = m.key",
+    "o201_kept_drafts": f"WITH {M} SELECT status, count(*) AS drafts, sum(words) AS words FROM m WHERE ownership = 'own' GROUP BY status",
+    "o202_published_summary": f"WITH {M} SELECT type, count(*) AS n, sum(CASE WHEN status = 'active' THEN 1 ELSE 0 END) AS active FROM m GROUP BY type",
+    "o203_learnable_names": f"WITH {M} SELECT key, path FROM m WHERE path LIKE '%.md' AND path NOT LIKE '%/.%' AND path NOT LIKE '%node_modules%'",
+    "o206_pack_listing": "SELECT lang, count(*) AS texts FROM documents GROUP BY lang",
+    "o207_kit_caps": f"WITH {M}, r AS (SELECT key, type, row_number() OVER (PARTITION BY type ORDER BY CASE WHEN ownership = 'own' THEN 0 ELSE 1 END, key) AS rn FROM m) SELECT key, type, rn FROM r WHERE rn <= 30",
+    "o212_next_steps": "WITH steps AS (SELECT * FROM (VALUES (1, 'scan'), (2, 'own'), (3, 'measure'), (4, 'commit')) AS t(place, step)), done AS (SELECT 'scan' AS step UNION SELECT 'own') SELECT step, place FROM steps WHERE step NOT IN (SELECT step FROM done)",
+    "o214_pending_status": f"WITH {M} SELECT sum(CASE WHEN ownership = 'undecided' THEN 1 ELSE 0 END) AS pending, sum(CASE WHEN ownership <> 'undecided' THEN 1 ELSE 0 END) AS decided, count(*) AS items FROM m",
+    "o215_fresh_round_robin": f"WITH {M}, {OWN}, used AS (SELECT key FROM own WHERE key % 3 = 0), r AS (SELECT o.key, o.type, row_number() OVER (PARTITION BY o.type ORDER BY o.key) AS rn FROM own o LEFT JOIN used u ON u.key = o.key WHERE u.key IS NULL) SELECT key, type, rn FROM r ORDER BY rn, type LIMIT 40",
+    "o216_draft_length": "SELECT doc_id, n_chars BETWEEN 850 AND 1150 AS fits FROM documents",
+    "o218_scaled_answers": f"WITH {M} SELECT key, folder, round(words * 100.0 / sum(words) OVER (PARTITION BY folder), 6) AS percent FROM m WHERE words > 0",
+    "o220_detector_shift": f"WITH {M} SELECT type, round(avg(CASE WHEN ownership = 'own' THEN words END), 6) AS own_mean, max(CASE WHEN ownership = 'other' THEN words END) AS other_max FROM m GROUP BY type",
+    "o221_screened_authors": f"WITH {M} SELECT type, round(avg(key % 100), 6) AS probability FROM m GROUP BY type HAVING avg(key % 100) < 50",
+}
+SQL = {k: v.strip() for k, v in SQL.items()}
