@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, read_ranks
+from .bpe import MAX_CHUNKS, Encoder
 from .common import checkpointed
 
 LENGTH = 2048
@@ -36,10 +36,28 @@ END_ID = 1
 SALTS = 256
 MAX_ROUNDS, STALL = 3000, 150
 
-_ENCODERS: dict[str, Encoder] = {}
+class FileEncoder(Encoder):
+    """An Encoder whose new chunks go through the tiktoken library; this operator is about packing, not merging."""
 
+    def __init__(self, ranks: dict[bytes, int], pattern: str, special: dict[str, int]):
+        super().__init__({bytes([b]): ranks[bytes([b])] for b in range(256)}, pattern, special)
+        import tiktoken
 
-def json_encoder(path: str) -> Encoder:
+        self.library = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = np.array(self.library(chunk), dtype="<u4").tobytes()
+        if len(chunk) < 100:
+            if len(self) >= MAX_CHUNKS:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+
+_ENCODERS: dict[str, FileEncoder] = {}
+
+
+def json_encoder(path: str) -> FileEncoder:
     """An encoder with the vocabulary, merges and special tokens of a tokenizer file; one for each worker process.
 
     The file's byte-level alphabet is undone, so that ranks are by bytes; a special token's string becomes its id.
@@ -56,7 +74,7 @@ def json_encoder(path: str) -> Encoder:
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         import public_tokenizers
 
-        _ENCODERS[path] = Encoder(ranks, public_tokenizers.PATTERN, special, whole_pieces=False)
+        _ENCODERS[path] = FileEncoder(ranks, public_tokenizers.PATTERN, special)
     return _ENCODERS[path]
 
 
