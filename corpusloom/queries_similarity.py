@@ -178,7 +178,7 @@ def o106(spark, d):
 @add(
     "o118_blended_targets",
     f"WITH {O.sums(O.DOCS)}, g AS (SELECT lang, {', '.join(f'sum({s}) AS {s}' for s in O.SUMS)} FROM sums GROUP BY lang), gv AS (SELECT lang, {O.value_columns()} FROM g), slot AS ({O.melted('gv', 'lang')}), vals AS (SELECT key, lang, n_words AS words, {O.value_columns()} FROM sums), long AS ({O.melted('vals', 'key, lang, words')})"
-    " SELECT l.key, l.metric, round(l.words / (l.words + 300.0) * l.value + (1 - l.words / (l.words + 300.0)) * s.value, 5) AS target FROM long l JOIN slot s USING (lang, metric)",
+    " SELECT l.key, l.metric, round(l.words / (l.words + 300.0) * l.value + (1 - l.words / (l.words + 300.0)) * s.value, 3) AS target FROM long l JOIN slot s USING (lang, metric)",
 )
 def o118(spark, d):
     """Every text as the example passage of its slot: targets lean to it by words / (words + 300)."""
@@ -187,7 +187,7 @@ def o118(spark, d):
     own = style.sums(docs).select("key", "lang", F.col("n_words").alias("words"), *style.values().values())
     rows = style.melted(own, ["key", "lang", "words"]).join(slot, ["lang", "metric"])
     w = F.col("words") / (F.col("words") + 300.0)
-    return rows.select("key", "metric", F.round(w * F.col("value") + (1 - w) * F.col("slot"), 5).alias("target"))
+    return rows.select("key", "metric", F.round(w * F.col("value") + (1 - w) * F.col("slot"), 3).alias("target"))
 
 
 _TONES = ", ".join(f"('{t}', '{m}', {v}, {i})" for i, (t, p) in enumerate(packs.TONES.items()) for m, v in p.items())
