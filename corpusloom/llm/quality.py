@@ -31,8 +31,8 @@ from .common import packed, unpacked
 BUCKETS = 1 << 16
 MAX_TRUSTED = 20_000
 THRESHOLD = -0.25
-#: added to every bucket of either side
-SMOOTH = 1.0
+#: pseudo-count of a bucket: where fewer n-grams than that are to be expected, a bucket says little
+SMOOTH = 5.0
 SPACE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
@@ -106,7 +106,7 @@ def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> np.ndarray | None:
-    """log(p_trusted / p_raw) for each bucket; None if no document is trusted.
+    """log(p_trusted / p_raw) for each bucket, shrunk towards 0 where it is rare; None if no document is trusted.
 
     The driver gets one row for each bucket, so its share does not grow with the corpus.
     """
@@ -130,8 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, max_truste
     good[got["bucket"]], raw[got["bucket"]] = got["good"], got["raw"]
     if not good.sum():
         return None
-    good, raw = good + SMOOTH, raw + SMOOTH
-    return np.log(good / good.sum()) - np.log(raw / raw.sum())
+    return np.log((good + SMOOTH) / (raw * (good.sum() / raw.sum()) + SMOOTH))
 
 
 def judge(docs: DataFrame, ratio: np.ndarray | None, threshold: float = THRESHOLD) -> DataFrame:
