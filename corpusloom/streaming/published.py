@@ -45,7 +45,7 @@ def match_group(rows: pd.DataFrame, least: float = SHARE, days: int = EXPIRES_DA
 
 def matched(rows: DataFrame) -> DataFrame:
     """MATCH over (profile, kind, id, ts, text); a profile's drafts and texts are few, as people write them."""
-    return rows.groupBy("profile").applyInPandas(match_group, MATCH)
+    return rows.groupBy("profile").applyInPandas(lambda rows: match_group(rows), MATCH)
 
 
 def run_matching(spark: SparkSession, stream: DataFrame, known: DataFrame, sink: str, checkpoint: str):

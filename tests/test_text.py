@@ -97,7 +97,7 @@ def test_near_duplicates_against_brute_force(spark):
 
 
 def test_shape_sections_and_quotes(spark):
-    para = "You see this one. " + " ".join(["plain"] * 60) + "."
+    para = "You see this one. Plain " + " ".join(["plain"] * 59) + "."
     text = "\n\n".join(["Head one", para, para, "Head two", para, "Head three", para, para, "> quoted words of others"])
     r = shape.measures(spark.createDataFrame([(1, text, "en", "t")], "key long, text string, lang string, type string")).first()
     assert r["paragraph_sentences"] == 2.0 and r["paragraph_length_cv"] == 0.0 and r["section_length_cv"] == pytest.approx(0.2828, abs=1e-4)
