@@ -107,4 +107,37 @@ SQL: dict[str, str] = {
     "o220_detector_shift": f"WITH {M} SELECT type, round(avg(CASE WHEN ownership = 'own' THEN words END), 6) AS own_mean, max(CASE WHEN ownership = 'other' THEN words END) AS other_max FROM m GROUP BY type",
     "o221_screened_authors": f"WITH {M} SELECT type, round(avg(key % 100), 6) AS probability FROM m GROUP BY type HAVING avg(key % 100) < 50",
 }
+SQL |= {
+    "o046_short_joined": "WITH mails AS (SELECT role AS folder, conv_id, turn, CAST(floor(length(text) / 6.0) AS BIGINT) AS words FROM conversations WHERE length(text) < 900), threads AS (SELECT folder, conv_id FROM mails GROUP BY folder, conv_id HAVING count(*) >= 2 AND sum(words) >= 150), rest AS (SELECT m.* FROM mails m LEFT JOIN threads t ON t.folder = m.folder AND t.conv_id = m.conv_id WHERE t.conv_id IS NULL)"
+    " SELECT m.folder, concat('thread-', substr(md5(CAST(m.conv_id AS STRING)), 1, 8)) AS gid, count(*) AS members, sum(m.words) AS words, max(m.turn) AS last FROM mails m JOIN threads t ON t.folder = m.folder AND t.conv_id = m.conv_id GROUP BY m.folder, m.conv_id"
+    " UNION ALL SELECT folder, concat('week-', CAST(conv_id % 10 AS STRING)), count(*), sum(words), max(turn) FROM rest GROUP BY folder, conv_id % 10 HAVING sum(words) >= 150",
+    "o122_seeded_sample": f"WITH {M}, r AS (SELECT key, type, row_number() OVER (PARTITION BY type ORDER BY md5(concat('seed/', CAST(key AS STRING))), key) AS rn FROM m) SELECT key, type, rn FROM r WHERE rn <= 8",
+    "o139_two_references": f"WITH {M}, slot AS (SELECT lang, avg(words) AS mean FROM m GROUP BY lang) SELECT m.key, (m.words > 1.5 * s.mean OR m.words < 0.5 * s.mean) AND (m.words > 1.8 * t.mean OR m.words < 0.4 * t.mean) AS flagged FROM m JOIN slot s ON s.lang = m.lang JOIN (SELECT type, avg(words) AS mean FROM m GROUP BY type) t ON t.type = m.type",
+    "o140_fail_counts": "WITH n AS (SELECT DISTINCT doc_id % 28 + 1 AS n FROM documents) SELECT n, least(n, greatest(2, CAST(ceil(28 * n / 100.0) AS BIGINT))) AS fails_from FROM n",
+    "o150_language_guard": f"WITH {M}, asked AS (SELECT key, CASE WHEN key % 8 = 0 THEN 'en' ELSE lang END AS slot_lang, lang, words FROM m) SELECT key, words >= 20 AND lang <> slot_lang AS mismatch FROM asked",
+    "o151_inventory": f"""WITH {M}, {F}, known AS (SELECT f.key, f.path, f.words, f.lang, f.type, f.year, m.status, m.holdout, m.path AS old_path, m.key IS NOT NULL AS in_ledger FROM f LEFT JOIN m ON m.key = f.key),
+  olds AS (SELECT DISTINCT k.path FROM known k JOIN m ON lower(m.path) = lower(k.path) AND m.key <> k.key AND m.status IN ('active', 'unreachable')),
+  rated AS (SELECT k.*, CASE WHEN k.lang IN ('ja', 'zh') THEN 'skipped: language not supported' WHEN in_ledger AND status = 'forgotten' THEN 'forgotten' WHEN in_ledger AND holdout THEN 'holdout' WHEN in_ledger AND status = 'superseded' THEN 'reverted'
+    WHEN in_ledger AND k.path = old_path THEN 'unchanged' WHEN in_ledger THEN 'renamed' WHEN words < 150 THEN 'skipped: too short' WHEN o.path IS NOT NULL THEN 'changed' ELSE 'new' END AS result FROM known k LEFT JOIN olds o ON o.path = k.path),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY result, lang, type, words ORDER BY year DESC, path) AS rn FROM rated)
+  SELECT key, path, words, lang, type, CASE WHEN result = 'new' AND rn > 1 THEN 'skipped: near-duplicate' ELSE result END AS result FROM ranked""",
+    "o160_holdouts": f"WITH {M}, {OWN}, r AS (SELECT key, type, row_number() OVER (PARTITION BY type ORDER BY md5(concat('holdout/', CAST(key AS STRING)))) AS rn FROM own) SELECT o.key, r.rn IS NOT NULL AND r.rn <= 2 AS holdout FROM own o JOIN r ON r.key = o.key",
+    "o162_guide_rules_found": "SELECT b.item_id, count(CASE WHEN contains(d.text, substr(b.text, 1, 30)) THEN 1 END) AS found_in FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id GROUP BY b.item_id",
+    "o170_pair_separation": f"WITH {M}, p AS (SELECT a.type, a.words AS before, b.words AS after FROM m a JOIN m b ON b.key = a.key + 1 AND a.key % 2 = 0 WHERE a.words > 0) SELECT type, round(avg(after * 1.0 / before), 6) AS ratio, sum(CASE WHEN after > before THEN 1 ELSE 0 END) AS up, count(*) AS n FROM p GROUP BY type",
+    "o171_leave_own_out": f"WITH {M}, g AS (SELECT type, sum(words) AS w, count(*) AS n FROM m GROUP BY type) SELECT m.key, round((g.w - m.words) * 1.0 / (g.n - 1), 6) AS others FROM m JOIN g ON g.type = m.type WHERE g.n > 1",
+    "o172_threshold_sweep": f"WITH {M}, g AS (SELECT type, median(words) AS mid FROM m GROUP BY type), k AS (SELECT * FROM (VALUES (1.5), (2.0), (3.0), (4.0)) AS t(k)) SELECT k.k, sum(CASE WHEN m.words > k.k * g.mid THEN 1 ELSE 0 END) AS flagged, count(*) AS n FROM m JOIN g ON g.type = m.type CROSS JOIN k GROUP BY k.k",
+    "o183_nearest_ancestor": f"WITH RECURSIVE {CHAIN}, files AS (SELECT * FROM (VALUES ('base', 'en.flavour'), ('sam', 'de.flavour')) AS t(profile, file)), h AS (SELECT c.start, f.file, row_number() OVER (PARTITION BY c.start ORDER BY c.depth, f.file) AS rn FROM chain c JOIN files f ON f.profile = c.profile) SELECT start, file FROM h WHERE rn = 1",
+    "o193_item_lookup": f"WITH {M}, items AS (SELECT 'lesson' AS artefact, key FROM m WHERE key % 3 = 0 UNION ALL SELECT 'example', key FROM m WHERE key % 4 = 0 UNION ALL SELECT 'ruling', key FROM m WHERE key % 5 = 0) SELECT artefact, key FROM items WHERE key IN (SELECT key FROM m WHERE key % 60 = 0)",
+    "o198_profile_snapshot": f"WITH {M} SELECT key, path, status FROM m WHERE ownership = 'own' AND folder = 'dir2'",
+    "o204_copied_files": f"WITH {M}, ledger AS (SELECT path, words FROM m WHERE key % 2 = 0), copied AS (SELECT path, words + 1 AS words FROM m WHERE key % 3 = 0) SELECT coalesce(c.path, l.path) AS path, coalesce(c.words, l.words) AS words FROM ledger l FULL OUTER JOIN copied c ON c.path = l.path",
+    "o205_pack_caveats": "SELECT DISTINCT lang, CASE WHEN lang = 'en' THEN NULL WHEN lang IN ('de', 'fr', 'es') THEN 'the thresholds were calibrated on English' ELSE 'no language pack' END AS caveat FROM documents",
+    "o210_one_ruling": f"WITH {M}, r AS (SELECT key AS id FROM m WHERE key % 100 = 0) SELECT id FROM r UNION ALL SELECT max(id) + 1 FROM r",
+    "o211_sign_override": "WITH s AS (SELECT * FROM (VALUES ('s1', 'always'), ('s2', 'unless_writer')) AS t(id, tier)) SELECT id, tier = 'unless_writer' AS may_switch_off FROM s",
+    "o217_distractors": f"WITH {M}, r AS (SELECT a.type, b.type AS other, row_number() OVER (PARTITION BY a.type ORDER BY md5(concat(a.type, '/', b.type))) AS rn FROM (SELECT DISTINCT type FROM m) a JOIN (SELECT DISTINCT type FROM m) b ON a.type <> b.type) SELECT type, other, rn FROM r WHERE rn <= 3",
+    "o219_spot_check": f"WITH {M}, r AS (SELECT key, type, row_number() OVER (PARTITION BY type ORDER BY md5(CAST(key AS STRING))) AS rn, count(*) OVER (PARTITION BY type) AS n FROM m) SELECT key, type FROM r WHERE rn <= greatest(1, ceil(n / 10.0))",
+    "o222_report_cut": "SELECT doc_id, CASE WHEN strpos(t, chr(10) || '## Report') > 0 THEN substr(t, 1, strpos(t, chr(10) || '## Report') - 1) ELSE t END AS draft FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(substr(text, 1, 80), chr(10), '## Report', chr(10), 'x') ELSE substr(text, 1, 80) END AS t FROM documents) d".replace("strpos(t, chr(10) || '## Report')", "instr(t, concat(chr(10), '## Report'))"),
+    "o223_flags_by_group": f"WITH {M} SELECT type, lang, count(*) AS n, sum(CASE WHEN words < 150 THEN 1 ELSE 0 END) AS flagged FROM m GROUP BY GROUPING SETS ((type), (lang))",
+    "o225_essay_slices": f"WITH {M}, titles AS (SELECT folder, type, max(key) AS line FROM m GROUP BY folder, type) SELECT folder, type, line, lead(line) OVER (PARTITION BY folder ORDER BY line) AS until_line FROM titles",
+    "o227_author_holdouts": f"WITH {M}, r AS (SELECT key, folder, row_number() OVER (PARTITION BY folder ORDER BY md5(concat('x', CAST(key AS STRING)))) AS rn FROM m) SELECT key, folder FROM r WHERE rn <= 3",
+}
 SQL = {k: v.strip() for k, v in SQL.items()}
