@@ -129,6 +129,12 @@ def with_base(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *_key(F.col("text")), base_spans(F.col("text")).alias("base"))
 
 
+def _share(n_et: str, n_e: str, n_t: Column, total: float) -> Column:
+    """Mutual information of a term and an entity as a share of the entity's information content."""
+    content = -F.log2(F.col(n_e) / total)
+    return F.when(content <= 0, 0.0).otherwise(F.log2(F.col(n_et) * total / (F.col(n_e) * n_t)) / content)
+
+
 def disclosures(docs: DataFrame, base: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
     """tag, len and terms (term, share) of the texts that hold a disclosed entity; None if there are none.
 
@@ -151,6 +157,11 @@ def disclosures(docs: DataFrame, base: DataFrame, support: int = SUPPORT, thresh
         .agg(F.sum("rows").alias("n_et"), F.count("*").alias("texts"), F.first("n_e").alias("n_e"))
         .where(F.col("texts") >= support)
     )
+    total = float(base.count())
+    # n_t is at least the number of these texts that hold t; with that bound in its place the share is at least
+    # the true one, so what falls short of the threshold (frequent words do) needs no count over the corpus
+    least = terms.groupBy("t").agg(F.count("*").alias("least_t"))
+    pairs = pairs.join(least, "t").where(_share("n_et", "n_e", F.greatest("least_t", "n_et"), total) >= threshold)
     pairs = checkpointed(pairs.select("e", "t", "n_et", "n_e"))
     wanted = checkpointed(pairs.select("t").distinct())
     n_wanted = wanted.count()
@@ -160,9 +171,7 @@ def disclosures(docs: DataFrame, base: DataFrame, support: int = SUPPORT, thresh
     if n_wanted <= MAX_BROADCAST:
         every = every.join(F.broadcast(wanted), "t", "left_semi")
     n_t = every.groupBy("t").agg(F.count("*").alias("n_t"))
-    total = float(base.count())
-    content = -F.log2(F.col("n_e") / total)
-    share = F.when(content <= 0, 0.0).otherwise(F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t"))) / content)
+    share = _share("n_et", "n_e", F.col("n_t"), total)
     revealing = pairs.join(n_t, "t").select("e", "t", share.alias("share")).where(F.col("share") >= threshold)
     return (
         where.select("e", "tag", "len")
