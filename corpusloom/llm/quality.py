@@ -3,16 +3,23 @@
 Tokens (runs of letters and digits, runs of other signs) and pairs of neighbouring tokens are hashed
 to a fixed number of buckets. One multinomial is
 counted over the trusted documents, one over all documents; a document's score is the mean of
-log(p_trusted / p_raw) over its n-grams, and it is kept if the score reaches a fixed threshold and
-the base rules do not reject it. Nothing is drawn by chance: the same document always gets the same
-verdict for the same corpus.
+log(p_trusted / p_raw) over its n-grams, and it is kept if the score reaches a fixed threshold, the
+base rules do not reject it and it shows no strong local evidence. Nothing is drawn by chance: the same
+document always gets the same verdict for the same corpus.
+
+A mean hides a few toxic words, so these decide by themselves. For the different tokens of a document and
+their beginnings of `STEM` bytes (which compounds share), log(p_toxic / p_trusted) comes from the
+numbers of labelled documents that hold them; the evidence is the mean of the largest ones, one for each
+`PER` of the document's different tokens and beginnings, `STRONGEST` at least, so that long documents do
+not gather it by chance. A document whose evidence reaches `TOXIC_LIMIT` is rejected.
 
 The trusted side comes from a sample of the labelled rows, bounded by `max_trusted`: those of good
-quality and not toxic whose hashed doc_id is smallest. The raw side covers every document.
+quality and not toxic whose hashed doc_id is smallest. The toxic side covers every row labelled toxic,
+the raw side every document.
 
 Defined cases: a null text has no words and fails the base rules; an empty table has no rows; labels
-that are missing, null or contradictory trust nothing, and without trusted documents the base rules
-decide alone; repeated rows count as often as they occur; further columns pass through untouched.
+that are missing, null or contradictory trust nothing and make nothing toxic, without toxic documents
+there is no local evidence, and without trusted documents the base rules decide alone; repeated rows count as often as they occur; further columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -26,13 +33,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import checkpointed, packed, unpacked
 
 BUCKETS = 1 << 16
 MAX_TRUSTED = 20_000
 THRESHOLD = -0.25
 #: pseudo-count of a bucket: where fewer n-grams than that are to be expected, a bucket says little
 SMOOTH = 5.0
+#: local evidence: bytes of a token's beginning, least number of tokens that decide, and how many share one of them
+STEM, STRONGEST, PER = 5, 5, 100
+TOXIC_LIMIT = 2.0
+#: labelled rows that are still broadcast; beyond it that join shuffles
+MAX_BROADCAST = 200_000
 SPACE = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
@@ -41,14 +53,37 @@ RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 TOKEN = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^A-Za-z0-9_\x80-\xff\x00-\x20]+")
 
 
+def tokens_of(text: str | None) -> list[bytes]:
+    return TOKEN.findall((text or "").encode())
+
+
 def buckets(text: str | None, n: int = BUCKETS) -> np.ndarray:
     """Buckets of the tokens and of the pairs of neighbours."""
-    tokens = TOKEN.findall((text or "").encode())
+    return _buckets(tokens_of(text), n)
+
+
+def _buckets(tokens: list[bytes], n: int) -> np.ndarray:
     one = np.fromiter(map(zlib.crc32, tokens), dtype=np.uint64, count=len(tokens))
     two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) * np.uint64(0xD6E8FEB86659FD93)
     return (np.concatenate([(one * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40), two >> np.uint64(40)]) % np.uint64(n)).astype(np.int64)
 
 
+def _kinds(tokens: list[bytes], n: int) -> np.ndarray:
+    """A bucket for each different token and each different beginning of one."""
+    kinds = set(tokens)
+    kinds |= {t[:STEM] for t in kinds}
+    found = np.fromiter(map(zlib.crc32, kinds), dtype=np.uint64, count=len(kinds))
+    return ((found * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+
+
+def local_evidence(toxic: np.ndarray, kinds: np.ndarray) -> float:
+    """The mean of the strongest values of `toxic` among the document's tokens, more of them in a long document."""
+    if not len(kinds):
+        return 0.0
+    k = min(len(kinds), max(STRONGEST, len(kinds) // PER))
+    return float(np.partition(toxic[kinds], len(kinds) - k)[-k:].mean(dtype=np.float64))
+
+
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a window of three words which occurs twice or more in the text."""
     n = len(words)
@@ -105,45 +140,67 @@ def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id")
 
 
+def toxic_ids(labels: DataFrame) -> DataFrame:
+    """All ids whose labels say toxic and nothing else."""
+    said = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("low"), F.max("toxic").alias("high"))
+    return said.where((F.col("low") == 1) & (F.col("high") == 1)).select("doc_id")
+
+
 def fit(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> np.ndarray | None:
-    """log(p_trusted / p_raw) for each bucket, shrunk towards 0 where it is rare; None if no document is trusted.
+    """Two values for each bucket, or None if no document is trusted: log(p_trusted / p_raw), shrunk towards 0
+    where it is rare, and log(p_toxic / p_trusted) by documents, which is 0 if none is toxic.
 
     The driver gets one row for each bucket, so its share does not grow with the corpus.
     """
-    trusted = F.broadcast(trusted_ids(labels, max_trusted).withColumn("trusted", F.lit(True)))
-    rows = docs.select("doc_id", "text").join(trusted, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    sides = checkpointed(trusted_ids(labels, max_trusted).withColumn("side", F.lit(0)).unionByName(toxic_ids(labels).withColumn("side", F.lit(1))))
+    if sides.count() <= MAX_BROADCAST:
+        sides = F.broadcast(sides)
+    rows = docs.select("doc_id", "text").join(sides, "doc_id", "left").select("text", F.coalesce("side", F.lit(-1)).alias("side"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((2, n_buckets), dtype=np.int64)
+        counts = np.zeros((4, n_buckets + 1), dtype=np.int64)  # the last place counts documents
         for b in batches:
-            for text, good in zip(b["text"], b["trusted"], strict=True):
-                found = np.bincount(buckets(text, n_buckets))
+            for text, side in zip(b["text"], b["side"], strict=True):
+                tokens = tokens_of(text)
+                found = np.bincount(_buckets(tokens, n_buckets))
                 counts[1, : len(found)] += found
-                if good:
+                if side == 0:
                     counts[0, : len(found)] += found
-        at = np.flatnonzero(counts[1])
-        yield pd.DataFrame({"bucket": at, "good": counts[0, at], "raw": counts[1, at]})
-
-    sums = rows.mapInPandas(count, "bucket long, good long, raw long").groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("raw").alias("raw"))
+                if side >= 0:
+                    counts[2 + side, np.unique(_kinds(tokens, n_buckets))] += 1
+                    counts[2 + side, n_buckets] += 1
+        at = np.flatnonzero(counts.any(axis=0))
+        yield pd.DataFrame({"bucket": at, "good": counts[0, at], "raw": counts[1, at], "clean": counts[2, at], "toxic": counts[3, at]})
+
+    names = ["good", "raw", "clean", "toxic"]
+    sums = rows.mapInPandas(count, "bucket long, good long, raw long, clean long, toxic long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
     got = sums.toPandas()
-    good, raw = np.zeros(n_buckets), np.zeros(n_buckets)
-    good[got["bucket"]], raw[got["bucket"]] = got["good"], got["raw"]
+    values = np.zeros((4, n_buckets + 1))
+    values[:, got["bucket"]] = got[names].to_numpy().T
+    (good, raw), (clean, toxic) = values[:2, :n_buckets], values[2:, :n_buckets]
+    n_clean, n_toxic = values[2:, n_buckets]
     if not good.sum():
         return None
-    return np.log((good + SMOOTH) / (raw * (good.sum() / raw.sum()) + SMOOTH))
+    ratio = np.log((good + SMOOTH) / (raw * (good.sum() / raw.sum()) + SMOOTH))
+    return np.stack([ratio, np.log((toxic + 1) / (clean * (n_toxic / n_clean) + 1)) if n_toxic else np.zeros(n_buckets)])
 
 
-def judge(docs: DataFrame, ratio: np.ndarray | None, threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, fitted: np.ndarray | None, threshold: float = THRESHOLD) -> DataFrame:
     """Every row of `docs` as struct `row`, and struct `found` with the columns of RESULT."""
-    shared = docs.sparkSession.sparkContext.broadcast(None if ratio is None else ratio.astype(np.float32))
+    shared = docs.sparkSession.sparkContext.broadcast(None if fitted is None else fitted.astype(np.float32))
 
     @F.pandas_udf(RESULT)
     def verdict(texts: pd.Series) -> pd.DataFrame:
-        ratio, out = shared.value, []
+        fitted, out = shared.value, []
         for text in texts:
             words, base = base_counts(text)
-            score = float(ratio[found].mean(dtype=np.float64)) if ratio is not None and len(found := buckets(text, len(ratio))) else 0.0
-            out.append((*base, score, not base[-1] and score >= threshold))
+            score, evidence = 0.0, 0.0
+            if fitted is not None and (tokens := tokens_of(text)):
+                ratio, toxic = fitted
+                score = float(ratio[_buckets(tokens, len(ratio))].mean(dtype=np.float64))
+                if not base[-1] and score >= threshold:
+                    evidence = local_evidence(toxic, _kinds(tokens, len(toxic)))
+            out.append((*base, score, not base[-1] and score >= threshold and evidence < TOXIC_LIMIT))
         return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
     return packed(docs).withColumn("found", verdict("row.text"))

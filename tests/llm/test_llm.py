@@ -84,6 +84,21 @@ def test_quality_base_rules_and_verdict(docs, labels, rows):
     assert kept.columns == docs.columns and kept.where("doc_id = 13").isEmpty()
 
 
+def test_a_few_toxic_words_reject_a_long_document(spark):
+    def text(i):
+        words = prose(i, 300).split()
+        for k, w in enumerate(("grobblex", "snarvulon", "pliffmoor", "drazzlewit", "quombrask") if i % 2 else ()):
+            words[50 * k + i % 40] = w + "xyz"[i % 3]
+        return " ".join(words)
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(200)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, 1, i % 2) for i in range(120)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs, known).collect()}
+    assert all(got[i]["kept"] == (i % 2 == 0) and got[i]["score"] >= quality.THRESHOLD and not got[i]["base_failed"] for i in range(200))
+    torn = known.unionByName(spark.createDataFrame([(i, 1, 0) for i in range(1, 120, 2)], known.schema))
+    assert quality.quality_rules(docs, torn).where("not kept").isEmpty()
+
+
 def test_line_dedup_against_brute_force(docs, rows):
     got = [(r["doc_id"], r["n_removed"], r["text"]) for r in linededup.line_dedup(docs).collect()]
     assert (1, 1, "") in got and (0, 0, prose(1, 400)) in got and (4, 0, None) in got and (5, 0, "") in got
