@@ -4,7 +4,8 @@ A message's lines have a quote level, the number of leading `>` signs. Runs of l
 passages. What a message says itself (level 0) is hashed as a whole, by paragraph and by line, after
 normalising case and white space; so are the passages that it quotes. Quotes are joined to the first message
 of the conversation that says the same, and the message answers the latest such original that comes
-before it. Chains of answers are followed to their first message, which names the thread; ordering by
+before it, found by its quotes of level 1, or of the next level where these find nothing. A passage of less
+than `MIN_CHARS` names its original by all its text, and only where nothing longer of that level does. Chains of answers are followed to their first message, which names the thread; ordering by
 (thread, turn) puts every answer behind what it answers. Quotes, and the line that announces them, leave
 the text.
 
@@ -31,7 +32,7 @@ from .common import checkpointed, packed
 LEVEL = re.compile(r"^\s*((?:>\s?)+)(.*)$", re.DOTALL)
 #: the line that announces a quote, such as "On Monday, A wrote:"
 ANNOUNCED = re.compile(r"^(?:(?:on|am|le|el)\b.*|.*\b(?:wrote|schrieb|a écrit|escribió)\s*):\s*$", re.IGNORECASE)
-#: shorter passages say too little to name a message
+#: shorter lines of a longer passage say too little to name a message, shorter passages name one if nothing else does
 MIN_CHARS = 8
 
 
@@ -54,11 +55,11 @@ def own_text(lines: list[tuple[int, str]]) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
 
 
-def hashes(passage: str) -> set[int]:
-    """Of the whole, its paragraphs and its lines, in normal form."""
+def hashes(passage: str, least: int = MIN_CHARS) -> set[int]:
+    """Of the whole, its paragraphs and its lines, in normal form, if they have `least` characters."""
     parts = {passage, *re.split(r"\n\s*\n", passage), *passage.split("\n")}
     norms = {" ".join(p.lower().split()) for p in parts}
-    return {xxhash.xxh64_intdigest(n.encode()) - (1 << 63) for n in norms if len(n) >= MIN_CHARS}
+    return {xxhash.xxh64_intdigest(n.encode()) - (1 << 63) for n in norms if len(n) >= least}
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,14 +78,18 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for level, part in runs:
                 if level:
                     quoted.setdefault(level, []).append("\n".join(part))
-            first = set().union(*map(hashes, quoted.get(1, [])))
-            deeper = set().union(*(hashes(p) for level, ps in quoted.items() if level > 1 for p in ps))
+            ranks: dict[int, int] = {}  # of a quoted hash: by level, then longer passages first
+            for level in sorted(quoted):
+                for passage in quoted[level]:
+                    short = len(" ".join(passage.split())) < MIN_CHARS
+                    for h in hashes(passage, 1 if short else MIN_CHARS):
+                        ranks[h] = min(ranks.get(h, 2 * level + short), 2 * level + short)
             n = sum(len(ps) for ps in quoted.values())
-            out.append((own, sorted(hashes(own)), sorted(first), sorted(deeper - first), n, max(quoted, default=0)))
-        yield b[["conv_id", "turn"]].assign(**dict(zip(("clean", "says", "quotes", "nested", "n_quotes", "max_level"), zip(*out, strict=True), strict=True))) if out else pd.DataFrame()
+            out.append((own, sorted(hashes(own, 1)), list(ranks), list(ranks.values()), n, max(quoted, default=0)))
+        yield b[["conv_id", "turn"]].assign(**dict(zip(("clean", "says", "quotes", "ranks", "n_quotes", "max_level"), zip(*out, strict=True), strict=True))) if out else pd.DataFrame()
 
 
-PARSED = "clean string, says array<long>, quotes array<long>, nested array<long>, n_quotes long, max_level int"
+PARSED = "clean string, says array<long>, quotes array<long>, ranks array<int>, n_quotes long, max_level int"
 
 
 def _parsed(texts: pd.Series) -> pd.DataFrame:
@@ -97,11 +102,11 @@ def linked(messages: DataFrame) -> DataFrame:
     rows = checkpointed(packed(messages).withColumn("found", F.pandas_udf(_parsed, PARSED)("row.text")))
     where = rows.select(F.col("row.conv_id").alias("conv_id"), F.col("row.turn").alias("turn"), "found").where("conv_id is not null and turn is not null")
     says = where.select("conv_id", "turn", F.explode("found.says").alias("h"))
-    asks = where.where("found.n_quotes > 0").select("conv_id", "turn", F.explode("found.quotes").alias("h"))
+    asks = where.where("found.n_quotes > 0").select("conv_id", "turn", F.explode(F.arrays_zip(F.col("found.quotes").alias("h"), F.col("found.ranks").alias("rank"))).alias("asked")).select("conv_id", "turn", "asked.*")
     # only passages that somebody quotes need their original
     first = says.join(asks.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi").groupBy("conv_id", "h").agg(F.min("turn").alias("said"))
-    answers = asks.join(first, ["conv_id", "h"]).where("said < turn").groupBy("conv_id", "turn").agg(F.max("said").alias("reply_to"))
-    answers = checkpointed(answers)
+    met = asks.join(first, ["conv_id", "h"]).where("said < turn").groupBy("conv_id", "turn", "rank").agg(F.max("said").alias("said"))
+    answers = checkpointed(met.groupBy("conv_id", "turn").agg(F.min_by("said", "rank").alias("reply_to")))
     up = checkpointed(answers.withColumnRenamed("reply_to", "thread"))
     while True:  # pointer doubling: the number of rounds is the logarithm of the longest chain
         higher = up.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("above"))

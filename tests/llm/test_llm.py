@@ -279,6 +279,14 @@ def test_chat_quotes(spark):
     assert by[1, 2]["text"] == "Nice to see" and by[1, 1]["thread"] == 1 and len(got) == len(said)
 
 
+def test_chat_links_deeper_and_short_quotes(spark):
+    said = [(0, "Where shall we meet tomorrow?"), (1, "Yes"), (2, "A quite different remark"), (3, ">> Where shall we meet tomorrow?\n> never said by anyone here\nAt noon"), (4, ">> Where shall we meet tomorrow?\nforwarded"),
+            (5, "> yes\nfine"), (6, ">> Where shall we meet tomorrow?\n> A quite different remark\nboth"), (7, "> Yes\n> and something unknown\nno link"), (8, "> Yes\n\n> Where shall we meet tomorrow?\nlonger first")]
+    df = spark.createDataFrame([(1, t, "user", x) for t, x in said], "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: (r["reply_to"], r["thread"]) for r in chat.formatted(df).collect()}
+    assert got == {0: (None, 0), 1: (None, 1), 2: (None, 2), 3: (0, 0), 4: (0, 0), 5: (1, 1), 6: (2, 2), 7: (None, 7), 8: (0, 0)}
+
+
 @pytest.mark.parametrize("run", [linededup.line_dedup, simhash.near_duplicates, pii.personal_data, langid.language_id, lambda d: packing.packed_sequences(d, JSON), lambda d: bpe.digest_documents(d, RANKS, P.PATTERN)])
 def test_no_rows_give_no_rows(spark, run):
     assert run(spark.createDataFrame([], "doc_id long, text string, lang string")).isEmpty()
