@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+#: a key with more than this part of the rows is hot
+SHARE = 1000
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One star step over edges (a, b) with a > b, once each."""
@@ -46,10 +48,29 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own)
 
 
+def with_hot_keys(rows: DataFrame, values: DataFrame, key: str, how: str = "inner", count: str | None = None) -> DataFrame:
+    """`rows` joined to `values`, which has each key once; keys with over a `SHARE`th of the rows are broadcast.
+
+    There are fewer than `SHARE` such keys, whatever the data, so the broadcast side is bounded, and no
+    task of the other join gets more rows of one key. `rows` should be cheap to read twice. The rows of each
+    key are counted, unless `values` has their number in column `count`.
+    """
+    if count:
+        hot, values = values.where(F.col(count) * SHARE > rows.count()).drop(count), values.drop(count)
+    else:
+        counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_of_key"))
+        hot = values.join(F.broadcast(counts.where(F.col("n_of_key") * SHARE > rows.count()).select(key)), key, "left_semi")
+    hot = checkpointed(hot)
+    if hot.isEmpty():
+        return rows.join(values, key, how)
+    keys = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(values, key, how))
+
+
 def named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component_id): for each row of `nodes` (node, least) the smallest `least` of its component."""
     found = components(edges).select("node", "component")
     own = checkpointed(nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c")))
     several = own.where("c <> node").select("c").distinct()
-    lowest = own.join(several, "c").groupBy("c").agg(F.min("least").alias("lowest"))
-    return own.join(lowest, "c", "left").select("node", F.coalesce("lowest", "least").alias("component_id"))
+    lowest = checkpointed(own.join(several, "c", "left_semi").groupBy("c").agg(F.min("least").alias("lowest")))
+    return with_hot_keys(own, lowest, "c", "left").select("node", F.coalesce("lowest", "least").alias("component_id"))
