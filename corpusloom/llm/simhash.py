@@ -15,6 +15,7 @@ whatever the data. Inside a bucket only a spanning forest of the links comes out
 Defined cases: a null or empty text has no words and the fingerprint zero, which is linked like any
 other; fewer than three words are one shingle; rows with a null doc_id get a fingerprint and join a
 component but never name one (all null: component null); repeated rows repeat; further columns are ignored.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpointed, packed
-from .components import named
+from .components import named, with_hot_keys
 
 RADIUS = 2
 TABLES = tuple(range(1, 2 ** (RADIUS + 1)))
@@ -120,26 +121,35 @@ def links(nodes: DataFrame) -> DataFrame:
     return dealt.mapInPandas(_links, "a long, b long").distinct()
 
 
+def _found(docs: DataFrame) -> DataFrame:
+    """own (doc_id, fp, and the columns of `docs` besides), each with its component's node c and least value."""
+    nodes = checkpointed(docs.groupBy("fp").agg(F.min("place").alias("least")))
+    return named(nodes.withColumnRenamed("fp", "node"), links(nodes)).withColumnRenamed("node", "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id for every row."""
     own = checkpointed(docs.select("doc_id", fingerprints("text").alias("fp")))
-    nodes = checkpointed(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    final = named(nodes.withColumnRenamed("fp", "node"), links(nodes)).withColumnRenamed("node", "fp")
+    final = _found(own.withColumn("place", F.col("doc_id")))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return own.join(final, "fp").select("doc_id", text, "component_id")
+    return with_hot_keys(own, final, "fp").select("doc_id", text, "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each component the row with the smallest doc_id stays.
+    """The rows of `docs` without near-duplicates: of each component one row stays.
 
-    Of several rows with that doc_id one stays. Rows with a null doc_id stay, as they name no document.
+    It is the row with the smallest doc_id (null comes last); of several the one whose row has the least
+    hash; of rows that agree in every column one. Rows are told apart by their hash, never by doc_id alone,
+    so rows of one doc_id with unlike texts are groups of their own. Only hashes are grouped and joined
+    before the texts are.
     """
-    found = checkpointed(near_duplicates(docs).where("doc_id is not null").select("doc_id", "component_id"))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    twice = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    rows = packed(docs)
-    rows = rows.join(gone, F.col("row.doc_id") == F.col("gone_id"), "left_anti")
-    if twice.isEmpty():
-        return rows.select("row.*")
-    named = rows.where("row.doc_id is not null").groupBy("row.doc_id").agg(F.first("row").alias("row")).select("row")
-    return named.union(rows.where("row.doc_id is null")).select("row.*")
+    rows = packed(docs).withColumn("tag", F.xxhash64(F.struct(*[F.col(f"row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])))
+    place = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("doc_id"), F.col("tag").alias("tag"))
+    own = checkpointed(rows.select(fingerprints("row.text").alias("fp"), place.alias("place")))
+    stays = _found(own).groupBy("component_id").agg(F.lit(1).alias("one")).select("component_id.*")
+    several = checkpointed(own.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select("place.*").join(stays, ["no_id", "tag"], "left_semi").select("tag"))
+    kept = rows.join(stays.select("tag"), "tag", "left_semi")
+    if several.isEmpty():
+        return kept.select("row.*")
+    once = rows.join(several, "tag", "left_semi").groupBy("tag").agg(F.any_value("row").alias("row"))
+    return kept.join(several, "tag", "left_anti").select("row").union(once.select("row")).select("row.*")
