@@ -1,130 +1,263 @@
 """Operator 8: line dedup by winnowing over line hashes.
 
-Lines are normalised (white space), hashed, and blank ones set aside. A window is a run of lines with
-`min_words` words or more that is as short as possible, taken from every line forwards and from every
-line backwards. Winnowing selects in each window the line with the least hash (the last one of equals)
-as fingerprint, so two documents that share a run of `min_words` words share a window and with it a
-fingerprint: that is guaranteed. Fingerprints that occur once are dropped with all their windows. The
-others' positions are joined: around every one the match is extended both ways, through the windows
-that selected it, by joining the windows' hashes to their first position. The union of the windows that
-occur earlier (by doc_id, then the text's hash, then position) is the later repeated run, and goes.
-
-A line goes just if it lies in a run of lines of at least `min_words` words that also occurs at an
-earlier position; pairs of positions are never made, since all are compared to the first.
+Lines are wrapped at every word: a line is `WIDTH` words from any word on, whatever the line breaks are, so
+a passage is found wherever it begins and ends. Winnowing selects in each window of `min_words - WIDTH + 1`
+such lines the one with the least hash (the first of equals) as fingerprint: a run of `min_words` words is one
+window, so two documents that share it share a fingerprint, which is guaranteed. Where equal lines follow
+each other (a repeated word or two) one of them is enough for each window.
+
+Positions of equal fingerprints are joined to the first of them (by doc_id, then the text's hash, then
+position), and to the first with the same words up to the end of the next fingerprint. Matches are extended both ways: over the words up to the neighbouring fingerprints by a hash of
+these words, which joins matches of one source and one distance to runs; then from both ends of a run word
+by word, up to the first that differs, with the words that the source has there (`REACH` at most; a longer
+match meets the next fingerprint). Runs of `min_words` words or more are deleted: they are later repeats.
+
+A run is compared to these first positions only, so pairs of positions are never made; a passage whose
+fingerprints all have shorter matches elsewhere, before its own first copy, may stay. Fingerprints with over
+a thousandth of all positions are joined by broadcast, so none lands in one task. Texts are shuffled
+for the ends of runs (sources only) and for the deletion.
 
 Defined cases: a null text stays null and an empty one empty; a row with a null doc_id comes before all
-others; rows that agree in doc_id and text are one position, so neither is later than the other; blank
-lines go if both their neighbours go; a document may become empty, and its row stays; further columns
-pass through untouched.
+others; rows that agree in doc_id and text are one position, so neither is later than the other; a deleted
+run takes the white space behind it, but a line that keeps words before the run keeps its end; a document
+may become empty, and its row stays; an empty table gives no rows; further columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, packed
+from .components import with_hot_keys
 
 MIN_WORDS = 50
-DONE = "n_lines long, n_removed long, n_removed_words long, text string"
+#: words of a line
+WIDTH = 16
+#: words that a source gives on either side of a run
+REACH = 40
+WORD = re.compile("[^\x20\x09-\x0d]+")
+DONE = "n_words long, n_lines long, n_removed long, n_removed_words long, text string"
+#: an odd multiplier, and its inverse modulo 2^64, for hashes of runs of words
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of BASE and INVERSE; kept and doubled as needed."""
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((BASE, INVERSE)):
+            steps = np.full(max(n, 2 * len(_POWERS[k])), x, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def lines_of(text: str) -> tuple[list[str], list[int], list[bytes], np.ndarray]:
-    """All lines, the indexes of those with words, their normal forms and numbers of words."""
-    lines = text.split("\n")
-    words = [x.split() for x in lines]
-    at = [i for i, w in enumerate(words) if w]
-    return lines, at, [" ".join(words[i]).encode() for i in at], np.array([len(words[i]) for i in at], dtype=np.int64)
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words of each run, by their content alone."""
+    power, inverse = _powers(len(words) + 1)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mixed(words + np.uint64(1)) * power[: len(words)], dtype=np.uint64)])
+    x = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+    return x ^ (x >> np.uint64(32))
 
 
-def windows(sizes: np.ndarray, least: int) -> np.ndarray:
-    """The shortest runs (first, last) of `least` words or more, from each line forwards and backwards."""
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    if not len(sizes) or ends[-1] < least:
-        return np.zeros((0, 2), dtype=np.int64)
-    i = np.flatnonzero(ends[-1] - starts >= least)
-    forwards = np.stack([i, np.searchsorted(ends, starts[i] + least)], axis=1)
-    j = np.flatnonzero(ends >= least)
-    backwards = np.stack([np.searchsorted(starts, ends[j] - least, side="right") - 1, j], axis=1)
-    return np.unique(np.concatenate([forwards, backwards]), axis=0)
+def selected(lines: np.ndarray, window: int) -> np.ndarray:
+    """Positions that are the least of some window; the first of equals, but one for each window of a row of equals."""
+    n = len(lines)
+    key = (lines & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    size = 1
+    low = key
+    while 2 * size <= window:
+        low = np.minimum(low[: len(low) - size], low[size:])
+        size *= 2
+    low = np.minimum(low[: n - window + 1], low[window - size : window - size + n - window + 1])
+    at = np.unique((low & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    equal = lines[at[1:]] == lines[at[:-1]]
+    if not (equal[1:] & equal[:-1]).any():
+        return at
+    keep, last = np.ones(len(at), dtype=bool), at[0]
+    for k in range(1, len(at) - 1):
+        if equal[k - 1] and equal[k] and at[k + 1] - last <= window:
+            keep[k] = False
+        else:
+            last = at[k]
+    return at[keep]
 
 
-def _windows(least: int):
+def fingerprints(text: str, least: int) -> tuple[np.ndarray, ...] | None:
+    """fp, pos, back, before, on, after: each fingerprint and its place, the number and hash of the words between it and
+    the one before it (or the start), and of those behind it up to the end of the next (or of the text)."""
+    words = word_hashes(text.encode("utf-8", "surrogatepass").split())
+    n, window = len(words), least - WIDTH + 1
+    if n < least:
+        return None
+    starts = np.arange(n - WIDTH + 1)
+    lines = _mixed(run_hashes(words, starts, starts + WIDTH))
+    at = selected(lines, window)
+    left, right = np.concatenate([[0], at[:-1]]), np.concatenate([at[1:] + WIDTH, [n]])
+    ends = at + WIDTH
+    right = np.maximum(right, ends)
+    return lines[at], at, at - left, run_hashes(words, left, at), right - ends, run_hashes(words, ends, right)
+
+
+FOUND = ("fp", "pos", "back", "before", "on", "after")
+
+
+def _fingerprints(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest, wide = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
         for b in batches:
-            out = []
+            ids, tags, columns, counts = [], [], [], []
             for doc_id, tag, text in zip(b["doc_id"], b["tag"], b["text"], strict=True):
-                if not text:
-                    continue
-                _, _, norms, sizes = lines_of(text)
-                found = windows(sizes, least)
-                if not len(found):
-                    continue
-                hashes = np.array([digest(x) for x in norms], dtype=np.uint64)
-                seen = set()
-                for s, e in found.tolist():
-                    own = hashes[s : e + 1]
-                    p = s if s == e else e - int(np.argmin(own[::-1]))
-                    out.append((doc_id, tag, int(hashes[p].view(np.int64)), 0 if p in seen else 1, wide(own.tobytes()), s, e))
-                    seen.add(p)
-            yield pd.DataFrame(out, columns=["doc_id", "tag", "fp", "fresh", "win", "s", "e"])
+                if text and len(text) >= 2 * least - 1 and (found := fingerprints(text, least)) is not None:
+                    ids.append(doc_id)
+                    tags.append(tag)
+                    counts.append(len(found[0]))
+                    columns.append(found)
+            if not ids:
+                continue
+            out = {"doc_id": pd.Series(ids, dtype=b["doc_id"].dtype).repeat(counts).to_numpy(), "tag": np.repeat(np.array(tags, dtype=np.int64), counts)}
+            for name, parts in zip(FOUND, zip(*columns, strict=True), strict=True):
+                x = np.concatenate(parts)
+                out[name] = x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int32)
+            yield pd.DataFrame(out)
 
     return run
 
 
+def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each asked place the hashes of the words before it (at < 0: place -at-1) or from it on, nearest first."""
+    for b in batches:
+        out = []
+        for doc_id, tag, text, asked in zip(b["doc_id"], b["tag"], b["text"], b["asked"], strict=True):
+            words = word_hashes(text.encode("utf-8", "surrogatepass").split()).astype("<u4")
+            for at in asked.tolist():
+                near = words[max(0, -at - 1 - REACH) : -at - 1][::-1] if at < 0 else words[at : at + REACH]
+                out.append((doc_id, tag, at, near.tobytes()))
+        yield pd.DataFrame(out, columns=["s_id", "s_tag", "asked", "near"]).astype({"s_id": b["doc_id"].dtype})
+
+
+def _same(a: str, b: str, tag_a: str, tag_b: str):
+    return F.col(a).eqNullSafe(F.col(b)) & (F.col(tag_a) == F.col(tag_b))
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, tag (hash of the text) and spans: the runs (first, last) of lines with words that go."""
+    """doc_id, tag (hash of the text) and runs: (s, e, left, right), the words s to e that an earlier place says too,
+    and the hashes of the words that this place has before and behind them, nearest first (null at an end of the text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    found = checkpointed(texts.mapInPandas(_windows(min_words), f"doc_id {kind}, tag long, fp long, fresh long, win binary, s int, e int"))
-    repeated = found.groupBy("fp").agg(F.sum("fresh").alias("n")).where("n > 1").select("fp")
-    place = F.struct("doc_id", "tag", "s")
-    near = checkpointed(found.join(repeated, "fp", "left_semi").select("win", "doc_id", "tag", "s", "e"))
-    first = near.groupBy("win").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("win", "first")
-    later = near.join(first, "win").where(place > F.col("first")).select("doc_id", "tag", "s", "e")
-    return later.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-
-
-def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    out = []
-    for text, runs in zip(texts, spans, strict=True):
-        if not text:
-            out.append((0, 0, 0, text))
-            continue
-        if runs is None or not len(runs):
-            out.append((sum(1 for x in text.split("\n") if x.split()), 0, 0, text))
-            continue
-        lines, at, _, sizes = lines_of(text)
-        gone = np.zeros(len(at), dtype=bool)
-        for r in runs:
-            gone[r["s"] : r["e"] + 1] = True
-        drop, last = set(), None
-        for k, i in enumerate(at):
-            if gone[k]:
-                drop.add(i)
-                if last is not None and gone[k - 1]:
-                    drop.update(range(last, i))
-            last = i
-        out.append((len(at), int(gone.sum()), int(sizes[gone].sum()), "\n".join([x for i, x in enumerate(lines) if i not in drop])))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in DONE.split(", ")])
+    columns = f"doc_id {kind}, tag long, fp long, pos int, back int, before long, on int, after long"
+    found = checkpointed(texts.mapInPandas(_fingerprints(min_words), columns))
+    place = F.struct("doc_id", "tag", "pos", "back", "before", "on", "after")
+
+    def first(by: str) -> DataFrame:
+        """All places with the first one of their kind."""
+        rows = found.select("doc_id", "tag", "pos", "back", "before", "on", "after", F.col("fp") if by == "fp" else F.xxhash64("fp", "on", "after").alias("both"))
+        least = checkpointed(rows.groupBy(by).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+        return with_hot_keys(rows, least, by, "inner", "n").drop(by)
+
+    later = first("fp").unionByName(first("both")).where(F.struct("doc_id", "tag", "pos") > F.struct("first.doc_id", "first.tag", "first.pos"))
+    back = F.when((F.col("before") == F.col("first.before")) & (F.col("back") == F.col("first.back")), F.col("back")).otherwise(0)
+    on = F.when((F.col("after") == F.col("first.after")) & (F.col("on") == F.col("first.on")), F.col("on")).otherwise(0)
+    s, e = F.col("pos") - back, F.col("pos") + WIDTH + on
+    spans = later.select("doc_id", "tag", F.col("first.doc_id").alias("s_id"), F.col("first.tag").alias("s_tag"), (F.col("pos") - F.col("first.pos")).alias("far"), s.alias("s"), e.alias("e"))
+    # runs: what touches or overlaps, of one document, source and distance; a document's own number of spans bounds a group
+    group = "partition by doc_id, tag, s_id, s_tag, far"
+    reach = spans.withColumn("upto", F.expr(f"max(e) over ({group} order by s, e rows between unbounded preceding and 1 preceding)"))
+    numbered = reach.withColumn("run", F.expr(f"sum(case when s <= upto then 0 else 1 end) over ({group} order by s, e rows between unbounded preceding and current row)"))
+    runs = checkpointed(numbered.groupBy("doc_id", "tag", "s_id", "s_tag", "far", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")))
+    ends = F.array(F.col("far") - F.col("s") - 1, F.col("e") - F.col("far"))
+    asked = runs.select("s_id", "s_tag", F.explode(ends).alias("asked")).distinct().groupBy("s_id", "s_tag").agg(F.collect_list("asked").alias("asked"))
+    near = texts.join(asked, _same("doc_id", "s_id", "tag", "s_tag")).select("doc_id", "tag", "text", "asked")
+    near = checkpointed(near.mapInPandas(_contexts, f"s_id {kind}, s_tag long, asked int, near binary").dropDuplicates(["s_id", "s_tag", "asked"]))
+
+    def side(at, name: str) -> DataFrame:
+        return near.select(F.col("s_id").alias(f"{name}_id"), F.col("s_tag").alias(f"{name}_tag"), F.col("asked").alias(at), F.col("near").alias(name))
+
+    both = runs.withColumns({"l_at": F.col("far") - F.col("s") - 1, "r_at": F.col("e") - F.col("far")})
+    for at, name in (("l_at", "left"), ("r_at", "right")):
+        both = both.join(side(at, name).withColumnRenamed(at, f"{at}_"), _same("s_id", f"{name}_id", "s_tag", f"{name}_tag") & (F.col(at) == F.col(f"{at}_")), "left")
+    return both.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("s", "e", "left", "right")).alias("runs"))
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def deleted(words: np.ndarray, runs, least: int) -> np.ndarray:
+    """Which words go: those of the runs that have `least` words once they are extended both ways."""
+    change = np.zeros(len(words) + 1, dtype=np.int64)
+    for r in runs:
+        s, e = r["s"], r["e"]
+        if r["left"] is not None:
+            s -= common(words[max(0, s - REACH) : s][::-1], np.frombuffer(r["left"], dtype="<u4"))
+        if r["right"] is not None:
+            e += common(words[e : e + REACH], np.frombuffer(r["right"], dtype="<u4"))
+        if e - s >= least:
+            change[s] += 1
+            change[e] -= 1
+    return np.cumsum(change[:-1]) > 0
+
+
+def without(text: str, gone: np.ndarray) -> str:
+    """The text without the words marked in `gone`."""
+    places = [m.span() for m in WORD.finditer(text)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    out, at = [], 0
+    for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        lo, hi = places[i][0], places[j][0] if j < len(places) else len(text)
+        begins = not text[text.rfind("\n", 0, lo) + 1 : lo].strip()
+        out.append(text[at:lo] if j < len(places) else text[at:lo].rstrip(" \t\n\r\x0b\x0c"))
+        if not begins and j < len(places) and "\n" in text[lo:hi]:
+            out[-1] = out[-1].rstrip(" ") + "\n"
+        at = hi
+    return "".join(out) + text[at:]
+
+
+def _without(least: int):
+    def run(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, runs in zip(texts, spans, strict=True):
+            if not text:
+                out.append((0, 0, 0, 0, text))
+                continue
+            words = text.encode("utf-8", "surrogatepass").split()
+            n_lines = sum(1 for x in text.split("\n") if x.strip(" \t\r\x0b\x0c"))
+            gone = None if runs is None or not len(runs) else deleted(word_hashes(words).astype("<u4"), runs, least)
+            left = text if gone is None or not gone.any() else without(text, gone)
+            lost = n_lines - sum(1 for x in left.split("\n") if x.strip(" \t\r\x0b\x0c")) if left is not text else 0
+            out.append((len(words), n_lines, lost, 0 if gone is None else int(gone.sum()), left))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in DONE.split(", ")])
+
+    return F.pandas_udf(run, DONE)
 
 
 def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
-    spans = repeated_runs(docs, min_words).select(F.col("doc_id").alias("at_id"), F.col("tag").alias("at_tag"), "spans")
-    rows = packed(docs).withColumn("tag", F.xxhash64("row.text"))
-    own = F.col("row.doc_id").eqNullSafe(F.col("at_id")) & (F.col("tag") == F.col("at_tag"))
-    return rows.join(spans.hint("shuffle_hash"), own, "left").select("row", F.pandas_udf(DONE)(_without)("row.text", "spans").alias("done"))
+    runs = repeated_runs(docs, min_words).select(F.col("doc_id").alias("at_id"), F.col("tag").alias("at_tag"), "runs")
+    rows = packed(docs).withColumns({"own_id": F.col("row.doc_id"), "own_tag": F.xxhash64("row.text")})
+    return rows.join(runs, _same("own_id", "at_id", "own_tag", "at_tag"), "left").select("row", _without(min_words)("row.text", "runs").alias("done"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_removed_words and the text that is left, for every document."""
+    """doc_id, n_words, n_lines, n_removed (lines), n_removed_words and the text that is left, for every document."""
     return _deduped(docs.select("doc_id", "text"), min_words).select("row.doc_id", "done.*")
 
 
