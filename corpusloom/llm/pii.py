@@ -3,7 +3,8 @@
 Base: e-mail addresses, IP addresses, card numbers and phone numbers, by fixed patterns, leftmost and
 without overlap for each kind; matches that fail their check are dropped and not tried again.
 
-Method: every value found is a protected entity. The corpus tells how much a term t reveals of an
+Method: every value found is a protected entity, and so is what several values have in common: the domain of
+e-mail addresses, the network of IP addresses, the issuer of cards, the area of phone numbers. The corpus tells how much a term t reveals of an
 entity e: the pointwise mutual information of t and e as a share of e's information content,
 log2(p(e,t) / (p(e) p(t))) / -log2 p(e), with the probabilities estimated by rows that hold them. A term
 whose share reaches `threshold`, in at least `support` different texts that hold the entity, is a
@@ -11,12 +12,16 @@ disclosure: wherever it stands in a text with that entity it is a span of kind `
 nearly all (`remove` or more) are removed by `sanitised`, others are generalised to their class; the
 base kinds are replaced by their names.
 
-Entities in fewer than `support` different texts give no estimate and add no term. All counts cover the
-whole corpus. Only texts that hold a disclosed entity are looked at again; they are joined by the text's
+Of an entity in fewer than `support` different texts co-occurrence says nothing for itself: every rare word of
+its text would reveal it. Its domain, network, issuer or area is counted instead, and of an e-mail address
+also the terms of the text that its name part spells out, which need no support; common words among these
+fall short of the threshold. All counts cover the whole corpus. Only texts that hold a disclosed entity are looked at again; they are joined by the text's
 hash, so copies share one answer.
 
 Defined cases: a null text is empty (and stays null in `sanitised`); repeated rows count as rows; ties do
-not arise, as thresholds decide each term for itself; further columns pass through `sanitised` untouched.
+not arise, as thresholds decide each term for itself; an empty table gives no rows; further columns pass
+through `sanitised` untouched. Folds over spans work block by block, so long texts with many spans take
+little more than linear time.
 """
 
 from __future__ import annotations
@@ -88,6 +93,18 @@ def _may_hold(kind: str, text: Column) -> Column:
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """An array in blocks of about the root of its length, so that a fold over each copies little."""
+    size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(items)))).cast("int")
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(items, i, size))
+
+
 def _found(kind: str, pattern: str, text: Column, keep) -> Column:
     """Spans of the matches that `keep` accepts, in order; start and end count code points.
 
@@ -95,7 +112,6 @@ def _found(kind: str, pattern: str, text: Column, keep) -> Column:
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("m"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -103,7 +119,39 @@ def _found(kind: str, pattern: str, text: Column, keep) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["m"].alias("value"))
         return F.struct(end.alias("at"), F.when(keep(x["m"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, empty, step)["out"]
+    def block(acc: Column, items: Column) -> Column:
+        got = F.aggregate(items, F.struct(acc["at"].alias("at"), F.array().cast(SPAN).alias("out")), step)
+        return _let(got, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.flatten(_let(pairs, lambda p: F.aggregate(_blocks(p), empty, block))["out"])
+
+
+def _spliced(text: Column, spans: Column, value) -> Column:
+    """The text with value(span, at) in the place of each span; spans are in order, `at` is where the last one ended.
+
+    What a span shares with those before it is not written again. Each block of spans works on its own part of the text.
+    """
+
+    def block(acc: Column, items: Column) -> Column:
+        upto = F.aggregate(items, acc["at"], lambda at, x: F.greatest(at, x["end"]))
+
+        def within(end: Column) -> Column:
+            part = F.substring(text, acc["at"] + 1, end - acc["at"])
+
+            start = F.struct(acc["at"].alias("at"), F.lit("").alias("out"))
+            done = _let(part, lambda part: F.aggregate(items, start, lambda a, x: step_on(part, a, x)))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out"))
+
+        def step_on(part: Column, a: Column, x: Column) -> Column:
+            gap = F.substring(part, a["at"] - acc["at"] + 1, F.greatest(F.lit(0), x["start"] - a["at"]))
+            return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], gap, value(x, a["at"])).alias("out"))
+
+        return _let(upto, within)
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    done = _let(spans, lambda x: F.aggregate(_blocks(x), empty, block))
+    return _let(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, F.length(text))))
 
 
 def base_spans(text: Column) -> Column:
@@ -135,28 +183,45 @@ def _share(n_et: str, n_e: str, n_t: Column, total: float) -> Column:
     return F.when(content <= 0, 0.0).otherwise(F.log2(F.col(n_et) * total / (F.col(n_e) * n_t)) / content)
 
 
+def _pools(e: Column) -> Column:
+    """What an entity has in common with others: a domain, a network, an issuer or an area, and itself."""
+    pools = [
+        F.concat(F.lit("domain:"), F.regexp_extract(e, "^email:[^@]*@(.*)$", 1)),
+        F.concat(F.lit("network:"), F.regexp_extract(e, r"^ip:([0-9]+\.[0-9]+)\.", 1)),
+        F.concat(F.lit("issuer:"), F.regexp_extract(e, "^card:([0-9]{6})", 1)),
+        F.concat(F.lit("area:"), F.regexp_extract(e, "^phone:([0-9]{4})", 1)),
+    ]
+    return F.filter(F.array(e, *pools), lambda p: ~p.rlike(":$"))
+
+
+def _name_parts(e: Column) -> Column:
+    """The words that an e-mail address spells out before its @ sign."""
+    return F.array_distinct(F.filter(F.split(F.regexp_extract(e, "^email:([^@]*)@", 1), r"[^\p{L}]+"), lambda p: F.length(p) >= 3))
+
+
 def disclosures(docs: DataFrame, base: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
     """tag, len and terms (term, share) of the texts that hold a disclosed entity; None if there are none.
 
     `base` comes from `with_base(docs)`. The share given is the largest over the text's entities.
     """
-    held = base.where(F.size("base") > 0).select("tag", "len", F.explode(F.array_distinct(F.transform("base", _entity))).alias("e"))
+    entities = F.array_distinct(F.transform("base", _entity))
+    held = base.where(F.size("base") > 0).select("tag", "len", F.explode(F.array_distinct(F.flatten(F.transform(entities, _pools)))).alias("e"))
     by_text = held.groupBy("e", "tag", "len").agg(F.count("*").alias("rows"))
-    known = by_text.groupBy("e").agg(F.sum("rows").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).select("e", "n_e")
-    where = checkpointed(by_text.join(known, "e"))
+    known = by_text.groupBy("e").agg(F.sum("rows").alias("n_e"), F.count("*").alias("texts"))
+    where = checkpointed(by_text.join(known, "e").where((F.col("texts") >= support) | F.col("e").startswith("email:")))
     if where.isEmpty():
         return None
     tags = where.select("tag", "len").distinct()
     texts = docs.select(*_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     # only texts with base data can be among them; one row of each
     near = texts.where(reduce(lambda a, b: a | b, [_may_hold(k, F.col("text")) for k in KINDS])).join(tags, ["tag", "len"], "left_semi")
-    terms = near.select("tag", "len", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("t")).distinct()
-    pairs = (
-        where.join(terms, ["tag", "len"])
-        .groupBy("e", "t")
-        .agg(F.sum("rows").alias("n_et"), F.count("*").alias("texts"), F.first("n_e").alias("n_e"))
-        .where(F.col("texts") >= support)
-    )
+    terms = checkpointed(near.select("tag", "len", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("t")).distinct())
+    sums = [F.sum("rows").alias("n_et"), F.count("*").alias("texts"), F.first("n_e").alias("n_e")]
+    often = where.where(F.col("texts") >= support).drop("texts").join(terms, ["tag", "len"]).groupBy("e", "t").agg(*sums).where(F.col("texts") >= support)
+    # a term that the address itself spells out needs no further support
+    spelled = where.select("e", "tag", "len", "rows", "n_e", F.explode(_name_parts(F.col("e"))).alias("part"))
+    spelled = spelled.join(terms.withColumn("part", F.lower("t")), ["tag", "len", "part"]).groupBy("e", "t").agg(*sums)
+    pairs = often.unionByName(spelled).groupBy("e", "t").agg(F.max("n_et").alias("n_et"), F.max("n_e").alias("n_e"))
     total = float(base.count())
     # n_t is at least the number of these texts that hold t; with that bound in its place the share is at least
     # the true one, so what falls short of the threshold (frequent words do) needs no count over the corpus
@@ -173,20 +238,16 @@ def disclosures(docs: DataFrame, base: DataFrame, support: int = SUPPORT, thresh
     n_t = every.groupBy("t").agg(F.count("*").alias("n_t"))
     share = _share("n_et", "n_e", F.col("n_t"), total)
     revealing = pairs.join(n_t, "t").select("e", "t", share.alias("share")).where(F.col("share") >= threshold)
-    return (
-        where.select("e", "tag", "len")
-        .join(revealing, "e")
-        .groupBy("tag", "len", "t")
-        .agg(F.max("share").alias("share"))
-        .groupBy("tag", "len")
-        .agg(F.map_from_entries(F.collect_list(F.struct("t", "share"))).alias("terms"))
-    )
+    found = where.select("e", "tag", "len").join(revealing, "e").join(terms, ["tag", "len", "t"])
+    return found.groupBy("tag", "len", "t").agg(F.max("share").alias("share")).groupBy("tag", "len").agg(F.map_from_entries(F.collect_list(F.struct("t", "share"))).alias("terms"))
 
 
 def _term_spans(text: Column, terms: Column, base: Column, remove: float) -> Column:
-    found = _found("term", TERM, text, lambda m: F.map_contains_key(terms, m))
-    free = F.filter(found, lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
-    return F.transform(free, lambda s: s.withField("value", F.when(terms[s["value"]] >= remove, "").otherwise(F.when(s["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]"))))
+    """Spans of the terms outside the base spans, which are blanked before terms are looked for."""
+    order = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    free = _spliced(text, order, lambda s, at: F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(s["start"], at))))
+    found = _found("term", TERM, free, lambda m: F.map_contains_key(terms, m))
+    return F.transform(found, lambda s: s.withField("value", F.when(terms[s["value"]] >= remove, "").otherwise(F.when(s["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]"))))
 
 
 def added_spans(docs: DataFrame, base: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD, remove: float = REMOVE) -> DataFrame | None:
@@ -233,13 +294,5 @@ def sanitised(docs: DataFrame, support: int = SUPPORT, threshold: float = THRESH
     text = F.col("row.text")
     named = F.transform(base_spans(text), lambda s: s.withField("value", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
     order = F.array_sort(F.transform(F.concat(named, "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["value"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(order, start, step)
-    clean = F.when(F.size(order) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    clean = F.when(F.size(order) == 0, text).otherwise(_spliced(text, order, lambda s, at: F.when(s["start"] >= at, s["value"]).otherwise("")))
     return rows.select(*[clean.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
