@@ -1,13 +1,14 @@
 """Operator 1: byte-level BPE encoding and decoding.
 
-Merge ranks are compiled into a finite-state transducer. Its states are tokens (the last one written),
-and an arc leads from one token to the next if merging keeps the two side by side; BPE sequences are
-exactly the paths of this machine, and just one path spells a given piece. Arcs are found out when a
-piece first needs them, and kept. The machine is determinised as it runs: from a state it takes the
-longest arc, looks ahead, and turns back from positions known to be dead, so a token is final as soon
-as no shorter start is open; no token is longer than the longest in the table, which bounds the look
-ahead. What the determinised machine writes for a whole chunk between white space is kept as one arc
-too. All tables have fixed bounds.
+Merge ranks are compiled into a finite-state transducer that reads bytes and writes tokens. BPE encodes every
+prefix of a piece in just one way, and two tokens may stand side by side just if merging them alone leaves
+them apart; so the encoding of a prefix is that of a shorter one and one more token. The nondeterministic
+machine has a branch for each prefix that a token may still go on from: the path of that token in the tree of
+all tokens, and the tokens of the prefix. The machine is determinised as it runs: a state is the set of live
+branches, and what a byte does in a state is worked out when it is first met, and kept. Tokens that all
+branches agree on are written and leave the state. No branch is older than the longest token, so tokens come
+out after a bounded look-ahead, and memory does not depend on the length of the piece. What the machine writes
+for a whole chunk between white space is kept as one step too. All tables have fixed bounds.
 
 Decoding walks the ids with an incremental UTF-8 state machine, so text comes out in whole code
 points however the ids are cut into chunks.
@@ -34,7 +35,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 #: Bounds of the tables, in entries; full tables are emptied and fill again.
-MAX_PAIRS, MAX_CHUNKS = 600_000, 400_000
+MAX_PAIRS, MAX_STEPS, MAX_CHUNKS = 600_000, 500_000, 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,13 +57,19 @@ class Transducer:
         self.tokens = {v: k for k, v in ranks.items()}
         self.base = 1 + max(ranks.values(), default=0)
         self.arcs: dict[int, bool] = {}
-        #: a tree of the tokens' bytes; a node's token is under None
-        self.tree: dict = {}
+        #: a tree of the tokens' bytes: the children of each node, and the token that ends there
+        self.next: list[dict[int, int]] = [{}]
+        self.ends: list[int | None] = [None]
         for t, rank in ranks.items():
-            node = self.tree
+            node = 0
             for byte in t:
-                node = node.setdefault(byte, {})
-            node[None] = rank
+                if byte not in self.next[node]:
+                    self.next[node][byte] = len(self.next)
+                    self.next.append({})
+                    self.ends.append(None)
+                node = self.next[node][byte]
+            self.ends[node] = rank
+        self._start()
 
     def merged(self, piece: bytes) -> list[int]:
         """Merging by rank, straight from the definition; for pairs of tokens only."""
@@ -90,38 +97,83 @@ class Transducer:
         known = self.arcs[key] = self.merged(b"".join([self.tokens[t] for t in want])) == want
         return known
 
+    def _start(self) -> None:
+        """Empty tables with the state before the first byte: no token to the left, one branch at the root of the tree."""
+        self.states: list[tuple[tuple, tuple]] = []
+        self.numbers: dict[tuple, int] = {}
+        self.steps: dict[int, tuple[int, bytes]] = {}
+        self.moves: dict[tuple, tuple] = {}
+        self._number(((0, -1),), ((),))
+
+    def _number(self, shape: tuple, held: tuple) -> int:
+        state = shape, held
+        known = self.numbers.setdefault(state, len(self.states))
+        if known == len(self.states):
+            self.states.append(state)
+        return known
+
+    def move(self, shape: tuple, byte: int) -> tuple:
+        """What a byte does to branches (node, last token): those that go on, with their new node, and which one ends with what token."""
+        kept, ends = [], None
+        for i, (node, last) in enumerate(shape):
+            node = self.next[node].get(byte)
+            if node is None:
+                continue
+            t = self.ends[node]
+            if t is not None and ends is None:
+                key = (last + 1) * self.base + t
+                known = self.arcs.get(key)
+                if known or known is None and self.arc(key, last, t):
+                    ends = i, t
+            if self.next[node]:
+                kept.append((i, (node, last)))
+        found = self.moves[shape, byte] = tuple([i for i, _ in kept]), (*[x for _, x in kept], (0, ends[1])), *ends
+        return found
+
+    def step(self, number: int, byte: int) -> tuple[int, bytes]:
+        """The next state and the tokens that are certain by then; worked out and kept."""
+        if len(self.steps) >= MAX_STEPS:
+            state = self.states[number]
+            self._start()
+            number = self._number(*state)
+        shape, held = self.states[number]
+        kept, nxt, parent, token = self.moves.get((shape, byte)) or self.move(shape, byte)
+        whole = (*held[parent], token)
+        if not kept:  # one branch is left, so all its tokens are certain
+            sure, after = len(whole), ((),)
+        else:
+            after = (*[held[i] for i in kept], whole)
+            low, high, sure = min(after), max(after), 0
+            while sure < len(low) and low[sure] == high[sure]:
+                sure += 1
+            if sure:
+                after = tuple([h[sure:] for h in after])
+        found = self.steps[number << 8 | byte] = self._number(nxt, after), _bytes(whole[:sure]) if sure else b""
+        return found
+
+    def feed(self, state: int, part: bytes) -> tuple[int, list[bytes]]:
+        """The state behind `part`, and the ids that are certain by then; a piece may come in any number of parts."""
+        steps, out = self.steps, []
+        for byte in part:
+            known = steps.get(state << 8 | byte)
+            if known is None:
+                known = self.step(state, byte)
+                steps = self.steps
+            state = known[0]
+            if known[1]:
+                out.append(known[1])
+        return state, out
+
+    def close(self, state: int) -> bytes:
+        """The ids left at the end of a piece: those of the branch that has just ended."""
+        return _bytes(self.states[state][1][-1])
+
     def piece(self, piece: bytes) -> bytes:
         """The ids of one pretoken."""
-        ranks, arcs, base = self.ranks, self.arcs, self.base
-        if self.whole and (whole := ranks.get(piece)) is not None:
-            return whole.to_bytes(4, "little")
-        n, at, left, out, ends, open_, dead = len(piece), 0, -1, [], [0], [], set()
-        while at < n:
-            if len(open_) < len(ends):  # new here: the tokens that start here, shortest first
-                node, found, i = self.tree, [], at
-                while i < n and (node := node.get(piece[i])) is not None:
-                    i += 1
-                    if (t := node.get(None)) is not None:
-                        found.append((i, t))
-                open_.append(found)
-            found = open_[-1]
-            while found:
-                end, t = found.pop()
-                if end not in dead:
-                    key = (left + 1) * base + t
-                    known = arcs.get(key)
-                    if known or known is None and self.arc(key, left, t):
-                        out.append(t)
-                        ends.append(end)
-                        at, left = end, t
-                        break
-            else:  # no arc goes on from here: turn back
-                dead.add(at)
-                open_.pop()
-                ends.pop()
-                out.pop()
-                at, left = ends[-1], out[-1] if out else -1
-        return _bytes(out)
+        if self.whole and (known := self.ranks.get(piece)) is not None:
+            return known.to_bytes(4, "little")
+        state, out = self.feed(0, piece)
+        return b"".join(out) + self.close(state)
 
 
 class Encoder(dict):
