@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -64,6 +65,21 @@ def test_bpe_equals_the_library_and_decodes(spark, docs, rows):
     assert decoder.feed([RANKS and encoder.transducer.ranks[b"\xc3"]]) == "" and decoder.close() == "�"
 
 
+def test_transducer_writes_before_the_piece_ends():
+    tiktoken = pytest.importorskip("tiktoken")
+    library = tiktoken.Encoding("t", pat_str="[^ ]+", mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    machine = bpe.tokenizer(RANKS, P.PATTERN)[0].transducer
+    r = random.Random(2)
+    text = "".join(r.choice("abcdefgheeeéß7") for _ in range(60_000))
+    raw, state, out, held = text.encode(), 0, [], 0
+    for at in range(0, len(raw), 777):
+        state, got = machine.feed(state, raw[at : at + 777])
+        out += got
+        held = max(held, *[sum(len(machine.tokens[t]) for t in h) for h in machine.states[state][1]])
+    assert np.frombuffer(b"".join(out) + machine.close(state), dtype="<u4").tolist() == library.encode_ordinary(text)
+    assert held <= 2 * max(map(len, machine.ranks))  # what is not written yet has a bound of its own
+
+
 def test_quality_base_rules_and_verdict(docs, labels, rows):
     def base(t):
         w = re.findall("[^\x20\x09-\x0d]+", t or "")
@@ -99,7 +115,22 @@ def test_a_few_toxic_words_reject_a_long_document(spark):
     assert quality.quality_rules(docs, torn).where("not kept").isEmpty()
 
 
-def test_line_dedup_against_brute_force(docs, rows):
+def repeated(texts, least=50):
+    """Words in runs of `least` words that occur at an earlier place, by definition."""
+    seen, out = {}, {}
+    for d, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0)):
+        words = (t or "").split()
+        gone = [False] * len(words)
+        for p in range(len(words) - least + 1):
+            run = tuple(words[p : p + least])
+            if run in seen:
+                gone[p : p + least] = [True] * least
+            seen.setdefault(run, (d, p))
+        out[d] = [w for w, g in zip(words, gone, strict=True) if not g]
+    return out
+
+
+def test_line_dedup_of_whole_lines(docs, rows):
     got = [(r["doc_id"], r["n_removed"], r["text"]) for r in linededup.line_dedup(docs).collect()]
     assert (1, 1, "") in got and (0, 0, prose(1, 400)) in got and (4, 0, None) in got and (5, 0, "") in got
     assert sorted(g for g in got if g[0] == 9) == [(9, 1, prose(6, 60) + "\nshort tail")] * 2 and len(got) == len(rows)
@@ -107,23 +138,43 @@ def test_line_dedup_against_brute_force(docs, rows):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_repeated_runs_of_short_lines(spark, seed):
+def test_passages_go_wherever_they_begin_and_end(spark, seed):
+    """Passages of which each document holds at most one copy: exactly what the definition says goes."""
     r = random.Random(seed)
-    lines = [prose(i, r.randint(1, 30)) for i in range(12)]
-    texts = [(d, "\n".join(r.choice(lines) for _ in range(r.randint(0, 25)))) for d in range(25)]
-    got = {x["doc_id"]: x["n_removed"] for x in linededup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    seen: dict = {}
-    for d, t in texts:  # every run of 50 words or more, from every start
-        ls = [x for x in t.split("\n") if x]
-        for i, j in itertools.combinations(range(len(ls) + 1), 2):
-            if sum(len(x.split()) for x in ls[i:j]) >= 50:
-                seen.setdefault(tuple(ls[i:j]), []).append((d, xxhash.xxh64_intdigest(b""), i, j))
-    gone = {d: set() for d, _ in texts}
-    for places in seen.values():
-        for d, _, i, j in places:
-            if (d, i) > (places[0][0], places[0][2]):
-                gone[d].update(range(i, j))
-    assert got == {d: len(g) for d, g in gone.items()}
+
+    def fresh(n):
+        return [f"w{r.randrange(10**6)}" for _ in range(n)]
+
+    passages = [fresh(r.randint(40, 140)) for _ in range(6)]
+    texts = []
+    for d in range(40):
+        words = fresh(r.randint(0, 80))
+        for k in r.sample(range(6), 2):
+            words += passages[k] + fresh(r.randint(1, 60))
+        texts.append((d, "".join(w + r.choice(["  ", " ", " ", "\n"]) for w in words)))
+    texts += [(40, texts[3][1]), (41, None), (42, ""), (None, texts[5][1]), (43, " ".join(fresh(20_000) + passages[0]))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["text"] or "").split() for x in linededup.line_dedup(df).collect()}
+    assert got == repeated(texts)
+
+
+def test_mixed_sources_lose_no_word_that_is_not_repeated(spark):
+    r = random.Random(8)
+    base = [[f"w{r.randrange(3000)}" for _ in range(r.randint(30, 300))] for _ in range(8)]
+    texts = [(d, " ".join(sum((x[(i := r.randrange(len(x))) : i + 150] for x in r.sample(base, 3)), []))) for d in range(40)] + [(40, "1 " * 4000), (41, "a b " * 900)]
+    got = {x["doc_id"]: x["n_words"] - x["n_removed_words"] for x in linededup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = {d: len(w) for d, w in repeated(texts).items()}
+    total = sum(len(t.split()) for _, t in texts) - sum(want.values())
+    assert all(got[d] >= want[d] for d in want) and sum(got.values()) - sum(want.values()) <= 0.05 * total
+
+
+def test_selected_lines_meet_every_window():
+    r = np.random.default_rng(1)
+    lines = r.integers(0, 1 << 63, 500, dtype=np.uint64)
+    at = linededup.selected(lines, 35)
+    assert all(((at >= s) & (at < s + 35)).any() and s + int(np.argmin(lines[s : s + 35])) in at for s in range(466))
+    at = linededup.selected(np.zeros(500, dtype=np.uint64), 35)
+    assert np.diff(at).max() <= 35 and len(at) < 40
 
 
 def test_simhash_against_brute_force(docs, rows):
@@ -144,8 +195,15 @@ def test_simhash_against_brute_force(docs, rows):
     got = simhash.near_duplicates(docs).collect()
     assert sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in got) == want
     kept = simhash.keep_one(docs)
-    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
-    assert kept.columns == docs.columns and sorted(map(str, ids)) == sorted({str(x) for x in low.values() if x is not None} | {"None"})
+    assert kept.columns == docs.columns and kept.count() == len(set(root))
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    t = {k: prose(100 + i, 90) for i, k in enumerate("ABCD")}
+    said = [(3, "A", 0), (5, "A", 0), (5, "B", 0), (7, "C", 0), (7, "D", 0), (7, "D", 0), (7, "D", 1), (None, "A", 0), (9, None, 0), (None, "", 0)]
+    df = spark.createDataFrame([(d, t.get(k, k), n) for d, k, n in said], "doc_id long, text string, tag int").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()), key=str)
+    assert got == sorted([(3, t["A"]), (5, t["B"]), (7, t["C"]), (7, t["D"]), (9, None)], key=str)
 
 
 def test_every_close_pair_shares_a_table():
@@ -216,24 +274,93 @@ def test_pii_spans_and_disclosing_terms(spark, docs, rows):
     assert pii.personal_data(docs).count() == len(rows)
 
 
+def test_pii_base_spans_against_brute_force(spark):
+    r = random.Random(4)
+    parts = ["a.b@c.de", "@", "x@y", "é", " ", "\n", "1.2.3.4", "256.1.1.1", "1.2.3", "4111111111111111", "4111 1111 1111 1112", "+1 (319) 555-5132", "+49", "-", ".", "7", "12", "word", "+", "a@b.c.d-e", "01.02.03.004"]
+    texts = [(i, "".join(r.choice(parts) for _ in range(14))) for i in range(400)]
+
+    def luhn(d):
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    def digits(m):
+        return re.sub("[^0-9]", "", m)
+
+    kinds = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+             ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15))
+    want = {i: ",".join(f"{k}:{m.start()}:{m.end()}" for k, p, ok in kinds for m in re.finditer(p, t) if ok(m[0])) for i, t in texts}
+    got = {x["doc_id"]: x for x in pii.personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {i: hashlib.sha256(w.encode()).hexdigest() for i, w in want.items()} == {i: x["base_sha256"] for i, x in got.items()}
+    assert all([x[f"n_{k}"] for k in pii.KINDS] == [want[i].count(k) for k in pii.KINDS] for i, x in got.items())
+
+
+def test_pii_terms_that_an_address_spells_out(spark):
+    told = [(i, prose(i, 30)) for i in range(60)] + [(60, f"{prose(61, 9)} ask Zorblax or Quimby the at zorblax.the@mail.com now"), (61, "")]
+    df = spark.createDataFrame(told, "doc_id long, text string")
+    found = pii.personal_data(df).where("n_term > 0").collect()
+    text = told[60][1]
+    assert [(x["doc_id"], x["n_term"]) for x in found] == [(60, 1)] and f"term:{text.index('Zorblax')}:{text.index('Zorblax') + 7}" in found[0]["spans"]
+    assert "Zorblax" not in pii.sanitised(df).where("doc_id = 60").first()["text"] and "Quimby" in pii.sanitised(df).where("doc_id = 60").first()["text"]
+
+
+def test_pii_of_very_many_spans(spark):
+    text = " ".join(f"é a{i}@b.org 1.2.3.{i % 256}" for i in range(6000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.sanitised(df).first()["text"] == " ".join(["é [EMAIL] [IP]"] * 6000)
+
+
 def test_html_blocks_and_differencing(spark):
     page = "<html><head><title>t</title></head><body><nav><li>menu</li></nav><div class='cookie-notice'>ok</div>%s<div id=comments><p>nice</p></div><footer>f</footer></body></html>"
-    free = "<p>Site line</p><p>%s &amp; more<br>here</p><p>Last shared</p>"
+    free = "<p>Site line</p><p>%s &amp; more<br>here %s</p><p>%s own</p><p>Last shared</p>"
+    copy = page % "<p>Copied one</p><p>Copied two</p><p>Copied three</p>"
     pages = [(1, "http://a.org/x/1", page % "<article><h1>T</h1><p>Same   text</article>"), (2, "http://a.org/x/2", page % "<article><h1>T</h1><p>Same   text</article>"),
-             (3, "http://b.org/1", page % (free % "one")), (4, "http://b.org/2", page % (free % "two")), (5, None, None), (6, "http://c.org", "")]
-    got = {r["page_id"]: r for r in htmldiff.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("part", F.lit("x"))).collect()}
-    assert got[1]["text"] == got[2]["text"] == "T\n\nSame text" and got[3]["text"] == "one & more\n\nhere" or got[3]["text"] == "one & more"
-    assert got[5]["text"] == "" and got[6]["n_chars"] == 0 and len(got) == 6
-
-
-@pytest.mark.parametrize("seed", range(5))
-def test_common_subsequence_is_longest(seed):
-    r = random.Random(seed)
-    a, b = ["".join(r.choice("abc")) for _ in range(12)], ["".join(r.choice("abc")) for _ in range(10)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, j in itertools.product(range(len(a)), range(len(b))):
-        best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
-    assert len(htmldiff.common_subsequence(a, b)) == best[-1][-1]
+             (3, "http://b.org/1", page % (free % ("one", 1, "x"))), (4, "http://b.org/2", page % (free % ("two", 2, "y"))), (5, None, None), (6, "http://c.org", ""), (7, "http://d.org/1", copy), (8, "http://d.org/2", copy), (8, "http://d.org/2", copy),
+             (9, "http://e.org/1", page % "<article><p>A</p><p>B</p><p>E</p><p>G</p><p>Read on</p></article><p>out 1</p><p>here</p>"), (10, "http://e.org/2", page % "<article><p>C</p><p>A</p><p>D</p><p>F</p></article><p>Read on</p><p>here</p>"),
+             (11, "x", "<![x[ y ]]><p>kept</p><![CDATA[ z ]]>")]
+    rows = htmldiff.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("rank", F.lit("x"))).collect()
+    got = {r["page_id"]: r["text"] for r in rows}
+    assert got[1] == got[2] == "T\n\nSame text" and got[3] == "one & more\n\nhere 1\n\nx own" and got[4] == "two & more\n\nhere 2\n\ny own"
+    assert got[5] == got[6] == "" and len(rows) == len(pages) and got[7] == got[8] == "Copied one\n\nCopied two\n\nCopied three" and got[11] == "kept"
+    # a line of the site goes in and out of articles; a passage that both articles hold stays
+    assert got[9] == "A\n\nB\n\nE\n\nG\n\nout 1" and got[10] == "C\n\nA\n\nD\n\nF"
+    assert htmldiff.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
+
+
+@pytest.mark.parametrize("n", [40, 300])
+def test_partners_are_the_nearest_pages_of_any_host(spark, monkeypatch, n):
+    monkeypatch.setattr(htmldiff, "RUN", 16)
+    r = random.Random(n)
+    pages = [(i, f"http://h.org/{r.choice('abc')}/{r.randrange(900)}", "".join(f"<p>{r.choice('qrstuv')}{k}</p>" for k in range(9)) + f"<p>only {i}</p>" * 8) for i in range(n)]
+    order = sorted((u.split("h.org")[1], i, h) for i, u, h in pages)
+    want = {}
+    for at, (path, i, h) in enumerate(order):
+        own = [(t, m, a) for t, m, a in htmldiff.blocks_of(h)]
+        near = sorted((k for k in range(max(0, at - 2), min(n, at + 3)) if k != at), key=lambda k: (-len(os.path.commonprefix([path, order[k][0]])), abs(k - at), k))
+        other = htmldiff.blocks_of(order[near[0]][2])
+        want[i] = htmldiff.main_text(own, set(htmldiff.deleted(own, other)))
+    if len({p for p, _, _ in order}) == n:  # equal paths are ordered by hash
+        assert {x["page_id"]: x["text"] for x in htmldiff.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()} == want
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 8])
+def test_common_subsequence_is_longest(monkeypatch, bits):
+    monkeypatch.setattr(htmldiff, "TABLE_BITS", bits)
+    for seed in range(60):
+        r = random.Random(seed)
+        a, b = [r.choice("abc") for _ in range(r.randrange(14))], [r.choice("abc") for _ in range(r.randrange(14))]
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        pairs = htmldiff.common_subsequence(a, b)
+        assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs) and all(x < y for p, q in zip(pairs, pairs[1:]) for x, y in zip(p, q))
+
+
+def test_html_that_is_malformed_or_very_deep(spark):
+    r = random.Random(3)
+    for _ in range(3000):
+        htmldiff.blocks_of("".join(r.choice(["<", ">", "!", "[", "]", "-", "/", "p", "article", "x", " ", '"', "=", "&#", "class", "?", ";", "script"]) for _ in range(25)))
+    assert htmldiff.blocks_of("<div><b>" * 30_000 + "end") == [("end", False, False)]
+    blocks = htmldiff.blocks_of('<article><p class="related-work">Body</p><div class="post-menu-review">X</div><div class="share-buttons">S</div><header>T</header></article>')
+    assert [(t, m) for t, m, _ in blocks] == [("Body", False), ("X", False), ("S", True), ("T", False)]
 
 
 def test_language_accuracy_and_empty_texts(spark):
@@ -262,6 +389,30 @@ def test_vectors_against_brute_force(spark):
     assert got[60]["component_id"] == 0 and not got[60]["kept"] and all(got[i]["kept"] and got[i]["n_links"] == 0 for i in (85, 900, 901, 902, 903))
 
 
+@pytest.mark.parametrize("how", [None, vectors.Plan(15, 2, 1, 0.5)])
+def test_recall_of_pairs_at_the_limit(spark, monkeypatch, how):
+    if how:
+        monkeypatch.setattr(vectors, "plan", lambda *a: how)
+    r = np.random.default_rng(5)
+    base = r.normal(size=(600, 48))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = r.normal(size=base.shape)
+    off -= (off * base).sum(axis=1, keepdims=True) * base
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.902 * base + (1 - 0.902**2) ** 0.5 * off])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    want = ((x @ x.T) >= 0.9).sum() - len(x)
+    found = vectors.near_duplicates(df).agg(F.sum("n_links")).first()[0]
+    assert want >= 1200 and 0.985 * want <= found <= want
+
+
+def test_plans_grow_with_the_corpus():
+    plans = [vectors.plan(1 << k) for k in (10, 16, 22, 28, 34)]
+    costs = [p.tables * (1 << k) * vectors.met(p.scale, p.probes, 0.0) ** p.blocks for k, p in zip((10, 16, 22, 28, 34), plans, strict=True)]
+    assert [p.blocks for p in plans] == sorted(p.blocks for p in plans) and plans[0].blocks == 1 and plans[-1].blocks >= 3
+    assert all(b < a * 60 for a, b in zip(costs, costs[1:]))  # candidates a vector, for 64 times as many vectors
+
+
 def test_blocks_of_a_cell_count_each_pair_once(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=16) + 0.01 * r.normal(size=(150, 16))
@@ -287,9 +438,16 @@ def test_chat_links_deeper_and_short_quotes(spark):
     assert got == {0: (None, 0), 1: (None, 1), 2: (None, 2), 3: (0, 0), 4: (0, 0), 5: (1, 1), 6: (2, 2), 7: (None, 7), 8: (0, 0)}
 
 
-@pytest.mark.parametrize("run", [linededup.line_dedup, simhash.near_duplicates, pii.personal_data, langid.language_id, lambda d: packing.packed_sequences(d, JSON), lambda d: bpe.digest_documents(d, RANKS, P.PATTERN)])
+EMPTY = "doc_id long, text string, lang string, page_id long, url string, html string, vec_id long, embedding array<float>, conv_id long, turn long, role string, quality int, toxic int"
+RUNS = [
+    linededup.line_dedup, linededup.without_repeats, simhash.near_duplicates, simhash.keep_one, pii.personal_data, pii.sanitised, langid.language_id, htmldiff.extract, vectors.near_duplicates, chat.formatted, chat.without_quotes,
+    lambda d: packing.packed_sequences(d, JSON), lambda d: bpe.digest_documents(d, RANKS, P.PATTERN), lambda d: quality.quality_rules(d, d), lambda d: quality.keep_good(d, d),
+]
+
+
+@pytest.mark.parametrize("run", RUNS)
 def test_no_rows_give_no_rows(spark, run):
-    assert run(spark.createDataFrame([], "doc_id long, text string, lang string")).isEmpty()
+    assert run(spark.createDataFrame([], EMPTY)).isEmpty()
 
 
 def test_pipeline_stages(spark):
