@@ -35,7 +35,7 @@ WHITE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 #: Bounds of the tables, in entries; full tables are emptied and fill again.
-MAX_PAIRS, MAX_STEPS, MAX_CHUNKS = 600_000, 500_000, 400_000
+MAX_PAIRS, MAX_STEPS, MAX_CHUNKS = 600_000, 800_000, 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -102,7 +102,6 @@ class Transducer:
         self.states: list[tuple[tuple, tuple]] = []
         self.numbers: dict[tuple, int] = {}
         self.steps: dict[int, tuple[int, bytes]] = {}
-        self.moves: dict[tuple, tuple] = {}
         self._number(((0, -1),), ((),))
 
     def _number(self, shape: tuple, held: tuple) -> int:
@@ -112,43 +111,40 @@ class Transducer:
             self.states.append(state)
         return known
 
-    def move(self, shape: tuple, byte: int) -> tuple:
-        """What a byte does to branches (node, last token): those that go on, with their new node, and which one ends with what token."""
-        kept, ends = [], None
-        for i, (node, last) in enumerate(shape):
-            node = self.next[node].get(byte)
-            if node is None:
-                continue
-            t = self.ends[node]
-            if t is not None and ends is None:
-                key = (last + 1) * self.base + t
-                known = self.arcs.get(key)
-                if known or known is None and self.arc(key, last, t):
-                    ends = i, t
-            if self.next[node]:
-                kept.append((i, (node, last)))
-        found = self.moves[shape, byte] = tuple([i for i, _ in kept]), (*[x for _, x in kept], (0, ends[1])), *ends
-        return found
-
     def step(self, number: int, byte: int) -> tuple[int, bytes]:
-        """The next state and the tokens that are certain by then; worked out and kept."""
+        """The next state and the tokens that are certain by then; worked out and kept.
+
+        Branches (node, last token) that can go on keep what they hold; one of them ends with a token here.
+        """
         if len(self.steps) >= MAX_STEPS:
             state = self.states[number]
             self._start()
             number = self._number(*state)
         shape, held = self.states[number]
-        kept, nxt, parent, token = self.moves.get((shape, byte)) or self.move(shape, byte)
-        whole = (*held[parent], token)
-        if not kept:  # one branch is left, so all its tokens are certain
+        after, nxt, whole, children, ends, arcs = [], [], None, self.next, self.ends, self.arcs
+        for i, (node, last) in enumerate(shape):
+            node = children[node].get(byte)
+            if node is None:
+                continue
+            if whole is None and (t := ends[node]) is not None:
+                key = (last + 1) * self.base + t
+                known = arcs.get(key)
+                if known or known is None and self.arc(key, last, t):
+                    whole, token = (*held[i], t), t
+            if children[node]:
+                nxt.append((node, last))
+                after.append(held[i])
+        nxt.append((0, token))
+        sure = 0
+        if not after:  # one branch is left, so all its tokens are certain
             sure, after = len(whole), ((),)
         else:
-            after = (*[held[i] for i in kept], whole)
-            low, high, sure = min(after), max(after), 0
+            after.append(whole)
+            low, high = min(after), max(after)
             while sure < len(low) and low[sure] == high[sure]:
                 sure += 1
-            if sure:
-                after = tuple([h[sure:] for h in after])
-        found = self.steps[number << 8 | byte] = self._number(nxt, after), _bytes(whole[:sure]) if sure else b""
+            after = tuple([h[sure:] for h in after] if sure else after)
+        found = self.steps[number << 8 | byte] = self._number(tuple(nxt), after), _bytes(whole[:sure]) if sure else b""
         return found
 
     def feed(self, state: int, part: bytes) -> tuple[int, list[bytes]]:
@@ -243,6 +239,12 @@ class Decoder:
         self.tokens = {v: k for k, v in ranks.items()} | {v: k.encode() for k, v in (special or {}).items()}
         self.steps: dict[tuple, tuple] = {}
         self.state, self.held = self.START, b""
+        #: tokens that lead from the start back to the start, and what they write on the way
+        self.whole: dict[int, str] = {}
+        for token in self.tokens:
+            state, held, text = self._step(self.START, b"", token)
+            if not held and "\ufffd" not in text:
+                self.whole[token] = text
 
     def to_bytes(self, ids: Iterable[int]) -> bytes:
         """The bytes of the ids; an unknown id raises KeyError."""
@@ -268,8 +270,20 @@ class Decoder:
         return state, held, "".join(text)
 
     def feed(self, ids: Iterable[int]) -> str:
-        out, steps, state, held = [], self.steps, self.state, self.held
-        for token in ids:
+        ids = list(ids)
+        texts = list(map(self.whole.get, ids))
+        out, steps, state, held, at = [], self.steps, self.state, self.held, 0
+        while at < len(ids):
+            if not held:  # the automaton is at its start: whole tokens up to the next that leaves it
+                try:
+                    end = texts.index(None, at)
+                except ValueError:
+                    end = len(ids)
+                out += texts[at:end]
+                at = end
+                if at == len(ids):
+                    break
+            token = ids[at]
             step = steps.get((held, token))
             if step is None:
                 step = self._step(state, held, token)
@@ -277,6 +291,7 @@ class Decoder:
                     steps[held, token] = step
             state, held = step[0], step[1]
             out.append(step[2])
+            at += 1
         self.state, self.held = state, held
         return "".join(out)
 
