@@ -7,15 +7,16 @@ window, so two documents that share it share a fingerprint, which is guaranteed.
 each other (a repeated word or two) one of them is enough for each window.
 
 Positions of equal fingerprints are joined to the first of them (by doc_id, then the text's hash, then
-position), and to the first with the same words up to the end of the next fingerprint. Matches are extended both ways: over the words up to the neighbouring fingerprints by a hash of
+position). Matches are extended both ways: over the words up to the neighbouring fingerprints by a hash of
 these words, which joins matches of one source and one distance to runs; then from both ends of a run word
 by word, up to the first that differs, with the words that the source has there (`REACH` at most; a longer
 match meets the next fingerprint). Runs of `min_words` words or more are deleted: they are later repeats.
 
-A run is compared to these first positions only, so pairs of positions are never made; a passage whose
+A run is compared to this first position only, so pairs of positions are never made; a passage whose
 fingerprints all have shorter matches elsewhere, before its own first copy, may stay. Fingerprints with over
-a thousandth of all positions are joined by broadcast, so none lands in one task. Texts are shuffled
-for the ends of runs (sources only) and for the deletion.
+a thousandth of all positions are joined by broadcast, so none lands in one task. Texts are shuffled for the
+ends of runs and for the deletion; only those of sources and of later repeats, while their list is small enough
+to be broadcast.
 
 Defined cases: a null text stays null and an empty one empty; a row with a null doc_id comes before all
 others; rows that agree in doc_id and text are one position, so neither is later than the other; a deleted
@@ -31,15 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, packed
-from .components import with_hot_keys
+from .components import SHARE
 
 MIN_WORDS = 50
 #: words of a line
-WIDTH = 16
+WIDTH = 12
+#: rows of a list of texts that is still broadcast; beyond it all texts are shuffled
+MAX_BROADCAST = 500_000
 #: words that a source gives on either side of a run
 REACH = 40
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -101,8 +104,8 @@ def selected(lines: np.ndarray, window: int) -> np.ndarray:
 
 
 def fingerprints(text: str, least: int) -> tuple[np.ndarray, ...] | None:
-    """fp, pos, back, before, on, after: each fingerprint and its place, the number and hash of the words between it and
-    the one before it (or the start), and of those behind it up to the end of the next (or of the text)."""
+    """fp, pos, before, after: each fingerprint and its place, a hash of the words between it and the one before it (or
+    the start), and of those behind it up to the end of the next (or of the text); their number is the last byte."""
     words = word_hashes(text.encode("utf-8", "surrogatepass").split())
     n, window = len(words), least - WIDTH + 1
     if n < least:
@@ -110,13 +113,16 @@ def fingerprints(text: str, least: int) -> tuple[np.ndarray, ...] | None:
     starts = np.arange(n - WIDTH + 1)
     lines = _mixed(run_hashes(words, starts, starts + WIDTH))
     at = selected(lines, window)
-    left, right = np.concatenate([[0], at[:-1]]), np.concatenate([at[1:] + WIDTH, [n]])
-    ends = at + WIDTH
-    right = np.maximum(right, ends)
-    return lines[at], at, at - left, run_hashes(words, left, at), right - ends, run_hashes(words, ends, right)
+    left, ends = np.concatenate([[0], at[:-1]]), at + WIDTH
+    right = np.maximum(np.concatenate([ends[1:], [n]]), ends)
 
+    def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return run_hashes(words, a, b) & np.uint64(0xFFFFFFFFFFFFFF00) | (b - a).astype(np.uint64)
 
-FOUND = ("fp", "pos", "back", "before", "on", "after")
+    return lines[at], at, hashed(left, at), hashed(ends, right)
+
+
+FOUND = ("fp", "pos", "before", "after")
 
 
 def _fingerprints(least: int):
@@ -156,25 +162,30 @@ def _same(a: str, b: str, tag_a: str, tag_b: str):
     return F.col(a).eqNullSafe(F.col(b)) & (F.col(tag_a) == F.col(tag_b))
 
 
+def listed(texts: DataFrame, tags: DataFrame) -> DataFrame:
+    """The texts on a list of tags, or all of them where the list is long."""
+    tags = checkpointed(tags.distinct())
+    return texts.join(F.broadcast(tags), "tag", "left_semi") if tags.count() <= MAX_BROADCAST else texts
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, tag (hash of the text) and runs: (s, e, left, right), the words s to e that an earlier place says too,
     and the hashes of the words that this place has before and behind them, nearest first (null at an end of the text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    columns = f"doc_id {kind}, tag long, fp long, pos int, back int, before long, on int, after long"
-    found = checkpointed(texts.mapInPandas(_fingerprints(min_words), columns))
-    place = F.struct("doc_id", "tag", "pos", "back", "before", "on", "after")
-
-    def first(by: str) -> DataFrame:
-        """All places with the first one of their kind."""
-        rows = found.select("doc_id", "tag", "pos", "back", "before", "on", "after", F.col("fp") if by == "fp" else F.xxhash64("fp", "on", "after").alias("both"))
-        least = checkpointed(rows.groupBy(by).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
-        return with_hot_keys(rows, least, by, "inner", "n").drop(by)
-
-    later = first("fp").unionByName(first("both")).where(F.struct("doc_id", "tag", "pos") > F.struct("first.doc_id", "first.tag", "first.pos"))
-    back = F.when((F.col("before") == F.col("first.before")) & (F.col("back") == F.col("first.back")), F.col("back")).otherwise(0)
-    on = F.when((F.col("after") == F.col("first.after")) & (F.col("on") == F.col("first.on")), F.col("on")).otherwise(0)
-    s, e = F.col("pos") - back, F.col("pos") + WIDTH + on
+    found = checkpointed(texts.mapInPandas(_fingerprints(min_words), f"doc_id {kind}, tag long, fp long, pos int, before long, after long"))
+    place = F.struct("doc_id", "tag", "pos", "before", "after")
+    often = found.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") * SHARE > found.count()).select("fp")
+    often = F.broadcast(checkpointed(often))
+    hot = found.join(often, "fp")
+    hot = hot.join(F.broadcast(hot.groupBy("fp").agg(F.min(place).alias("first"))), "fp")
+    rest = found.join(often, "fp", "left_anti").withColumn("first", F.min(place).over(Window.partitionBy("fp")))
+    later = hot.unionByName(rest).where(F.struct("doc_id", "tag", "pos") > F.struct("first.doc_id", "first.tag", "first.pos"))
+
+    def shared(c: str):
+        return F.when(F.col(c) == F.col(f"first.{c}"), F.col(c).bitwiseAND(255)).otherwise(0).cast("int")
+
+    s, e = F.col("pos") - shared("before"), F.col("pos") + WIDTH + shared("after")
     spans = later.select("doc_id", "tag", F.col("first.doc_id").alias("s_id"), F.col("first.tag").alias("s_tag"), (F.col("pos") - F.col("first.pos")).alias("far"), s.alias("s"), e.alias("e"))
     # runs: what touches or overlaps, of one document, source and distance; a document's own number of spans bounds a group
     group = "partition by doc_id, tag, s_id, s_tag, far"
@@ -183,7 +194,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = checkpointed(numbered.groupBy("doc_id", "tag", "s_id", "s_tag", "far", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")))
     ends = F.array(F.col("far") - F.col("s") - 1, F.col("e") - F.col("far"))
     asked = runs.select("s_id", "s_tag", F.explode(ends).alias("asked")).distinct().groupBy("s_id", "s_tag").agg(F.collect_list("asked").alias("asked"))
-    near = texts.join(asked, _same("doc_id", "s_id", "tag", "s_tag")).select("doc_id", "tag", "text", "asked")
+    asked = checkpointed(asked)
+    near = listed(texts, asked.select(F.col("s_tag").alias("tag"))).join(asked, _same("doc_id", "s_id", "tag", "s_tag")).select("doc_id", "tag", "text", "asked")
     near = checkpointed(near.mapInPandas(_contexts, f"s_id {kind}, s_tag long, asked int, near binary").dropDuplicates(["s_id", "s_tag", "asked"]))
 
     def side(at, name: str) -> DataFrame:
@@ -251,9 +263,17 @@ def _without(least: int):
 
 
 def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
-    runs = repeated_runs(docs, min_words).select(F.col("doc_id").alias("at_id"), F.col("tag").alias("at_tag"), "runs")
-    rows = packed(docs).withColumns({"own_id": F.col("row.doc_id"), "own_tag": F.xxhash64("row.text")})
-    return rows.join(runs, _same("own_id", "at_id", "own_tag", "at_tag"), "left").select("row", _without(min_words)("row.text", "runs").alias("done"))
+    runs = checkpointed(repeated_runs(docs, min_words).select(F.col("doc_id").alias("at_id"), F.col("tag").alias("at_tag"), "runs"))
+    rows = packed(docs).withColumns({"own_id": F.col("row.doc_id"), "tag": F.xxhash64("row.text")})
+    tags = checkpointed(runs.select(F.col("at_tag").alias("tag")).distinct())
+    met = _same("own_id", "at_id", "tag", "at_tag")
+    if tags.count() <= MAX_BROADCAST:  # texts without a repeat are not shuffled
+        some = rows.join(F.broadcast(tags), "tag", "left_semi").join(runs, met, "left").select("row", "runs")
+        none = rows.join(F.broadcast(tags), "tag", "left_anti").select("row", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
+        rows = some.union(none)
+    else:
+        rows = rows.join(runs, met, "left")
+    return rows.select("row", _without(min_words)("row.text", "runs").alias("done"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
