@@ -15,7 +15,7 @@ PICKED = [
 
 def normal(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v != v or v is pd.NaT:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return ""
         try:
             return f"{float(v):.5f}" if not isinstance(v, (str, bool)) else str(v)
