@@ -33,25 +33,28 @@ def _plain(x: str) -> str:
     return x.translate(str.maketrans("’‘“” ", "''\"\" "))
 
 
-def phrases(values: list[str]) -> str:
-    """One pattern for whole phrases, longest first, so overlapping ones count once; white space is flexible."""
-    alts = sorted({r"\s+".join(_quoted(w) for w in _plain(v).split()) for v in values if v.strip()}, key=lambda a: (-len(a), a))
-    return r"(?iU)(?<!\w)(?:" + "|".join(alts) + r")(?!\w)"
+def _whole(alternatives) -> str:
+    """Whole words or phrases, in any case; the longest that fits at a place is the one that counts there."""
+    order = sorted(set(alternatives), key=lambda x: (-len(x), x))
+    return rf"(?iU)(?<!\w)(?:{'|'.join(order)})(?!\w)"
+
+
+def _spaced(phrase: str) -> str:
+    return r"\s+".join(map(_quoted, _plain(phrase).split()))
+
+
+#: for each form of a test what makes its values a pattern of Java's regular expressions
+FORMS = {
+    "chars": lambda signs: "|".join(_quoted(_plain(x)) for x in signs),
+    "words": lambda words: _whole(_quoted(_plain(x)) for x in words),
+    "phrases": lambda phrases: _whole(filter(None, map(_spaced, phrases))),
+    "pattern": lambda pattern: f"(?iU){re.compile(pattern).pattern}",
+}
 
 
 def compiled(form: str, values) -> str:
-    """The pattern of a test form: chars, words, phrases or pattern."""
-    if form == "chars":
-        return "|".join(_quoted(_plain(c)) for c in values)
-    if form == "words":
-        alts = sorted({_quoted(_plain(w)) for w in values}, key=lambda a: (-len(a), a))
-        return r"(?iU)(?<!\w)(?:" + "|".join(alts) + r")(?!\w)"
-    if form == "phrases":
-        return phrases(values)
-    if form == "pattern":
-        re.compile(values)
-        return "(?iU)" + values
-    raise ValueError(f"unknown test form {form!r}")
+    """The pattern of a test; a form that is not known is a KeyError, a pattern that does not compile a re.error."""
+    return FORMS[form](values)
 
 
 def lines(text: Column) -> Column:

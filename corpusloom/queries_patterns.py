@@ -198,10 +198,9 @@ def o008(spark, d):
     return table(spark, d, "pages").select("page_id", formats.page_text(F.col("html")).alias("text"))
 
 
-@add("o009_page_date", "SELECT page_id, nullif(regexp_extract(replace(html, '<head>', '<head><meta property=\"article:published_time\" content=\"2024-0' || (1 + page_id % 9) || '-11T10:00:00Z\">'), '<meta property=\"article:published_time\" content=\"(\\d{4}-\\d{2}-\\d{2})', 1), '') AS day FROM pages")
+@add("o009_page_date", "SELECT page_id, coalesce(nullif(regexp_extract(html, '(?i)<meta[^>]+published_time[^>]+content=.(\\d{4}-\\d{2}-\\d{2})', 1), ''), nullif(regexp_extract(html, '(?i)<time[^>]+datetime=.(\\d{4}-\\d{2}-\\d{2})', 1), '')) AS day FROM pages")
 def o009(spark, d):
-    stamp = F.concat(F.lit('<head><meta property="article:published_time" content="2024-0'), (1 + F.col("page_id") % 9).cast("string"), F.lit('-11T10:00:00Z">'))
-    return table(spark, d, "pages").select("page_id", formats.page_date(F.replace("html", F.lit("<head>"), stamp)).alias("day"))
+    return table(spark, d, "pages").select("page_id", formats.page_date(F.col("html")).alias("day"))
 
 
 @add("o132_token_share")
@@ -225,6 +224,15 @@ def _pairs(spark, d):
     return a.withColumn("after", F.concat(F.regexp_replace("before", r"\b(the|of) ", ""), F.lit(" One more sentence.")))
 
 
+@add("o135_edit_kinds")
+def o135(spark, d):
+    """Edits between passages and their changed versions, by kind, with the pairs they occur in."""
+    from .operators.ledger import edit_lessons
+
+    edits = _pairs(spark, d).select(F.col("key").alias("pair"), F.inline(align.aligned_units("before", "after")))
+    return edit_lessons(edits.withColumn("kind", align.edit_kind("before", "after")))
+
+
 @add("o136_identified")
 def o136(spark, d):
     """A language code and confidence from letters and short words; the column lang is not read."""

@@ -14,6 +14,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -90,13 +91,13 @@ def docx(raw: bytes) -> dict:
         body = ElementTree.fromstring(z.read("word/document.xml"))
         core = z.read("docProps/core.xml").decode("utf-8", "replace") if "docProps/core.xml" in z.namelist() else ""
 
-    def said(node) -> str:
-        if node.tag in (w + "del", w + "moveFrom"):
-            return ""
-        return (node.text or "" if node.tag == w + "t" else " " if node.tag in (w + "tab", w + "br") else "") + "".join(map(said, node))
-
+    for parent in list(body.iter()):  # what was deleted or moved away is no text
+        for child in [c for c in parent if c.tag in (w + "del", w + "moveFrom")]:
+            parent.remove(child)
+    signs = {w + "t": None, w + "tab": " ", w + "br": " "}
+    texts = ("".join((n.text or "") if signs[n.tag] is None else signs[n.tag] for n in p.iter() if n.tag in signs) for p in body.iter(w + "p"))
     date = re.search(r"<dcterms:created[^>]*>(\d{4}-\d{2}-\d{2})", core)
-    return {"blocks": [b for p in body.iter(w + "p") if (b := " ".join(said(p).split()))], "doc_date": date[1] if date else None}
+    return {"blocks": [b for t in texts if (b := " ".join(t.split()))], "doc_date": date[1] if date else None}
 
 
 def _seconds(stamp: str) -> float:
@@ -160,30 +161,80 @@ def read_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return files.where(~F.col("path").rlike(r"/(?:\.[^/]+|node_modules|_to_delete)/|\.tmp$")).select("path", "content").mapInPandas(_parse, EXTRACT)
 
 
-DROPPED = "script style nav header footer aside form noscript svg iframe figure button template"
-#: elements whose ends are paragraph breaks
-BREAKS = "p div li h1 h2 h3 h4 h5 h6 br tr blockquote section article ul ol table"
+#: Elements that are no prose, and those that begin and end a paragraph.
+DROPPED = ("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "svg", "template", "title", "pre")
+BREAKS = (
+    "p", "div", "section", "article", "main", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "tr", "table", "br", "hr", "figure", "figcaption", "dd", "dt",
+)
+SCOPES = ("article", "main", "body")
+
+
+class _Paragraphs(HTMLParser):
+    """The paragraphs of a page, and for each scope from where to where it goes (first start to last end)."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.done: list[str] = []
+        self.now: list[str] = []
+        self.dropped: list[str] = []
+        self.starts: dict[str, int] = {}
+        self.ends: dict[str, int] = {}
+
+    def flush(self) -> None:
+        text = " ".join("".join(self.now).split())
+        self.now.clear()
+        if text:
+            self.done.append(text)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        return self.parse_bogus_comment(i)
+
+    def handle_starttag(self, tag: str, attrs) -> None:
+        if self.dropped:
+            self.dropped += [tag] if tag == self.dropped[0] else []
+        elif tag in DROPPED:
+            self.dropped.append(tag)
+            self.now.append(" ")
+        else:
+            if tag in BREAKS or tag == "body":
+                self.flush()
+            if tag in SCOPES:
+                self.starts.setdefault(tag, len(self.done))
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.dropped:
+            if tag == self.dropped[0]:
+                self.dropped.pop()
+        else:
+            if tag in BREAKS or tag == "body":
+                self.flush()
+            if tag in SCOPES:
+                self.ends[tag] = len(self.done)
+
+    def handle_data(self, data: str) -> None:
+        if not self.dropped:
+            self.now.append(data)
 
 
-@F.pandas_udf(T.StringType())
-def unescaped(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: html.unescape(t) if isinstance(t, str) else None)
+def paragraphs_of(page: str | None) -> list[str]:
+    """Paragraphs of the first article, main or body that is closed, else of the whole page."""
+    parser = _Paragraphs()
+    parser.feed(page or "")
+    parser.close()
+    parser.flush()
+    scope = next((x for x in SCOPES if x in parser.starts and parser.ends.get(x, -1) >= parser.starts[x]), None)
+    return parser.done[parser.starts[scope] : parser.ends[scope]] if scope else parser.done
 
 
-def page_text(page: Column) -> Column:
-    """Paragraphs of the first article, main or body, blank lines between them."""
-    body = F.regexp_replace(F.coalesce(page, F.lit("")), "(?s)<!--.*?-->", "")
-    for tag in DROPPED.split():
-        body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    found = F.coalesce(*[F.nullif(F.regexp_extract(body, rf"(?is)<{t}\b[^>]*>(.*?)(?:</{t}\s*>|\z)", 1), F.lit("")) for t in ("article", "main", "body")], body)
-    broken = F.regexp_replace(found, rf"(?i)</?(?:{'|'.join(BREAKS.split())})\b[^>]*>", "\n\n")
-    plain = unescaped(F.regexp_replace(broken, r"(?s)<[^>]+>", ""))
-    parts = F.transform(F.split(plain, r"\n\s*\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
-    return F.array_join(F.filter(parts, lambda x: x != ""), "\n\n")
+@F.pandas_udf(T.StringType())
+def page_text(pages: pd.Series) -> pd.Series:
+    """The main text of pages, with blank lines between its paragraphs."""
+    return pages.map(lambda x: "\n\n".join(paragraphs_of(x if isinstance(x, str) else None)))
 
 
 def page_date(page: Column) -> Column:
-    """The day of article:published_time, else of the first time element."""
-    meta = F.regexp_extract(page, r'<meta property="article:published_time" content="(\d{4}-\d{2}-\d{2})', 1)
-    time = F.regexp_extract(page, r'<time[^>]*datetime="(\d{4}-\d{2}-\d{2})', 1)
-    return F.coalesce(F.nullif(meta, F.lit("")), F.nullif(time, F.lit("")))
+    """The day of article:published_time (its attributes in any order), else of the first time element; ISO dates only."""
+    stamp = r"""["'](\d{4}-\d{2}-\d{2})"""
+    name = r"""property\s*=\s*["']article:published_time["']"""
+    found = [rf"<meta[^>]+{name}[^>]+content\s*=\s*{stamp}", rf"<meta[^>]+content\s*=\s*{stamp}[^>]+{name}", rf"<time[^>]+datetime\s*=\s*{stamp}"]
+    return F.coalesce(*[F.nullif(F.regexp_extract(page, "(?i)" + p, 1), F.lit("")) for p in found])

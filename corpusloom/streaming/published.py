@@ -24,7 +24,9 @@ def sessions(events: DataFrame, gap: str = "2 seconds", late: str = "1 minute")
 
 
 def match_group(rows: pd.DataFrame, least: float = SHARE, days: int = EXPIRES_DAYS) -> pd.DataFrame:
-    """Best draft for each text of one profile, in order of time and id; a draft is used once and not after it has expired."""
+    """Best draft for each text of one profile, in order of time and id; a draft is used once and not after it has expired.
+
+    A text may be older than the draft: what counts is when it was found."""
     drafts = rows[rows["kind"] == "draft"].sort_values(["ts", "id"])
     texts = rows[rows["kind"] == "text"].sort_values(["ts", "id"])
     used: set[str] = set()
@@ -32,7 +34,7 @@ def match_group(rows: pd.DataFrame, least: float = SHARE, days: int = EXPIRES_DA
     for t in texts.itertuples():
         best = None
         for d in drafts.itertuples():
-            if d.id in used or d.ts > t.ts or (t.ts - d.ts).days > days:
+            if d.id in used or (t.ts - d.ts).days > days:
                 continue
             s = share(d.text, t.text)
             if s >= least and (best is None or s > best[1]):
@@ -49,11 +51,16 @@ def matched(rows: DataFrame) -> DataFrame:
 
 
 def run_matching(spark: SparkSession, stream: DataFrame, known: DataFrame, sink: str, checkpoint: str):
-    """Each micro-batch of texts meets the open drafts; matches are appended once per batch id."""
+    """Each micro-batch of texts meets the drafts that no earlier batch has used; its matches are a partition of the sink."""
+    none = spark.createDataFrame([], MATCH)
+    none.write.mode("overwrite").parquet(f"{sink}/batch=-1")  # so that the sink can be read before the first match
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        done = f"{sink}/batch={batch_id}"  # written again as a whole if a batch is repeated
-        matched(known.unionByName(batch)).write.mode("overwrite").parquet(done)
+        session = batch.sparkSession
+        before = session.read.schema(MATCH + ", batch long").parquet(sink).where(F.col("batch") < batch_id)
+        used = before.select("profile", F.col("draft").alias("id"))
+        drafts = known.join(used, ["profile", "id"], "left_anti").select(known.columns)
+        # written again as a whole if a batch is repeated
+        matched(drafts.unionByName(batch)).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
