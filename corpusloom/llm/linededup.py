@@ -45,7 +45,6 @@ WIDTH = 12
 MAX_BROADCAST = 500_000
 #: words that a source gives on either side of a run
 REACH = 40
-WORD = re.compile("[^\x20\x09-\x0d]+")
 DONE = "n_words long, n_lines long, n_removed long, n_removed_words long, text string"
 #: an odd multiplier, and its inverse modulo 2^64, for hashes of runs of words
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -63,8 +62,25 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words))
+#: bytes of a text that are cut into words at a time
+PART = 1 << 20
+BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _words(text: str) -> Iterator[list[bytes]]:
+    """The words of a text, part by part, so that those of a very long text are never held together."""
+    raw, at = text.encode("utf-8", "surrogatepass"), 0
+    while at < len(raw):
+        blank = BLANK.search(raw, at + PART)
+        end = blank.start() if blank else len(raw)
+        yield raw[at:end].split()
+        at = end
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A hash of each word."""
+    parts = [np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words)) for words in _words(text)]
+    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, dtype=np.uint32), *parts])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -72,12 +88,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the words of each run, by their content alone."""
-    power, inverse = _powers(len(words) + 1)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mixed(words + np.uint64(1)) * power[: len(words)], dtype=np.uint64)])
-    x = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
-    return x ^ (x >> np.uint64(32))
+class Runs:
+    """Hashes of runs of a text's words, by their content alone."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        power, self.inverse = _powers(n + 1)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_mixed(words.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64, out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self._done(self.sums[ends] - self.sums[starts], self.inverse[starts], (ends - starts).astype(np.uint64))
+
+    def lines(self) -> np.ndarray:
+        """The hash of the line that begins at each word."""
+        n = len(self.sums) - WIDTH
+        return self._done(self.sums[WIDTH:] - self.sums[:n], self.inverse[:n], np.uint64(WIDTH))
+
+    @staticmethod
+    def _done(sums: np.ndarray, inverse: np.ndarray, size) -> np.ndarray:
+        x = sums * inverse + size
+        return x ^ (x >> np.uint64(32))
 
 
 def selected(lines: np.ndarray, window: int) -> np.ndarray:
@@ -106,18 +137,18 @@ def selected(lines: np.ndarray, window: int) -> np.ndarray:
 def fingerprints(text: str, least: int) -> tuple[np.ndarray, ...] | None:
     """fp, pos, before, after: each fingerprint and its place, a hash of the words between it and the one before it (or
     the start), and of those behind it up to the end of the next (or of the text); their number is the last byte."""
-    words = word_hashes(text.encode("utf-8", "surrogatepass").split())
+    words = word_hashes(text)
     n, window = len(words), least - WIDTH + 1
     if n < least:
         return None
-    starts = np.arange(n - WIDTH + 1)
-    lines = _mixed(run_hashes(words, starts, starts + WIDTH))
+    runs = Runs(words)
+    lines = _mixed(runs.lines())
     at = selected(lines, window)
     left, ends = np.concatenate([[0], at[:-1]]), at + WIDTH
     right = np.maximum(np.concatenate([ends[1:], [n]]), ends)
 
     def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return run_hashes(words, a, b) & np.uint64(0xFFFFFFFFFFFFFF00) | (b - a).astype(np.uint64)
+        return runs(a, b) & np.uint64(0xFFFFFFFFFFFFFF00) | (b - a).astype(np.uint64)
 
     return lines[at], at, hashed(left, at), hashed(ends, right)
 
@@ -151,7 +182,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for doc_id, tag, text, asked in zip(b["doc_id"], b["tag"], b["text"], b["asked"], strict=True):
-            words = word_hashes(text.encode("utf-8", "surrogatepass").split()).astype("<u4")
+            words = word_hashes(text).astype("<u4", copy=False)
             for at in asked.tolist():
                 near = words[max(0, -at - 1 - REACH) : -at - 1][::-1] if at < 0 else words[at : at + REACH]
                 out.append((doc_id, tag, at, near.tobytes()))
@@ -231,11 +262,13 @@ def deleted(words: np.ndarray, runs, least: int) -> np.ndarray:
 
 def without(text: str, gone: np.ndarray) -> str:
     """The text without the words marked in `gone`."""
-    places = [m.span() for m in WORD.finditer(text)]
+    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    word = ~((signs == 32) | (signs >= 9) & (signs <= 13))
+    places = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))  # where words begin
     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
     out, at = [], 0
     for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        lo, hi = places[i][0], places[j][0] if j < len(places) else len(text)
+        lo, hi = int(places[i]), int(places[j]) if j < len(places) else len(text)
         begins = not text[text.rfind("\n", 0, lo) + 1 : lo].strip()
         out.append(text[at:lo] if j < len(places) else text[at:lo].rstrip(" \t\n\r\x0b\x0c"))
         if not begins and j < len(places) and "\n" in text[lo:hi]:
@@ -251,12 +284,15 @@ def _without(least: int):
             if not text:
                 out.append((0, 0, 0, 0, text))
                 continue
-            words = text.encode("utf-8", "surrogatepass").split()
             n_lines = sum(1 for x in text.split("\n") if x.strip(" \t\r\x0b\x0c"))
-            gone = None if runs is None or not len(runs) else deleted(word_hashes(words).astype("<u4"), runs, least)
-            left = text if gone is None or not gone.any() else without(text, gone)
+            if runs is None or not len(runs):
+                out.append((sum(map(len, _words(text))), n_lines, 0, 0, text))
+                continue
+            words = word_hashes(text).astype("<u4", copy=False)
+            gone = deleted(words, runs, least)
+            left = without(text, gone) if gone.any() else text
             lost = n_lines - sum(1 for x in left.split("\n") if x.strip(" \t\r\x0b\x0c")) if left is not text else 0
-            out.append((len(words), n_lines, lost, 0 if gone is None else int(gone.sum()), left))
+            out.append((len(words), n_lines, lost, int(gone.sum()), left))
         return pd.DataFrame(out, columns=[c.split()[0] for c in DONE.split(", ")])
 
     return F.pandas_udf(run, DONE)
