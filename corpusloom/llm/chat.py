@@ -6,7 +6,7 @@ normalising case and white space; so are the passages that it quotes. Quotes are
 of the conversation that says the same, and the message answers the latest such original that comes
 before it, found by its quotes of level 1, or of the next level where these find nothing. A passage of less
 than `MIN_CHARS` names its original by all its text, and only where nothing longer of that level does. Chains of answers are followed to their first message, which names the thread; ordering by
-(thread, turn) puts every answer behind what it answers. Quotes, and the line that announces them, leave
+(thread, turn) puts every answer behind what it answers, and gives each turn its position. Quotes, and the line that announces them, leave
 the text.
 
 Joins are on (conversation, hash) against one pre-aggregated original, so frequent lines and very long
@@ -14,7 +14,7 @@ conversations make no pairs, and no conversation is gathered in one task.
 
 Defined cases: a null text is empty; a null conv_id or turn keeps its row but links with nothing; a
 message that quotes nothing that was said starts a thread of its own; a quote of several originals answers the
-latest; repeated rows get the same result each; further columns pass through untouched.
+latest; repeated rows get the same result each; an empty table gives no rows; further columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, packed
+from .common import checkpointed, packed, ranked
+from .components import with_hot_keys
 
 LEVEL = re.compile(r"^\s*((?:>\s?)+)(.*)$", re.DOTALL)
 #: the line that announces a quote, such as "On Monday, A wrote:"
@@ -98,7 +99,7 @@ def _parsed(texts: pd.Series) -> pd.DataFrame:
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """Every row as struct `row`, with clean, n_quotes, max_level, reply_to (turn or null) and thread (turn)."""
+    """Every row as struct `row`, with clean, n_quotes, max_level, reply_to (turn or null), thread (turn) and position."""
     rows = checkpointed(packed(messages).withColumn("found", F.pandas_udf(_parsed, PARSED)("row.text")))
     where = rows.select(F.col("row.conv_id").alias("conv_id"), F.col("row.turn").alias("turn"), "found").where("conv_id is not null and turn is not null")
     says = where.select("conv_id", "turn", F.explode("found.says").alias("h"))
@@ -114,18 +115,24 @@ def linked(messages: DataFrame) -> DataFrame:
         up = nxt.drop("moved")
         if nxt.where("moved").isEmpty():
             break
-    links = answers.join(up, ["conv_id", "turn"]).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "reply_to", "thread")
-    out = rows.join(links, (F.col("row.conv_id") == F.col("c")) & (F.col("row.turn") == F.col("t")), "left")
-    return out.select("row", F.col("found.clean").alias("clean"), F.col("found.n_quotes").alias("n_quotes"), F.col("found.max_level").alias("max_level"), "reply_to", F.coalesce("thread", F.col("row.turn")).alias("thread"))
+    links = answers.join(up, ["conv_id", "turn"])
+    turns = where.select("conv_id", "turn").distinct().join(links, ["conv_id", "turn"], "left")
+    # the order of the conversation: a rank over all turns, less that of the conversation's first one
+    order = ranked(turns.withColumn("thread", F.coalesce("thread", "turn")), "conv_id", "thread", "turn")
+    first = order.groupBy("conv_id").agg(F.min("rank").alias("first"))
+    placed = with_hot_keys(order, first, "conv_id").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "reply_to", "thread", (F.col("rank") - F.col("first")).alias("position"))
+    out = rows.join(placed, (F.col("row.conv_id") == F.col("c")) & (F.col("row.turn") == F.col("t")), "left")
+    return out.select("row", F.col("found.clean").alias("clean"), F.col("found.n_quotes").alias("n_quotes"), F.col("found.max_level").alias("max_level"), "reply_to", F.coalesce("thread", F.col("row.turn")).alias("thread"), "position")
 
 
 def formatted(messages: DataFrame, pattern: str = "<|%s|>\n%s\n<|end|>\n") -> DataFrame:
-    """conv_id, thread, turn, role, reply_to, n_quotes, max_level, text without quotes, and it as a chat turn.
+    """conv_id, position, thread, turn, role, reply_to, n_quotes, max_level, text without quotes, and it as a chat turn.
 
-    Read in the order (conv_id, thread, turn), the turns make up the conversation.
+    `position` (from 0) is the order of the conversation, by thread and turn; repeated rows share one.
     """
     return linked(messages).select(
         "row.conv_id",
+        "position",
         "thread",
         "row.turn",
         "row.role",

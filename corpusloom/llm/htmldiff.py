@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, ranked
 
 #: ranks that are compared in one task, and how far a partner may be away on either side
 RUN, REACH = 2048, 2
@@ -284,16 +284,6 @@ def _address() -> list[Column]:
     return [host.alias("host"), F.regexp_extract(found, r"//[^/?#]*([^?#]*)", 1).alias("path"), F.xxhash64("html").alias("tag"), F.length("html").alias("size")]
 
 
-def ranked(rows: DataFrame, *order: str) -> DataFrame:
-    """The rows with their rank (from 0) in a total order, without a task that sees them all; one number a partition goes to the driver."""
-    dealt = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order))
-    placed = dealt.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    counts = sorted(placed.groupBy("part").count().collect())
-    before = np.cumsum([0, *[c["count"] for c in counts]]).tolist()
-    starts = rows.sparkSession.createDataFrame([(c["part"], b) for c, b in zip(counts, before, strict=False)], "part int, start long")
-    return placed.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("at")).drop("part", "at", "start")
-
-
 def shared_lines(pages: DataFrame) -> DataFrame:
     """host, tag, size and gone: which unmarked blocks of a page its partner shares; only pages with any."""
     seen = pages.select(*_address(), "html").where("html <> ''")

@@ -438,6 +438,64 @@ def test_chat_links_deeper_and_short_quotes(spark):
     assert got == {0: (None, 0), 1: (None, 1), 2: (None, 2), 3: (0, 0), 4: (0, 0), 5: (1, 1), 6: (2, 2), 7: (None, 7), 8: (0, 0)}
 
 
+def plain_links(said):
+    """reply_to of each turn of one conversation, by comparing every quoted passage with every earlier message."""
+    def norm(x):
+        return " ".join(x.lower().split())
+
+    own = {t: chat.own_text(chat.levels(x)) for t, x in said}
+    out = {}
+    for t, x in said:
+        found = {}
+        runs = [(level, [line for _, line in g]) for level, g in itertools.groupby(chat.levels(x), key=lambda p: p[0])]
+        for level, part in runs:
+            whole = "\n".join(part)
+            parts = [whole, *re.split(r"\n\s*\n", whole), *part]
+            short = len(norm(whole)) < chat.MIN_CHARS
+            for p in parts if level else ():
+                if norm(p) and (short or len(norm(p)) >= chat.MIN_CHARS):
+                    firsts = [u for u, _ in said if norm(p) in {norm(q) for q in (own[u], *re.split(r"\n\s*\n", own[u]), *own[u].split("\n"))}]
+                    if firsts and min(firsts) < t:
+                        rank = 2 * level + short
+                        found[rank] = max(found.get(rank, -1), min(firsts))
+        out[t] = found[min(found)] if found else None
+    return out
+
+
+def test_chat_links_against_brute_force(spark):
+    r = random.Random(6)
+    said, want = [], {}
+    for c in range(12):
+        turns = []
+        for t in range(10):
+            lines = [f"{prose(100 * c + t, r.randint(1, 9))}" for _ in range(r.randint(1, 3))]
+            for _ in range(r.randint(0, 2)):
+                if turns:
+                    quoted = r.choice(turns)[1].split("\n")
+                    lines = [r.choice(["> ", ">> ", ">"]) + q for q in r.sample(quoted, min(len(quoted), 2))] + lines
+            turns.append((t, "\n".join(lines)))
+        said += [(c, t, "user", x) for t, x in turns]
+        want |= {(c, t): u for t, u in plain_links(turns).items()}
+    got = chat.formatted(spark.createDataFrame(said, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    assert {(x["conv_id"], x["turn"]): x["reply_to"] for x in got} == want and sum(v is not None for v in want.values()) > 30
+    for c in range(12):
+        rows = sorted((x for x in got if x["conv_id"] == c), key=lambda x: x["position"])
+        assert [x["position"] for x in rows] == list(range(10)) and [(x["thread"], x["turn"]) for x in rows] == sorted((x["thread"], x["turn"]) for x in rows)
+        assert all(x["reply_to"] is None or [y["turn"] for y in rows].index(x["reply_to"]) < x["position"] for x in rows)
+
+
+def test_language_filter_against_sets():
+    r = np.random.default_rng(7)
+    grams = {f"l{k:02}": np.unique(r.integers(0, 1 << 40, 3000)) for k in range(70)}  # more languages than a word has bits
+    model = langid.Filter(grams)
+    some = np.concatenate([grams["l03"][:500], grams["l68"][:500], r.integers(0, 1 << 40, 500)])
+    masks = model.masks(some)
+    for i, lang in enumerate(model.langs):
+        hit = (masks[i // 64] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)
+        member = np.isin(some, grams[lang])
+        assert hit[member].all() and (hit & ~member).mean() <= 4 * model.false[i] + 0.01
+
+
 EMPTY = "doc_id long, text string, lang string, page_id long, url string, html string, vec_id long, embedding array<float>, conv_id long, turn long, role string, quality int, toxic int"
 RUNS = [
     linededup.line_dedup, linededup.without_repeats, simhash.near_duplicates, simhash.keep_one, pii.personal_data, pii.sanitised, langid.language_id, htmldiff.extract, vectors.near_duplicates, chat.formatted, chat.without_quotes,
