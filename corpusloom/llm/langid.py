@@ -9,7 +9,7 @@ the filter's fill leads one to expect, and takes the language with most; ties go
 
 Defined cases: `und` with score 0 if the text is null or has no letter, or if nothing was learned; labelled
 rows with null text or lang teach nothing; repeated rows count as often as they occur; other columns are
-ignored, and lang, source and doc_id are no inputs of a prediction.
+ignored, and lang, source and doc_id are no inputs of a prediction; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: n-gram length in letters, with a blank at either end of a word
 SIZE = 3
 MIN_SHARE = 1e-5
@@ -146,9 +148,9 @@ def learn(docs: DataFrame) -> Filter:
 
     The driver gets the n-grams that belong to a language: 1 / MIN_SHARE for each language at most.
     """
-    counts = count_grams(docs.where(~held_out()))
+    counts = checkpointed(count_grams(docs.where(~held_out())))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= MIN_SHARE)
+    shares = counts.join(totals, "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= MIN_SHARE)
     top = shares.groupBy("gram").agg(F.max("share").alias("top"))
     got = shares.join(top, "gram").where(F.col("share") >= RATIO * F.col("top")).select("lang", "gram").toPandas()
     return Filter({lang: g.to_numpy(dtype=np.int64) for lang, g in got.groupby("lang")["gram"]})
