@@ -49,14 +49,25 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result is written to the shared folder and read again.
+
+    A stage's input goes once its output is written; only what the returned rows are read from stays.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
             return out
         path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
         out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            _remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
