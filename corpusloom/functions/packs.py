@@ -28,6 +28,7 @@ CONTRACTIONS = {
     "fr": [r"\bt['’](as|es|étais|avais|sais|vois|veux|fais)\b", r"\bj['’](sais|suis|pense|crois|vais|peux|veux|fais|dis|trouve)\b", r"\by['’]a\b", r"\bp['’]tit(e|s|es)?\b", r"\bch['’]uis\b"],
     "es": [r"\b(pa|na|to)['’](?=\s|$|[.,;:!?])", r"\bpa['’]l\b", r"(?<!\w)['’]t(á|a|oy|amos|án|an)\b"],
 }
+#: Words that address the reader, stop words, and languages whose words have no blanks between them.
 ADDRESS = {"en": "you|your|yours|yourself|yourselves"}
 STOPWORDS = {
     "en": "a all also an and any are as at be been being but by can could did do does each every for from had has have he her here him his how i in into "

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: a letter or a number sign that is no digit, then letters, apostrophes and hyphens
+#: A letter or a number sign that is no digit, then letters, apostrophes and hyphens; where sentences
+#: end (before a capital or digit; closers may follow the stop and one opener may precede the capital); headings; quotations.
 LETTER = r"\p{L}\p{No}\p{Nl}"
 WORD = rf"[{LETTER}][{LETTER}'-]*"
-#: a sentence ends before a capital or digit; closers may follow the stop and one opener may precede the capital
 SENTENCE_END = r"""(?<=[.!?])["')\]]* +(?=["'(\[]?(?:[A-Z0-9À-ÖØ-Þ]|[Ā-ԯ&&[\p{Lu}]]))"""
 HEADING_END = r"""[.!?:;]["'”’)\]]*$"""
 QUOTED = '“[^”\n]*”|"[^"\n]*"'
@@ -77,8 +77,17 @@ def blocks(text: Column) -> Column:
     return F.transform(found, lambda b, i: F.struct((i + 1).alias("n"), b.alias("block"), is_heading(b).alias("heading")))
 
 
+def once(value: Column, body) -> Column:
+    """`body` of a value that is worked out once; an expression that is named twice is else worked out twice."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def unquoted(text: Column) -> Column:
     """The text without quotations of four words or more."""
+    return F.when(text.rlike('["“]'), _unquoted(text)).otherwise(F.regexp_replace(text, "[ \t]{2,}", " "))
+
+
+def _unquoted(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(QUOTED), F.lit(0))
     kept = F.transform(found, lambda m: F.when(n_words(m) >= QUOTE_MIN_WORDS, "").otherwise(m))
     joined = F.array_join(F.zip_with(F.split(text, QUOTED, -1), kept, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
@@ -87,12 +96,14 @@ def unquoted(text: Column) -> Column:
 
 def prose_blocks(text: Column) -> Column:
     """`blocks` up to a reference list, without tables, block quotes and long quotations."""
-    every = blocks(text)
-    cut = F.array_position(F.transform(every, lambda b: b["heading"] & b["block"].rlike(REFERENCE_HEADING)), True)
-    mine = F.when(cut > 0, F.slice(every, F.lit(1), F.greatest(cut.cast("int") - 1, F.lit(0)))).otherwise(every)
-    prose = F.filter(mine, lambda b: ~not_prose(b["block"]))
+
+    def mine(every: Column) -> Column:
+        cut = F.array_position(F.transform(every, lambda b: b["heading"] & b["block"].rlike(REFERENCE_HEADING)), True)
+        return F.when(cut > 0, F.slice(every, F.lit(1), F.greatest(cut.cast("int") - 1, F.lit(0)))).otherwise(every)
+
+    prose = F.filter(once(blocks(text), mine), lambda b: ~(b["block"].rlike("^[|>]") & not_prose(b["block"])))
     clean = F.transform(prose, lambda b: b.withField("block", strip(unquoted(b["block"]))))
-    return F.filter(clean, lambda b: n_words(b["block"]) > 0)
+    return F.filter(clean, lambda b: b["block"].rlike(f"[{LETTER}]"))
 
 
 def paragraphs(text: Column) -> Column:

@@ -10,9 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the files give fewer partitions than there are; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document is a text; its source is its type."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text", "lang", F.col("source").alias("type"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("key"), "text", "lang", F.col("source").alias("type"))
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
