@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import style
 
 FAIL_PERCENT, BUNCH_MIN, BUNCH_P = 28, 3, 0.01
@@ -44,3 +45,33 @@ def poisson_tail(k: Column, mean: Column) -> Column:
 
 def is_bunch(count: Column, mean: Column) -> Column:
     return (count >= BUNCH_MIN) & (poisson_tail(count, mean) < BUNCH_P)
+
+
+HABITS = {"hedges_per_1k": "hedges", "semicolons_per_1k": "semicolons", "dashes_per_1k": "dashes", "colons_per_1k": "colons", "contractions_per_1k": "contractions"}
+BUNCH_WORDS = 40
+
+
+def bunches(drafts: DataFrame, slots: DataFrame, by: list[str]) -> DataFrame:
+    """key, paragraph, habit, count, expected: paragraphs of forty words that use a countable habit far above the slot's rate."""
+    names = list(dict.fromkeys(["key", "lang", *by]))
+    paras = drafts.select(*names, F.explode(T.prose_blocks(F.coalesce("text", F.lit("")))).alias("b"))
+    rows = style._counted(paras.where("not b.heading").withColumn("paragraph", F.col("b.n").cast("long")).withColumn("_paras", F.array("b.block")).drop("b"), "lang").where(F.col("n_words") >= BUNCH_WORDS)
+    long = rows.select("key", "paragraph", "n_words", *by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("count")) for m, c in HABITS.items()])).alias("x"))
+    long = long.select("key", "paragraph", "n_words", *by, "x.metric", "x.count").where("count is not null")
+    own = style.melted(slots, by).withColumnRenamed("value", "rate")
+    mean = F.col("rate") * F.col("n_words") / 1000
+    hit = long.join(own, [*by, "metric"]).where(F.col("count") >= BUNCH_MIN).where(is_bunch(F.col("count").cast("int"), mean))
+    return hit.select("key", "paragraph", F.col("metric").alias("habit"), "count", F.round(mean, 2).alias("expected"))
+
+
+def report(drafts: DataFrame, slots: DataFrame, levels: DataFrame, by: list[str]) -> DataFrame:
+    """key, status, flagged, over, under, bunched: the whole check; what would pass has low confidence where its slot has.
+
+    `levels` has `by` and level. The metrics that are off are listed by name.
+    """
+    flags = metric_flags(drafts, slots, by)
+    lists = flags.groupBy("key").agg(*[F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("flag") == f, F.col("metric"))))).alias(n) for n, f in (("over", "overshoot"), ("under", "shortfall"))])
+    n = bunches(drafts, slots, by).groupBy("key").agg(F.count("*").alias("bunched"))
+    rows = status(flags).join(lists, "key").join(n, "key", "left").join(drafts.select("key", *by), "key").join(levels.select(*by, "level"), by, "left")
+    said = F.when((F.col("status") == "pass") & (F.col("level") == "low"), "low_confidence").otherwise(F.col("status"))
+    return rows.select("key", said.alias("status"), "flagged", "over", "under", F.coalesce("bunched", F.lit(0)).alias("bunched"))

@@ -173,3 +173,29 @@ def drift(got: DataFrame, slot: DataFrame, on: list[str], by: list[str]) -> Data
     """by, metric, drift: log ratio of each metric to the slot's, values under the floor raised to it."""
     rows = got.join(slot, [*on, "metric"]).join(style.metric_table(got.sparkSession).select("metric", "floor"), "metric")
     return rows.select(*by, "metric", F.round(F.log(F.greatest("value", "floor") / F.greatest("slot", "floor")), 5).alias("drift"))
+
+
+def drift_trend(texts: DataFrame, held: DataFrame, by: str, orders: int = 10) -> DataFrame:
+    """by, stage, mean_drift: how far held-out texts lie from 1/4, 1/2 and all of an author's texts, over seeded orders.
+
+    Both have key, text, lang and `by`. Sums by text are drawn once; an order is a hash of its number and the key.
+    """
+    from pyspark.sql import Window
+
+    sums = style.sums(texts).select("key", by, *style.SUMS)
+    drawn = sums.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(orders)))).withColumn("h", F.md5(F.concat_ws("/", "k", "key")))
+    n = texts.groupBy(by).agg(F.count("*").alias("n"))
+    ranked = drawn.withColumn("rn", F.row_number().over(Window.partitionBy(by, "k").orderBy("h", "key"))).join(n, by)
+    stages = F.array(*[F.struct(F.lit(i).alias("stage"), size.alias("size")) for i, size in enumerate((F.greatest(F.lit(2), F.floor(F.col("n") / 4)), F.floor(F.col("n") / 2), F.col("n")))])
+    rows = ranked.withColumn("s", F.explode(stages)).where(F.col("rn") <= F.col("s.size")).withColumn("stage", F.col("s.stage"))
+    got = style.melted(style.summed(rows, [by, "k", "stage"]).select(by, "k", "stage", *style.values().values()), [by, "k", "stage"])
+    ref = style.melted(style.summed(style.sums(held), [by]).select(by, *style.values().values()), [by]).withColumnRenamed("value", "slot")
+    per = drift(got, ref, [by], [by, "k", "stage"]).groupBy(by, "k", "stage").agg(F.avg(F.abs("drift")).alias("d"))
+    return per.groupBy(by, "stage").agg(F.round(F.avg("d"), 4).alias("mean_drift"))
+
+
+def rebanded(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
+    """`new` bands in the place of `old` ones; an error if a slot's value is not what it was."""
+    was = old.select(*by, "metric", F.col("value").alias("was"))
+    same = F.assert_true(F.col("was").isNull() | (F.abs(F.col("value") - F.col("was")) < 1e-6), "a slot's value has changed")
+    return new.join(was, [*by, "metric"], "left").where(same.isNull()).drop("was")
