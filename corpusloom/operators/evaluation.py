@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import packs
-from . import ledger, style
+from . import ledger, ranks, style
 from .check import log_factorial
+from .similarity import checkpointed
 
 REPORT = "\n## Report"
 #: Files that texts are read from.
@@ -67,9 +68,9 @@ def without_own(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 def sweep(distances: DataFrame, by: list[str], factors: list[float]) -> DataFrame:
     """k, flagged, n: outliers at thresholds of k deviations above the median of their group of five texts or more."""
-    mid = distances.groupBy(*by).agg(F.median("distance").alias("m"), F.count("*").alias("c")).where("c >= 5")
-    rows = distances.join(mid, by)
-    mad = rows.groupBy(*by).agg(F.median(F.abs(F.col("distance") - F.col("m"))).alias("mad"))
+    n = distances.groupBy(*by).agg(F.count("*").alias("c")).where("c >= 5")
+    rows = checkpointed(distances.join(ranks.quantiles(distances, by, "distance", {"m": 0.5}).join(n, by), by).withColumn("off", F.abs(F.col("distance") - F.col("m"))))
+    mad = ranks.quantiles(rows, by, "off", {"mad": 0.5})
     over = [F.count_if(F.col("distance") > F.greatest(F.col("m") + k * 1.4826 * F.col("mad"), 1.5 * F.col("m"))).alias(f"k{i}") for i, k in enumerate(factors)]
     wide = rows.join(mad, by).agg(F.count("*").alias("n"), *over)
     return wide.select(F.inline(F.array(*[F.struct(F.lit(float(k)).alias("k"), F.col(f"k{i}").alias("flagged"), F.col("n")) for i, k in enumerate(factors)])))

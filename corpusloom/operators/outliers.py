@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import style
+from . import ranks, style
+from .similarity import checkpointed
 
 MIN_TEXTS, K, FACTOR, TOP, GAP = 5, 4, 1.5, 3, 1.25
 
@@ -22,14 +23,12 @@ def without_self(rows: DataFrame, by: list[str]) -> DataFrame:
     Leaving one value out moves the middle by one place at most, so three middle values of the whole slot
     and the side on which the own value lies are enough; nothing is joined to itself.
     """
-    part = ", ".join([*by, "metric"])
-    ranked = rows.withColumn("rn", F.expr(f"row_number() over (partition by {part} order by value, key) - 1")).withColumn("n", F.expr(f"count(*) over (partition by {part})"))
-
-    def at(place: str) -> str:
-        return f"max(case when rn = {place} then value end) over (partition by {part})"
-
-    half = "cast(floor(n / 2) as int)"
-    mids = ranked.withColumns({"m0": F.expr(at(f"{half} - 1")), "m1": F.expr(at(half)), "m2": F.expr(at(f"{half} + 1"))})
+    group = [*by, "metric"]
+    placed = ranks.numbered(rows, group, ["value", "key"], "rn").withColumn("rn", F.col("rn") - 1)
+    ranked = placed.join(placed.groupBy(*group).agg((F.max("rn") + 1).alias("n")), group)
+    half = F.floor(F.col("n") / 2)
+    near = ranked.where(F.abs(F.col("rn") - half) <= 1).groupBy(*group).agg(*[F.max(F.when(F.col("rn") == half + k - 1, F.col("value"))).alias(f"m{k}") for k in range(3)])
+    mids = ranked.join(near, group)
     # n even: n - 1 others, the middle is place n/2 - 1 of them; n odd: the mean of places (n - 1)/2 - 1 and (n - 1)/2
     even = F.when(F.col("rn") <= F.col("n") / 2 - 1, F.col("m1")).otherwise(F.col("m0"))
     low = F.when(F.col("rn") <= (F.col("n") - 1) / 2 - 1, F.col("m1")).otherwise(F.col("m0"))
@@ -50,14 +49,15 @@ def distances(texts: DataFrame, by: list[str]) -> DataFrame:
 
 def thresholds(dist: DataFrame, by: list[str]) -> DataFrame:
     """by, n, median, threshold: four robust deviations above the median, but at least one and a half medians."""
-    mid = dist.groupBy(*by).agg(F.median("distance").alias("median"), F.count("*").alias("n"))
-    off = dist.join(mid, by).groupBy(*by).agg(F.median(F.abs(F.col("distance") - F.col("median"))).alias("mad"))
+    mid = ranks.quantiles(dist, by, "distance", {"median": 0.5}).join(dist.groupBy(*by).agg(F.count("*").alias("n")), by)
+    off = ranks.quantiles(dist.join(mid, by).withColumn("off", F.abs(F.col("distance") - F.col("median"))), by, "off", {"mad": 0.5})
     return mid.join(off, by).withColumn("threshold", F.greatest(F.col("median") + K * 1.4826 * F.col("mad"), FACTOR * F.col("median"))).drop("mad")
 
 
 def outliers(texts: DataFrame, by: list[str]) -> DataFrame:
     """key, by, distance, threshold, median for texts beyond their slot's threshold, in slots of five texts or more."""
     dist = distances(texts, by)
+    dist = checkpointed(dist)
     rows = dist.join(thresholds(dist, by), by).where((F.col("n") >= MIN_TEXTS) & (F.col("distance") > F.col("threshold")))
     return rows.select("key", *by, *[F.round(c, 3).alias(c) for c in ("distance", "threshold", "median")])
 
@@ -71,12 +71,14 @@ def off_metrics(texts: DataFrame, by: list[str]) -> DataFrame:
 
 def verify(drafts: DataFrame, texts: DataFrame, by: list[str]) -> DataFrame:
     """key, by, distance, share_further, verdict of every draft against the texts of its slot."""
-    own = distances(texts, by)
+    own = checkpointed(distances(texts, by))
     limits = thresholds(own, by).where(F.col("n") >= MIN_TEXTS)
-    ref = long_values(texts, by).groupBy(*by, "metric").agg(F.median("value").alias("ref"))
+    ref = ranks.quantiles(long_values(texts, by), [*by, "metric"], "value", {"ref": 0.5})
     d = long_values(drafts, by).join(ref, [*by, "metric"]).groupBy("key", *by).agg(F.avg(gap()).alias("d"))
-    # the own distances of a slot are few numbers next to its texts; each draft meets those of its slot only
-    share = d.join(own.drop("key"), by).groupBy("key", *by, "d").agg(F.avg((F.col("distance") >= F.col("d")).cast("int")).alias("share"))
+    # in one order of drafts and texts, a draft's running count of texts is how many are nearer than it
+    line = d.select("key", *by, F.col("d").alias("x"), F.lit(0).alias("text")).unionByName(own.select("key", *by, F.col("distance").alias("x"), F.lit(1).alias("text")))
+    nearer = ranks.running(line, by, ["x", "text", "key"], "text", "nearer").where("text = 0")
+    share = nearer.select("key", *by, F.col("x").alias("d"), "nearer").join(own.groupBy(*by).agg(F.count("*").alias("own")), by).withColumn("share", 1 - F.col("nearer") / F.col("own"))
     rows = share.join(limits, by)
     verdict = F.when(F.col("d") <= F.col("median"), "closer than most").when(F.col("d") <= F.col("threshold"), "within the range").otherwise("unlike the others")
     return rows.select("key", *by, F.round("d", 3).alias("distance"), F.round("share", 3).alias("share_further"), verdict.alias("verdict"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import ranks
+from .similarity import checkpointed
 
 PERCENTILE, MIN_HITS, RATE_FACTOR, THIN = 0.95, 2, 2.0, 5
 #: Redaction patterns in their order, each with what takes its place.
@@ -87,13 +89,9 @@ def rates(texts: DataFrame, tests: dict[str, str], by: list[str]) -> DataFrame:
 
 def allowances(texts: DataFrame, tests: dict[str, str], by: list[str]) -> DataFrame:
     """by, id, rate: nearest-rank 95th percentile of the texts' rates; the mean, at least .01, where that is 0 though used."""
-    rows = counted(texts, tests).where("n_words > 0").withColumn("r", F.col("hits") * 1000 / F.col("n_words"))
-    ranked = rows.withColumns(
-        {"rn": F.expr(f"row_number() over (partition by {', '.join(by)}, id order by r)"), "n": F.expr(f"count(*) over (partition by {', '.join(by)}, id)")}
-    )
-    got = ranked.groupBy(*by, "id").agg(
-        F.max(F.when(F.col("rn") == F.greatest(F.lit(1), F.ceil(PERCENTILE * F.col("n"))), F.col("r"))).alias("p"), F.sum("hits").alias("h"), F.sum("n_words").alias("w")
-    )
+    rows = checkpointed(counted(texts, tests).where("n_words > 0").withColumn("r", F.col("hits") * 1000 / F.col("n_words")))
+    sums = rows.groupBy(*by, "id").agg(F.sum("hits").alias("h"), F.sum("n_words").alias("w"))
+    got = sums.join(ranks.nearest_rank(rows, [*by, "id"], "r", PERCENTILE, "p"), [*by, "id"])
     p = F.when(F.col("h") == 0, 0.0).when(F.col("p") == 0, F.greatest(F.lit(0.01), F.col("h") * 1000 / F.col("w"))).otherwise(F.col("p"))
     return got.select(*by, "id", F.round(p, 2).alias("rate"))
 

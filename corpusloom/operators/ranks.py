@@ -14,6 +14,7 @@ from .similarity import checkpointed
 
 def running(rows: DataFrame, group: list[str], order: list[str], value: str | None = None, name: str = "upto") -> DataFrame:
     """`rows` with `name`: the sum of `value` (of ones, if none is named) in the group up to and with the row, in a total order."""
+    rows = checkpointed(rows)  # a range partitioning reads its rows twice
     dealt = checkpointed(rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order))
     own = dealt.withColumns({"_part": F.spark_partition_id(), "_v": F.col(value) if value else F.lit(1).cast("long")})
     here = Window.partitionBy("_part", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -29,3 +30,27 @@ def running(rows: DataFrame, group: list[str], order: list[str], value: str | No
 def numbered(rows: DataFrame, group: list[str], order: list[str], name: str = "n") -> DataFrame:
     """`rows` with their number in the group, from 1."""
     return running(rows, group, order, None, name)
+
+
+def _placed(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, _x, _n (its place in the group, from 1) and _total for the values that are not null."""
+    own = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_x"))
+    placed = numbered(own, by, ["_x"], "_n")
+    return placed.join(placed.groupBy(*by).agg(F.max("_n").alias("_total")), by)
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, asked: dict[str, float]) -> DataFrame:
+    """by and a column for each quantile asked for, exactly, between the two values next to it; no group is gathered."""
+    at = {name: F.lit(q) * (F.col("_total") - 1) for name, q in asked.items()}
+    placed = _placed(rows, by, value)
+    wanted = [p + 1 for x in at.values() for p in (F.floor(x), F.ceil(x))]
+    few = placed.where(F.col("_n").isin(*wanted))
+    sides = [F.max(F.when(F.col("_n") == f(x) + 1, F.col("_x"))).alias(f"_{name}_{k}") for name, x in at.items() for k, f in enumerate((F.floor, F.ceil))]
+    got = few.groupBy(*by, "_total").agg(*sides)
+    return got.select(*by, *[(F.col(f"_{name}_0") + (F.col(f"_{name}_1") - F.col(f"_{name}_0")) * (x - F.floor(x))).alias(name) for name, x in at.items()])
+
+
+def nearest_rank(rows: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
+    """by and the smallest value that a share q of the group does not exceed."""
+    placed = _placed(rows, by, value)
+    return placed.where(F.col("_n") == F.greatest(F.lit(1), F.ceil(q * F.col("_total")))).select(*by, F.col("_x").alias(name))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import packs
 from ..functions import text as T
+from . import ranks
+from .similarity import checkpointed
 
 MIN_WORDS, MIN_TEXTS, MIN_PARAGRAPHS, MIN_SECTIONS = 300, 5, 5, 3
 FEATURES = ("paragraph_length_cv", "paragraph_sentences", "one_sentence_paragraphs", "section_length_cv", "reader_address_per_1k", "long_quotes_per_1k", "quoted_share")
@@ -79,9 +81,10 @@ def measures(texts: DataFrame) -> DataFrame:
 
 def ranges(shapes: DataFrame, by: list[str]) -> DataFrame:
     """by, feature, low, mid, high, texts for features that at least five texts show."""
-    rows = shapes.unpivot([*by], list(FEATURES), "feature", "value").where("value is not null")
-    q = lambda x: F.round(F.percentile("value", F.lit(x)), 4)
-    return rows.groupBy(*by, "feature").agg(q(0.1).alias("low"), q(0.5).alias("mid"), q(0.9).alias("high"), F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
+    rows = checkpointed(shapes.unpivot([*by], list(FEATURES), "feature", "value").where("value is not null"))
+    names = {"low": 0.1, "mid": 0.5, "high": 0.9}
+    got = ranks.quantiles(rows, [*by, "feature"], "value", names).select(*by, "feature", *[F.round(n, 4).alias(n) for n in names])
+    return got.join(rows.groupBy(*by, "feature").agg(F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS), [*by, "feature"])
 
 
 def compared(shapes: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
@@ -101,16 +104,18 @@ def quirks(texts: DataFrame) -> DataFrame:
 def quirk_ranges(counts: DataFrame, by: list[str]) -> DataFrame:
     """by, quirk, rate, high, share over texts of 300 words or more, where there are five."""
     rows = counts.where(F.col("n_words") >= MIN_WORDS).unpivot([*by, "n_words"], list(QUIRKS), "quirk", "uses")
+    rows = checkpointed(rows.withColumn("per_1k", F.col("uses") * 1000 / F.col("n_words")))
+    high = ranks.quantiles(rows, [*by, "quirk"], "per_1k", {"high": 0.9})
     return (
         rows.groupBy(*by, "quirk")
         .agg(
             F.round(F.sum("uses") * 1000 / F.sum("n_words"), 3).alias("rate"),
-            F.round(F.percentile(F.col("uses") * 1000 / F.col("n_words"), F.lit(0.9)), 3).alias("high"),
             F.round(F.avg((F.col("uses") > 0).cast("int")), 3).alias("share"),
             F.count("*").alias("texts"),
         )
         .where(F.col("texts") >= MIN_TEXTS)
-        .drop("texts")
+        .join(high.withColumn("high", F.round("high", 3)), [*by, "quirk"])
+        .select(*by, "quirk", "rate", "high", "share")
     )
 
 

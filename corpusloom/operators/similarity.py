@@ -12,13 +12,18 @@ from ..functions import text as T
 
 THRESHOLD = 0.9
 SIZE = 5
+#: rows of a list that is still broadcast
+MAX_BROADCAST = 200_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared folder of spark.checkpoint.dir and read from there; a local one only where none is set."""
+    """Written to the shared folder of spark.checkpoint.dir and read from there; one machine alone may do without the setting."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint(eager=True)
 
 
@@ -101,7 +106,10 @@ def overlaps(texts: DataFrame, passages: DataFrame, size: int = 4) -> DataFrame:
         low = F.transform(T.words(F.coalesce("text", F.lit(""))), lambda w: F.lower(w))
         return df.select(F.col("key").alias(name), F.explode(grams(low, size)).alias("g"))
 
-    return exploded(texts, "key").join(exploded(passages, "item"), "g").groupBy("key", "item").agg(F.count("*").alias("shared"))
+    # few n-grams go to the texts; many meet them by a shuffle
+    asked = checkpointed(exploded(passages, "item"))
+    asked = F.broadcast(asked) if asked.count() <= MAX_BROADCAST else asked
+    return exploded(texts, "key").join(asked, "g").groupBy("key", "item").agg(F.count("*").alias("shared"))
 
 
 def top_passages(passages: DataFrame, briefs: DataFrame, stop: str, n: int = 3) -> DataFrame:
@@ -114,7 +122,8 @@ def top_passages(passages: DataFrame, briefs: DataFrame, stop: str, n: int = 3)
     docs = checkpointed(tokens(passages, "key"))
     total = passages.count()
     idf = docs.groupBy("w").agg(F.log(1 + F.lit(total) / F.count("*")).alias("idf"))
-    asked = tokens(briefs, "brief").join(idf, "w")
+    asked = checkpointed(tokens(briefs, "brief").join(idf, "w"))
+    asked = F.broadcast(asked) if asked.count() <= MAX_BROADCAST else asked
     scored = asked.join(docs, "w").groupBy("brief", "key").agg(F.round(F.sum("idf"), 6).alias("score"))
     ranked = scored.withColumn("rank", F.expr("row_number() over (partition by brief order by score desc, key)"))
     return ranked.where(F.col("rank") <= n).select("brief", "key", F.col("rank").cast("long").alias("rank"), "score")

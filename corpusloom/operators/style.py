@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import packs
 from ..functions import text as T
+from . import ranks
+from .similarity import checkpointed
 
 SUMS = (
     "n_para", "n_sent", "sum_len", "sumsq_len", "n_short", "n_long", "commas", "semicolons", "colons", "dashes", "digits",
@@ -20,7 +22,12 @@ METRICS = tuple(packs.METRICS)
 
 
 def sums(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """`texts` with the columns of SUMS; list counts are null where the language has no list."""
+    """`texts` with the columns of SUMS; list counts are null where the language has no list.
+
+    Rows that have the sums already come back as they are, so a query that needs them twice finds them once.
+    """
+    if set(SUMS) <= set(texts.columns):
+        return texts
     paras = texts.withColumn("_paras", T.paragraphs(F.coalesce(F.col(text), F.lit(""))))
     return _counted(paras, lang)
 
@@ -61,6 +68,11 @@ def _counted(paras: DataFrame, lang: str) -> DataFrame:
     return rows.withColumns({k: v.cast("long") for k, v in counted.items()}).drop("_paras", "_body", "_sents", "_words", "_low", "_len", "_first")
 
 
+def summed_once(texts: DataFrame) -> DataFrame:
+    """`texts` with their sums in the place of the text, written once for all that a query does with them."""
+    return checkpointed(sums(texts).drop("text"))
+
+
 def values(digits: int = 6) -> dict[str, Column]:
     """The metrics from the columns of SUMS. A text without sentences has one of length zero."""
     c = F.col
@@ -185,7 +197,11 @@ def bands(texts: DataFrame, by: tuple[str, ...] = ("lang",), size: int = 350, le
     slots = melted(slot_metrics(texts, by), list(by))
     wins = melted(window_metrics(texts, size), ["key", "w", *by]).withColumnRenamed("value", "own")
     joined = slots.join(wins, [*by, "metric"], "left").withColumn("r", F.when(F.col("value") > 0, F.col("own") / F.col("value")))
-    got = joined.groupBy(*by, "metric", "value").agg(F.count("own").alias("n_windows"), F.round(F.percentile("r", F.lit(0.95)), 3).alias("q95"), F.round(F.percentile("r", F.lit(0.05)), 3).alias("q05"))
+    joined = checkpointed(joined)
+    group = [*by, "metric"]
+    got = joined.groupBy(*group, "value").agg(F.count("own").alias("n_windows"))
+    q = ranks.quantiles(joined, group, "r", {"q95": 0.95, "q05": 0.05})
+    got = got.join(q.select(*group, F.round("q95", 3).alias("q95"), F.round("q05", 3).alias("q05")), group, "left")
     rows = got.join(metric_table(texts.sparkSession), "metric")
     wide = (F.col("n_windows") >= least) & (F.col("value") >= F.col("floor"))
     over = F.when(wide, F.greatest("overshoot", "q95")).otherwise(F.col("overshoot"))

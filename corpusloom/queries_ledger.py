@@ -698,13 +698,13 @@ def o102(s, d):
     """Metrics by which texts of one language differ from the slot most often, worst first."""
     from .operators.check import metric_flags
 
-    docs = documents(s, d)
+    docs = style.summed_once(documents(s, d))
     return E.primary(metric_flags(docs, style.slot_metrics(docs, ("lang",)), ["lang"]), 5)
 
 
 @add("o184_drift_per_metric")
 def o184(s, d):
-    docs = documents(s, d)
+    docs = style.summed_once(documents(s, d))
     slot = style.melted(style.slot_metrics(docs, ("lang",)), ["lang"]).withColumnRenamed("value", "slot")
     got = style.melted(style.slot_metrics(docs, ("lang", "type")), ["lang", "type"])
     return E.drift(got, slot, ["lang"], ["lang", "type"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import packs
 from .functions import text as T
-from .operators import outliers, similarity, style
+from .operators import outliers, ranks, similarity, style
 from .plans import oracle as O
 from .sources.tables import documents, table
 
@@ -144,8 +144,8 @@ def o116(spark, d):
 @add("o087_quantiles", f"WITH {O.sums(O.DOCS)}, vals AS (SELECT key, lang, type, {O.value_columns()} FROM sums), long AS ({O.melted('vals', 'lang')}) SELECT lang, metric, round(quantile_cont(value, 0.05), 5) AS q05, round(quantile_cont(value, 0.5), 5) AS q50, round(quantile_cont(value, 0.95), 5) AS q95 FROM long GROUP BY lang, metric")
 def o087(spark, d):
     rows = style.melted(style.text_metrics(documents(spark, d)), ["lang"])
-    q = lambda x: F.round(F.percentile("value", F.lit(x)), 5)
-    return rows.groupBy("lang", "metric").agg(q(0.05).alias("q05"), q(0.5).alias("q50"), q(0.95).alias("q95"))
+    names = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
+    return ranks.quantiles(rows, ["lang", "metric"], "value", names).select("lang", "metric", *[F.round(n, 5).alias(n) for n in names])
 
 
 @add(
@@ -155,7 +155,7 @@ def o087(spark, d):
 )
 def o107(spark, d):
     """Mean absolute log ratio of every text to its language's slot, and how many metrics lie outside the band."""
-    docs = documents(spark, d)
+    docs = style.summed_once(documents(spark, d))
     slot = style.melted(style.slot_metrics(docs, ("lang",)), ["lang"]).withColumnRenamed("value", "slot")
     rows = style.melted(style.text_metrics(docs), ["key", "lang"]).join(slot, ["lang", "metric"]).join(style.metric_table(spark), "metric")
     r = F.greatest("value", "floor") / F.greatest("slot", "floor")
@@ -182,7 +182,7 @@ def o106(spark, d):
 )
 def o118(spark, d):
     """Every text as the example passage of its slot: targets lean to it by words / (words + 300)."""
-    docs = documents(spark, d)
+    docs = style.summed_once(documents(spark, d))
     slot = style.melted(style.slot_metrics(docs, ("lang",)), ["lang"]).withColumnRenamed("value", "slot")
     own = style.sums(docs).select("key", "lang", F.col("n_words").alias("words"), *style.values().values())
     rows = style.melted(own, ["key", "lang", "words"]).join(slot, ["lang", "metric"])
@@ -201,9 +201,9 @@ _TONES = ", ".join(f"('{t}', '{m}', {v}, {i})" for i, (t, p) in enumerate(packs.
 )
 def o119(spark, d):
     """For each tone and language the targets it moves: to the writer's own quartile where that lies further."""
-    docs = documents(spark, d)
+    docs = style.summed_once(documents(spark, d))
     slot = style.melted(style.slot_metrics(docs, ("lang",)), ["lang"])
-    q = style.melted(style.text_metrics(docs), ["lang"]).groupBy("lang", "metric").agg(F.percentile("value", F.lit(0.25)).alias("lo"), F.percentile("value", F.lit(0.75)).alias("hi"))
+    q = ranks.quantiles(style.melted(style.text_metrics(docs), ["lang"]), ["lang", "metric"], "value", {"lo": 0.25, "hi": 0.75})
     tones = F.broadcast(spark.createDataFrame([(t, m, v) for t, p in packs.TONES.items() for m, v in p.items()], "tone string, metric string, up int"))
     target = F.when(F.col("up") > 0, F.greatest("value", "hi")).otherwise(F.least("value", "lo"))
     return slot.join(q, ["lang", "metric"]).join(tones, "metric").select("tone", "lang", "metric", F.round(target, 5).alias("target"))
@@ -217,7 +217,7 @@ def o119(spark, d):
 def o138(spark, d):
     from .operators.check import metric_flags
 
-    docs = documents(spark, d)
+    docs = style.summed_once(documents(spark, d))
     return metric_flags(docs, style.slot_metrics(docs, ("lang",)), ["lang"]).select("key", "metric", "flag")
 
 
@@ -228,5 +228,5 @@ def o138(spark, d):
 def o149(spark, d):
     from .operators.check import metric_flags, status
 
-    docs = documents(spark, d)
+    docs = style.summed_once(documents(spark, d))
     return status(metric_flags(docs, style.slot_metrics(docs, ("lang",)), ["lang"]))
