@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import align, check, patterns, shape
 from .plans import oracle as O
+from .plans import style_sql
 from .sources import formats
 from .sources.tables import conversations, documents, table
 
@@ -114,7 +115,7 @@ def o095(spark, d):
 
 @add("o039_redacted")
 def o039(spark, d):
-    """E-mail, bank, profile, phone and postcode redaction; look-behind keeps it from SQL, tests use Python's own engine."""
+    """E-mail, bank, profile, phone and postcode redaction; look-behind keeps it from SQL, a test holds it against hand-made texts."""
     t = patterns.redacted(F.col("text"), [("Anblewh", "[person]")])
     return table(spark, d, "documents").select("doc_id", F.md5(t).alias("digest"), (t != F.col("text")).alias("changed"))
 
@@ -159,7 +160,7 @@ def o056(spark, d):
 
 @add("o096_shape")
 def o096(spark, d):
-    """Shape of the conversations; sections are folds, tests compare with plain Python."""
+    """Shape of the conversations; sections are folds, a test has a case made by hand."""
     return shape.measures(conversations(spark, d))
 
 
@@ -179,7 +180,7 @@ def o098(spark, d):
     return shape.quirks(documents(spark, d)).where("n_words > 0").select("key", "n_words", "exclamations", "questions")
 
 
-@add("o148_quirk_flags")
+@add("o148_quirk_flags", style_sql.QUIRKS)
 def o148(spark, d):
     counts = shape.quirks(documents(spark, d))
     return shape.quirk_flags(counts, shape.quirk_ranges(counts, ["lang"]), ["lang"])
@@ -194,7 +195,7 @@ def o141(spark, d):
 
 @add("o008_page_text")
 def o008(spark, d):
-    """Main text of pages by a chain of replacements; entities by the standard library, so tests use it too."""
+    """Main text of pages by its elements; a test holds it against hand-made pages."""
     return table(spark, d, "pages").select("page_id", formats.page_text(F.col("html")).alias("text"))
 
 
@@ -239,7 +240,7 @@ def o136(spark, d):
     return table(spark, d, "documents").select("doc_id", F.inline(F.array(align.identified("text"))))
 
 
-@add("o169_moving_ttr", None)
+@add("o169_moving_ttr", style_sql.TTR)
 def o169(spark, d):
     """Mean share of distinct words over windows of 100 words, every ten words."""
     return documents(spark, d).select("key", style_ttr().alias("ttr"))

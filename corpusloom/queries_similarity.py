@@ -8,6 +8,7 @@ from .functions import packs
 from .functions import text as T
 from .operators import outliers, ranks, similarity, style
 from .plans import oracle as O
+from .plans import style_sql
 from .sources.tables import documents, table
 
 QUERIES: dict = {}
@@ -134,9 +135,9 @@ def o115_off(spark, d):
 _DRAFTS = "SELECT item_id AS key, text, 'en' AS lang, 'src' || (item_id % 20) AS type FROM benchmark"
 
 
-@add("o116_verify")
+@add("o116_verify", style_sql.verified(_LONG, _DRAFTS))
 def o116(spark, d):
-    """Benchmark passages against the slots of English documents; the test compares with plain Python."""
+    """Benchmark passages against the slots of English documents."""
     drafts = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), "text", F.lit("en").alias("lang"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("type"))
     return outliers.verify(drafts, documents(spark, d), _BY)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import style
 from .plans import oracle as O
+from .plans import style_sql
 from .sources.tables import conversations, documents, table
 
 QUERIES: dict = {}
@@ -150,15 +151,15 @@ def o091(spark, d):
     return style.confidence(documents(spark, d))
 
 
-@add("o086_windows")
+@add("o086_windows", style_sql.WINDOWS)
 def o086(spark, d):
-    """Windows of 350 words or more over the conversations' turns; tested against a fold in Python."""
+    """Windows of 350 words or more over the conversations' turns."""
     return style.windows(conversations(spark, d)).select("key", "w", "window_words", F.size("paras").alias("n_paras"))
 
 
-@add("o088_bands")
+@add("o088_bands", style_sql.BANDS)
 def o088(spark, d):
-    """Bands by language over documents; windows are folds, so the test checks them by brute force."""
+    """Bands by language over documents."""
     return style.bands(documents(spark, d))
 
 
