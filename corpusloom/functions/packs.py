@@ -93,3 +93,35 @@ def contractions(low: Column, lang: Column) -> Column:
 
 def openers(first_words: Column, lang: Column) -> Column:
     return by_language(lang, lambda p: F.size(F.filter(first_words, lambda w: w.isin(*p.split("|")))), OPENERS)
+
+
+LISTS = {"hedges": HEDGES, "openers": OPENERS, "contractions": CONTRACTIONS, "address": ADDRESS, "stopwords": STOPWORDS}
+
+
+def load(folder: str) -> dict[str, list[str]]:
+    """Language packs as data: reads <folder>/<code>/<list>.txt, one entry a line, # for remarks, for the lists of LISTS.
+
+    What is read takes the place of the pack of that language, so that all functions of this module know it; lists
+    that a folder lacks stay without counts, and metrics that count them are null. Returns the lists by language.
+    Entries must be in lower case, as texts are when they are counted; patterns of contractions must compile.
+    """
+    import os
+
+    found: dict[str, list[str]] = {}
+    for code in sorted(os.listdir(folder)):
+        for name, packs in LISTS.items():
+            path = os.path.join(folder, code, f"{name}.txt")
+            if not os.path.isfile(path):
+                continue
+            with open(path, encoding="utf-8") as f:
+                entries = [x.strip() for x in f if x.strip() and not x.startswith("#")]
+            if name == "contractions":
+                for x in entries:
+                    re.compile(x)
+                packs[code] = entries
+            else:
+                if any(x != x.lower() for x in entries):
+                    raise ValueError(f"{code}/{name}: entries must be in lower case")
+                packs[code] = (" " if name == "stopwords" else "|").join(entries)
+            found.setdefault(code, []).append(name)
+    return found
