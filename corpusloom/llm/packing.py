@@ -4,7 +4,8 @@ Documents become ids (and one closing id); each is cut into pieces of the sequen
 Piece lengths are rounded up to classes of `step` tokens. Over the histogram of classes, which has a
 fixed size however large the corpus is, the driver solves the cutting-stock linear program: columns are
 patterns of classes that fit one sequence, an unbounded-knapsack dynamic program prices them against the
-duals, and the revised simplex method brings the best one in, until none helps. Patterns are used as often
+duals, and the revised simplex method brings the best one in, until none helps (or after `MAX_ROUNDS`, or once
+`STALL` rounds have brought nothing: the patterns found by then are a plan too, only a looser one). Patterns are used as often
 as the floor of their value; the pieces left over, a few for each class, are packed by best fit
 decreasing. Pieces are ranked within their class, the ranks are dealt to the patterns' slots, and offsets
 are running sums within a sequence.
