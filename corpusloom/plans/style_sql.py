@@ -50,3 +50,26 @@ SELECT key, quirk, uses, allowed, CASE WHEN uses > allowed THEN 'high' WHEN uses
 
 TTR = f"""WITH w AS (SELECT doc_id AS key, list_transform({O.words('text')}, lambda x: lower(x)) AS ws FROM documents)
 SELECT key, CASE WHEN len(ws) > 0 THEN round(list_avg(list_transform(range(1, greatest(len(ws) - 99, 1) + 1, 10), lambda i: len(list_distinct(ws[i:i + 99])) / least(100, len(ws)))), 6) END AS ttr FROM w"""
+
+_LONG_QUOTES = f"list_filter(regexp_extract_all(b, '{O.QUOTED}'), lambda q: {O.n_words('q')} >= 4)"
+_ALL_START = "len(list_filter(string_split(b, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '{}'))) = 0"
+_QUOTE = _ALL_START.format(">")
+_ADDRESS = f"len(regexp_extract_all(regexp_replace(lower(string_agg(b, chr(10) ORDER BY n)), '({O.NOT_WORD})', '\\1\\1', 'g'), '(?:^|{O.NOT_WORD})(?:yourselves|yourself|yours|your|you)(?:$|{O.NOT_WORD})'))"
+_CV = "CASE WHEN avg({0}) > 0 THEN stddev_pop({0}) / avg({0}) ELSE 0 END"
+#: CTEs up to `shape`: the features of every conversation with 300 words of prose
+_SHAPE = f"""pr AS (WITH {O.prose(O.TALKS)} SELECT * FROM prose), every AS (WITH {O.prose(O.TALKS)} SELECT key, n, b, heading, ref FROM ref_blk),
+pa AS (SELECT *, {O.n_words('b')} AS w, greatest(1, len({O.split_sentences('b')})) AS ns FROM pr WHERE NOT heading),
+pf AS (SELECT key, lang, type, count(*) AS k, sum(w) AS words, {_CV.format('w')} AS cv, avg(ns) AS ns, avg((ns = 1)::INT) AS one, {_ADDRESS} AS you FROM pa GROUP BY key, lang, type HAVING sum(w) >= 300),
+se AS (SELECT key, sec, sum({O.n_words('b')}) AS w FROM (SELECT *, count(*) FILTER (heading) OVER (PARTITION BY key ORDER BY n) AS sec FROM pr) WHERE NOT heading GROUP BY key, sec),
+sf AS (SELECT key, count(*) AS k, {_CV.format('w')} AS cv FROM se WHERE w > 0 GROUP BY key),
+qf AS (SELECT key, sum({O.n_words('b')}) AS words, sum(CASE WHEN {_QUOTE} THEN 1 ELSE len({_LONG_QUOTES}) END) AS quotes,
+  sum(CASE WHEN {_QUOTE} THEN {O.n_words('b')} ELSE coalesce(list_sum(list_transform({_LONG_QUOTES}, lambda q: {O.n_words('q')})), 0) END) AS quoted FROM every WHERE (ref IS NULL OR n < ref) AND NOT {_ALL_START.format('|')} GROUP BY key),
+shape AS (SELECT p.key, lang, type, CASE WHEN p.k >= 5 THEN round(p.cv, 4) END AS paragraph_length_cv, CASE WHEN p.k >= 5 THEN round(p.ns, 4) END AS paragraph_sentences, CASE WHEN p.k >= 5 THEN round(p.one, 4) END AS one_sentence_paragraphs,
+  CASE WHEN s.k >= 3 THEN round(s.cv, 4) END AS section_length_cv, CASE WHEN lang = 'en' THEN round(you * 1000 / p.words, 4) END AS reader_address_per_1k,
+  CASE WHEN q.words > 0 THEN round(quotes * 1000 / q.words, 4) END AS long_quotes_per_1k, CASE WHEN q.words > 0 THEN round(quoted / q.words, 4) END AS quoted_share FROM pf p LEFT JOIN sf s USING (key) LEFT JOIN qf q USING (key))"""
+_FEATURES = "paragraph_length_cv paragraph_sentences one_sentence_paragraphs section_length_cv reader_address_per_1k long_quotes_per_1k quoted_share".split()
+_RANGES = f"""{_SHAPE}, sl AS ({' UNION ALL '.join(f"SELECT key, lang, '{f}' AS feature, {f} AS value FROM shape WHERE {f} IS NOT NULL" for f in _FEATURES)}),
+span AS (SELECT lang, feature, round(quantile_cont(value, 0.1), 4) AS low, round(quantile_cont(value, 0.5), 4) AS mid, round(quantile_cont(value, 0.9), 4) AS high, count(*) AS texts FROM sl GROUP BY lang, feature HAVING count(*) >= 5)"""
+SHAPE = f"WITH {_SHAPE} SELECT * FROM shape"
+SHAPE_RANGES = f"WITH {_RANGES} SELECT * FROM span"
+SHAPE_FLAGS = f"WITH {_RANGES} SELECT key, feature, CASE WHEN value > high THEN 'high' WHEN value < low AND feature NOT IN ('long_quotes_per_1k', 'quoted_share') THEN 'low' ELSE 'ok' END AS flag FROM sl JOIN span USING (lang, feature)"

@@ -158,18 +158,18 @@ def o056(spark, d):
 
 
 
-@add("o096_shape")
+@add("o096_shape", style_sql.SHAPE)
 def o096(spark, d):
     """Shape of the conversations; sections are folds, a test has a case made by hand."""
     return shape.measures(conversations(spark, d))
 
 
-@add("o097_shape_ranges")
+@add("o097_shape_ranges", style_sql.SHAPE_RANGES)
 def o097(spark, d):
     return shape.ranges(shape.measures(conversations(spark, d)), ["lang"])
 
 
-@add("o147_shape_flags")
+@add("o147_shape_flags", style_sql.SHAPE_FLAGS)
 def o147(spark, d):
     own = shape.measures(conversations(spark, d))
     return shape.compared(own, shape.ranges(own, ["lang"]), ["lang"])
