@@ -99,8 +99,11 @@ def _parsed(texts: pd.Series) -> pd.DataFrame:
 
 
 def linked(messages: DataFrame) -> DataFrame:
-    """Every row as struct `row`, with clean, n_quotes, max_level, reply_to (turn or null), thread (turn) and position."""
-    rows = checkpointed(packed(messages).withColumn("found", F.pandas_udf(_parsed, PARSED)("row.text")))
+    """Every row as struct `row`, its text without quotes, with n_quotes, max_level, reply_to (turn or null), thread (turn) and position."""
+    parsed = packed(messages).withColumn("found", F.pandas_udf(_parsed, PARSED)("row.text"))
+    # the text as it came is not needed any more, so it is not written
+    row = F.struct(*[F.col("found.clean").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in messages.columns])
+    rows = checkpointed(parsed.select(row.alias("row"), F.col("found").dropFields("clean").alias("found")))
     where = rows.select(F.col("row.conv_id").alias("conv_id"), F.col("row.turn").alias("turn"), "found").where("conv_id is not null and turn is not null")
     says = where.select("conv_id", "turn", F.explode("found.says").alias("h"))
     asks = where.where("found.n_quotes > 0").select("conv_id", "turn", F.explode(F.arrays_zip(F.col("found.quotes").alias("h"), F.col("found.ranks").alias("rank"))).alias("asked")).select("conv_id", "turn", "asked.*")
@@ -122,7 +125,7 @@ def linked(messages: DataFrame) -> DataFrame:
     first = order.groupBy("conv_id").agg(F.min("rank").alias("first"))
     placed = with_hot_keys(order, first, "conv_id").select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "reply_to", "thread", (F.col("rank") - F.col("first")).alias("position"))
     out = rows.join(placed, (F.col("row.conv_id") == F.col("c")) & (F.col("row.turn") == F.col("t")), "left")
-    return out.select("row", F.col("found.clean").alias("clean"), F.col("found.n_quotes").alias("n_quotes"), F.col("found.max_level").alias("max_level"), "reply_to", F.coalesce("thread", F.col("row.turn")).alias("thread"), "position")
+    return out.select("row", F.col("found.n_quotes").alias("n_quotes"), F.col("found.max_level").alias("max_level"), "reply_to", F.coalesce("thread", F.col("row.turn")).alias("thread"), "position")
 
 
 def formatted(messages: DataFrame, pattern: str = "<|%s|>\n%s\n<|end|>\n") -> DataFrame:
@@ -139,12 +142,11 @@ def formatted(messages: DataFrame, pattern: str = "<|%s|>\n%s\n<|end|>\n") -> Da
         "reply_to",
         "n_quotes",
         "max_level",
-        F.col("clean").alias("text"),
-        F.format_string(pattern, F.coalesce("row.role", F.lit("user")), "clean").alias("formatted"),
+        "row.text",
+        F.format_string(pattern, F.coalesce("row.role", F.lit("user")), "row.text").alias("formatted"),
     )
 
 
 def without_quotes(messages: DataFrame) -> DataFrame:
     """The rows and columns of `messages`, with the quotes out of the text."""
-    rows = linked(messages)
-    return rows.select(*[F.col("clean").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in messages.columns])
+    return linked(messages).select(*[F.col(f"row.`{c}`") for c in messages.columns])
