@@ -159,7 +159,8 @@ def o075(s, d):
 
 
 def _quotes(s, d):
-    return table(s, d, "benchmark").select(F.col("item_id").alias("item"), F.upper("text").alias("quote"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return table(s, d, "benchmark").select(F.col("item_id").alias("item"), F.translate("text", letters, letters.upper()).alias("quote"))
 
 
 @add("o078_quote_found")
