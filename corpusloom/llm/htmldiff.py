@@ -8,8 +8,8 @@ comments) are marked and never part of the text.
 Pages of a host are put in order of their path. A page's partner is the nearest one by URL: of the two
 pages before it and the two behind it that with the longest common prefix of paths (then the nearer one,
 then the one before). A page that shares over half of the unmarked blocks of the shorter of the two is a
-copy and no partner, as it would take the article away. The blocks of both pages are aligned by their
-longest common subsequence, and the lines that they share are deleted, in article elements and outside
+copy and no partner, as it would take the article away. The unmarked blocks of both pages are aligned by
+their longest common subsequence, and the lines that they share are deleted, in article elements and outside
 them; only a line that stands in an article element of both pages is a passage of two articles, and stays.
 
 Only addresses and the hashes of the blocks are put in order. Every row gets its rank over all pages, and
@@ -208,9 +208,10 @@ def _middle(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def deleted(own: list[tuple], other: list[tuple]) -> list[int]:
-    """Positions of own blocks (key, marked, in article) that the partner shares and that no mark takes away already."""
-    pairs = common_subsequence([k for k, _, _ in own], [k for k, _, _ in other])
-    return [i for i, j in pairs if not own[i][1] and not (own[i][2] and other[j][2] and not other[j][1])]
+    """Positions of own blocks (key, marked, in article) that the partner shares; marked blocks of either are gone already."""
+    a, b = ([i for i, (_, marked, _) in enumerate(x) if not marked] for x in (own, other))
+    pairs = common_subsequence([own[i][0] for i in a], [other[j][0] for j in b])
+    return [a[i] for i, j in pairs if not (own[a[i]][2] and other[b[j]][2])]
 
 
 def is_copy(own: list[tuple], other: list[tuple]) -> bool:
