@@ -11,6 +11,7 @@ from .plans import oracle as O
 from .queries_similarity import _STOP
 from .queries_similarity import ORACLE_SQL as OTHER
 from .queries_style import ORACLE_SQL as STYLE
+from .sources import formats, stores
 from .sources.tables import conversations, documents, table
 
 QUERIES: dict = {}
@@ -173,3 +174,58 @@ def o224(spark, d):
     docs = documents(spark, d).where(~F.col("text").rlike(r"[\[_*\r]"))
     book = F.concat(F.lit("Licence\n*** START OF THE BOOK ***\n\n"), F.regexp_replace("text", r"(?U)\s+", " "), F.lit("\n*** END OF THE BOOK ***\nmore"))
     return docs.select("key", F.md5(pieces.ebook_text(book)).alias("digest"))
+
+
+@add("o013_declared_json", "SELECT event_id, json_extract(props, '$.k')::INT AS k FROM events")
+def o013(spark, d):
+    """The properties of events as a declared struct."""
+    return table(spark, d, "events").select("event_id", stores.parsed("props", "k int")["k"].alias("k"))
+
+
+@add("o021_exported", "SELECT doc_id % 3 AS kind, count(*) AS n FROM documents WHERE NOT coalesce(doc_id % 7 = 0, false) GROUP BY doc_id % 3")
+def o021(spark, d):
+    """What may go into a prompt: every seventh document is private, all examples are reviewed."""
+    key = F.col("doc_id")
+    profile = table(spark, d, "documents").select(F.when(key % 3 == 0, "example").when(key % 3 == 1, "rule").otherwise("vocabulary").alias("kind"), F.col("text"), (key % 7 == 0).alias("private"), (key % 3 == 0).alias("reviewed"))
+    place = F.when(F.col("kind") == "example", 0).when(F.col("kind") == "rule", 1).otherwise(2)
+    return stores.exported(profile).groupBy(place.cast("long").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@add("o022_guides", "WITH r AS (SELECT source AS profile, lang AS kind, '- **' || lpad(doc_id::VARCHAR, 9, '0') || '** ' || n_chars AS line FROM documents), k AS (SELECT profile, kind, string_agg(line, chr(10) ORDER BY line) AS lines FROM r GROUP BY ALL) SELECT profile, md5(string_agg('## ' || kind || chr(10) || chr(10) || lines, chr(10) || chr(10) ORDER BY kind)) AS digest FROM k GROUP BY profile")
+def o022(spark, d):
+    """A page of rulings for each source; a ruling is a document's length."""
+    rulings = table(spark, d, "documents").select(F.col("source").alias("profile"), F.col("lang").alias("kind"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("id"), F.col("n_chars").cast("string").alias("text"), F.lit(None).cast("string").alias("slot"))
+    return stores.guide(rulings).select("profile", F.md5("markdown").alias("digest"))
+
+
+@add("o041_front_matter", "SELECT conv_id, turn, md5(coalesce(text, '')) AS digest FROM conversations WHERE NOT starts_with(ltrim(coalesce(text, '')), '---')")
+def o041(spark, d):
+    """Texts that have no front matter come back as they are; a test has one that does."""
+    rows = table(spark, d, "conversations").where(~F.ltrim(F.coalesce("text", F.lit(""))).startswith("---"))
+    return rows.select("conv_id", "turn", F.md5(pieces.without_front_matter(F.col("text"))).alias("digest"))
+
+
+_FIRST = "list_filter(" + O.split_sentences("text") + ", lambda s: regexp_matches(s, 'that'))[1]"
+
+
+@add(
+    "o053_sentence_at",
+    f"WITH f AS (SELECT doc_id, trim({_FIRST}) AS s FROM documents WHERE contains(text, 'that')), w AS (SELECT doc_id, string_split(s, ' ') AS ws, len(list_filter(string_split(split_part(s, 'that', 1), ' '), lambda x: x <> '')) AS before FROM f WHERE s IS NOT NULL), l AS (SELECT *, greatest(0, least(before - 12, len(ws) - 25)) AS lo FROM w) SELECT doc_id, array_to_string(ws[lo + 1:lo + 25], ' ') AS said FROM l",
+)
+def o053(spark, d):
+    """Around the first "that" of each document."""
+    rows = table(spark, d, "documents").where(F.col("text").contains("that")).select("doc_id", pieces.sentence_at(F.col("text"), "that").alias("said"))
+    return rows.where("said is not null")
+
+
+@add("o052_exclusions", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), h AS (SELECT *, trim(x) AS t FROM l) SELECT doc_id, count(*) AS n FROM h WHERE t <> '' AND NOT starts_with(t, '#') AND regexp_matches(regexp_extract(t, '^[-*\\d.\\s]*\\**([^:*]{1,40})[:*]', 1), '(?i)\\bavoid\\b') GROUP BY doc_id")
+def o052(spark, d):
+    """Documents are no briefs, so what is found is what happens to look like an exclusion; a test has a brief."""
+    n = F.size(pieces.exclusions(F.col("text")))
+    return table(spark, d, "documents").select("doc_id", n.cast("long").alias("n")).where("n > 0")
+
+
+@add("o226_wiki_text")
+def o226(spark, d):
+    """Main text of pages with the cuts of page breaks mended; a test has a page with one."""
+    return table(spark, d, "pages").select("page_id", F.md5(formats.wiki_text(F.col("html"))).alias("digest"))

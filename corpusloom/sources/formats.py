@@ -1,8 +1,8 @@
 """File formats as texts: Markdown, mail, Word, subtitles, feeds and web pages.
 
 `read_files` lists a folder with Spark's binaryFile source and sends each row to its parser by extension;
-parsers are plain functions over bytes, run in Arrow batches. PDF and .msg need libraries that are not
-here; such rows come out with the flag that says so.
+parsers are plain functions over bytes, run in Arrow batches. .msg needs a library that is not here; such
+rows come out with the flag that says so.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import pdf
+
 EXTRACT = "path string, blocks array<string>, doc_date string, subject string, tags array<string>, flags array<string>"
 GAP = 2.0
 
@@ -138,7 +140,7 @@ def feed(raw: bytes) -> list[tuple[str, str | None]]:
     return [x for x in out if x[0]]
 
 
-PARSERS = {"md": markdown, "markdown": markdown, "eml": mail, "docx": docx, "vtt": transcript, "srt": transcript}
+PARSERS = {"md": markdown, "markdown": markdown, "eml": mail, "docx": docx, "pdf": pdf.read, "vtt": transcript, "srt": transcript}
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,3 +240,30 @@ def page_date(page: Column) -> Column:
     name = r"""property\s*=\s*["']article:published_time["']"""
     found = [rf"<meta[^>]+{name}[^>]+content\s*=\s*{stamp}", rf"<meta[^>]+content\s*=\s*{stamp}[^>]+{name}", rf"<time[^>]+datetime\s*=\s*{stamp}"]
     return F.coalesce(*[F.nullif(F.regexp_extract(page, "(?i)" + p, 1), F.lit("")) for p in found])
+
+
+def joined_paragraphs(paragraphs: list[str]) -> list[str]:
+    """Paragraphs that a page break has cut are put together: no stop at the end, a small letter at the beginning."""
+    out: list[str] = []
+    for p in paragraphs:
+        if out and p[:1].islower() and not re.search(r"""[.!?:;]["'”’)\]]*$""", out[-1]):
+            out[-1] = out[-1][:-1] + p if re.search(r"\w-$", out[-1]) else out[-1] + " " + p
+        else:
+            out.append(p)
+    return out
+
+
+def wiki_text(pages: Column) -> Column:
+    """Main text of wiki pages: paragraphs from the first of ten words to the last that ends a sentence, cuts of page breaks mended."""
+
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        def one(page: str | None) -> str:
+            paras = joined_paragraphs(paragraphs_of(page))
+            first = next((i for i, p in enumerate(paras) if len(p.split()) >= 10), len(paras))
+            last = next((i for i in range(len(paras) - 1, -1, -1) if re.search(r"""[.!?]["'”’)\]]*$""", paras[i])), -1)
+            return "\n\n".join(paras[first : last + 1])
+
+        return texts.map(lambda x: one(x if isinstance(x, str) else None))
+
+    return run(pages)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,11 @@ def read_store(spark: SparkSession, path: str, schema: str, version: int) -> Dat
     return rows.where(fits.isNull()).drop("schema_version")
 
 
+def parsed(column: str, schema: str) -> Column:
+    """A column of JSON as the declared struct; text that does not fit it is an error, nothing is guessed."""
+    return F.from_json(column, schema, {"mode": "FAILFAST"})
+
+
 def write_store(rows: DataFrame, path: str, version: int) -> None:
     """Spark's commit protocol writes to a side folder and moves it: readers see the old files or the new ones."""
     rows.select(F.lit(version).alias("schema_version"), "*").write.mode("overwrite").json(path)
