@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import packs
+from ..functions import text as T
 from . import ledger, ranks, style
 from .check import log_factorial
 from .similarity import checkpointed
@@ -200,3 +201,71 @@ def rebanded(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
     was = old.select(*by, "metric", F.col("value").alias("was"))
     same = F.assert_true(F.col("was").isNull() | (F.abs(F.col("value") - F.col("was")) < 1e-6), "a slot's value has changed")
     return new.join(was, [*by, "metric"], "left").where(same.isNull()).drop("was")
+
+
+def correlated(rows: DataFrame, columns: list[str], most: float = 0.9) -> DataFrame:
+    """a, b, r: pairs of columns whose correlation is stronger than `most`; of each such pair one may be left out. A column
+    that does not vary correlates with none."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    both = [F.when(F.col(b).isNotNull(), F.col(a)) for a, b in pairs], [F.when(F.col(a).isNotNull(), F.col(b)) for a, b in pairs]
+    wide = rows.agg(*[F.try_divide(F.covar_pop(a, b), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"r{i}") for i, ((a, b), x, y) in enumerate(zip(pairs, *both, strict=True))])
+    long = wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(f"r{i}", 5).alias("r")) for i, (a, b) in enumerate(pairs)])))
+    return long.where(F.abs("r") > most)
+
+
+def tone_pulls(names: list[str]) -> tuple[dict[str, tuple[int, str]], list[tuple[str, str, str]]]:
+    """What a list of tones moves (metric to direction and tone), and the conflicts (metric, tone that decides, tone overruled).
+
+    The tone named first decides.
+    """
+    pulls: dict[str, tuple[int, str]] = {}
+    conflicts = []
+    for tone in names:
+        for metric, up in packs.TONES[tone].items():
+            first = pulls.setdefault(metric, (up, tone))
+            if first[0] != up:
+                conflicts.append((metric, first[1], tone))
+    return pulls, conflicts
+
+
+def _low_words(text: str, stop: tuple = ()) -> Column:
+    low = F.transform(T.words(F.coalesce(text, F.lit(""))), lambda w: F.lower(w))
+    return F.filter(low, lambda w: ~w.isin(*stop)) if stop else low
+
+
+def brief_check(pairs: DataFrame, stop: tuple, most: int = 60) -> DataFrame:
+    """key, words, shared, ok: briefs (key, brief, text) that share no run of four words with their text, but for stop words,
+    and keep within sixty words."""
+    from .similarity import grams
+
+    shared = F.size(F.array_intersect(grams(_low_words("brief", stop), 4), grams(_low_words("text", stop), 4)))
+    rows = pairs.select("key", T.n_words(F.coalesce("brief", F.lit(""))).cast("long").alias("words"), shared.cast("long").alias("shared"))
+    return rows.withColumn("ok", (F.col("shared") == 0) & (F.col("words") <= most))
+
+
+def never_list(rewrites: DataFrame, corpus: DataFrame, stop: tuple, n: int = 15) -> DataFrame:
+    """marker, texts: pairs and triples of words that rewrites share and the writer never uses, at most n.
+
+    A marker stands in three rewrites and 30 % of them, is not made of stop words alone, and neither holds nor is held
+    by one before it (most texts first, then by name). As each stands in a third of the rewrites, candidates are about as
+    many as the words of a few texts, so they fit one row.
+    """
+    def runs(texts: DataFrame, size: int) -> DataFrame:
+        from .similarity import grams
+
+        return texts.select("key", F.explode(grams(_low_words("text"), size)).alias("g"))
+
+    words = F.split("g", " ")
+    seen = runs(rewrites, 2).union(runs(rewrites, 3)).where(F.exists(words, lambda w: ~w.isin(*stop))).groupBy("g").agg(F.count_distinct("key").alias("texts"))
+    least = max(3, -(-3 * rewrites.count() // 10))
+    used = runs(corpus, 2).union(runs(corpus, 3)).select("g")
+    often = checkpointed(seen.where(F.col("texts") >= least))
+    own = used.join(F.broadcast(often.select("g")), "g", "left_semi").distinct()
+    left = often.join(own, "g", "left_anti").agg(F.array_sort(F.collect_list(F.struct((-F.col("texts")).alias("t"), "g"))).alias("c"))
+
+    def step(out: Column, x: Column) -> Column:
+        held = F.exists(out, lambda o: F.contains(o["g"], x["g"]) | F.contains(x["g"], o["g"]))
+        return F.when(held | (F.size(out) >= n), out).otherwise(F.concat(out, F.array(x)))
+
+    kept = F.aggregate("c", F.array().cast("array<struct<t:bigint,g:string>>"), step)
+    return left.select(F.inline(kept)).select(F.col("g").alias("marker"), (-F.col("t")).alias("texts"))

@@ -111,12 +111,25 @@ def sign_flags(drafts: DataFrame, tests: dict[str, str], rate: DataFrame, by: li
     return rows.select("key", "id", "hits", allowed.cast("long").alias("allowed"), (F.col("hits") > allowed).alias("flagged"))
 
 
+def _places(names: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """What is replaced, in order: the fixed patterns, then names, the longer ones first."""
+    return [*REDACTIONS, *[(place, rf"(?U)(?<!\w){_quoted(name)}(?!\w)") for name, place in sorted(names, key=lambda n: (-len(n[0]), n))]]
+
+
+def replacements(text: Column, names: list[tuple[str, str]] = ()) -> Column:
+    """Array of (place, value): what `redacted` takes out, pattern by pattern; each pattern sees what those before it left."""
+    found = []
+    for place, pattern in _places(names):
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        found.append(F.arrays_zip(F.array_repeat(F.lit(place), F.size(values)).alias("place"), values.alias("value")))
+        text = F.regexp_replace(text, pattern, place)
+    return F.concat(*found)
+
+
 def redacted(text: Column, names: list[tuple[str, str]] = ()) -> Column:
     """The text with addresses, numbers and names replaced; longer names first."""
-    for place, pattern in REDACTIONS:
+    for place, pattern in _places(names):
         text = F.regexp_replace(text, pattern, place)
-    for name, place in sorted(names, key=lambda n: (-len(n[0]), n)):
-        text = F.regexp_replace(text, rf"(?U)(?<!\w){_quoted(name)}(?!\w)", place)
     return text
 
 

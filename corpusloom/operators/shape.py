@@ -94,6 +94,12 @@ def compared(shapes: DataFrame, spans: DataFrame, by: list[str]) -> DataFrame:
     return rows.select("key", "feature", flag.alias("flag"))
 
 
+def warned(flags: DataFrame, least: int = 4) -> DataFrame:
+    """key, off, warned: texts with four features or more outside the writer's ranges."""
+    off = F.count_if(F.col("flag") != "ok")
+    return flags.groupBy("key").agg(off.alias("off"), (off >= least).alias("warned"))
+
+
 def quirks(texts: DataFrame) -> DataFrame:
     """key, lang, n_words and the number of each mark in prose without inline code."""
     body = F.array_join(F.transform(T.paragraphs(F.col("text")), lambda p: F.regexp_replace(p, r"`[^`\n]*`", " ")), "\n")

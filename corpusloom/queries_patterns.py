@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .functions import packs
 from .functions import text as T
 from .operators import align, check, patterns, shape
 from .plans import oracle as O
@@ -117,7 +118,8 @@ def o095(spark, d):
 def o039(spark, d):
     """E-mail, bank, profile, phone and postcode redaction; look-behind keeps it from SQL, a test holds it against hand-made texts."""
     t = patterns.redacted(F.col("text"), [("Anblewh", "[person]")])
-    return table(spark, d, "documents").select("doc_id", F.md5(t).alias("digest"), (t != F.col("text")).alias("changed"))
+    n = F.size(patterns.replacements(F.col("text"), [("Anblewh", "[person]")])).cast("long")
+    return table(spark, d, "documents").select("doc_id", F.md5(t).alias("digest"), (t != F.col("text")).alias("changed"), n.alias("replaced"))
 
 
 @add("o033_normal_quotes", "SELECT doc_id, md5(translate(text, '’‘“” ', '''''\"\" ')) AS digest FROM documents")
@@ -131,10 +133,14 @@ def o040(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_count(t, F.lit(T.PLACEHOLDER)).cast("long").alias("n"))
 
 
-@add("o043_lesson_key", "SELECT item_id, array_to_string(list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g')), ' '), lambda w: w NOT IN ('the', 'a', 'of', 'and', '')), ' ') AS key FROM benchmark")
+_STOP = ", ".join(f"'{w}'" for w in packs.STOPWORDS["en"].split())
+
+
+@add("o043_lesson_key", f"SELECT item_id, array_to_string(list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda w: w NOT IN ({_STOP}, '')), ' ') AS key FROM benchmark")
 def o043(spark, d):
-    w = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_]+", " ")), " ")
-    return table(spark, d, "benchmark").select("item_id", F.array_join(F.filter(w, lambda x: ~x.isin("the", "a", "of", "and", "")), " ").alias("key"))
+    from .operators.ledger import lesson_key
+
+    return table(spark, d, "benchmark").select("item_id", lesson_key(F.col("text")).alias("key"))
 
 
 @add("o050_piece_length", "SELECT doc_id, nullif(replace(regexp_extract('write ' || (doc_id * 37)::VARCHAR || ',000 words now', '(\\d{1,3}(?:[.,]\\d{3})+|\\d+)\\s+words', 1), ',', ''), '')::BIGINT AS n FROM documents")
@@ -175,9 +181,15 @@ def o147(spark, d):
     return shape.compared(own, shape.ranges(own, ["lang"]), ["lang"])
 
 
-@add("o098_quirk_counts", f"WITH {O.prose(O.DOCS)}, p AS (SELECT key, string_agg(regexp_replace(b, '`[^`\\n]*`', ' ', 'g'), chr(10) ORDER BY n) AS body FROM prose WHERE NOT heading GROUP BY key) SELECT key, {O.n_words('body')} AS n_words, len(regexp_extract_all(body, '!')) - len(regexp_extract_all(body, '!=')) AS exclamations, len(regexp_extract_all(body, '\\?')) AS questions FROM p")
+@add("o147_shape_warnings", f"SELECT key, count(*) FILTER (flag <> 'ok') AS off, count(*) FILTER (flag <> 'ok') >= 4 AS warned FROM ({style_sql.SHAPE_FLAGS}) GROUP BY key")
+def o147_warnings(spark, d):
+    own = shape.measures(conversations(spark, d))
+    return shape.warned(shape.compared(own, shape.ranges(own, ["lang"]), ["lang"]))
+
+
+@add("o098_quirk_counts", f"WITH {O.prose(O.DOCS)}, p AS (SELECT key, string_agg(regexp_replace(b, '`[^`\\n]*`', ' ', 'g'), chr(10) ORDER BY n) AS body FROM prose WHERE NOT heading GROUP BY key) SELECT key, {O.n_words('body')} AS n_words, {', '.join(f'{v} AS {k}' for k, v in style_sql._MARKS.items())} FROM p")
 def o098(spark, d):
-    return shape.quirks(documents(spark, d)).where("n_words > 0").select("key", "n_words", "exclamations", "questions")
+    return shape.quirks(documents(spark, d)).where("n_words > 0").select("key", "n_words", *shape.QUIRKS)
 
 
 @add("o148_quirk_flags", style_sql.QUIRKS)

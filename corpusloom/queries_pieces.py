@@ -229,3 +229,34 @@ def o052(spark, d):
 def o226(spark, d):
     """Main text of pages with the cuts of page breaks mended; a test has a page with one."""
     return table(spark, d, "pages").select("page_id", F.md5(formats.wiki_text(F.col("html"))).alias("digest"))
+
+
+_CORR = ", ".join(f"corr({a}, {b}) AS r{i}" for i, (a, b) in enumerate((a, b) for k, a in enumerate(style.METRICS) for b in style.METRICS[k + 1 :]))
+_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(r{i}, 5) AS r FROM c" for i, (a, b) in enumerate((a, b) for k, a in enumerate(style.METRICS) for b in style.METRICS[k + 1 :]))
+
+
+@add("o106_correlated_metrics", f"WITH {O.sums(O.DOCS)}, v AS (SELECT {O.value_columns()} FROM sums), c AS (SELECT {_CORR} FROM v) SELECT * FROM ({_PAIRS}) WHERE isfinite(r) AND abs(r) > 0.5")
+def o106_correlated(spark, d):
+    return E.correlated(style.text_metrics(documents(spark, d)), list(style.METRICS), 0.5)
+
+
+_LIST = ", ".join(f"'{w}'" for w in _STOP.split())
+
+
+def _grams4(x: str) -> str:
+    ws = f"list_filter(list_transform({O.words(x)}, lambda w: lower(w)), lambda w: w NOT IN ({_LIST}))"
+    return f"list_distinct(list_transform(range(1, len({ws}) - 2), lambda i: array_to_string(({ws})[i:i + 3], ' ')))"
+
+
+@add("o081_brief_check", f"WITH p AS (SELECT item_id AS key, benchmark.text AS brief, documents.text AS text FROM benchmark JOIN documents ON doc_id = item_id * 4) SELECT key, {O.n_words('brief')} AS words, len(list_intersect({_grams4('brief')}, {_grams4('text')})) AS shared, len(list_intersect({_grams4('brief')}, {_grams4('text')})) = 0 AND {O.n_words('brief')} <= 60 AS ok FROM p")
+def o081_brief(spark, d):
+    """Passages as briefs of the documents of four times their number."""
+    b = table(spark, d, "benchmark").select((F.col("item_id") * 4).alias("doc_id"), F.col("item_id").alias("key"), F.col("text").alias("brief"))
+    return E.brief_check(b.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), tuple(_STOP.split()))
+
+
+@add("o101_never_markers")
+def o101_markers(spark, d):
+    """What the passages share and the German documents never say; a test compares with plain Python."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), "text")
+    return E.never_list(b, documents(spark, d).where("lang = 'de'"), tuple(_STOP.split()))

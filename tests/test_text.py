@@ -122,9 +122,9 @@ def test_formats():
 
 def test_files_and_globs(spark, tmp_path):
     (tmp_path / "a.md").write_text("Hello world")
-    (tmp_path / "b.pdf").write_bytes(b"%PDF")
+    (tmp_path / "b.msg").write_bytes(b"%PDF")
     (tmp_path / ".hidden").mkdir()
     (tmp_path / ".hidden" / "c.md").write_text("no")
     rows = {r["path"].rsplit("/", 1)[-1]: r for r in formats.read_files(spark, str(tmp_path)).collect()}
-    assert rows["a.md"]["blocks"] == ["Hello world"] and rows["b.pdf"]["flags"] == ["skipped: not prose"] and "c.md" not in rows
+    assert rows["a.md"]["blocks"] == ["Hello world"] and rows["b.msg"]["flags"] == ["skipped: not prose"] and "c.md" not in rows
     assert formats.glob_pattern("a/**/b?.md") == r"^a/(?:[^/]*/)*b[^/]\.md$"
