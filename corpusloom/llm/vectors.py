@@ -139,6 +139,41 @@ def near_rows(block: pd.DataFrame) -> np.ndarray:
     return out
 
 
+def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """node and key of the rows that `near_rows` keeps; runs of one size are worked on together."""
+
+    def done(b: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        sketch, side, two = b[["s0", "s1"]].to_numpy().view(np.uint64), b["side"].to_numpy(), (b["p"] != b["q"]).to_numpy()
+        sizes, keep = ends - starts, np.zeros(len(b), dtype=bool)
+        for m in np.unique(sizes):
+            if m < 2:
+                continue
+            runs = starts[sizes == m]
+            if m > 64:
+                for lo in runs:
+                    keep[lo : lo + m] = near_rows(b.iloc[lo : lo + m])
+                continue
+            for at in range(0, len(runs), max(1, (1 << 20) // int(m * m))):
+                rows = runs[at : at + max(1, (1 << 20) // int(m * m)), None] + np.arange(m)
+                x = sketch[rows]
+                bits = np.bitwise_count(x[:, :, None, :] ^ x[:, None, :, :]).sum(axis=3)
+                other = np.where(two[rows[:, :1, None]], side[rows][:, :, None] != side[rows][:, None, :], ~np.eye(m, dtype=bool))
+                keep[rows] = ((bits <= NEAR) & other).any(axis=2)
+        return b.loc[keep, ["node", "key"]]
+
+    held: pd.DataFrame | None = None
+    for b in batches:
+        b = (b if held is None else pd.concat([held, b])).reset_index(drop=True)
+        marks = b[["key", "p", "q"]].to_numpy()
+        cut = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+        held = b.iloc[cut[-1] if len(cut) else 0 :]  # a run may go on in the next batch
+        if len(cut):
+            yield done(b, np.concatenate([[0], cut[:-1]]), cut)
+    if held is not None:
+        held = held.reset_index(drop=True)
+        yield done(held, np.zeros(1, dtype=np.int64), np.array([len(held)]))
+
+
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n nodes the least node of its component under links i, j."""
     label = np.arange(n)
@@ -243,7 +278,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, recall: float =
     nodes = checkpointed(nodes.mapInPandas(_file(how), f"node long, least {kind['least']}, n long, embedding {kind['embedding']}, cells array<long>, s0 long, s1 long"))
     keyed = nodes.select("node", "s0", "s1", F.explode(F.array_distinct("cells")).alias("key"))
     meet = _sorted(_dealt(keyed, block, "s0", "s1"))
-    near = checkpointed(meet.mapInPandas(_runs(lambda b, key: b.loc[near_rows(b), ["node", "key"]]), "node long, key long").distinct())
+    near = checkpointed(meet.mapInPandas(_near, "node long, key long").distinct())
     full = _dealt(near, block).join(nodes.select("node", "n", "embedding", "cells"), "node")
     found = checkpointed(_sorted(full).mapInPandas(_runs(lambda b, key: compare(b, key, cosine, how.tables)), "node long, links long, other long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
