@@ -326,7 +326,7 @@ def even_spread(texts: DataFrame, by: list[str], order: list[str], n: int = 10)
     """n texts of each group at even steps of its order (all, if there are no more)."""
     rows = ranks.numbered(texts, by, order).withColumn("i", F.col("n") - 1)
     total = texts.groupBy(*by).agg(F.count("*").alias("total"))
-    rows = rows.join(F.broadcast(total), by)
+    rows = rows.join(total, by)
     return rows.where((F.col("total") <= n) | (F.floor(F.col("i") * n / F.col("total")) > F.floor((F.col("i") - 1) * n / F.col("total")))).select(*texts.columns)
 
 
@@ -349,7 +349,7 @@ def spot_check(texts: DataFrame, by: str, percent: int = 10) -> DataFrame:
     """A seeded share of each group, one at least."""
     rows = texts.withColumn("_h", F.md5(F.col("key").cast("string")))
     n = texts.groupBy(by).agg(F.count("*").alias("_n"))
-    return ranks.numbered(rows, [by], ["_h", "key"]).join(F.broadcast(n), by).where(F.col("n") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * percent / 100))).select(*texts.columns)
+    return ranks.numbered(rows, [by], ["_h", "key"]).join(n, by).where(F.col("n") <= F.greatest(F.lit(1), F.ceil(F.col("_n") * percent / 100))).select(*texts.columns)
 
 
 def next_ids(items: DataFrame, used: DataFrame, order: list[str]) -> DataFrame:
