@@ -8,10 +8,12 @@ base rules do not reject it and it shows no strong local evidence. Nothing is dr
 document always gets the same verdict for the same corpus.
 
 A mean hides a few toxic words, so these decide by themselves. For the different tokens of a document and
-their beginnings of `STEM` bytes (which compounds share), log(p_toxic / p_trusted) comes from the
-numbers of labelled documents that hold them; the evidence is the mean of the largest ones, one for each
-`PER` of the document's different tokens and beginnings, `STRONGEST` at least, so that long documents do
-not gather it by chance. A document whose evidence reaches `TOXIC_LIMIT` is rejected.
+their parts of `PART` bytes (which compounds share), log(p_toxic / p_trusted) comes from the numbers of
+labelled documents that hold them; the evidence is the mean of the largest ones, one for each `PER` of the
+document's different tokens and parts, `STRONGEST` at least, so that long documents do not gather it by
+chance. A document whose evidence reaches a limit is rejected. The limit is calibrated on held-out labels:
+the labelled rows are halved by a hash of doc_id, trusted rows of each half are judged by what the other half
+says, and the limit leaves all but a share of `LOSS` of them (and is `LEAST_LIMIT` at least).
 
 The trusted side comes from a sample of the labelled rows, bounded by `max_trusted`: those of good
 quality and not toxic whose hashed doc_id is smallest. The toxic side covers every row labelled toxic,
@@ -27,6 +29,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -40,9 +43,11 @@ MAX_TRUSTED = 20_000
 THRESHOLD = -0.25
 #: pseudo-count of a bucket: where fewer n-grams than that are to be expected, a bucket says little
 SMOOTH = 5.0
-#: local evidence: bytes of a token's beginning, least number of tokens that decide, and how many share one of them
-STEM, STRONGEST, PER = 5, 5, 100
-TOXIC_LIMIT = 2.0
+#: local evidence: bytes of a token's parts, least number of them that decide, how many share one, and their buckets
+PART, STRONGEST, PER = 5, 5, 100
+KINDS = 1 << 18
+#: share of trusted rows that the limit may cost, and the least limit
+LOSS, LEAST_LIMIT = 0.002, 1.0
 #: labelled rows that are still broadcast; beyond it that join shuffles
 MAX_BROADCAST = 200_000
 SPACE = " \t\n\r\x0b\x0c"
@@ -68,16 +73,16 @@ def _buckets(tokens: list[bytes], n: int) -> np.ndarray:
     return (np.concatenate([(one * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40), two >> np.uint64(40)]) % np.uint64(n)).astype(np.int64)
 
 
-def _kinds(tokens: list[bytes], n: int) -> np.ndarray:
-    """A bucket for each different token and each different beginning of one."""
+def _kinds(tokens: list[bytes]) -> np.ndarray:
+    """A bucket for each different token and each different part of one."""
     kinds = set(tokens)
-    kinds |= {t[:STEM] for t in kinds}
+    kinds |= {t[i : i + PART] for t in kinds for i in range(len(t) - PART + 1)}
     found = np.fromiter(map(zlib.crc32, kinds), dtype=np.uint64, count=len(kinds))
-    return ((found * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+    return ((found * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(KINDS)).astype(np.int64)
 
 
 def local_evidence(toxic: np.ndarray, kinds: np.ndarray) -> float:
-    """The mean of the strongest values of `toxic` among the document's tokens, more of them in a long document."""
+    """The mean of the strongest values of `toxic` among the document's kinds, more of them in a long document."""
     if not len(kinds):
         return 0.0
     k = min(len(kinds), max(STRONGEST, len(kinds) // PER))
@@ -146,61 +151,94 @@ def toxic_ids(labels: DataFrame) -> DataFrame:
     return said.where((F.col("low") == 1) & (F.col("high") == 1)).select("doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> np.ndarray | None:
-    """Two values for each bucket, or None if no document is trusted: log(p_trusted / p_raw), shrunk towards 0
-    where it is rare, and log(p_toxic / p_trusted) by documents, which is 0 if none is toxic.
+class Fitted(NamedTuple):
+    """log(p_trusted / p_raw) by bucket, log(p_toxic / p_trusted) by kind, and the limit of the evidence."""
 
-    The driver gets one row for each bucket, so its share does not grow with the corpus.
+    ratio: np.ndarray
+    toxic: np.ndarray
+    limit: float
+
+
+def _against(clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """log(p_toxic / p_trusted) by kind; the last place of either side is its number of documents."""
+    if not toxic[-1] or not clean[-1]:
+        return np.zeros(KINDS, dtype=np.float32)
+    return np.log((toxic[:-1] + 1) / (clean[:-1] * (toxic[-1] / clean[-1]) + 1)).astype(np.float32)
+
+
+def fit(docs: DataFrame, labels: DataFrame, n_buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> Fitted | None:
+    """What `judge` needs, or None if no document is trusted. Ratios are shrunk towards 0 where they are rare; the
+    evidence is 0 everywhere if no document is toxic.
+
+    The driver gets one row for each bucket and kind, so its share does not grow with the corpus.
     """
-    sides = checkpointed(trusted_ids(labels, max_trusted).withColumn("side", F.lit(0)).unionByName(toxic_ids(labels).withColumn("side", F.lit(1))))
+    sides = trusted_ids(labels, max_trusted).withColumn("side", F.lit(0)).unionByName(toxic_ids(labels).withColumn("side", F.lit(2)))
+    # 0 and 1 are the halves of the trusted rows, 2 and 3 those of the toxic ones
+    sides = checkpointed(sides.withColumn("side", F.col("side") + F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2)).cast("int")))
     if sides.count() <= MAX_BROADCAST:
         sides = F.broadcast(sides)
     rows = docs.select("doc_id", "text").join(sides, "doc_id", "left").select("text", F.coalesce("side", F.lit(-1)).alias("side"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros((4, n_buckets + 1), dtype=np.int64)  # the last place counts documents
+        grams = np.zeros((4, n_buckets), dtype=np.int64)
+        kinds = np.zeros((4, KINDS + 1), dtype=np.int64)  # the last place counts documents
         for b in batches:
             for text, side in zip(b["text"], b["side"], strict=True):
                 tokens = tokens_of(text)
                 found = np.bincount(_buckets(tokens, n_buckets))
-                counts[1, : len(found)] += found
-                if side == 0:
-                    counts[0, : len(found)] += found
+                grams[1, : len(found)] += found
+                if 0 <= side < 2:
+                    grams[0, : len(found)] += found
                 if side >= 0:
-                    counts[2 + side, np.unique(_kinds(tokens, n_buckets))] += 1
-                    counts[2 + side, n_buckets] += 1
-        at = np.flatnonzero(counts.any(axis=0))
-        yield pd.DataFrame({"bucket": at, "good": counts[0, at], "raw": counts[1, at], "clean": counts[2, at], "toxic": counts[3, at]})
-
-    names = ["good", "raw", "clean", "toxic"]
-    sums = rows.mapInPandas(count, "bucket long, good long, raw long, clean long, toxic long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
+                    kinds[side, np.unique(_kinds(tokens))] += 1
+                    kinds[side, KINDS] += 1
+        for what, table in enumerate((grams, kinds)):
+            at = np.flatnonzero(table.any(axis=0))
+            yield pd.DataFrame({"what": what, "at": at, **{f"n{k}": table[k, at] for k in range(4)}})
+
+    names = [f"n{k}" for k in range(4)]
+    sums = rows.mapInPandas(count, "what int, at long, n0 long, n1 long, n2 long, n3 long").groupBy("what", "at").agg(*[F.sum(c).alias(c) for c in names])
     got = sums.toPandas()
-    values = np.zeros((4, n_buckets + 1))
-    values[:, got["bucket"]] = got[names].to_numpy().T
-    (good, raw), (clean, toxic) = values[:2, :n_buckets], values[2:, :n_buckets]
-    n_clean, n_toxic = values[2:, n_buckets]
+    grams, kinds = np.zeros((4, n_buckets)), np.zeros((4, KINDS + 1))
+    for what, table in enumerate((grams, kinds)):
+        part = got[got["what"] == what]
+        table[:, part["at"]] = part[names].to_numpy().T
+    good, raw = grams[:2]
     if not good.sum():
         return None
-    ratio = np.log((good + SMOOTH) / (raw * (good.sum() / raw.sum()) + SMOOTH))
-    return np.stack([ratio, np.log((toxic + 1) / (clean * (n_toxic / n_clean) + 1)) if n_toxic else np.zeros(n_buckets)])
+    ratio = np.log((good + SMOOTH) / (raw * (good.sum() / raw.sum()) + SMOOTH)).astype(np.float32)
+    return Fitted(ratio, _against(kinds[0] + kinds[1], kinds[2] + kinds[3]), _limit(rows.where("side in (0, 1)"), kinds))
+
+
+def _limit(trusted: DataFrame, kinds: np.ndarray) -> float:
+    """The evidence that all but a share of LOSS of the trusted rows stay under, each half judged by the other."""
+    if not kinds[2:, -1].sum():
+        return float("inf")
+    other = trusted.sparkSession.sparkContext.broadcast([_against(kinds[1], kinds[3]), _against(kinds[0], kinds[2])])
+
+    @F.pandas_udf("double")
+    def evidence(texts: pd.Series, sides: pd.Series) -> pd.Series:
+        return pd.Series([local_evidence(other.value[side], _kinds(tokens_of(t))) for t, side in zip(texts, sides, strict=True)], dtype="float64")
+
+    most = trusted.select(evidence("text", "side").alias("e")).agg(F.percentile("e", F.lit(1 - LOSS)).alias("q")).first()["q"]
+    return max(LEAST_LIMIT, most or 0.0)
 
 
-def judge(docs: DataFrame, fitted: np.ndarray | None, threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, fitted: Fitted | None, threshold: float = THRESHOLD) -> DataFrame:
     """Every row of `docs` as struct `row`, and struct `found` with the columns of RESULT."""
-    shared = docs.sparkSession.sparkContext.broadcast(None if fitted is None else fitted.astype(np.float32))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     @F.pandas_udf(RESULT)
     def verdict(texts: pd.Series) -> pd.DataFrame:
         fitted, out = shared.value, []
         for text in texts:
             words, base = base_counts(text)
-            score, evidence = 0.0, 0.0
+            score, toxic = 0.0, False
             if fitted is not None and (tokens := tokens_of(text)):
-                ratio, toxic = fitted
-                score = float(ratio[_buckets(tokens, len(ratio))].mean(dtype=np.float64))
+                score = float(fitted.ratio[_buckets(tokens, len(fitted.ratio))].mean(dtype=np.float64))
                 if not base[-1] and score >= threshold:
-                    evidence = local_evidence(toxic, _kinds(tokens, len(toxic)))
-            out.append((*base, score, not base[-1] and score >= threshold and evidence < TOXIC_LIMIT))
+                    toxic = local_evidence(fitted.toxic, _kinds(tokens)) >= fitted.limit
+            out.append((*base, score, not base[-1] and score >= threshold and not toxic))
         return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
     return packed(docs).withColumn("found", verdict("row.text"))
