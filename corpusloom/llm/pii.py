@@ -257,8 +257,9 @@ def added_spans(docs: DataFrame, base: DataFrame, support: int = SUPPORT, thresh
         return None
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*_key(F.col("text")), text.alias("text")).where(reduce(lambda a, b: a | b, [_may_hold(k, F.col("text")) for k in KINDS]))
-    # few megabytes, but heavy ones: dealt to a set number of tasks, which are not put together again
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few megabytes, but heavy ones: dealt to a set number of tasks (not that of the join, or the planner leaves the rows
+    # where they are and puts small partitions together)
+    n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     once = rows.join(terms, ["tag", "len"]).repartition(n, "tag", "len").groupBy("tag", "len").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
     return checkpointed(once.select("tag", "len", _term_spans(F.col("text"), F.col("terms"), base_spans(F.col("text")), remove).alias("added")))
 
