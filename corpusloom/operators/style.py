@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import packs
 from ..functions import text as T
+from ..functions.scan import scan
 from . import ranks
 from .similarity import checkpointed
 
@@ -28,6 +29,12 @@ def sums(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """
     if set(SUMS) <= set(texts.columns):
         return texts
+    found = texts.withColumn("_sums", scan(SUMS)(F.col(text), F.col(lang)))
+    return found.select("*", "_sums.*").drop("_sums")
+
+
+def sums_by_columns(texts: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The same as `sums` by Column expressions alone, without Python workers."""
     paras = texts.withColumn("_paras", T.paragraphs(F.coalesce(F.col(text), F.lit(""))))
     return _counted(paras, lang)
 
