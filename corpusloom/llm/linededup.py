@@ -49,16 +49,28 @@ DONE = "n_words long, n_lines long, n_removed long, n_removed_words long, text s
 #: an odd multiplier, and its inverse modulo 2^64, for hashes of runs of words
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+#: powers that are kept; those of longer texts are made when needed
+KEPT = 1 << 17
+
+
+def _made(n: int) -> list[np.ndarray]:
+    """The first n powers of BASE and INVERSE."""
+    out = []
+    for x in (BASE, INVERSE):
+        steps = np.full(n, x, dtype=np.uint64)
+        steps[:1] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64, out=steps))
+    return out
+
+
+_POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> list[np.ndarray]:
-    """The first n powers of BASE and INVERSE; kept and doubled as needed."""
-    if len(_POWERS[0]) < n:
-        for k, x in enumerate((BASE, INVERSE)):
-            steps = np.full(max(n, 2 * len(_POWERS[k])), x, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
+    if n > KEPT:
+        return _made(n)
+    if not _POWERS:
+        _POWERS.extend(_made(KEPT))
     return _POWERS
 
 
