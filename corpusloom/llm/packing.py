@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import MAX_CHUNKS, Encoder
+from .bpe import Encoder
 from .common import checkpointed
 
 LENGTH = 2048
@@ -36,6 +36,8 @@ END_ID = 1
 #: classes of one piece length, for ranks
 SALTS = 256
 MAX_ROUNDS, STALL = 3000, 150
+#: chunks whose ids a worker remembers
+CHUNKS = 150_000
 
 class FileEncoder(Encoder):
     """An Encoder whose new chunks go through the tiktoken library; this operator is about packing, not merging."""
@@ -49,7 +51,7 @@ class FileEncoder(Encoder):
     def __missing__(self, chunk: str) -> bytes:
         ids = np.array(self.library(chunk), dtype="<u4").tobytes()
         if len(chunk) < 100:
-            if len(self) >= MAX_CHUNKS:
+            if len(self) >= CHUNKS:
                 self.clear()
             self[chunk] = ids
         return ids
