@@ -1,4 +1,4 @@
-"""SQL for what of these operators SQL can express: links of vectors, base rules and base spans."""
+"""SQL for what of these operators SQL can express: links of vectors, base rules, base spans and resampling."""
 
 from __future__ import annotations
 
@@ -44,3 +44,17 @@ def _spans(place: int, kind: str) -> str:
 PII = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({' UNION ALL '.join(_spans(i, k) for i, k in enumerate(_PATTERNS))}),
 g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _PATTERNS)}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY place, s) AS said FROM spans GROUP BY doc_id)
 SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in _PATTERNS)}, sha256(coalesce(said, '')) AS base_sha256 FROM t LEFT JOIN g USING (doc_id)"""
+
+#: CRC32 of a word, bit by bit over its UTF-8 bytes
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * octet_length(encode(w)), 2), lambda i: ('0x' || substr(hex(encode(w)), i::INT, 2))::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))))"""
+RESAMPLE = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, 0 AS target FROM documents UNION ALL SELECT NULL, coalesce(text, ''), 1 FROM benchmark),
+w AS (SELECT doc_id, target, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM t),
+f AS (SELECT w, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t FROM w GROUP BY w), b AS (SELECT w, s, t, ({_CRC}) % 10000 AS b FROM f),
+n AS (SELECT b, sum(s) AS s, sum(t) AS t FROM b GROUP BY b), k AS (SELECT sum(s) AS s, sum(t) AS t FROM n),
+g AS (SELECT w, floor(1000 * ln(((n.t + 1)::DOUBLE * (k.s + 10000)::DOUBLE) / ((n.s + 1)::DOUBLE * (k.t + 10000)::DOUBLE)))::BIGINT AS gain FROM b JOIN n USING (b), k),
+d AS (SELECT doc_id, count(*) AS n_features, sum(gain)::BIGINT AS gain FROM w JOIN g USING (w) WHERE target = 0 GROUP BY doc_id),
+m AS (SELECT x.doc_id, coalesce(n_features, 0) AS n_features, coalesce((gain - ((gain % n_features) + n_features) % n_features) // n_features, 0)::BIGINT AS weight FROM documents x LEFT JOIN d USING (doc_id)),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM m),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)"""
