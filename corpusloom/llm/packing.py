@@ -60,23 +60,28 @@ class FileEncoder(Encoder):
 _ENCODERS: dict[str, FileEncoder] = {}
 
 
+def json_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """The ranks by bytes and the special tokens of a tokenizer file; the file's byte-level alphabet is undone."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    return {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}, special
+
+
 def json_encoder(path: str) -> FileEncoder:
     """An encoder with the vocabulary, merges and special tokens of a tokenizer file; one for each worker process.
 
-    The file's byte-level alphabet is undone, so that ranks are by bytes; a special token's string becomes its id.
+    A special token's string becomes its id.
     """
     if path not in _ENCODERS:
-        import json
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-        rest = [b for b in range(256) if b not in plain]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         import public_tokenizers
 
+        ranks, special = json_vocabulary(path)
         _ENCODERS[path] = FileEncoder(ranks, public_tokenizers.PATTERN, special)
     return _ENCODERS[path]
 
