@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, crosstok, htmldiff, langid, linededup, packing, pii, quality, resample, simhash, sql, vectors
+from . import bpe, chat, crosstok, debruijn, htmldiff, langid, linededup, packing, pii, quality, resample, simhash, sql, vectors
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted(table(spark, sf_dir, "conversations"))
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op12_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,6 +76,6 @@ def base10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_pii(spark, sf_dir).drop("spans", "n_term")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_embeddings, op3_chat, op4_html, op5_language, op6_quality, op7_packing, op8_lines, op9_simhash, op10_pii, op12_crosstok, op13_resample, base6_rules, base10_spans)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_embeddings, op3_chat, op4_html, op5_language, op6_quality, op7_packing, op8_lines, op9_simhash, op10_pii, op11_substrings, op12_crosstok, op13_resample, base6_rules, base10_spans)}
 #: the links of vectors by all pairs: what is found must be all of them on the tables compared
 ORACLE_SQL: dict[str, str] = {"op2_embeddings": sql.VECTORS, "base6_rules": sql.QUALITY, "base10_spans": sql.PII, "op13_resample": sql.RESAMPLE}
