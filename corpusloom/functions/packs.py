@@ -9,15 +9,32 @@ from pyspark.sql import functions as F
 
 #: Words that hedge, words that open a sentence as a conjunction, and contractions.
 HEDGES = {
-    "en": "perhaps|maybe|might|arguably|somewhat|possibly|probably|seem|seems|seemingly|i suspect|in some sense|it may be|likely|rather|fairly|quite",
-    "de": "vielleicht|eventuell|möglicherweise|wahrscheinlich|vermutlich|wohl|scheinbar|anscheinend|offenbar|ziemlich|eher|gewissermaßen|einigermaßen"
-    "|irgendwie|sozusagen|könnte|könnten|dürfte|dürften|ich vermute|in gewisser weise|es scheint|scheint|scheinen|mehr oder weniger",
-    "fr": "peut-être|probablement|sans doute|possiblement|vraisemblablement|apparemment|semble|semblent|il semble|plutôt|assez|quelque peu"
-    "|en quelque sorte|d'une certaine manière|pourrait|pourraient|il se peut|je suppose|je soupçonne|plus ou moins",
-    "es": "quizás|quizá|tal vez|acaso|posiblemente|probablemente|al parecer|aparentemente|parece|parecen|parecería|bastante|más bien|un tanto"
-    "|en cierto modo|de alguna manera|podría|podrían|puede que|supongo|sospecho|más o menos",
+    "en": (
+        "perhaps", "maybe", "might", "arguably", "somewhat", "possibly", "probably", "seem", "seems", "seemingly", "i suspect", "in some sense",
+        "it may be", "likely", "rather", "fairly", "quite",
+    ),
+    "de": (
+        "vielleicht", "eventuell", "möglicherweise", "wahrscheinlich", "vermutlich", "wohl", "scheinbar", "anscheinend", "offenbar", "ziemlich",
+        "eher", "gewissermaßen", "einigermaßen", "irgendwie", "sozusagen", "könnte", "könnten", "dürfte", "dürften", "ich vermute",
+        "in gewisser weise", "es scheint", "scheint", "scheinen", "mehr oder weniger",
+    ),
+    "fr": (
+        "peut-être", "probablement", "sans doute", "possiblement", "vraisemblablement", "apparemment", "semble", "semblent", "il semble", "plutôt",
+        "assez", "quelque peu", "en quelque sorte", "d'une certaine manière", "pourrait", "pourraient", "il se peut", "je suppose", "je soupçonne",
+        "plus ou moins",
+    ),
+    "es": (
+        "quizás", "quizá", "tal vez", "acaso", "posiblemente", "probablemente", "al parecer", "aparentemente", "parece", "parecen", "parecería",
+        "bastante", "más bien", "un tanto", "en cierto modo", "de alguna manera", "podría", "podrían", "puede que", "supongo", "sospecho",
+        "más o menos",
+    ),
+}
+OPENERS = {
+    "en": ("and", "but", "so", "or", "yet", "then"),
+    "de": ("und", "aber", "doch", "oder", "denn", "also", "dann"),
+    "fr": ("et", "mais", "donc", "or", "car", "puis", "ou"),
+    "es": ("y", "e", "pero", "o", "u", "ni", "pues"),
 }
-OPENERS = {"en": "and|but|so|or|yet|then", "de": "und|aber|doch|oder|denn|also|dann", "fr": "et|mais|donc|or|car|puis|ou", "es": "y|e|pero|o|u|ni|pues"}
 CONTRACTIONS = {
     "en": [r"\b\w+'(s|re|ve|ll|d|t|m)\b"],
     "de": [
@@ -29,11 +46,17 @@ CONTRACTIONS = {
     "es": [r"\b(pa|na|to)['’](?=\s|$|[.,;:!?])", r"\bpa['’]l\b", r"(?<!\w)['’]t(á|a|oy|amos|án|an)\b"],
 }
 #: Words that address the reader, stop words, and languages whose words have no blanks between them.
-ADDRESS = {"en": "you|your|yours|yourself|yourselves"}
+ADDRESS = {
+    "en": ("you", "your", "yours", "yourself", "yourselves"),
+}
 STOPWORDS = {
-    "en": "a all also an and any are as at be been being but by can could did do does each every for from had has have he her here him his how i in into "
-    "is it its just me my no not of on only or our over she should so some than that the their them then there these they this those to us very was we "
-    "were what when where which who whom why will with would you your"
+    "en": (
+        "a", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "being", "but", "by", "can", "could", "did", "do", "does", "each",
+        "every", "for", "from", "had", "has", "have", "he", "her", "here", "him", "his", "how", "i", "in", "into", "is", "it", "its", "just", "me",
+        "my", "no", "not", "of", "on", "only", "or", "our", "over", "she", "should", "so", "some", "than", "that", "the", "their", "them", "then",
+        "there", "these", "they", "this", "those", "to", "us", "very", "was", "we", "were", "what", "when", "where", "which", "who", "whom", "why",
+        "will", "with", "would", "you", "your",
+    ),
 }
 UNSUPPORTED = ("ja", "zh", "th", "lo", "km", "my", "bo")
 
@@ -65,8 +88,9 @@ TONES = {
 }
 
 
-def alternatives(phrases: str) -> str:
-    return "|".join(re.escape(p).replace(r"\ ", " ").replace(r"\'", "'").replace(r"\-", "-") for p in phrases.split("|"))
+def alternatives(phrases: tuple[str, ...]) -> str:
+    """A pattern of all the phrases."""
+    return "|".join(re.escape(p).replace(r"\ ", " ").replace(r"\'", "'").replace(r"\-", "-") for p in phrases)
 
 
 def by_language(lang: Column, count, packs: dict) -> Column:
@@ -92,7 +116,7 @@ def contractions(low: Column, lang: Column) -> Column:
 
 
 def openers(first_words: Column, lang: Column) -> Column:
-    return by_language(lang, lambda p: F.size(F.filter(first_words, lambda w: w.isin(*p.split("|")))), OPENERS)
+    return by_language(lang, lambda p: F.size(F.filter(first_words, lambda w: w.isin(*p))), OPENERS)
 
 
 LISTS = {"hedges": HEDGES, "openers": OPENERS, "contractions": CONTRACTIONS, "address": ADDRESS, "stopwords": STOPWORDS}
@@ -122,6 +146,6 @@ def load(folder: str) -> dict[str, list[str]]:
             else:
                 if any(x != x.lower() for x in entries):
                     raise ValueError(f"{code}/{name}: entries must be in lower case")
-                packs[code] = (" " if name == "stopwords" else "|").join(entries)
+                packs[code] = tuple(entries)
             found.setdefault(code, []).append(name)
     return found

@@ -29,7 +29,7 @@ def _unquoted(block: str) -> str:
 def _lists(lang: str | None) -> tuple:
     """Hedges, openers and contractions of a language, compiled; null where its pack has none."""
     hedges = regex.compile(rf"\b(?:{packs.alternatives(packs.HEDGES[lang])})\b") if lang in packs.HEDGES else None
-    openers = frozenset(packs.OPENERS[lang].split("|")) if lang in packs.OPENERS else None
+    openers = frozenset(packs.OPENERS[lang]) if lang in packs.OPENERS else None
     return hedges, openers, [regex.compile(p) for p in packs.CONTRACTIONS[lang]] if lang in packs.CONTRACTIONS else None
 
 

@@ -16,7 +16,7 @@ WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|['-])*")
 TOKEN = re.compile(r"\w+")
 SENTENCE = regex.compile(r"""(?V1)(?<=[.!?])["')\]]* +(?=["'(\[]?(?:[A-Z0-9À-ÖØ-Þ]|[Ā-ԯ&&\p{Lu}]))""")
 PAIR = T.ArrayType(T.StructType([T.StructField("before", T.StringType()), T.StructField("after", T.StringType())]))
-#: how many sentences of the one side a unit takes for how many of the other, the likelier first
+#: How many sentences of the one side a unit takes for how many of the other; on ties the first.
 UNITS = ((1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (1, 0), (0, 1))
 
 
@@ -128,8 +128,8 @@ def identify(text: str | None) -> tuple[str, float]:
     words = WORD.findall(low)
     if not words:
         return "und", 0.0
-    score = {k: sum(w in set(packs.OPENERS[k].split("|")) for w in words) + sum(low.count(c) for c in LETTERS.get(k, "")) for k in packs.OPENERS}
-    score["en"] += sum(w in set(packs.STOPWORDS["en"].split()) for w in words)
+    score = {k: sum(w in set(packs.OPENERS[k]) for w in words) + sum(low.count(c) for c in LETTERS.get(k, "")) for k in packs.OPENERS}
+    score["en"] += sum(w in set(packs.STOPWORDS["en"]) for w in words)
     best = max(sorted(score), key=lambda k: score[k])
     total = sum(score.values())
     return (best, round(score[best] / total, 6)) if total else ("und", 0.0)

@@ -6,10 +6,13 @@ within paragraphs. Detectors are a small table, so their patterns become columns
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import text as T
 
@@ -40,23 +43,47 @@ def scan(texts: DataFrame, detectors: list[dict]) -> DataFrame:
     return texts.select("key", F.explode(F.array_compact(F.array(*map(one, detectors)))).alias("x")).select("key", "x.*").where("count > 0")
 
 
-def problems(detectors: list[dict]) -> list[str]:
-    """What is wrong with a table of detectors: fields, ids, origins, patterns, missed examples, matched counter-examples."""
-    out, seen = [], set()
-    for d in detectors:
-        name = d.get("id", "?")
-        out += [f"{name}: no {k}" for k in ("id", "name", "origins", "pattern", "examples") if not d.get(k)]
-        out += [f"{name}: id used twice"] * (name in seen) + [f"{name}: id must be lower case letters, digits and hyphens"] * (not re.match(ID, name))
-        out += [f"{name}: origin {o!r} is not a language code" for o in d.get("origins", ()) if not re.match(ORIGIN, o)]
-        seen.add(name)
+@F.pandas_udf(BooleanType())
+def _compiles(patterns: pd.Series) -> pd.Series:
+    def compiles(p: str) -> bool:
         try:
-            match = re.compile(d.get("pattern", ""), re.IGNORECASE | re.MULTILINE).search
-        except re.error as e:
-            out.append(f"{name}: pattern does not compile ({e})")
-            continue
-        out += [f"{name}: misses its example {x!r}" for x in d.get("examples", ()) if not match(x)]
-        out += [f"{name}: matches its counter-example {x!r}" for x in d.get("counters", ()) if match(x)]
-    return out
+            return bool(regex.compile(p))
+        except regex.error:
+            return False
+
+    return patterns.map(compiles, na_action="ignore")
+
+
+def findings(detectors: DataFrame) -> DataFrame:
+    """id, rule, value: each fault of a table of detectors (id, name, origins, pattern, examples, counters) is a row.
+
+    Rules are set against the table as a whole: samples that a pattern ought to match and does not, or ought not to and
+    does; values that are not spelled as keys are; fields without a value; ids that two rows claim. Only patterns that
+    compile are tried on samples.
+    """
+    tried = detectors.withColumn("sound", F.coalesce(_compiles("pattern"), F.lit(True)))
+    able = tried.where("sound and pattern is not null")
+
+    def samples(field: str, rule: str, wrong) -> DataFrame:
+        rows = able.select("id", "pattern", F.explode(field).alias("value"))
+        return rows.where(wrong(F.rlike(T.normal_quotes(F.col("value")), F.concat(F.lit("(?imU)"), "pattern")))).select("id", F.lit(rule).alias("rule"), "value")
+
+    def rows(rule: str, value: Column, fault: Column, source: DataFrame = tried) -> DataFrame:
+        return source.where(fault).select("id", F.lit(rule).alias("rule"), value.cast("string").alias("value"))
+
+    empty = [F.when(F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) == 0, F.lit(c)) for c in ("name", "pattern")]
+    empty += [F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, F.lit(c)) for c in ("origins", "examples")]
+    lacking = tried.select("id", F.explode(F.array_compact(F.array(*empty))).alias("value"))
+    parts = [
+        samples("examples", "example not matched", lambda hit: ~hit),
+        samples("counters", "counter-example matched", lambda hit: hit),
+        rows("pattern does not compile", F.col("pattern"), ~F.col("sound")),
+        rows("not a language code", F.col("value"), ~F.col("value").rlike(ORIGIN), tried.select("id", F.explode("origins").alias("value"))),
+        rows("not a key", F.col("id"), ~F.coalesce(F.col("id").rlike(ID), F.lit(False))),
+        rows("no value", F.col("value"), F.lit(True), lacking),
+        rows("key of several rows", F.col("n"), F.col("n") > 1, tried.groupBy("id").agg(F.count("*").alias("n"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def built(texts: DataFrame, detectors: list[dict], by: list[str]) -> DataFrame:

@@ -248,7 +248,7 @@ def inherited(links: DataFrame) -> DataFrame:
 # --- rejections, evidence, quotes
 
 
-def lesson_key(lesson: Column, stop: tuple = tuple(packs.STOPWORDS["en"].split())) -> Column:
+def lesson_key(lesson: Column, stop: tuple = packs.STOPWORDS["en"]) -> Column:
     """A lesson without signs and stop words."""
     words = F.split(F.trim(F.regexp_replace(F.lower(lesson), r"[^\p{L}\p{N}_]+", " ")), " ")
     return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*stop)), " ")

@@ -13,6 +13,7 @@ RULED_OUT = (
     r"(?iU)\b(?:do not use|don'?t use|claims? we (?:won'?t|will not|do not) make|"
     r"never (?:say|claim|use)|avoid|out of scope|not to use)\b"
 )
+#: Fixed value: the label or heading at the beginning of a line.
 LABEL = r"^[-*\d.\s]*\**([^:*]{1,40})[:*]"
 
 

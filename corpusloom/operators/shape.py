@@ -49,7 +49,7 @@ def measures(texts: DataFrame) -> DataFrame:
         return F.struct(F.when(b["heading"], close).otherwise(acc["done"]).alias("done"), F.when(b["heading"], 0.0).otherwise(acc["now"] + T.n_words(b["block"])).alias("now"))
 
     cut = F.aggregate("_p", start, section, lambda acc: F.when(acc["now"] > 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]))
-    address = r"(?U)(?<!\w)(?:" + "|".join(sorted(packs.ADDRESS["en"].split("|"), key=lambda w: (-len(w), w))) + r")(?!\w)"
+    address = r"(?U)(?<!\w)(?:" + "|".join(sorted(packs.ADDRESS["en"], key=lambda w: (-len(w), w))) + r")(?!\w)"
     body = F.lower(F.array_join("_paras", "\n"))
 
     def starts(block: Column, sign: str) -> Column:

@@ -80,7 +80,7 @@ def _hedges() -> str:
 
 def counted(bodies: str) -> str:
     """CTEs from `bodies` (key.., lang, body, n_para) to `sums`; `bodies` must be the name of one with a column `id`."""
-    openers = " ".join(f"WHEN '{k}' THEN first IN ({', '.join(repr(x) for x in v.split('|'))})" for k, v in packs.OPENERS.items())
+    openers = " ".join(f"WHEN '{k}' THEN first IN ({', '.join(repr(x) for x in v)})" for k, v in packs.OPENERS.items())
     langs = ", ".join(f"'{k}'" for k in packs.CONTRACTIONS if k != "en")
     count = lambda c: f"(length(body) - length(replace(body, '{c}', '')))"
     return f"""sent AS (SELECT id, lang, unnest({split_sentences('body')}) AS s FROM {bodies}),

@@ -133,7 +133,7 @@ def o040(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_count(t, F.lit(T.PLACEHOLDER)).cast("long").alias("n"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in packs.STOPWORDS["en"].split())
+_STOP = ", ".join(f"'{w}'" for w in packs.STOPWORDS["en"])
 
 
 @add("o043_lesson_key", f"SELECT item_id, array_to_string(list_filter(string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')), ' '), lambda w: w NOT IN ({_STOP}, '')), ' ') AS key FROM benchmark")

@@ -74,11 +74,17 @@ def test_rates_in_words(spark):
 
 def test_detectors_find_their_own_faults(spark):
     good = {"id": "a-b", "lang": "en", "name": "n", "origins": ["de"], "pattern": r"\bhandy\b", "examples": ["my Handy"], "counters": ["handyman"]}
-    assert flavour.problems([good]) == []
-    bad = [good, good | {"counters": ["handy"]}, {"id": "X", "pattern": "(", "origins": ["german"]}, good | {"id": "c", "examples": ["none"]}]
-    found = "\n".join(flavour.problems(bad))
-    for part in ("a-b: id used twice", "a-b: matches its counter-example", "X: no name", "X: id must be", "X: origin 'german'", "X: pattern does not compile", "c: misses its example"):
-        assert part in found
+    schema = "id string, name string, origins array<string>, pattern string, examples array<string>, counters array<string>"
+
+    def found(rows):
+        return {(x["id"], x["rule"], x["value"]) for x in flavour.findings(spark.createDataFrame([{"name": None, "examples": None, "counters": None} | r for r in rows], schema)).collect()}
+
+    assert found([good]) == set()
+    bad = [good, good | {"counters": ["handy"]}, {"id": "X", "pattern": "(", "origins": ["german"]}, good | {"id": "c", "examples": ["none"]}, good | {"id": None, "examples": []}]
+    assert found(bad) == {
+        ("a-b", "key of several rows", "2"), ("a-b", "counter-example matched", "handy"), ("c", "example not matched", "none"), ("X", "no value", "name"), ("X", "no value", "examples"),
+        ("X", "pattern does not compile", "("), ("X", "not a language code", "german"), ("X", "not a key", "X"), (None, "not a key", None), (None, "no value", "examples"),
+    }
     rows = spark.createDataFrame([(1, "en", "My handy. HANDY\n\nmy"), (2, "de", "handy"), (3, "en", None)], "key int, lang string, text string")
     two = good | {"id": "two", "pattern": r"handy\s+my"}
     assert [tuple(x)[:3] + (x["found"],) for x in flavour.scan(rows, [good, two]).collect()] == [(1, "a-b", 2, ["handy", "HANDY"])]
