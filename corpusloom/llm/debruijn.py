@@ -7,7 +7,8 @@ anchors depend on an edge's words alone, equal edges lie in pieces of one anchor
 
 1. pieces whose anchor occurs once hold no repeated edge, and go;
 2. of the others, pieces with equal words are counted as one; a piece that occurs twice repeats as a whole;
-3. where different pieces share an anchor the graph may branch inside them. One source of each such piece is
+3. where different pieces share an anchor, and enough words before or behind it, the graph may branch inside
+   them. One source of each such piece is
    fetched by its coordinates (document, word), and its edges, hashed from the words that stand there, are
    joined to those of the other pieces: this verifies, edge by edge, which part of a piece repeats;
 4. pieces that repeat are compacted: where exactly one repeated piece ends in a node and exactly one begins there,
@@ -30,98 +31,19 @@ gives no rows; further columns are ignored (`without_repeats` hands them on).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, packed
-from .linededup import MAX_BROADCAST, Runs, _mixed, _same, _words, without
+from . import repeats
+from .common import checkpointed
+from .words import parts
 
 WINDOW = 35
 #: words of a line that may be an anchor
 ANCHOR = 8
 
-
-def hashed(text: str) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    parts = [np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)) for words in _words(text)]
-    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, dtype=np.uint64), *parts])
-
-
-def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
-    """For each run of `width` values the place of the least one, by the upper half of its bits."""
-    n = len(values) - width + 1
-    low = (values & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=np.uint64)
-    size = 1
-    while 2 * size <= width:
-        low = np.minimum(low[: len(low) - size], low[size:])
-        size *= 2
-    return (np.minimum(low[:n], low[width - size : width - size + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-
-def pieces(text: str, window: int) -> tuple[np.ndarray, ...] | None:
-    """at, size (edges), anchor, words (hashes) of each piece, and the nodes before, between and behind the pieces."""
-    words = hashed(text)
-    n = len(words) - window + 1
-    if n < 1:
-        return None
-    runs = Runs(words)
-    starts = np.arange(len(words) - ANCHOR + 1)
-    lines = _mixed(runs(starts, starts + ANCHOR))
-    anchor = leftmost_least(lines, window - ANCHOR + 1)
-    at = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
-    ends = np.append(at[1:], n)
-    nodes = np.append(at, n)
-    return at.astype(np.int32), (ends - at).astype(np.int32), lines[anchor[at]], _mixed(runs(at, ends + window - 1)), _mixed(runs(nodes, nodes + window - 1))
-
-
-def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
-
-
-def _pieces(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(k, p) for k, t in enumerate(b["text"].to_pylist()) if t and len(t) >= 2 * window - 1 and (p := pieces(t, window)) is not None]
-            rows = pa.array([k for k, _ in found], pa.int64())
-            columns = [_lists([p[i] for _, p in found], pa.int32() if i < 2 else pa.int64()) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(rows), b["tag"].take(rows), *columns], names=["doc_id", "tag", "at", "size", "anchor", "words", "node"])
-
-    return run
-
-
-def _edges(window: int):
-    """The hash of every edge of the pieces asked for."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for text, asked in zip(b["text"], b["asked"], strict=True):
-                x = {c: np.array([r[c] for r in asked], dtype=np.int64) for c in ("anchor", "words", "at", "size", "n")}
-                first = np.cumsum(x["size"]) - x["size"]
-                i = np.arange(int(x["size"].sum())) - np.repeat(first, x["size"])
-                at = np.repeat(x["at"], x["size"]) + i
-                edge = _mixed(Runs(hashed(text))(at, at + window)).view(np.int64)
-                yield pd.DataFrame({c: np.repeat(x[c], x["size"]) for c in ("anchor", "words", "n")} | {"i": i.astype(np.int32), "edge": edge})
-
-    return run
-
-
-def _covered(n: int, places, window: int) -> np.ndarray:
-    """Which of n words a repeated edge covers; bit i of a place's mask stands for the edge i words behind it."""
-    at, mask = np.array([p["at"] for p in places], dtype=np.int64), np.array([p["mask"] for p in places], dtype=np.int64)
-    change = np.zeros(n + 1, dtype=np.int64)
-    for i in range(window - ANCHOR + 1):
-        starts = at[mask >> i & 1 == 1] + i
-        change += np.bincount(starts, minlength=n + 1) - np.bincount(starts + window, minlength=n + 1)
-    return np.cumsum(change[:-1]) > 0
-
-
 DIGEST = "n_words long, n_removed long, kept_sha256 string, n_passages long"
 
 
@@ -129,10 +51,10 @@ def _digest(window: int):
     def run(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
         out = []
         for text, found in zip(texts, places, strict=True):
-            n = sum(map(len, _words(text))) if text else 0
-            gone = _covered(n, found, window) if found is not None and len(found) else None
+            n = sum(map(len, parts(text))) if text else 0
+            gone = repeats.covered(n, found, window) if found is not None and len(found) else None
             kept, at = hashlib.sha256(), 0
-            for words in _words(text) if text else ():
+            for words in parts(text) if text else ():
                 left = words if gone is None else [w for w, g in zip(words, gone[at : at + len(words)].tolist(), strict=True) if not g]
                 started = at > 0 and (gone is None or not gone[:at].all())
                 kept.update((b" " if started and left else b"") + b" ".join(left))
@@ -148,7 +70,7 @@ def _left(window: int):
         done = []
         for text, found in zip(texts, places, strict=True):
             if text and found is not None and len(found):
-                text = without(text, _covered(sum(map(len, _words(text))), found, window))
+                text = repeats.without(text, repeats.covered(sum(map(len, parts(text))), found, window))
             done.append(text)
         return pd.Series(done, dtype=object)
 
@@ -158,8 +80,8 @@ def _left(window: int):
 def compacted(edges: DataFrame) -> DataFrame:
     """(id, path) for edges (id, u, v): maximal paths without a branch are one, named by their first edge.
 
-    Where u or v is null nothing is joined. Pointers to the edge before are doubled, so a path of n edges takes log n joins; the edges of a circle
-    never meet a head, and each stays a path of its own.
+    Where u or v is null nothing is joined. Pointers to the edge before are doubled, so a path of n edges takes
+    log n joins; the edges of a circle never meet a head, and each stays a path of its own.
     """
     into = edges.where("v is not null").groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n_in"), F.first("id").alias("up")).where("n_in = 1")
     out = edges.where("u is not null").groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_out"), F.first("id").alias("id")).where("n_out = 1")
@@ -184,32 +106,18 @@ def compacted(edges: DataFrame) -> DataFrame:
 
 def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, tag (hash of the text), at, mask, path: the places of all pieces that hold a repeated edge."""
-    if not 2 * ANCHOR <= window <= 62 + ANCHOR:
-        raise ValueError(f"window must have {2 * ANCHOR} to {62 + ANCHOR} words, as a piece's edges are bits of one number")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    arrays = ", ".join(f"{c} array<{t}>" for c, t in (("at", "int"), ("size", "int"), ("anchor", "long"), ("words", "long"), ("node", "long")))
-    found = checkpointed(texts.mapInArrow(_pieces(window), f"doc_id {kind}, tag long, {arrays}"))
-    often = found.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1")
-    ends = F.slice("node", F.lit(2), F.size("at"))
-    rows = found.select("doc_id", "tag", F.inline(F.arrays_zip("at", "size", "anchor", "words", F.slice("node", F.lit(1), F.size("at")).alias("u"), ends.alias("v"))))
-    rows = checkpointed(rows.join(often.select("anchor"), "anchor", "left_semi"))
-    same = rows.groupBy("anchor", "words").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "u", "v", "doc_id", "tag", "at")])
+    if window < 2 * ANCHOR:
+        raise ValueError(f"window must be {2 * ANCHOR} or more, so that edges have enough lines of {ANCHOR} words to choose from")
+    rows = repeats.met_pieces(docs, window, ANCHOR, nodes=True)
+    same = rows.groupBy("anchor", "words").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "before", "behind", "u", "v", "doc_id", "tag", "at")])
     same = checkpointed(same)
-    # anchors at which the graph may branch, and a piece there that does not repeat as a whole
-    split = same.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("rarest")).where("kinds > 1 and rarest = 1").select("anchor")
-    asked = same.join(split, "anchor", "left_semi").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "words", "at", "size", "n")).alias("asked"))
-    asked = checkpointed(asked.select(F.col("doc_id").alias("s_id"), F.col("tag").alias("s_tag"), "asked"))
-    tags = checkpointed(asked.select(F.col("s_tag").alias("tag")).distinct())
-    some = texts.join(F.broadcast(tags), "tag", "left_semi") if tags.count() <= MAX_BROADCAST else texts
-    sources = some.join(asked, _same("doc_id", "s_id", "tag", "s_tag")).select("text", "asked")
-    edges = checkpointed(sources.mapInPandas(_edges(window), "anchor long, words long, n long, i int, edge long"))
+    # where the graph may branch inside pieces of one anchor
+    edges = repeats.edges(docs, same.join(repeats.related(same), ["anchor", "words"], "left_semi"), window)
     shared = edges.groupBy("anchor", "edge").agg(F.min("words").alias("least"), F.max("words").alias("most"), F.max("n").alias("n")).where("least <> most or n > 1")
-    parts = edges.where("n = 1").select("anchor", "words", "i", "edge").join(shared.select("anchor", "edge"), ["anchor", "edge"], "left_semi")
+    some = edges.where("n = 1").select("anchor", "words", "i", "edge").join(shared.select("anchor", "edge"), ["anchor", "edge"], "left_semi")
     bits = F.bit_or(F.expr("shiftleft(1L, i)")).alias("part")
-    parts = parts.groupBy("anchor", "words").agg(bits, F.min_by("edge", "i").alias("first"), F.max_by("edge", "i").alias("last"))
-    full = F.expr("shiftleft(1L, size) - 1")
-    masks = same.join(parts, ["anchor", "words"], "left").withColumn("mask", F.when(F.col("n") > 1, full).otherwise(F.col("part"))).where("mask is not null")
+    some = some.groupBy("anchor", "words").agg(bits, F.min_by("edge", "i").alias("first"), F.max_by("edge", "i").alias("last"))
+    masks = same.join(some, ["anchor", "words"], "left").withColumn("mask", F.when(F.col("n") > 1, repeats.full()).otherwise(F.col("part"))).where("mask is not null")
     # equal parts of unlike pieces are one path of the graph; it goes on at an end of the piece only
     name = F.when(F.col("n") > 1, F.xxhash64("anchor", "words")).otherwise(F.xxhash64("anchor", "first", "last", F.expr("mask div (mask & -mask)")))
     u, v = F.when(F.col("mask") % 2 == 1, F.col("u")), F.when(F.col("mask") >= F.expr("shiftleft(1L, size - 1)"), F.col("v"))
@@ -218,27 +126,13 @@ def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.select("doc_id", "tag", "at", "anchor", "words").join(paths, ["anchor", "words"]).select("doc_id", "tag", "at", "mask", "path")
 
 
-def _with_places(docs: DataFrame, window: int) -> DataFrame:
-    """row (the columns of `docs`) and places (null without a repeat) of every document."""
-    places = repeated_places(docs, window).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "mask", "path")).alias("places"))
-    places = checkpointed(places.select(F.col("doc_id").alias("at_id"), F.col("tag").alias("at_tag"), "places"))
-    rows = packed(docs).withColumns({"own_id": F.col("row.doc_id"), "tag": F.xxhash64("row.text")})
-    tags = checkpointed(places.select(F.col("at_tag").alias("tag")).distinct())
-    met = _same("own_id", "at_id", "tag", "at_tag")
-    if tags.count() > MAX_BROADCAST:
-        return rows.join(places, met, "left").select("row", "places")
-    some = rows.join(F.broadcast(tags), "tag", "left_semi").join(places, met, "left").select("row", "places")
-    none = rows.join(F.broadcast(tags), "tag", "left_anti").select("row", F.lit(None).cast(places.schema["places"].dataType).alias("places"))
-    return some.union(none)
-
-
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and n_passages (compacted paths that the document meets) of every document."""
-    rows = _with_places(docs.select("doc_id", "text"), window)
+    rows = repeats.with_places(docs.select("doc_id", "text"), repeated_places(docs, window))
     return rows.select("row.doc_id", _digest(window)("row.text", "places").alias("done")).select("doc_id", "done.*")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows and columns of `docs`, with every word that a repeated run covers taken out of the text."""
-    rows = _with_places(docs, window).select("row", _left(window)("row.text", "places").alias("left"))
+    rows = repeats.with_places(docs, repeated_places(docs, window)).select("row", _left(window)("row.text", "places").alias("left"))
     return rows.select(*[F.col("left").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -3,325 +3,85 @@
 Lines are wrapped at every word: a line is `WIDTH` words from any word on, whatever the line breaks are, so
 a passage is found wherever it begins and ends. Winnowing selects in each window of `min_words - WIDTH + 1`
 such lines the one with the least hash (the first of equals) as fingerprint: a run of `min_words` words is one
-window, so two documents that share it share a fingerprint, which is guaranteed. Where equal lines follow
-each other (a repeated word or two) one of them is enough for each window.
+window, so places that share it share a fingerprint, at the same distance from the run, which is guaranteed.
 
-Positions of equal fingerprints are joined to the first of them (by doc_id, then the text's hash, then
-position). Matches are extended both ways: over the words up to the neighbouring fingerprints by a hash of
-these words, which joins matches of one source and one distance to runs; then from both ends of a run word
-by word, up to the first that differs, with the words that the source has there (`REACH` at most; a longer
-match meets the next fingerprint). Runs of `min_words` words or more are deleted: they are later repeats.
+Positions of equal fingerprints are joined. Windows around one position are a piece; equal pieces, the common case,
+are counted as one, and the first of their places is kept. A match is extended both ways by comparing, window by
+window, the words before and behind the fingerprint: of every window the earliest place among all pieces of that
+fingerprint is found. A window whose earliest place is not its own is a later repeat, and every word in one is
+deleted; what is first stays. There is no bound on how far a match reaches nor on how many sources a run has: the
+result is exactly the words in runs of `min_words` that occur at an earlier place, in junk of one repeated word too.
 
-A run is compared to this first position only, so pairs of positions are never made; a passage whose
-fingerprints all have shorter matches elsewhere, before its own first copy, may stay. Fingerprints with over
-a thousandth of all positions are joined by broadcast, so none lands in one task. Texts are shuffled for the
-ends of runs and for the deletion; only those of sources and of later repeats, while their list is small enough
-to be broadcast.
+An earlier place is one with a smaller doc_id, then a smaller hash of the text, then a smaller position. Pairs of
+positions are never made: sources are minima, pre-aggregated, and all joins are equi-joins that Spark can split.
+Texts are shuffled in part: those that are the source of a piece with relatives, and those that lose words.
 
 Defined cases: a null text stays null and an empty one empty; a row with a null doc_id comes before all
 others; rows that agree in doc_id and text are one position, so neither is later than the other; a deleted
 run takes the white space behind it, but a line that keeps words before the run keeps its end; a document
-may become empty, and its row stays; an empty table gives no rows; further columns pass through untouched.
+may become empty, and its row stays; an empty table gives no rows; further columns pass through untouched. Repeated
+lines of fewer than `min_words` words stay, unless their neighbours repeat with them.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, packed
-from .components import SHARE
+from . import repeats
+from .common import checkpointed
+from .words import parts
 
 MIN_WORDS = 50
 #: words of a line
 WIDTH = 12
-#: rows of a list of texts that is still broadcast; beyond it all texts are shuffled
-MAX_BROADCAST = 500_000
-#: words that a source gives on either side of a run
-REACH = 40
 DONE = "n_words long, n_lines long, n_removed long, n_removed_words long, text string"
-#: an odd multiplier, and its inverse modulo 2^64, for hashes of runs of words
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-#: powers that are kept; those of longer texts are made when needed
-KEPT = 1 << 17
-
-
-def _made(n: int) -> list[np.ndarray]:
-    """The first n powers of BASE and INVERSE."""
-    out = []
-    for x in (BASE, INVERSE):
-        steps = np.full(n, x, dtype=np.uint64)
-        steps[:1] = 1
-        out.append(np.cumprod(steps, dtype=np.uint64, out=steps))
-    return out
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if n > KEPT:
-        return _made(n)
-    if not _POWERS:
-        _POWERS.extend(_made(KEPT))
-    return _POWERS
-
-
-#: bytes of a text that are cut into words at a time
-PART = 1 << 20
-BLANK = re.compile(rb"[\x20\x09-\x0d]")
-
-
-def _words(text: str) -> Iterator[list[bytes]]:
-    """The words of a text, part by part, so that those of a very long text are never held together."""
-    raw, at = text.encode("utf-8", "surrogatepass"), 0
-    while at < len(raw):
-        blank = BLANK.search(raw, at + PART)
-        end = blank.start() if blank else len(raw)
-        yield raw[at:end].split()
-        at = end
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """A hash of each word."""
-    parts = [np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words)) for words in _words(text)]
-    return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, dtype=np.uint32), *parts])
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-class Runs:
-    """Hashes of runs of a text's words, by their content alone."""
-
-    def __init__(self, words: np.ndarray):
-        n = len(words)
-        power, self.inverse = _powers(n + 1)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_mixed(words.astype(np.uint64) + np.uint64(1)) * power[:n], dtype=np.uint64, out=self.sums[1:])
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return self._done(self.sums[ends] - self.sums[starts], self.inverse[starts], (ends - starts).astype(np.uint64))
-
-    def lines(self) -> np.ndarray:
-        """The hash of the line that begins at each word."""
-        n = len(self.sums) - WIDTH
-        return self._done(self.sums[WIDTH:] - self.sums[:n], self.inverse[:n], np.uint64(WIDTH))
-
-    @staticmethod
-    def _done(sums: np.ndarray, inverse: np.ndarray, size) -> np.ndarray:
-        x = sums * inverse + size
-        return x ^ (x >> np.uint64(32))
-
-
-def selected(lines: np.ndarray, window: int) -> np.ndarray:
-    """Positions that are the least of some window; the first of equals, but one for each window of a row of equals."""
-    n = len(lines)
-    key = (lines & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
-    size = 1
-    low = key
-    while 2 * size <= window:
-        low = np.minimum(low[: len(low) - size], low[size:])
-        size *= 2
-    low = np.minimum(low[: n - window + 1], low[window - size : window - size + n - window + 1])
-    at = np.unique((low & np.uint64(0xFFFFFFFF)).astype(np.int64))
-    equal = lines[at[1:]] == lines[at[:-1]]
-    if not (equal[1:] & equal[:-1]).any():
-        return at
-    keep, last = np.ones(len(at), dtype=bool), at[0]
-    for k in range(1, len(at) - 1):
-        if equal[k - 1] and equal[k] and at[k + 1] - last <= window:
-            keep[k] = False
-        else:
-            last = at[k]
-    return at[keep]
-
-
-def fingerprints(text: str, least: int) -> tuple[np.ndarray, ...] | None:
-    """fp, pos, before, after: each fingerprint and its place, a hash of the words between it and the one before it (or
-    the start), and of those behind it up to the end of the next (or of the text); their number is the last byte."""
-    words = word_hashes(text)
-    n, window = len(words), least - WIDTH + 1
-    if n < least:
-        return None
-    runs = Runs(words)
-    lines = _mixed(runs.lines())
-    at = selected(lines, window)
-    left, ends = np.concatenate([[0], at[:-1]]), at + WIDTH
-    right = np.maximum(np.concatenate([ends[1:], [n]]), ends)
 
-    def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return runs(a, b) & np.uint64(0xFFFFFFFFFFFFFF00) | (b - a).astype(np.uint64)
 
-    return lines[at], at, hashed(left, at), hashed(ends, right)
+def repeated_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, tag (hash of the text), at and mask: the pieces that hold a later repeat, and which of their windows are one."""
+    if min_words < 2 * WIDTH:
+        raise ValueError(f"min_words must be {2 * WIDTH} or more, so that windows have enough lines of {WIDTH} words to choose from")
+    rows = repeats.met_pieces(docs, min_words, WIDTH)
+    place = F.struct("doc_id", "tag", "at")
+    kinds = rows.groupBy("anchor", "words").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "before", "behind")], F.min(place).alias("first"))
+    kinds = checkpointed(kinds)
+    related = kinds.join(repeats.related(kinds), ["anchor", "words"], "left_semi")
+    windows = repeats.edges(docs, related.select("anchor", "words", "n", "size", "first.*"), min_words)
+    placed = windows.join(related.select("anchor", "words", "first"), ["anchor", "words"])
+    placed = placed.select("anchor", "words", "edge", "i", F.struct("first.doc_id", "first.tag", (F.col("first.at") + F.col("i")).alias("at")).alias("own"))
+    earliest = placed.groupBy("anchor", "edge").agg(F.min("own").alias("low"))
+    later = placed.join(earliest, ["anchor", "edge"]).where(F.col("low") < F.col("own")).groupBy("anchor", "words").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("part"))
+    known = kinds.join(later, ["anchor", "words"], "left").where("n > 1 or part is not null").select("anchor", "words", "first", F.coalesce("part", F.lit(0).cast("long")).alias("part"))
+    mask = F.when(place.eqNullSafe(F.col("first")), F.col("part")).otherwise(repeats.full())
+    return rows.join(known, ["anchor", "words"]).select("doc_id", "tag", "at", mask.alias("mask")).where("mask <> 0")
 
 
-FOUND = ("fp", "pos", "before", "after")
+def _lines(text: str) -> int:
+    return sum(1 for x in text.split("\n") if x.strip(" \t\r\x0b\x0c"))
 
 
-def _fingerprints(least: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ids, tags, columns, counts = [], [], [], []
-            for doc_id, tag, text in zip(b["doc_id"], b["tag"], b["text"], strict=True):
-                if text and len(text) >= 2 * least - 1 and (found := fingerprints(text, least)) is not None:
-                    ids.append(doc_id)
-                    tags.append(tag)
-                    counts.append(len(found[0]))
-                    columns.append(found)
-            if not ids:
-                continue
-            out = {"doc_id": pd.Series(ids, dtype=b["doc_id"].dtype).repeat(counts).to_numpy(), "tag": np.repeat(np.array(tags, dtype=np.int64), counts)}
-            for name, parts in zip(FOUND, zip(*columns, strict=True), strict=True):
-                x = np.concatenate(parts)
-                out[name] = x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int32)
-            yield pd.DataFrame(out)
-
-    return run
-
-
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each asked place the hashes of the words before it (at < 0: place -at-1) or from it on, nearest first."""
-    for b in batches:
-        out = []
-        for doc_id, tag, text, asked in zip(b["doc_id"], b["tag"], b["text"], b["asked"], strict=True):
-            words = word_hashes(text).astype("<u4", copy=False)
-            for at in asked.tolist():
-                near = words[max(0, -at - 1 - REACH) : -at - 1][::-1] if at < 0 else words[at : at + REACH]
-                out.append((doc_id, tag, at, near.tobytes()))
-        yield pd.DataFrame(out, columns=["s_id", "s_tag", "asked", "near"]).astype({"s_id": b["doc_id"].dtype})
-
-
-def _same(a: str, b: str, tag_a: str, tag_b: str):
-    return F.col(a).eqNullSafe(F.col(b)) & (F.col(tag_a) == F.col(tag_b))
-
-
-def listed(texts: DataFrame, tags: DataFrame) -> DataFrame:
-    """The texts on a list of tags, or all of them where the list is long."""
-    tags = checkpointed(tags.distinct())
-    return texts.join(F.broadcast(tags), "tag", "left_semi") if tags.count() <= MAX_BROADCAST else texts
-
-
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, tag (hash of the text) and runs: (s, e, left, right), the words s to e that an earlier place says too,
-    and the hashes of the words that this place has before and behind them, nearest first (null at an end of the text)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
-    found = checkpointed(texts.mapInPandas(_fingerprints(min_words), f"doc_id {kind}, tag long, fp long, pos int, before long, after long"))
-    place = F.struct("doc_id", "tag", "pos", "before", "after")
-    often = found.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") * SHARE > found.count()).select("fp")
-    often = F.broadcast(checkpointed(often))
-    hot = found.join(often, "fp")
-    hot = hot.join(F.broadcast(hot.groupBy("fp").agg(F.min(place).alias("first"))), "fp")
-    rest = found.join(often, "fp", "left_anti").withColumn("first", F.min(place).over(Window.partitionBy("fp")))
-    later = hot.unionByName(rest).where(F.struct("doc_id", "tag", "pos") > F.struct("first.doc_id", "first.tag", "first.pos"))
-
-    def shared(c: str):
-        return F.when(F.col(c) == F.col(f"first.{c}"), F.col(c).bitwiseAND(255)).otherwise(0).cast("int")
-
-    s, e = F.col("pos") - shared("before"), F.col("pos") + WIDTH + shared("after")
-    spans = later.select("doc_id", "tag", F.col("first.doc_id").alias("s_id"), F.col("first.tag").alias("s_tag"), (F.col("pos") - F.col("first.pos")).alias("far"), s.alias("s"), e.alias("e"))
-    # runs: what touches or overlaps, of one document, source and distance; a document's own number of spans bounds a group
-    group = "partition by doc_id, tag, s_id, s_tag, far"
-    reach = spans.withColumn("upto", F.expr(f"max(e) over ({group} order by s, e rows between unbounded preceding and 1 preceding)"))
-    numbered = reach.withColumn("run", F.expr(f"sum(case when s <= upto then 0 else 1 end) over ({group} order by s, e rows between unbounded preceding and current row)"))
-    runs = checkpointed(numbered.groupBy("doc_id", "tag", "s_id", "s_tag", "far", "run").agg(F.min("s").alias("s"), F.max("e").alias("e")))
-    ends = F.array(F.col("far") - F.col("s") - 1, F.col("e") - F.col("far"))
-    asked = runs.select("s_id", "s_tag", F.explode(ends).alias("asked")).distinct().groupBy("s_id", "s_tag").agg(F.collect_list("asked").alias("asked"))
-    asked = checkpointed(asked)
-    near = listed(texts, asked.select(F.col("s_tag").alias("tag"))).join(asked, _same("doc_id", "s_id", "tag", "s_tag")).select("doc_id", "tag", "text", "asked")
-    near = checkpointed(near.mapInPandas(_contexts, f"s_id {kind}, s_tag long, asked int, near binary").dropDuplicates(["s_id", "s_tag", "asked"]))
-
-    def side(at, name: str) -> DataFrame:
-        return near.select(F.col("s_id").alias(f"{name}_id"), F.col("s_tag").alias(f"{name}_tag"), F.col("asked").alias(at), F.col("near").alias(name))
-
-    both = runs.withColumns({"l_at": F.col("far") - F.col("s") - 1, "r_at": F.col("e") - F.col("far")})
-    for at, name in (("l_at", "left"), ("r_at", "right")):
-        both = both.join(side(at, name).withColumnRenamed(at, f"{at}_"), _same("s_id", f"{name}_id", "s_tag", f"{name}_tag") & (F.col(at) == F.col(f"{at}_")), "left")
-    return both.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("s", "e", "left", "right")).alias("runs"))
-
-
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the common prefix."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
-
-
-def deleted(words: np.ndarray, runs, least: int) -> np.ndarray:
-    """Which words go: those of the runs that have `least` words once they are extended both ways."""
-    change = np.zeros(len(words) + 1, dtype=np.int64)
-    for r in runs:
-        s, e = r["s"], r["e"]
-        if r["left"] is not None:
-            s -= common(words[max(0, s - REACH) : s][::-1], np.frombuffer(r["left"], dtype="<u4"))
-        if r["right"] is not None:
-            e += common(words[e : e + REACH], np.frombuffer(r["right"], dtype="<u4"))
-        if e - s >= least:
-            change[s] += 1
-            change[e] -= 1
-    return np.cumsum(change[:-1]) > 0
-
-
-def without(text: str, gone: np.ndarray) -> str:
-    """The text without the words marked in `gone`."""
-    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    word = ~((signs == 32) | (signs >= 9) & (signs <= 13))
-    places = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))  # where words begin
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-    out, at = [], 0
-    for i, j in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-        lo, hi = int(places[i]), int(places[j]) if j < len(places) else len(text)
-        begins = not text[text.rfind("\n", 0, lo) + 1 : lo].strip()
-        out.append(text[at:lo] if j < len(places) else text[at:lo].rstrip(" \t\n\r\x0b\x0c"))
-        if not begins and j < len(places) and "\n" in text[lo:hi]:
-            out[-1] = out[-1].rstrip(" ") + "\n"
-        at = hi
-    return "".join(out) + text[at:]
-
-
-def _without(least: int):
-    def run(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+def _without(min_words: int):
+    def run(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
         out = []
-        for text, runs in zip(texts, spans, strict=True):
-            if not text:
-                out.append((0, 0, 0, 0, text))
-                continue
-            n_lines = sum(1 for x in text.split("\n") if x.strip(" \t\r\x0b\x0c"))
-            if runs is None or not len(runs):
-                out.append((sum(map(len, _words(text))), n_lines, 0, 0, text))
+        for text, found in zip(texts, places, strict=True):
+            n = sum(map(len, parts(text))) if text else 0
+            before = _lines(text or "")
+            if found is None or not len(found) or not n:
+                out.append((n, before, 0, 0, text))
                 continue
-            words = word_hashes(text).astype("<u4", copy=False)
-            gone = deleted(words, runs, least)
-            left = without(text, gone) if gone.any() else text
-            lost = n_lines - sum(1 for x in left.split("\n") if x.strip(" \t\r\x0b\x0c")) if left is not text else 0
-            out.append((len(words), n_lines, lost, int(gone.sum()), left))
+            gone = repeats.covered(n, found, min_words)
+            left = repeats.without(text, gone)
+            out.append((n, before, before - _lines(left), int(gone.sum()), left))
         return pd.DataFrame(out, columns=[c.split()[0] for c in DONE.split(", ")])
 
     return F.pandas_udf(run, DONE)
 
 
 def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
-    runs = checkpointed(repeated_runs(docs, min_words).select(F.col("doc_id").alias("at_id"), F.col("tag").alias("at_tag"), "runs"))
-    rows = packed(docs).withColumns({"own_id": F.col("row.doc_id"), "tag": F.xxhash64("row.text")})
-    tags = checkpointed(runs.select(F.col("at_tag").alias("tag")).distinct())
-    met = _same("own_id", "at_id", "tag", "at_tag")
-    if tags.count() <= MAX_BROADCAST:  # texts without a repeat are not shuffled
-        some = rows.join(F.broadcast(tags), "tag", "left_semi").join(runs, met, "left").select("row", "runs")
-        none = rows.join(F.broadcast(tags), "tag", "left_anti").select("row", F.lit(None).cast(runs.schema["runs"].dataType).alias("runs"))
-        rows = some.union(none)
-    else:
-        rows = rows.join(runs, met, "left")
-    return rows.select("row", _without(min_words)("row.text", "runs").alias("done"))
+    rows = repeats.with_places(docs, repeated_places(docs, min_words))
+    return rows.select("row", _without(min_words)("row.text", "places").alias("done"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

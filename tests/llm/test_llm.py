@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat, components, htmldiff, langid, linededup, packing, pii, quality, simhash, vectors
+from corpusloom.llm import bpe, chat, components, htmldiff, langid, linededup, packing, pii, quality, repeats, simhash, vectors
 
 P = pytest.importorskip("public_tokenizers")
 RANKS, JSON = P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -158,23 +158,22 @@ def test_passages_go_wherever_they_begin_and_end(spark, seed):
     assert got == repeated(texts)
 
 
-def test_mixed_sources_lose_no_word_that_is_not_repeated(spark):
+@pytest.mark.parametrize("least", [24, 50, 400])
+def test_mixed_sources_and_junk_go_exactly(spark, least):
     r = random.Random(8)
-    base = [[f"w{r.randrange(3000)}" for _ in range(r.randint(30, 300))] for _ in range(8)]
-    texts = [(d, " ".join(sum((x[(i := r.randrange(len(x))) : i + 150] for x in r.sample(base, 3)), []))) for d in range(40)] + [(40, "1 " * 4000), (41, "a b " * 900)]
-    got = {x["doc_id"]: x["n_words"] - x["n_removed_words"] for x in linededup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    want = {d: len(w) for d, w in repeated(texts).items()}
-    total = sum(len(t.split()) for _, t in texts) - sum(want.values())
-    assert all(got[d] >= want[d] for d in want) and sum(got.values()) - sum(want.values()) <= 0.05 * total
+    base = [[f"w{r.randrange(3000)}" for _ in range(r.randint(30, 900))] for _ in range(8)]
+    texts = [(d, " ".join(sum((x[(i := r.randrange(len(x))) : i + r.choice([20, 150, 700])] for x in r.sample(base, 3)), []))) for d in range(40)]
+    texts += [(40, "1 " * 4000), (41, "a b " * 900), (42, "b a " * 700 + "1 " * 500), (None, texts[7][1]), (43, "a b c " * 30)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["text"].split() for x in linededup.line_dedup(df, least).collect()}
+    assert got == repeated(texts, least)
 
 
-def test_selected_lines_meet_every_window():
+def test_anchors_are_the_leftmost_least_lines():
     r = np.random.default_rng(1)
-    lines = r.integers(0, 1 << 63, 500, dtype=np.uint64)
-    at = linededup.selected(lines, 35)
-    assert all(((at >= s) & (at < s + 35)).any() and s + int(np.argmin(lines[s : s + 35])) in at for s in range(466))
-    at = linededup.selected(np.zeros(500, dtype=np.uint64), 35)
-    assert np.diff(at).max() <= 35 and len(at) < 40
+    for lines in (r.integers(0, 1 << 63, 500, dtype=np.uint64), np.zeros(500, dtype=np.uint64), r.integers(0, 3, 500, dtype=np.uint64) << np.uint64(40)):
+        at = repeats.leftmost_least(lines, 35)
+        assert at.tolist() == [s + int(np.argmin(lines[s : s + 35] >> np.uint64(32))) for s in range(466)]
 
 
 def test_simhash_against_brute_force(docs, rows):
