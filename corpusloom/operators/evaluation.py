@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +52,49 @@ def win_rates(answers: DataFrame, by: str, win: str) -> DataFrame:
     return g.select(by, "n", "ties", "rate", F.round(p, 6).alias("p"))
 
 
+def cluster_interval(rows: DataFrame, cluster: str, win: str, n_boot: int = 4000, seed: int = 7, share: float = 0.95) -> DataFrame:
+    """rate, low, high, clusters, n: the share of wins and an interval of it from drawing whole clusters again and again.
+
+    Wins are summed by cluster first, so a draw is a row of two numbers: the replicate's k-th draw is the cluster whose
+    number, in the order of names, is the hash of seed, replicate and k modulo their count. low and high are order
+    statistics of the `n_boot` replicates. No rows give one row without values.
+    """
+    sums = checkpointed(rows.groupBy(F.col(cluster).cast("string").alias("name")).agg(F.sum(win).alias("w"), F.count("*").alias("n")))
+    count = sums.count()
+    if not count:
+        return sums.agg(*[F.lit(None).cast("double").alias(c) for c in ("rate", "low", "high")], F.count("*").alias("clusters"), F.count("*").alias("n"))
+    placed = ranks.numbered(sums, [], ["name"], "place").select(F.col("place").cast("long").alias("place"), "w", "n")
+    draws = rows.sparkSession.range(n_boot * count).select(F.floor(F.col("id") / count).alias("b"), (F.col("id") % count).alias("k"))
+    digest = F.md5(F.concat(F.lit(f"{seed}/"), F.col("b").cast("string"), F.lit("/"), F.col("k").cast("string")))
+    drawn = draws.select("b", (F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % count + 1).alias("place"))
+    rates = drawn.join(placed, "place").groupBy("b").agg((F.sum("w") / F.sum("n")).alias("r"))
+    # as many values as replicates were asked for, however many clusters there are
+    of = rates.agg(F.sort_array(F.collect_list("r")).alias("r"))
+    low = int((1 - share) / 2 * n_boot)
+    at = [F.element_at("r", i + 1) for i in (low, max(low, int((1 + share) / 2 * n_boot) - 1))]
+    total = sums.agg((F.sum("w") / F.sum("n")).alias("rate"), F.count("*").alias("clusters"), F.sum("n").alias("n")).first()
+    whole = [F.lit(float(total["rate"])), F.lit(total["clusters"]).cast("long"), F.lit(total["n"]).cast("long")]
+    return of.select(F.round(whole[0], 6).alias("rate"), F.round(at[0], 6).alias("low"), F.round(at[1], 6).alias("high"), whole[1].alias("clusters"), whole[2].alias("n"))
+
+
+def pooled(rows: DataFrame, passed: DataFrame, wins: list[str], level: float = 0.05) -> DataFrame:
+    """group, n, p_<win> of each win, all_runs and passes, over the runs of an evaluation.
+
+    rows: run, id, text, group, recognised and a boolean for each win. A passage that comes again, in any run, counts in the first
+    one only, as repeats are not independent; recognised ones are not counted but do use up their text. p is the
+    one-sided binomial tail. passed: run, group, passed. A group passes if all its runs did and every p is below `level`.
+    """
+    said = F.sha2(T.squeeze(F.lower(T.strip(F.coalesce("text", F.lit(""))))), 256)
+    keyed = rows.select(said.alias("said"), F.struct("run", "id", "group", "recognised", *wins).alias("x"))
+    first = keyed.groupBy("said").agg(F.min("x").alias("x")).select("x.*").where("not recognised")
+    g = first.groupBy("group").agg(F.count("*").alias("n"), *[F.count_if(F.col(w)).alias(w) for w in wins])
+    runs = passed.groupBy("group").agg(F.min(F.col("passed")).alias("all_runs"))
+    p = [F.round(binomial_tail(F.col(w).cast("int"), F.col("n").cast("int")), 6).alias(f"p_{w}") for w in wins]
+    out = g.join(runs, "group", "left").select("group", "n", *p, F.coalesce("all_runs", F.lit(False)).alias("all_runs"))
+    good = [F.col(f"p_{w}") < level for w in wins]
+    return out.withColumn("passes", reduce(lambda a, b: a & b, good, F.col("all_runs")))
+
+
 def separation(pairs: DataFrame, least: float = 1.25, agree: float = 0.8) -> DataFrame:
     """author, ratio, up, n, separates: pairs (author, before, after) whose mean ratio leaves 1 either way and that mostly agree."""
     r = F.col("after") / F.col("before")
@@ -159,7 +201,7 @@ def pack_listing(spark: SparkSession) -> DataFrame:
     """lang, metrics, hedges, openers: what each pack has; metrics that count a missing list do not apply."""
     lists = {"hedges_per_1k": packs.HEDGES, "conjunction_opener_share": packs.OPENERS, "contractions_per_1k": packs.CONTRACTIONS}
     langs = sorted(set().union(*lists.values()))
-    size = lambda x: len(re.split(r"\|", x)) if x else 0
+    size = lambda x: len(x or ())
     rows = [(c, len(packs.METRICS) - sum(c not in v for v in lists.values()), size(packs.HEDGES.get(c)), size(packs.OPENERS.get(c))) for c in langs]
     return spark.createDataFrame(rows, "lang string, metrics long, hedges long, openers long")
 

@@ -506,12 +506,26 @@ def joined_shorts(mails: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 
 def segments(blocks: DataFrame, least: int = 40) -> DataFrame:
-    """key, seg, lang, blocks, words: runs of blocks of one language; blocks of fewer words join the run they stand in."""
+    """key, part, lang, blocks, words: each text's main part (part 1, key as it is) and its runs in other languages (parts 2, 3,
+    ..., key#part). `blocks` has key, pos, lang, words, and tells languages apart from `least` words on.
+
+    The main language is the one with the most words in blocks that are long enough, on a tie the one that comes
+    first; without such a block it is the language of the text's longest block. A run ends where a block of the main
+    language stands, or one too short to tell: all these are the main part. So the blocks and words of the parts add up to the text's.
+    """
+    told = blocks.select("key", "pos", F.when(F.col("words") >= least, F.col("lang")).alias("told"), F.col("lang").alias("said"), "words")
+    of = told.where("told is not null").groupBy("key", "told").agg(F.sum("words").alias("w"), F.min("pos").alias("first"))
+    most = of.groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "first", "told")).alias("b")).select("key", F.col("b.told").alias("main"))
+    longest = told.groupBy("key").agg(F.min(F.struct((-F.col("words")).alias("w"), "pos", "said")).alias("b")).select("key", F.col("b.said").alias("other"))
+    rows = told.join(longest.join(most, "key", "left"), "key").withColumn("main", F.coalesce("main", "other"))
+    # rows of one text in order; a text's own blocks bound the window
     w = Window.partitionBy("key").orderBy("pos")
-    fresh = F.when(F.lag("lang").over(w) == F.col("lang"), 0).otherwise(1)
-    rows = blocks.where(F.col("words") >= least).withColumn("fresh", fresh)
-    rows = rows.withColumn("seg", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("key", "seg").agg(F.min("lang").alias("lang"), F.count("*").alias("blocks"), F.sum("words").alias("words"))
+    away = F.when(F.col("told") != F.col("main"), F.col("told"))
+    rows = rows.withColumn("away", away).withColumn("fresh", F.when(F.col("away").isNotNull() & ~F.col("away").eqNullSafe(F.lag("away").over(w)), 1).otherwise(0))
+    part = F.when(F.col("away").isNull(), 1).otherwise(1 + F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = rows.withColumn("part", part.cast("long")).groupBy("key", "part").agg(F.min(F.coalesce("away", "main")).alias("lang"), F.count("*").alias("blocks"), F.sum("words").alias("words"))
+    name = F.when(F.col("part") == 1, F.col("key").cast("string")).otherwise(F.concat(F.col("key").cast("string"), F.lit("#"), "part"))
+    return g.select(name.alias("key"), "part", "lang", "blocks", "words")
 
 
 def paragraphs(cues: DataFrame, pause: str = "2 seconds") -> DataFrame:

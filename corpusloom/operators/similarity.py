@@ -112,11 +112,11 @@ def overlaps(texts: DataFrame, passages: DataFrame, size: int = 4) -> DataFrame:
     return exploded(texts, "key").join(asked, "g").groupBy("key", "item").agg(F.count("*").alias("shared"))
 
 
-def top_passages(passages: DataFrame, briefs: DataFrame, stop: str, n: int = 3) -> DataFrame:
+def top_passages(passages: DataFrame, briefs: DataFrame, stop: tuple, n: int = 3) -> DataFrame:
     """brief, key, rank, score: the n passages whose words match a brief best, by inverse document frequency; ties by key."""
     def tokens(df: DataFrame, name: str) -> DataFrame:
         low = F.transform(T.words(F.coalesce("text", F.lit(""))), lambda w: F.lower(w))
-        kept = F.filter(low, lambda w: (F.length(w) > 2) & ~w.isin(*stop.split()))
+        kept = F.filter(low, lambda w: (F.length(w) > 2) & ~w.isin(*stop))
         return df.select(F.col("key").alias(name), F.explode(F.array_distinct(kept)).alias("w"))
 
     docs = checkpointed(tokens(passages, "key"))

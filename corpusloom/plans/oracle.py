@@ -73,7 +73,7 @@ def _hedges() -> str:
     low = f"regexp_replace(lower(body), '({NOT_WORD})', '\\1\\1', 'g')"
     cases = []
     for lang, p in packs.HEDGES.items():
-        alts = "|".join(_doubled(x) for x in p.split("|"))
+        alts = "|".join(_doubled(x) for x in p)
         cases.append(f"WHEN '{lang}' THEN len(regexp_extract_all({low}, '(?:^|{NOT_WORD})(?:{alts})(?:$|{NOT_WORD})'))")
     return f"CASE lang {' '.join(cases)} END"
 

@@ -240,7 +240,7 @@ def o106_correlated(spark, d):
     return E.correlated(style.text_metrics(documents(spark, d)), list(style.METRICS), 0.5)
 
 
-_LIST = ", ".join(f"'{w}'" for w in _STOP.split())
+_LIST = ", ".join(f"'{w}'" for w in _STOP)
 
 
 def _grams4(x: str) -> str:
@@ -252,11 +252,11 @@ def _grams4(x: str) -> str:
 def o081_brief(spark, d):
     """Passages as briefs of the documents of four times their number."""
     b = table(spark, d, "benchmark").select((F.col("item_id") * 4).alias("doc_id"), F.col("item_id").alias("key"), F.col("text").alias("brief"))
-    return E.brief_check(b.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), tuple(_STOP.split()))
+    return E.brief_check(b.join(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), _STOP)
 
 
 @add("o101_never_markers")
 def o101_markers(spark, d):
     """What the passages share and the German documents never say; a test compares with plain Python."""
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), "text")
-    return E.never_list(b, documents(spark, d).where("lang = 'de'"), tuple(_STOP.split()))
+    return E.never_list(b, documents(spark, d).where("lang = 'de'"), _STOP)

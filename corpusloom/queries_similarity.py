@@ -90,7 +90,7 @@ _TOK = "SELECT {id} AS {name}, unnest(list_distinct(list_filter(list_transform({
 
 
 def _tok(idc: str, name: str, rel: str) -> str:
-    return _TOK.format(id=idc, name=name, rel=rel, words=O.words("text"), stop=", ".join(f"'{x}'" for x in _STOP.split()))
+    return _TOK.format(id=idc, name=name, rel=rel, words=O.words("text"), stop=", ".join(f"'{x}'" for x in _STOP))
 
 
 @add(
