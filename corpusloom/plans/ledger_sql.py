@@ -72,7 +72,6 @@ SQL: dict[str, str] = {
     "o129_write_diff": f"WITH {M}, {F} SELECT path, key FROM f EXCEPT ALL SELECT path, key FROM m",
     "o130_common_facets": f"WITH {M} SELECT type FROM m GROUP BY type HAVING count(DISTINCT lang) = (SELECT count(DISTINCT lang) FROM m)",
     "o131_sign_union": "WITH own AS (SELECT * FROM (VALUES ('a', 'en'), ('b', 'en')) AS t(id, lang)), universal AS (SELECT * FROM (VALUES ('b', 'any'), ('c', 'any')) AS t(id, lang)) SELECT id, lang FROM own UNION ALL SELECT u.id, u.lang FROM universal u LEFT JOIN own o ON o.id = u.id WHERE o.id IS NULL",
-    "o137_language_segments": f"WITH t AS (SELECT conv_id AS key, turn, role AS lang, {O.n_words(_TEXT)} AS words FROM conversations), s AS (SELECT *, CASE WHEN lag(lang) OVER (PARTITION BY key ORDER BY turn) = lang THEN 0 ELSE 1 END AS fresh FROM t WHERE words >= 40), g AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg FROM s) SELECT key, seg, min(lang) AS lang, count(*) AS blocks, sum(words) AS words FROM g GROUP BY key, seg",
     "o139_two_references": f"WITH {M}, a AS (SELECT lang, avg(words) AS x FROM m GROUP BY lang), b AS (SELECT type, avg(words) AS y FROM m GROUP BY type) SELECT key, (words > 1.5 * x OR words < 0.5 * x) AND (words > 1.8 * y OR words < 0.4 * y) AS flagged FROM m JOIN a USING (lang) JOIN b USING (type)",
     "o140_fail_counts": "SELECT n, least(n, greatest(2, ceil(28 * n / 100e0)))::BIGINT AS fails_from FROM (SELECT unnest(range(1, 29)) AS n)",
     "o150_language_guard": f"WITH {M} SELECT key, words >= 20 AND key % 8 = 0 AND lang <> 'en' AS mismatch FROM m",

@@ -278,12 +278,6 @@ def o131(s, d):
     return own.unionByName(universal.join(own, "id", "left_anti"))
 
 
-@add("o137_language_segments")
-def o137(s, d):
-    """Turns are the blocks of a conversation; the language of each is given (here by the speaker)."""
-    return L.segments(S.turns(s, d).select(F.col("conv_id").alias("key"), F.col("turn").alias("pos"), F.col("role").alias("lang"), "words"))
-
-
 @add("o010_transcript_paragraphs")
 def o010(s, d):
     return L.paragraphs(S.cues(s, d), "2 hours")

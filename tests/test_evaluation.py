@@ -54,3 +54,53 @@ def test_a_reference_list_ends_its_own_text_only(spark):
     rows = spark.createDataFrame([(1, first, "en", "t"), (2, second, "en", "t")], "key int, text string, lang string, type string")
     joined = spark.createDataFrame([(1, first + "\n\n" + second, "en", "t")], rows.schema)
     assert style.slot_metrics(rows).first()["n_words"] == 8 and style.slot_metrics(joined).first()["n_words"] == 4
+
+
+def test_interval_of_clusters_against_a_loop(spark):
+    import hashlib
+    import random
+
+    r = random.Random(1)
+    rows = [(f"c{r.randrange(7)}", float(r.random() < 0.6)) for _ in range(90)]
+    df = spark.createDataFrame(rows, "cluster string, win double").repartition(3)
+    by = {}
+    for c, w in rows:
+        by.setdefault(c, []).append(w)
+    keys = sorted(by)
+    boots = []
+    for b in range(200):
+        pick = [by[keys[int(hashlib.md5(f"5/{b}/{k}".encode()).hexdigest()[:12], 16) % len(keys)]] for k in range(len(keys))]
+        boots.append(sum(map(sum, pick)) / sum(map(len, pick)))
+    boots.sort()
+    got = E.cluster_interval(df, "cluster", "win", 200, 5).collect()[0]
+    assert (got["low"], got["high"], got["clusters"], got["n"]) == (round(boots[5], 6), round(boots[194], 6), 7, 90)
+    assert got["rate"] == round(sum(w for _, w in rows) / 90, 6)
+    assert E.cluster_interval(df.limit(0), "cluster", "win", 50).collect()[0]["rate"] is None
+
+
+def test_repeated_passages_count_in_their_first_run(spark):
+    from math import comb
+
+    rows = [(f"r{k % 3}", k, f"Passage  {k % 20}" if k % 2 else f"passage {k % 20}", "g" if k % 20 < 14 else "h", k % 20 == 5, k % 4 != 0) for k in range(60)]
+    df = spark.createDataFrame(rows, "run string, id int, text string, group string, recognised boolean, won boolean").repartition(3)
+    seen, counts = set(), {}
+    for run, i, text, g, known, won in sorted(rows):
+        said = " ".join(text.lower().split())
+        if said not in seen and not known:
+            n, w = counts.get(g, (0, 0))
+            counts[g] = (n + 1, w + won)
+        seen.add(said)
+    passed = spark.createDataFrame([("r0", "g", True), ("r1", "g", True), ("r0", "h", True), ("r1", "h", False)], "run string, group string, passed boolean")
+    got = {x["group"]: x for x in E.pooled(df, passed, ["won"]).collect()}
+    for g, (n, w) in counts.items():
+        tail = sum(comb(n, i) for i in range(w, n + 1)) / 2**n
+        assert (got[g]["n"], got[g]["p_won"]) == (n, round(tail, 6)) and got[g]["all_runs"] == (g == "g") and got[g]["passes"] == (g == "g" and tail < 0.05)
+
+
+def test_parts_of_a_text_add_up(spark):
+    from corpusloom.operators import ledger
+
+    said = [(1, p, lang, w) for p, (lang, w) in enumerate([("en", 50), ("de", 60), ("en", 9), ("de", 45), ("de", 41), ("fr", 44), ("en", 80), ("fr", 3)])]
+    said += [(2, 0, "de", 5), (2, 1, "en", 9), (3, 0, "de", 50), (3, 1, "en", 50)]
+    got = [tuple(x) for x in ledger.segments(spark.createDataFrame(said, "key int, pos int, lang string, words int")).orderBy("key", "part").collect()]
+    assert got == [("1", 1, "de", 5, 158), ("1#2", 2, "en", 1, 50), ("1#3", 3, "fr", 1, 44), ("1#4", 4, "en", 1, 80), ("2", 1, "en", 2, 14), ("3", 1, "de", 1, 50), ("3#2", 2, "en", 1, 50)]
