@@ -48,29 +48,29 @@ DIGEST = "n_words long, n_removed long, kept_sha256 string, n_passages long"
 
 
 def _digest(window: int):
-    def run(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series, at: pd.Series, mask: pd.Series, path: pd.Series) -> pd.DataFrame:
         out = []
-        for text, found in zip(texts, places, strict=True):
+        for text, a, m, p in zip(texts, at, mask, path, strict=True):
             n = sum(map(len, parts(text))) if text else 0
-            gone = repeats.covered(n, found, window) if found is not None and len(found) else None
-            kept, at = hashlib.sha256(), 0
+            gone = repeats.covered(n, a, m, window) if a is not None and len(a) else None
+            kept, done = hashlib.sha256(), 0
             for words in parts(text) if text else ():
-                left = words if gone is None else [w for w, g in zip(words, gone[at : at + len(words)].tolist(), strict=True) if not g]
-                started = at > 0 and (gone is None or not gone[:at].all())
+                left = words if gone is None else [w for w, g in zip(words, gone[done : done + len(words)].tolist(), strict=True) if not g]
+                started = done > 0 and (gone is None or not gone[:done].all())
                 kept.update((b" " if started and left else b"") + b" ".join(left))
-                at += len(words)
-            out.append((n, 0 if gone is None else int(gone.sum()), kept.hexdigest(), 0 if gone is None else len({p["path"] for p in found})))
+                done += len(words)
+            out.append((n, 0 if gone is None else int(gone.sum()), kept.hexdigest(), 0 if gone is None else len(set(p))))
         return pd.DataFrame(out, columns=[c.split()[0] for c in DIGEST.split(", ")])
 
     return F.pandas_udf(run, DIGEST)
 
 
 def _left(window: int):
-    def run(texts: pd.Series, places: pd.Series) -> pd.Series:
+    def run(texts: pd.Series, at: pd.Series, mask: pd.Series) -> pd.Series:
         done = []
-        for text, found in zip(texts, places, strict=True):
-            if text and found is not None and len(found):
-                text = repeats.without(text, repeats.covered(sum(map(len, parts(text))), found, window))
+        for text, a, m in zip(texts, at, mask, strict=True):
+            if text and a is not None and len(a):
+                text = repeats.without(text, repeats.covered(sum(map(len, parts(text))), a, m, window))
             done.append(text)
         return pd.Series(done, dtype=object)
 
@@ -129,10 +129,10 @@ def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and n_passages (compacted paths that the document meets) of every document."""
     rows = repeats.with_places(docs.select("doc_id", "text"), repeated_places(docs, window))
-    return rows.select("row.doc_id", _digest(window)("row.text", "places").alias("done")).select("doc_id", "done.*")
+    return rows.select("row.doc_id", _digest(window)("row.text", "at", "mask", "path").alias("done")).select("doc_id", "done.*")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows and columns of `docs`, with every word that a repeated run covers taken out of the text."""
-    rows = repeats.with_places(docs, repeated_places(docs, window)).select("row", _left(window)("row.text", "places").alias("left"))
+    rows = repeats.with_places(docs, repeated_places(docs, window)).select("row", _left(window)("row.text", "at", "mask").alias("left"))
     return rows.select(*[F.col("left").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -63,15 +63,15 @@ def _lines(text: str) -> int:
 
 
 def _without(min_words: int):
-    def run(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series, at: pd.Series, mask: pd.Series) -> pd.DataFrame:
         out = []
-        for text, found in zip(texts, places, strict=True):
+        for text, a, m in zip(texts, at, mask, strict=True):
             n = sum(map(len, parts(text))) if text else 0
             before = _lines(text or "")
-            if found is None or not len(found) or not n:
+            if a is None or not len(a) or not n:
                 out.append((n, before, 0, 0, text))
                 continue
-            gone = repeats.covered(n, found, min_words)
+            gone = repeats.covered(n, a, m, min_words)
             left = repeats.without(text, gone)
             out.append((n, before, before - _lines(left), int(gone.sum()), left))
         return pd.DataFrame(out, columns=[c.split()[0] for c in DONE.split(", ")])
@@ -81,7 +81,7 @@ def _without(min_words: int):
 
 def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
     rows = repeats.with_places(docs, repeated_places(docs, min_words))
-    return rows.select("row", _without(min_words)("row.text", "places").alias("done"))
+    return rows.select("row", _without(min_words)("row.text", "at", "mask").alias("done"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -26,6 +26,8 @@ MAX_BROADCAST = 500_000
 LONGEST = 62
 #: words whose hashes a worker remembers
 REMEMBERED = 400_000
+#: signs of texts that are worked on as one array
+TOGETHER = 3_000_000
 
 
 class Hashes(dict):
@@ -60,38 +62,57 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(low[:n], low[width - size : width - size + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def pieces(text: str, window: int, width: int) -> tuple[np.ndarray, ...] | None:
-    """at, size (edges), anchor, words (hashes) of each piece, hashes of its anchor with half an edge before it and with half of one
-    behind it (0 where the text ends), and the runs of one word less before, between and behind the pieces."""
-    words = hashed(text)
-    n = len(words) - window + 1
-    if n < 1:
-        return None
+def pieces(texts: list[str], window: int, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of pieces of each text, and the columns of all pieces in order: at, size (edges), anchor, words (hashes), before and
+    behind (hashes of the anchor with half an edge to that side, 0 where the text ends first), u and v (hashes of
+    the runs of one word less at the piece's ends). The texts are worked on as one array."""
+    found = [hashed(t) for t in texts]
+    sizes = np.array([len(x) for x in found], dtype=np.int64)
+    words = np.concatenate(found)
+    begin, n = np.cumsum(sizes) - sizes, np.maximum(sizes - window + 1, 0)
+    if not n.any():
+        return np.zeros(len(texts), dtype=np.int64), [np.zeros(0, dtype=np.int64)] * len(COLUMNS)
     runs = Runs(words)
     starts = np.arange(len(words) - width + 1)
     lines = mixed(runs(starts, starts + width))
-    anchor = leftmost_least(lines, window - width + 1)
-    fresh = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
-    at = np.concatenate([[0], fresh])
+    owner = np.repeat(np.arange(len(texts)), n)  # of every edge
+    edge = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[owner]
+    anchor = leftmost_least(lines, window - width + 1)[edge]
+    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
+    size = np.diff(np.append(first, len(edge)))
     if window - width + 1 > LONGEST:  # long pieces are cut; where does not matter
-        size = np.diff(np.append(at, n))
         cuts = -(-size // LONGEST)
-        at = np.repeat(at, cuts) + LONGEST * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
-    ends = np.append(at[1:], n)
-    nodes = np.append(at, n)
-    line, half = anchor[at], (window - width + 1) // 2
-    lo, hi = line - half, line + width + half
+        first = np.repeat(first, cuts) + LONGEST * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+        size = np.diff(np.append(first, len(edge)))
+    at, line, own = edge[first], anchor[first], owner[first]
+    half = (window - width + 1) // 2
+    lo, hi, end = line - half, line + width + half, begin[own] + sizes[own]
     before, behind = mixed(runs(np.maximum(lo, 0), line + width)), mixed(runs(line, np.minimum(hi, len(words))))
-    before[lo < 0], behind[hi > len(words)] = 0, 0
-    return at.astype(np.int32), (ends - at).astype(np.int32), lines[line], mixed(runs(at, ends + window - 1)), before, behind, mixed(runs(nodes, nodes + window - 1))
+    before[lo < begin[own]], behind[hi > end] = 0, 0
+    whole = mixed(runs(at, at + size + window - 1))
+    nodes = [mixed(runs(x, x + window - 1)) for x in (at, at + size)]
+    return np.bincount(own, minlength=len(texts)), [(at - begin[own]).astype(np.int32), size.astype(np.int32), lines[line], whole, before, behind, *nodes]
 
 
-def _lists(found: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    flat = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)], dtype=np.int32), pa.array(flat.view(np.int64) if flat.dtype == np.uint64 else flat, kind))
+COLUMNS = ("at", "size", "anchor", "words", "before", "behind", "u", "v")
 
 
-COLUMNS = ("at", "size", "anchor", "words", "before", "behind", "node")
+def _array(x: np.ndarray, c: str) -> pa.Array:
+    return pa.array(x.astype(np.int32)) if c in COLUMNS[:2] else pa.array(x.view(np.int64))
+
+
+def _groups(texts: list[str | None], least: int) -> Iterator[list[int]]:
+    """Indices of the texts that are long enough, a few million signs together."""
+    group, total = [], 0
+    for k, t in enumerate(texts):
+        if t and len(t) >= least:
+            group.append(k)
+            total += len(t)
+            if total > TOGETHER:
+                yield group
+                group, total = [], 0
+    if group:
+        yield group
 
 
 def _pieces(window: int, width: int, columns: tuple[str, ...]):
@@ -99,10 +120,13 @@ def _pieces(window: int, width: int, columns: tuple[str, ...]):
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
-                found = [(k, p) for k, t in enumerate(b["text"].to_pylist()) if t and len(t) >= 2 * window - 1 and (p := pieces(t, window, width)) is not None]
-                rows = pa.array([k for k, _ in found], pa.int64())
-                lists = [_lists([p[i] for _, p in found], pa.int32() if i < 2 else pa.int64()) for i in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].take(rows), b["tag"].take(rows), *lists], names=["doc_id", "tag", *columns])
+                texts = b["text"].to_pylist()
+                for group in _groups(texts, 2 * window - 1):
+                    counts, found = pieces([texts[k] for k in group], window, width)
+                    some = counts > 0
+                    rows, ends = pa.array(np.array(group)[some]), pa.array(np.concatenate([[0], np.cumsum(counts[some])]).astype(np.int32))
+                    lists = [pa.ListArray.from_arrays(ends, _array(x, c)) for c, x in zip(columns, found, strict=False)]
+                    yield pa.RecordBatch.from_arrays([b["doc_id"].take(rows), b["tag"].take(rows), *lists], names=["doc_id", "tag", *columns])
 
     return run
 
@@ -112,17 +136,45 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text")
 
 
+def _bitmap(anchors: DataFrame) -> np.ndarray:
+    """A filter of the anchors: bit a mod its length is set for each anchor a. It has 32 bits an anchor, and 2^29 at most."""
+    bits = 1 << min(29, max(20, (32 * anchors.count()).bit_length()))
+    slot = F.col("anchor").bitwiseAND(F.lit(bits - 1))
+    words = anchors.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(anchor & 63 as int))")).alias("bits"))
+    rows = words.toPandas()  # as many as the filter has words, whatever the corpus
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    return out
+
+
+def _passed(shared, columns: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = shared.value
+        for b in batches:
+            anchor = b["anchor"].flatten().to_numpy()
+            slot = anchor & np.int64(64 * len(filled) - 1)
+            keep = np.flatnonzero(filled[slot >> 6] >> (slot & 63) & 1)
+            owner = pa.array(np.repeat(np.arange(b.num_rows), np.diff(b["anchor"].offsets.to_numpy()))[keep])
+            flat = [b[c].flatten().take(pa.array(keep)) for c in columns]
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(owner), b["tag"].take(owner), *flat], names=["doc_id", "tag", *columns])
+
+    return run
+
+
 def met_pieces(docs: DataFrame, window: int, width: int, nodes: bool = False) -> DataFrame:
-    """doc_id, tag, at, size, anchor, words, before, behind (and the nodes u, v at its ends) of the pieces whose anchor occurs twice."""
-    columns = COLUMNS if nodes else COLUMNS[:-1]
+    """doc_id, tag, at, size, anchor, words, before, behind (and u, v) of the pieces whose anchor occurs twice.
+
+    Most anchors occur once. A filter of bits drops nearly all of these before the join that decides; it has a
+    bound of its own, and where it is full the join alone does the work.
+    """
+    columns = COLUMNS if nodes else COLUMNS[:-2]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    arrays = ", ".join(f"{c} array<{'int' if c in COLUMNS[:2] else 'long'}>" for c in columns)
-    found = checkpointed(keyed(docs).mapInArrow(_pieces(window, width, columns), f"doc_id {kind}, tag long, {arrays}"))
+    types = {c: "int" if c in COLUMNS[:2] else "long" for c in columns}
+    found = checkpointed(keyed(docs).mapInArrow(_pieces(window, width, columns), f"doc_id {kind}, tag long, {', '.join(f'{c} array<{t}>' for c, t in types.items())}"))
     often = found.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1")
     often = checkpointed(often.select("anchor"))  # a join of two plain shuffles can be split at a hot anchor
-    n = F.size("at")
-    ends = [F.slice("node", F.lit(1), n).alias("u"), F.slice("node", F.lit(2), n).alias("v")] if nodes else []
-    rows = found.select("doc_id", "tag", F.inline(F.arrays_zip(*COLUMNS[:-1], *ends)))
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(often))
+    rows = found.mapInArrow(_passed(shared, columns), f"doc_id {kind}, tag long, {', '.join(f'{c} {t}' for c, t in types.items())}")
     return checkpointed(rows.join(often, "anchor", "left_semi"))
 
 
@@ -130,16 +182,23 @@ def same(a: str, b: str, tag_a: str, tag_b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b)) & (F.col(tag_a) == F.col(tag_b))
 
 
+ASKED = ("anchor", "words", "at", "size", "n")
+
+
 def _edges(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for text, asked in zip(b["text"], b["asked"], strict=True):
-                x = {c: np.array([r[c] for r in asked], dtype=np.int64) for c in ("anchor", "words", "at", "size", "n")}
-                first = np.cumsum(x["size"]) - x["size"]
-                i = np.arange(int(x["size"].sum())) - np.repeat(first, x["size"])
-                at = np.repeat(x["at"], x["size"]) + i
-                edge = mixed(Runs(hashed(text))(at, at + window)).view(np.int64)
-                yield pd.DataFrame({c: np.repeat(x[c], x["size"]) for c in ("anchor", "words", "n")} | {"i": i.astype(np.int32), "edge": edge})
+            texts = b["text"].tolist()
+            for group in _groups(texts, 0):
+                found = [hashed(texts[k]) for k in group]
+                sizes = np.array([len(x) for x in found], dtype=np.int64)
+                counts = np.array([len(b["at"].iat[k]) for k in group])
+                x = {c: np.concatenate([b[c].iat[k] for k in group]).astype(np.int64) for c in ASKED}
+                size = x["size"]
+                i = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                at = np.repeat(x["at"] + np.repeat(np.cumsum(sizes) - sizes, counts), size) + i
+                edge = mixed(Runs(np.concatenate(found))(at, at + window)).view(np.int64)
+                yield pd.DataFrame({c: np.repeat(x[c], size) for c in ("anchor", "words", "n")} | {"i": i.astype(np.int32), "edge": edge})
 
     return run
 
@@ -147,12 +206,12 @@ def _edges(window: int):
 def edges(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
     """anchor, words, n, i, edge (hash) of every edge of `kinds` (anchor, words, n, size, and the place doc_id, tag, at of one
     source of each), from the words that stand there; rows that agree in doc_id and text give theirs each."""
-    asked = kinds.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "words", "at", "size", "n")).alias("asked"))
-    asked = checkpointed(asked.select(F.col("doc_id").alias("s_id"), F.col("tag").alias("s_tag"), "asked"))
+    asked = kinds.groupBy(F.col("doc_id").alias("s_id"), F.col("tag").alias("s_tag")).agg(*[F.collect_list(c).alias(c) for c in ASKED])
+    asked = checkpointed(asked)
     tags = checkpointed(asked.select(F.col("s_tag").alias("tag")).distinct())
     texts = keyed(docs)
     some = texts.join(F.broadcast(tags), "tag", "left_semi") if tags.count() <= MAX_BROADCAST else texts
-    sources = some.join(asked, same("doc_id", "s_id", "tag", "s_tag")).select("text", "asked")
+    sources = some.join(asked, same("doc_id", "s_id", "tag", "s_tag")).select("text", *ASKED)
     return checkpointed(sources.mapInPandas(_edges(window), "anchor long, words long, n long, i int, edge long"))
 
 
@@ -169,12 +228,11 @@ def full() -> Column:
     return F.expr("if(size >= 63, -1L, shiftleft(1L, size) - 1)")
 
 
-def covered(n: int, places, window: int) -> np.ndarray:
-    """Which of n words the edges of `places` (at, mask) cover; bit i of a mask stands for the edge i words behind `at`."""
-    at, mask = np.array([p["at"] for p in places], dtype=np.int64), np.array([p["mask"] for p in places], dtype=np.int64)
+def covered(n: int, at: np.ndarray, mask: np.ndarray, window: int) -> np.ndarray:
+    """Which of n words the edges of places cover; bit i of a place's mask stands for the edge i words behind it."""
     change = np.zeros(n + 1, dtype=np.int64)
-    for i in range(LONGEST):
-        starts = at[mask >> i & 1 == 1] + i
+    for i in range(int(np.bitwise_or.reduce(mask)).bit_length()):
+        starts = at[mask >> i & 1 == 1].astype(np.int64) + i
         if len(starts):
             np.add.at(change, starts, 1)
             np.add.at(change, starts + window, -1)
@@ -182,21 +240,20 @@ def covered(n: int, places, window: int) -> np.ndarray:
 
 
 def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """row (the columns of `docs`) and places (an array, null without a repeat) of every document.
+    """row (the columns of `docs`) and the columns of `places` besides doc_id and tag, as arrays: null without a place.
 
-    `places` has doc_id, tag, and what is listed. Texts without a place are not shuffled while the list of the others is
-    small enough to be broadcast.
+    Texts without a place are not shuffled while the list of the others is small enough to be broadcast.
     """
     more = [c for c in places.columns if c not in ("doc_id", "tag")]
-    listed = places.groupBy("doc_id", "tag").agg(F.collect_list(F.struct(*more)).alias("places"))
-    listed = checkpointed(listed.select(F.col("doc_id").alias("at_id"), F.col("tag").alias("at_tag"), "places"))
-    rows = packed(docs).withColumns({"own_id": F.col("row.doc_id"), "tag": F.xxhash64("row.text")})
-    tags = checkpointed(listed.select(F.col("at_tag").alias("tag")).distinct())
-    met = same("own_id", "at_id", "tag", "at_tag")
+    listed = places.groupBy(F.col("doc_id").alias("at_id"), F.col("tag").alias("at_tag")).agg(*[F.collect_list(c).alias(c) for c in more])
+    listed = checkpointed(listed)
+    rows = packed(docs).withColumns({"own_id": F.col("row.doc_id"), "own_tag": F.xxhash64("row.text")})
+    tags = checkpointed(listed.select(F.col("at_tag").alias("own_tag")).distinct())
+    met = same("own_id", "at_id", "own_tag", "at_tag")
     if tags.count() > MAX_BROADCAST:
-        return rows.join(listed, met, "left").select("row", "places")
-    some = rows.join(F.broadcast(tags), "tag", "left_semi").join(listed, met, "left").select("row", "places")
-    none = rows.join(F.broadcast(tags), "tag", "left_anti").select("row", F.lit(None).cast(listed.schema["places"].dataType).alias("places"))
+        return rows.join(listed, met, "left").select("row", *more)
+    some = rows.join(F.broadcast(tags), "own_tag", "left_semi").join(listed, met, "left").select("row", *more)
+    none = rows.join(F.broadcast(tags), "own_tag", "left_anti").select("row", *[F.lit(None).cast(listed.schema[c].dataType).alias(c) for c in more])
     return some.union(none)
 
 
