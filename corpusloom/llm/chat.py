@@ -4,8 +4,9 @@ A message's lines have a quote level, the number of leading `>` signs. Runs of l
 passages. What a message says itself (level 0) is hashed as a whole, by paragraph and by line, after
 normalising case and white space; so are the passages that it quotes. Quotes are joined to the first message
 of the conversation that says the same, and the message answers the latest such original that comes
-before it, found by its quotes of level 1, or of the next level where these find nothing. A passage of less
-than `MIN_CHARS` names its original by all its text, and only where nothing longer of that level does. Chains of answers are followed to their first message, which names the thread; ordering by
+before it, found by its quotes of level 1, or of the next level where these find nothing. What has fewer than
+`SHORT` characters, a whole passage or a line of a longer one, names its original only where nothing longer of
+that level does. Chains of answers are followed to their first message, which names the thread; ordering by
 (thread, turn) puts every answer behind what it answers, and gives each turn its position. Quotes, and the line that announces them, leave
 the text.
 
@@ -33,8 +34,8 @@ from .components import with_hot_keys
 LEVEL = re.compile(r"^\s*((?:>\s?)+)(.*)$", re.DOTALL)
 #: the line that announces a quote, such as "On Monday, A wrote:"
 ANNOUNCED = re.compile(r"^(?:(?:on|am|le|el)\b.*|.*\b(?:wrote|schrieb|a écrit|escribió)\s*):\s*$", re.IGNORECASE)
-#: shorter lines of a longer passage say too little to name a message, shorter passages name one if nothing else does
-MIN_CHARS = 8
+#: what is shorter says little: it names a message if nothing longer of its level does
+SHORT = 8
 
 
 def levels(text: str | None) -> list[tuple[int, str]]:
@@ -56,11 +57,11 @@ def own_text(lines: list[tuple[int, str]]) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
 
 
-def hashes(passage: str, least: int = MIN_CHARS) -> set[int]:
-    """Of the whole, its paragraphs and its lines, in normal form, if they have `least` characters."""
+def hashes(passage: str) -> dict[int, bool]:
+    """Of the whole, its paragraphs and its lines, in normal form: whether they are short."""
     parts = {passage, *re.split(r"\n\s*\n", passage), *passage.split("\n")}
     norms = {" ".join(p.lower().split()) for p in parts}
-    return {xxhash.xxh64_intdigest(n.encode()) - (1 << 63) for n in norms if len(n) >= least}
+    return {xxhash.xxh64_intdigest(n.encode()) - (1 << 63): len(n) < SHORT for n in norms if n}
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,11 +83,10 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ranks: dict[int, int] = {}  # of a quoted hash: by level, then longer passages first
             for level in sorted(quoted):
                 for passage in quoted[level]:
-                    short = len(" ".join(passage.split())) < MIN_CHARS
-                    for h in hashes(passage, 1 if short else MIN_CHARS):
+                    for h, short in hashes(passage).items():
                         ranks[h] = min(ranks.get(h, 2 * level + short), 2 * level + short)
             n = sum(len(ps) for ps in quoted.values())
-            out.append((own, sorted(hashes(own, 1)), list(ranks), list(ranks.values()), n, max(quoted, default=0)))
+            out.append((own, sorted(hashes(own)), list(ranks), list(ranks.values()), n, max(quoted, default=0)))
         yield b[["conv_id", "turn"]].assign(**dict(zip(("clean", "says", "quotes", "ranks", "n_quotes", "max_level"), zip(*out, strict=True), strict=True))) if out else pd.DataFrame()
 
 

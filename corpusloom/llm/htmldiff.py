@@ -51,6 +51,8 @@ BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
+#: skipped elements that stand within a line; what they hold goes, and the block around them goes on
+SILENT = SKIPPED - BLOCKS
 #: elements that end the one of their kind before them
 ENDING = frozenset("p li td th tr dt dd option".split())
 NAMES = (
@@ -77,7 +79,7 @@ class _Blocks(HTMLParser):
         self.open: list[tuple[str, bool, bool]] = []
         self.names: Counter[str] = Counter()
         self.nested: list[str] = []  # the open block-level elements
-        self.marked = self.inside = 0
+        self.marked = self.inside = self.silent = 0
         self.text: list[str] = []
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
@@ -87,7 +89,7 @@ class _Blocks(HTMLParser):
         text = SPACE.sub(" ", "".join(self.text)).strip()
         self.text.clear()
         if text:
-            self.blocks.append((text, self.marked > 0, self.inside > 0))
+            self.blocks.append((text, self.marked > self.silent, self.inside > 0))
 
     def _close(self, name: str) -> None:
         """Close the innermost open element of this name and all within it."""
@@ -98,13 +100,14 @@ class _Blocks(HTMLParser):
             self.names[tag] -= 1
             self.marked -= marked
             self.inside -= article
+            self.silent -= tag in SILENT
             if tag in BLOCKS:
                 self.nested.pop()
             if tag == name:
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCKS or tag in SKIPPED:
+        if tag in BLOCKS and not (self.silent and tag == "option"):
             self._end_block()
         if tag in VOID:
             return
@@ -122,22 +125,22 @@ class _Blocks(HTMLParser):
         self.names[tag] += 1
         self.marked += marked
         self.inside += article
+        self.silent += tag in SILENT
         if tag in BLOCKS:
             self.nested.append(tag)
-        if tag in ("script", "style"):
-            self.text.clear()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self._end_block()
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS or tag in SKIPPED:
+        if tag in BLOCKS and not (self.silent and tag == "option"):
             self._end_block()
         self._close(tag)
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        if not self.silent:
+            self.text.append(data)
 
 
 def blocks_of(html: str | None) -> list[Block]:

@@ -217,7 +217,14 @@ def disclosures(docs: DataFrame, base: DataFrame, support: int = SUPPORT, thresh
     near = texts.where(reduce(lambda a, b: a | b, [_may_hold(k, F.col("text")) for k in KINDS])).join(tags, ["tag", "len"], "left_semi")
     terms = checkpointed(near.select("tag", "len", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("t")).distinct())
     sums = [F.sum("rows").alias("n_et"), F.count("*").alias("texts"), F.first("n_e").alias("n_e")]
-    often = where.where(F.col("texts") >= support).drop("texts").join(terms, ["tag", "len"]).groupBy("e", "t").agg(*sums).where(F.col("texts") >= support)
+    # entities that stand in the same texts, as often, reveal each other's terms alike: one of them is enough, so a text with very
+    # many of them does not meet all its terms with each; and a term in fewer texts than `support` reveals nothing
+    held = where.where(F.col("texts") >= support)
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "tag", "len", "rows")).alias(f"mark{k}") for k in (0, 1)]
+    alike = held.groupBy("e").agg(*marks, F.count("*").alias("texts")).groupBy("mark0", "mark1", "texts").agg(F.min("e").alias("e"))
+    least = checkpointed(terms.groupBy("t").agg(F.count("*").alias("least_t")))
+    often = held.drop("texts").join(alike.select("e"), "e", "left_semi").join(terms.join(least.where(F.col("least_t") >= support).select("t"), "t", "left_semi"), ["tag", "len"])
+    often = often.groupBy("e", "t").agg(*sums).where(F.col("texts") >= support)
     # a term that the address itself spells out needs no further support
     spelled = where.select("e", "tag", "len", "rows", "n_e", F.explode(_name_parts(F.col("e"))).alias("part"))
     spelled = spelled.join(terms.withColumn("part", F.lower("t")), ["tag", "len", "part"]).groupBy("e", "t").agg(*sums)
@@ -225,7 +232,6 @@ def disclosures(docs: DataFrame, base: DataFrame, support: int = SUPPORT, thresh
     total = float(base.count())
     # n_t is at least the number of these texts that hold t; with that bound in its place the share is at least
     # the true one, so what falls short of the threshold (frequent words do) needs no count over the corpus
-    least = terms.groupBy("t").agg(F.count("*").alias("least_t"))
     pairs = pairs.join(least, "t").where(_share("n_et", "n_e", F.greatest("least_t", "n_et"), total) >= threshold)
     pairs = checkpointed(pairs.select("e", "t", "n_et", "n_e"))
     wanted = checkpointed(pairs.select("t").distinct())

@@ -362,6 +362,14 @@ def test_html_that_is_malformed_or_very_deep(spark):
     assert [(t, m) for t, m, _ in blocks] == [("Body", False), ("X", False), ("S", True), ("T", False)]
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<p>one <script>x</script>two</p>", ["one two"]), ("<p>a <button>b</button> c</p>", ["a c"]), ("<p>a<style>p {}</style>b <svg><text>x</text></svg>c</p>", ["ab c"]),
+    ("<p>a <select><option>x<option>y</select> b</p><p>c</p>", ["a b", "c"]), ("<p>a <button>b</p><p>c</p>", ["a", "c"]), ("<div>a <noscript>b</noscript></div>c", ["a", "c"]), ("<p>a<nav>b</nav>c</p>", ["a", "c"]),
+])
+def test_what_is_skipped_within_a_line_does_not_end_it(html, want):
+    assert [t for t, marked, _ in htmldiff.blocks_of(html) if not marked] == want
+
+
 def test_language_accuracy_and_empty_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = langid.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
@@ -431,10 +439,17 @@ def test_chat_quotes(spark):
 
 def test_chat_links_deeper_and_short_quotes(spark):
     said = [(0, "Where shall we meet tomorrow?"), (1, "Yes"), (2, "A quite different remark"), (3, ">> Where shall we meet tomorrow?\n> never said by anyone here\nAt noon"), (4, ">> Where shall we meet tomorrow?\nforwarded"),
-            (5, "> yes\nfine"), (6, ">> Where shall we meet tomorrow?\n> A quite different remark\nboth"), (7, "> Yes\n> and something unknown\nno link"), (8, "> Yes\n\n> Where shall we meet tomorrow?\nlonger first")]
+            (5, "> yes\nfine"), (6, ">> Where shall we meet tomorrow?\n> A quite different remark\nboth"), (7, "> Yes\n> and something unknown\na short line links"), (8, "> Yes\n\n> Where shall we meet tomorrow?\nlonger first")]
     df = spark.createDataFrame([(1, t, "user", x) for t, x in said], "conv_id long, turn long, role string, text string")
     got = {r["turn"]: (r["reply_to"], r["thread"]) for r in chat.formatted(df).collect()}
-    assert got == {0: (None, 0), 1: (None, 1), 2: (None, 2), 3: (0, 0), 4: (0, 0), 5: (1, 1), 6: (2, 2), 7: (None, 7), 8: (0, 0)}
+    assert got == {0: (None, 0), 1: (None, 1), 2: (None, 2), 3: (0, 0), 4: (0, 0), 5: (1, 1), 6: (2, 2), 7: (1, 1), 8: (0, 0)}
+
+
+def test_chat_short_lines_link_within_longer_passages(spark):
+    said = [(0, "Yes."), (1, "No."), (2, "> Yes.\n> (was it?) never said before"), (3, "> No.\n> Yes.\n\nboth were said"), (4, "> No.\n> (was it?) never said before\nlonger"), (5, ">> (was it?) never said before\n> Yes.\nlevel first")]
+    df = spark.createDataFrame([(1, t, "user", x) for t, x in said], "conv_id long, turn long, role string, text string").repartition(2)
+    got = {r["turn"]: r["reply_to"] for r in chat.formatted(df).collect()}
+    assert got == {t: v for t, v in plain_links(said).items()} and got[2] == 0 and got[3] == 1 and got[5] == 0
 
 
 def plain_links(said):
@@ -450,9 +465,9 @@ def plain_links(said):
         for level, part in runs:
             whole = "\n".join(part)
             parts = [whole, *re.split(r"\n\s*\n", whole), *part]
-            short = len(norm(whole)) < chat.MIN_CHARS
             for p in parts if level else ():
-                if norm(p) and (short or len(norm(p)) >= chat.MIN_CHARS):
+                if norm(p):
+                    short = len(norm(p)) < chat.SHORT
                     firsts = [u for u, _ in said if norm(p) in {norm(q) for q in (own[u], *re.split(r"\n\s*\n", own[u]), *own[u].split("\n"))}]
                     if firsts and min(firsts) < t:
                         rank = 2 * level + short
