@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from ..operators.align import share
+from ..operators import matching
 
-SHARE = 0.40
-EXPIRES_DAYS = 90
 MATCH = "profile string, draft string, text_id string, share double"
+LIFE = "profile string, draft string, status string, text_id string, ts timestamp"
 
 
 def weekly(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -23,34 +25,7 @@ def sessions(events: DataFrame, gap: str = "2 seconds", late: str = "1 minute")
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id", "event_type").agg(F.count("*").alias("cues"))
 
 
-def match_group(rows: pd.DataFrame, least: float = SHARE, days: int = EXPIRES_DAYS) -> pd.DataFrame:
-    """Best draft for each text of one profile, in order of time and id; a draft is used once and not after it has expired.
-
-    A text may be older than the draft: what counts is when it was found."""
-    drafts = rows[rows["kind"] == "draft"].sort_values(["ts", "id"])
-    texts = rows[rows["kind"] == "text"].sort_values(["ts", "id"])
-    used: set[str] = set()
-    out = []
-    for t in texts.itertuples():
-        best = None
-        for d in drafts.itertuples():
-            if d.id in used or (t.ts - d.ts).days > days:
-                continue
-            s = share(d.text, t.text)
-            if s >= least and (best is None or s > best[1]):
-                best = (d.id, s)
-        if best:
-            used.add(best[0])
-            out.append((t.profile, best[0], t.id, best[1]))
-    return pd.DataFrame(out, columns=["profile", "draft", "text_id", "share"])
-
-
-def matched(rows: DataFrame) -> DataFrame:
-    """MATCH over (profile, kind, id, ts, text); a profile's drafts and texts are few, as people write them."""
-    return rows.groupBy("profile").applyInPandas(lambda rows: match_group(rows), MATCH)
-
-
-def run_matching(spark: SparkSession, stream: DataFrame, known: DataFrame, sink: str, checkpoint: str):
+def run_matching(spark: SparkSession, stream: DataFrame, known: DataFrame, sink: str, checkpoint: str, size: int = matching.SIZE):
     """Each micro-batch of texts meets the drafts that no earlier batch has used; its matches are a partition of the sink."""
     none = spark.createDataFrame([], MATCH)
     none.write.mode("overwrite").parquet(f"{sink}/batch=-1")  # so that the sink can be read before the first match
@@ -61,6 +36,62 @@ def run_matching(spark: SparkSession, stream: DataFrame, known: DataFrame, sink:
         used = before.select("profile", F.col("draft").alias("id"))
         drafts = known.join(used, ["profile", "id"], "left_anti").select(known.columns)
         # written again as a whole if a batch is repeated
-        matched(drafts.unionByName(batch)).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        matching.matched(drafts, batch, size=size).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Draft(StatefulProcessor):
+    """The life of one draft: kept, then claimed by one text, or expired when its time is over."""
+
+    def __init__(self, days: int):
+        self.life = days * 24 * 3600 * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("draft", StructType([StructField("kept", LongType()), StructField("text_id", StringType()), StructField("over", BooleanType())]))
+
+    def _said(self, key, status: str, text_id, ts):
+        return Row(profile=key[0], draft=key[1], status=status, text_id=text_id, ts=ts)
+
+    def handleInputRows(self, key, rows, timerValues):  # the names are those that Spark calls it by
+        # a draft's own rows of one batch: it is kept before it is claimed, and claims come in the order of their texts
+        for r in sorted(rows, key=lambda r: (r["what"] != "kept", r["ts"], r["text_id"] or "")):
+            ms = int(r["ts"].timestamp() * 1000)
+            held = self.state.get() if self.state.exists() else None
+            if r["what"] == "kept":
+                if held is None:
+                    self.state.update((ms, None, False))
+                    self.handle.registerTimer(ms + self.life)
+                continue
+            if held is None:
+                status = "unknown"
+            elif held[1] is not None:
+                status = "taken"
+            elif held[2] or ms > held[0] + self.life:
+                status = "late"
+            else:
+                status = "matched"
+                self.state.update((held[0], r["text_id"], held[2]))
+            yield self._said(key, status, r["text_id"], r["ts"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = self.state.get() if self.state.exists() else None
+        if held is not None and held[1] is None:
+            self.state.update((held[0], None, True))
+            yield self._said(key, "expired", None, dt.datetime.fromtimestamp(expiredTimerInfo.getExpiryTimeInMs() / 1000))
+
+    def close(self) -> None:
+        pass
+
+
+def lives(stream: DataFrame, days: int = matching.EXPIRES_DAYS, late: str = "1 day") -> DataFrame:
+    """profile, draft, status, text_id, ts: what becomes of each draft in a stream (profile, draft, what, ts, text_id) of drafts
+    kept and claims on them: the first claim in time matches it, further ones find it taken, later ones late; without a
+    claim it expires when the watermark has passed its time, by a timer. A draft that was never kept is unknown.
+
+    The state is one short row a draft, so a writer's drafts are dealt to all tasks. The session's state store must be
+    the RocksDB one, as for any stream of this kind.
+    """
+    rows = stream.withWatermark("ts", late)
+    return rows.groupBy("profile", "draft").transformWithState(Draft(days), LIFE, "Append", "EventTime")
