@@ -25,9 +25,9 @@ MAX_BROADCAST = 500_000
 #: edges of a piece
 LONGEST = 62
 #: words whose hashes a worker remembers
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: signs of texts that are worked on as one array
-TOGETHER = 3_000_000
+TOGETHER = 1_000_000
 
 
 class Hashes(dict):
@@ -102,7 +102,7 @@ def _array(x: np.ndarray, c: str) -> pa.Array:
 
 
 def _groups(texts: list[str | None], least: int) -> Iterator[list[int]]:
-    """Indices of the texts that are long enough, a few million signs together."""
+    """Indices of the texts that are long enough, about a million signs together."""
     group, total = [], 0
     for k, t in enumerate(texts):
         if t and len(t) >= least:

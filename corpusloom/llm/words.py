@@ -16,7 +16,7 @@ PART = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 #: powers that are kept; those of longer texts are made when needed
-KEPT = 1 << 20
+KEPT = 1 << 18
 _POWERS: list[np.ndarray] = []
 
 
