@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from .operators import decisions as D
 from .operators import evaluation as E
 from .operators import ledger as L
-from .operators import matching
+from .operators import matching, trial
 from .plans.lifecycle_sql import SQL
+from .plans.trial_sql import METRICS
 from .sources import ledger as S
 from .sources.tables import documents, table
 
 QUERIES: dict = {}
-ORACLE_SQL = SQL
+ORACLE_SQL = SQL | {"o169_trial_metrics": METRICS}
 
 
 def add(name: str):
@@ -136,3 +137,8 @@ def o179(s, d):
     drafts = table(s, d, "benchmark").select(F.lit("w").alias("profile"), F.col("item_id").alias("id"), start.alias("ts"), "text")
     texts = table(s, d, "documents").select(F.lit("w").alias("profile"), F.col("doc_id").alias("id"), (start + F.make_dt_interval(hours=F.pmod(F.col("doc_id"), F.lit(2400)).cast("int"))).alias("ts"), "text")
     return matching.matched(drafts, texts)
+
+
+@add("o169_trial_metrics")
+def o169(s, d):
+    return trial.metrics(documents(s, d))
