@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,47 +10,26 @@ from corpusloom.llm import linededup, packing, pii, quality, simhash
 from corpusloom.llm.common import shared_folder, table
 
 
-#: rows of an Arrow batch: documents may be long, and workers hold a batch several times over
-BATCH = 2000
-
-
-def _small_batches(stage):
-    """The stage with small Arrow batches; a smaller setting of the session stays."""
-
-    @functools.wraps(stage)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        spark.conf.set(name, str(min(BATCH, int(spark.conf.get(name)))))
-        return stage(spark, docs, sf_dir)
-
-    return run
-
-
-@_small_batches
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-@_small_batches
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of runs of lines leave the texts; every document stays, some of them empty."""
     return linededup.without_repeats(docs)
 
 
-@_small_batches
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
-@_small_batches
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and the terms that reveal it are replaced; every document stays."""
     return pii.sanitised(docs)
 
 
-@_small_batches
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document, and its place in a training sequence."""
     import public_tokenizers
