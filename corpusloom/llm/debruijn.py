@@ -109,12 +109,12 @@ def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < 2 * ANCHOR:
         raise ValueError(f"window must be {2 * ANCHOR} or more, so that edges have enough lines of {ANCHOR} words to choose from")
     rows = repeats.met_pieces(docs, window, ANCHOR, nodes=True)
-    same = rows.groupBy("anchor", "words").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "before", "behind", "u", "v", "doc_id", "tag", "at")])
+    same = rows.groupBy("anchor", "words").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "line", "before", "behind", "u", "v", "doc_id", "tag", "at")])
     same = checkpointed(same)
     # where the graph may branch inside pieces of one anchor
-    edges = repeats.edges(docs, same.join(repeats.related(same), ["anchor", "words"], "left_semi"), window)
-    shared = edges.groupBy("anchor", "edge").agg(F.min("words").alias("least"), F.max("words").alias("most"), F.max("n").alias("n")).where("least <> most or n > 1")
-    some = edges.where("n = 1").select("anchor", "words", "i", "edge").join(shared.select("anchor", "edge"), ["anchor", "edge"], "left_semi")
+    edges = repeats.edges(docs, same.join(repeats.related(same), ["anchor", "words"]), window, ANCHOR)
+    shared = edges.groupBy("anchor", "edge").agg(F.min("words").alias("least"), F.max("words").alias("most"), F.max("mark").alias("n")).where("least <> most or n > 1")
+    some = edges.where("mark = 1").select("anchor", "words", "i", "edge").join(shared.select("anchor", "edge"), ["anchor", "edge"], "left_semi")
     bits = F.bit_or(F.expr("shiftleft(1L, i)")).alias("part")
     some = some.groupBy("anchor", "words").agg(bits, F.min_by("edge", "i").alias("first"), F.max_by("edge", "i").alias("last"))
     masks = same.join(some, ["anchor", "words"], "left").withColumn("mask", F.when(F.col("n") > 1, repeats.full()).otherwise(F.col("part"))).where("mask is not null")

@@ -45,14 +45,12 @@ def repeated_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         raise ValueError(f"min_words must be {2 * WIDTH} or more, so that windows have enough lines of {WIDTH} words to choose from")
     rows = repeats.met_pieces(docs, min_words, WIDTH)
     place = F.struct("doc_id", "tag", "at")
-    kinds = rows.groupBy("anchor", "words").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "before", "behind")], F.min(place).alias("first"))
+    kinds = rows.groupBy("anchor", "words").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("size", "line", "before", "behind")], F.min(place).alias("first"))
     kinds = checkpointed(kinds)
-    related = kinds.join(repeats.related(kinds), ["anchor", "words"], "left_semi")
-    windows = repeats.edges(docs, related.select("anchor", "words", "n", "size", "first.*"), min_words)
-    placed = windows.join(related.select("anchor", "words", "first"), ["anchor", "words"])
-    placed = placed.select("anchor", "words", "edge", "i", F.struct("first.doc_id", "first.tag", (F.col("first.at") + F.col("i")).alias("at")).alias("own"))
-    earliest = placed.groupBy("anchor", "edge").agg(F.min("own").alias("low"))
-    later = placed.join(earliest, ["anchor", "edge"]).where(F.col("low") < F.col("own")).groupBy("anchor", "words").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("part"))
+    asked = kinds.select("anchor", "words", "n", "size", "line", "first.*").join(repeats.related(kinds), ["anchor", "words"])
+    windows = repeats.edges(docs, asked, min_words, WIDTH, placed=True)
+    earliest = windows.groupBy("anchor", "edge").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("anchor", "edge", "low")
+    later = windows.join(earliest, ["anchor", "edge"]).where("low < mark").groupBy("anchor", "words").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("part"))
     known = kinds.join(later, ["anchor", "words"], "left").where("n > 1 or part is not null").select("anchor", "words", "first", F.coalesce("part", F.lit(0).cast("long")).alias("part"))
     mask = F.when(place.eqNullSafe(F.col("first")), F.col("part")).otherwise(repeats.full())
     return rows.join(known, ["anchor", "words"]).select("doc_id", "tag", "at", mask.alias("mask")).where("mask <> 0")

@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, packed
+from .common import checkpointed, packed, ranked
 from .words import BLANKS, Runs, mixed, parts
 
 #: rows of a list of texts that is still broadcast; beyond it all texts are shuffled
 MAX_BROADCAST = 500_000
 #: edges of a piece
 LONGEST = 62
+#: words of a text that places tell apart
+MOST_WORDS = 1 << 28
 #: words whose hashes a worker remembers
 REMEMBERED = 200_000
 #: signs of texts that are worked on as one array
@@ -63,8 +65,8 @@ def leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(texts: list[str], window: int, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The number of pieces of each text, and the columns of all pieces in order: at, size (edges), anchor, words (hashes), before and
-    behind (hashes of the anchor with half an edge to that side, 0 where the text ends first), u and v (hashes of
+    """The number of pieces of each text, and the columns of all pieces in order: at, size (edges), line (where the anchor
+    stands, from at on), anchor, words (hashes), before and behind (hashes of the anchor with half an edge to that side, 0 where the text ends first), u and v (hashes of
     the runs of one word less at the piece's ends). The texts are worked on as one array."""
     found = [hashed(t) for t in texts]
     sizes = np.array([len(x) for x in found], dtype=np.int64)
@@ -91,14 +93,14 @@ def pieces(texts: list[str], window: int, width: int) -> tuple[np.ndarray, list[
     before[lo < begin[own]], behind[hi > end] = 0, 0
     whole = mixed(runs(at, at + size + window - 1))
     nodes = [mixed(runs(x, x + window - 1)) for x in (at, at + size)]
-    return np.bincount(own, minlength=len(texts)), [(at - begin[own]).astype(np.int32), size.astype(np.int32), lines[line], whole, before, behind, *nodes]
+    return np.bincount(own, minlength=len(texts)), [(at - begin[own]).astype(np.int32), size.astype(np.int32), (line - at).astype(np.int32), lines[line], whole, before, behind, *nodes]
 
 
-COLUMNS = ("at", "size", "anchor", "words", "before", "behind", "u", "v")
+COLUMNS = ("at", "size", "line", "anchor", "words", "before", "behind", "u", "v")
 
 
 def _array(x: np.ndarray, c: str) -> pa.Array:
-    return pa.array(x.astype(np.int32)) if c in COLUMNS[:2] else pa.array(x.view(np.int64))
+    return pa.array(x.astype(np.int32)) if c in COLUMNS[:3] else pa.array(x.view(np.int64))
 
 
 def _groups(texts: list[str | None], least: int) -> Iterator[list[int]]:
@@ -162,14 +164,14 @@ def _passed(shared, columns: tuple[str, ...]):
 
 
 def met_pieces(docs: DataFrame, window: int, width: int, nodes: bool = False) -> DataFrame:
-    """doc_id, tag, at, size, anchor, words, before, behind (and u, v) of the pieces whose anchor occurs twice.
+    """doc_id, tag, at, size, line, anchor, words, before, behind (and u, v) of the pieces whose anchor occurs twice.
 
     Most anchors occur once. A filter of bits drops nearly all of these before the join that decides; it has a
     bound of its own, and where it is full the join alone does the work.
     """
     columns = COLUMNS if nodes else COLUMNS[:-2]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    types = {c: "int" if c in COLUMNS[:2] else "long" for c in columns}
+    types = {c: "int" if c in COLUMNS[:3] else "long" for c in columns}
     found = checkpointed(keyed(docs).mapInArrow(_pieces(window, width, columns), f"doc_id {kind}, tag long, {', '.join(f'{c} array<{t}>' for c, t in types.items())}"))
     often = found.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1")
     often = checkpointed(often.select("anchor"))  # a join of two plain shuffles can be split at a hot anchor
@@ -182,10 +184,12 @@ def same(a: str, b: str, tag_a: str, tag_b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b)) & (F.col(tag_a) == F.col(tag_b))
 
 
-ASKED = ("anchor", "words", "at", "size", "n")
+ASKED = ("anchor", "words", "at", "size", "line", "sides", "n")
 
 
-def _edges(window: int):
+def _edges(window: int, width: int, placed: bool):
+    half = (window - width + 1) // 2
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = b["text"].tolist()
@@ -195,32 +199,46 @@ def _edges(window: int):
                 counts = np.array([len(b["at"].iat[k]) for k in group])
                 x = {c: np.concatenate([b[c].iat[k] for k in group]).astype(np.int64) for c in ASKED}
                 size = x["size"]
-                i = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-                at = np.repeat(x["at"] + np.repeat(np.cumsum(sizes) - sizes, counts), size) + i
-                edge = mixed(Runs(np.concatenate(found))(at, at + window)).view(np.int64)
-                yield pd.DataFrame({c: np.repeat(x[c], size) for c in ("anchor", "words", "n")} | {"i": i.astype(np.int32), "edge": edge})
+                of = np.repeat(np.arange(len(size)), size)
+                i = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+                left = x["line"][of] - i  # what an edge has before its anchor
+                met = (x["sides"][of] & 1 > 0) & (left >= half) | (x["sides"][of] & 2 > 0) & (window - width - left >= half)
+                of, i = of[met], i[met]
+                at = x["at"][of] + i
+                begin = np.repeat(np.cumsum(sizes) - sizes, counts)[of]
+                edge = mixed(Runs(np.concatenate(found))(at + begin, at + begin + window)).view(np.int64)
+                mark = np.repeat(b["place"].to_numpy(dtype=np.int64)[group], counts)[of] * MOST_WORDS + at if placed else x["n"][of]
+                yield pd.DataFrame({"anchor": x["anchor"][of], "words": x["words"][of], "i": i.astype(np.int32), "edge": edge, "mark": mark})
 
     return run
 
 
-def edges(docs: DataFrame, kinds: DataFrame, window: int) -> DataFrame:
-    """anchor, words, n, i, edge (hash) of every edge of `kinds` (anchor, words, n, size, and the place doc_id, tag, at of one
-    source of each), from the words that stand there; rows that agree in doc_id and text give theirs each."""
+def edges(docs: DataFrame, kinds: DataFrame, window: int, width: int, placed: bool = False) -> DataFrame:
+    """anchor, words, i, edge (hash), mark of those edges of `kinds` that another kind may share, from the words that stand there.
+
+    kinds: anchor, words, n, size, line, sides (see `related`), and the place doc_id, tag, at of one source of each. mark is n, or with
+    `placed` the edge's place as a number: documents in the order of doc_id (null first) and tag, then words.
+    Rows that agree in doc_id and text give their edges each.
+    """
     asked = kinds.groupBy(F.col("doc_id").alias("s_id"), F.col("tag").alias("s_tag")).agg(*[F.collect_list(c).alias(c) for c in ASKED])
-    asked = checkpointed(asked)
+    if placed:
+        numbered = ranked(asked.select("s_id", "s_tag", F.struct(*ASKED).alias("x")), "s_id", "s_tag")
+        asked = checkpointed(numbered.select("s_id", "s_tag", F.col("rank").alias("place"), "x.*"))
+    else:
+        asked = checkpointed(asked).withColumn("place", F.lit(0))
     tags = checkpointed(asked.select(F.col("s_tag").alias("tag")).distinct())
     texts = keyed(docs)
     some = texts.join(F.broadcast(tags), "tag", "left_semi") if tags.count() <= MAX_BROADCAST else texts
-    sources = some.join(asked, same("doc_id", "s_id", "tag", "s_tag")).select("text", *ASKED)
-    return checkpointed(sources.mapInPandas(_edges(window), "anchor long, words long, n long, i int, edge long"))
+    sources = some.join(asked, same("doc_id", "s_id", "tag", "s_tag")).select("text", "place", *ASKED)
+    return checkpointed(sources.mapInPandas(_edges(window, width, placed), "anchor long, words long, i int, edge long, mark long"))
 
 
 def related(kinds: DataFrame) -> DataFrame:
-    """(anchor, words) of the kinds that can share an edge with another kind: an edge reaches at least half of what it has beside
-    its anchor to one side, so both have the same words before it, or the same words behind it."""
-    sides = kinds.select("anchor", "words", F.explode(F.array("before", "behind")).alias("side")).where("side <> 0")
+    """(anchor, words, sides) of the kinds that can share an edge with another kind: an edge has at least half of what stands beside
+    its anchor on one side, so both have the same words before it (sides 1), or behind it (2), or both (3)."""
+    sides = kinds.select("anchor", "words", F.posexplode(F.array("before", "behind")).alias("k", "side")).where("side <> 0")
     shared = checkpointed(sides.groupBy("side").agg(F.min("words").alias("least"), F.max("words").alias("most")).where("least <> most").select("side"))
-    return sides.join(shared, "side", "left_semi").select("anchor", "words").distinct()
+    return sides.join(shared, "side", "left_semi").groupBy("anchor", "words").agg(F.bit_or(F.col("k") + 1).alias("sides"))
 
 
 def full() -> Column:
