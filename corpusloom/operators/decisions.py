@@ -180,3 +180,46 @@ def merged(records: DataFrame, patches: DataFrame) -> DataFrame:
 
     stuck = F.transform(F.filter(F.coalesce("acts", F.array().cast(listed.schema["acts"].dataType)), lambda a: a["act"] == "keep"), lambda a: F.concat(a["field"], F.lit("."), a["name"]))
     return rows.select("key", F.coalesce("to", "status").alias("status"), *[entries(m).alias(m) for m in maps], F.array_sort(stuck).alias("conflicts"))
+
+
+# --- lessons from stored pairs of edits
+
+SLUG = "^[a-z0-9]+(-[a-z0-9]+)*$"
+OTHER = "other"
+
+
+def kind_faults(changes: DataFrame, lessons: DataFrame, described: DataFrame) -> DataFrame:
+    """slot, kind, fault: kinds that are missing, no slugs, or new and not described; changes have slot, pair, change, kind."""
+    kinds = changes.groupBy("slot", "kind").agg(F.count("*").alias("n"))
+    missing = kinds.where("kind is null").select("slot", "kind", F.lit("a change has no kind").alias("fault"))
+    spelled = kinds.where(~F.col("kind").rlike(SLUG)).select("slot", "kind", F.lit("not a slug").alias("fault"))
+    known = lessons.select("slot", "kind").union(described.select("slot", "kind")).distinct()
+    new = kinds.where((F.col("kind") != OTHER) & F.col("kind").rlike(SLUG)).join(known, ["slot", "kind"], "left_anti").select("slot", "kind", F.lit("not described").alias("fault"))
+    return _union([missing, spelled, new])
+
+
+def rebuilt_lessons(changes: DataFrame, lessons: DataFrame, described: DataFrame, rejected: DataFrame) -> DataFrame:
+    """slot, id, kind, text, pairs, seen_once, op: the lessons that all stored pairs bear out, beside those there are.
+
+    lessons: slot, id, kind, text, pairs. op is keep, modify (its pairs have changed), drop (no pair is left: taking a pair out
+    undoes what it brought), add (a kind that is described; ids go on behind the slot's highest, in the order of kinds) or
+    refused (a new kind whose text the writer has rejected: slot, text in normal form; no id). Kind `other` teaches nothing.
+    """
+    norm = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)[^\w]+", " ")))
+    now = changes.where(F.col("kind").isNotNull() & (F.col("kind") != OTHER)).groupBy("slot", "kind").agg(F.array_sort(F.collect_set("pair")).alias("now"))
+    old = lessons.select("slot", "id", "kind", "text", F.array_sort("pairs").alias("pairs"))
+    both = now.join(old, ["slot", "kind"], "full_outer")
+    kept = both.where("id is not null").select(
+        "slot", "id", "kind", "text", F.coalesce("now", F.array().cast(now.schema["now"].dataType)).alias("pairs"),
+        F.when(F.col("now").isNull(), "drop").when(F.col("now") == F.col("pairs"), "keep").otherwise("modify").alias("op"),
+    )
+    new = both.where("id is null").select("slot", "kind", F.col("now").alias("pairs")).join(described.select("slot", "kind", F.trim("text").alias("text")), ["slot", "kind"])
+    said = rejected.select(F.col("slot").alias("r_slot"), norm(F.col("text")).alias("r_text")).distinct()
+    new = checkpointed(new.join(said, (F.col("slot") == F.col("r_slot")) & (norm(F.col("text")) == F.col("r_text")), "left").withColumn("no", F.col("r_slot").isNotNull()).drop("r_slot", "r_text"))
+    last = lessons.groupBy("slot").agg(F.max("id").alias("last"))
+    # a slot's kinds are few, as people name them
+    rank = F.expr("row_number() over (partition by slot order by kind)")
+    added = new.where("not no").withColumn("rn", rank).join(last, "slot", "left").select("slot", (F.coalesce("last", F.lit(0)) + F.col("rn")).cast("long").alias("id"), "kind", "text", "pairs", F.lit("add").alias("op"))
+    refused = new.where("no").select("slot", F.lit(None).cast("long").alias("id"), "kind", "text", "pairs", F.lit("refused").alias("op"))
+    out = kept.withColumn("id", F.col("id").cast("long")).unionByName(added).unionByName(refused)
+    return out.select("slot", "id", "kind", "text", "pairs", (F.size("pairs") < 2).alias("seen_once"), "op")

@@ -138,10 +138,50 @@ def scaled(answers: DataFrame) -> DataFrame:
     return answers.where("p > 0").join(total, "answer").select("answer", "choice", F.round(F.col("p") * 100 / F.col("total"), 5).alias("percent"))
 
 
-def distractors(names: DataFrame, name: str, n: int) -> DataFrame:
-    """Each name with n others in the order of a hash; the names of an evaluation are few."""
-    a, b = names.select(name), names.select(F.col(name).alias("other"))
-    return ledger.top(a.join(b, F.col(name) != F.col("other")).withColumn("_h", F.md5(F.concat(name, F.lit("/"), "other"))), [name], ["_h"], n).drop("_h")
+def _ring(names: DataFrame, name: str, seed: str) -> DataFrame:
+    """name, place (from 0) and total: the names on a ring in the order of a hash of seed and name."""
+    drawn = names.select(name).distinct().withColumn("_h", F.md5(F.concat(F.lit(f"{seed}/"), F.col(name))))
+    total = drawn.count()  # one number
+    return ranks.numbered(drawn, [], ["_h", name], "place").select(name, (F.col("place") - 1).cast("long").alias("place"), F.lit(total).cast("long").alias("total"))
+
+
+def distractors(names: DataFrame, name: str, n: int, seed: str = "d") -> DataFrame:
+    """name, other, rn: each name with the n names that follow it on the seed's ring (all others, where there are fewer).
+
+    Neighbours are met by their places, so n rows a name are made, whatever the number of names.
+    """
+    ring = checkpointed(_ring(names, name, seed))
+    asked = ring.select(name, "total", "place", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rn")).where("rn < total")
+    other = ring.select(F.col(name).alias("other"), F.col("place").alias("at"))
+    return asked.withColumn("at", (F.col("place") + F.col("rn")) % F.col("total")).join(other, "at").select(name, "other", "rn")
+
+
+def recognition(passages: DataFrame, pool: DataFrame, n: int, seed: str = "r") -> DataFrame:
+    """ask, key, truth, candidates: one forced choice for each passage (key, author), under numbers that tell nothing.
+
+    A passage's candidates are its author and n - 1 others of the pool (n others, where the author is null or not in it),
+    in the order of names; which others, the hash of seed and key decides: they stand behind its place on the ring.
+    """
+    ring = checkpointed(_ring(pool, "author", seed))
+    digest = F.md5(F.concat(F.lit(f"{seed}/"), F.col("key").cast("string")))
+    place = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
+    total = ring.count()
+    asked = ranks.numbered(passages.select("key", "author", digest.alias("_h"), place.alias("_p")), [], ["_h", "key"], "ask")
+    # one place more than is needed, as one of them may be the author's own
+    each = asked.select("ask", "key", "author", "_p", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("step")).where(F.col("step") < total)
+    met = each.withColumn("place", (F.col("_p") + F.col("step")) % max(total, 1)).join(ring.select(F.col("author").alias("other"), "place"), "place").where(~F.col("other").eqNullSafe(F.col("author")))
+    known = passages.select("author").distinct().join(pool.select("author").distinct(), "author").withColumn("known", F.lit(True))
+    listed = met.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("step", "other"))).alias("o"))
+    rows = asked.join(listed, "key", "left").join(known, "author", "left")
+    more = F.transform(F.slice(F.coalesce("o", F.array().cast(listed.schema["o"].dataType)), F.lit(1), n - F.when(F.col("known"), 1).otherwise(0)), lambda x: x["other"])
+    both = F.when(F.col("known"), F.concat(more, F.array("author"))).otherwise(more)
+    return rows.select(F.col("ask").cast("long").alias("ask"), "key", F.when(F.col("known"), F.col("author")).otherwise("none").alias("truth"), F.array_sort(both).alias("candidates"))
+
+
+def judged_twice(packets: DataFrame, group: str, n: int, seed: str = "s") -> DataFrame:
+    """key, kind: a seeded sample of n packets of the group, each to be judged blind and once with the name told."""
+    drawn = ledger.top(packets.where(F.col("group") == group).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}/"), F.col("key").cast("string")))).withColumn("_one", F.lit(1)), ["_one"], ["_h", "key"], n)
+    return drawn.select("key", F.explode(F.array(F.lit("blind"), F.lit("named"))).alias("kind"))
 
 
 def length_check(drafts: DataFrame, off: float = 0.15) -> DataFrame:

@@ -129,7 +129,6 @@ SQL: dict[str, str] = {
     "o214_pending_status": f"WITH {M} SELECT sum(CASE WHEN ownership = 'undecided' THEN 1 ELSE 0 END) AS pending, sum(CASE WHEN ownership <> 'undecided' THEN 1 ELSE 0 END) AS decided, count(*) AS items FROM m",
     "o215_fresh_round_robin": f"WITH {M}, {OWN}, used AS (SELECT key FROM own WHERE key % 3 = 0), r AS (SELECT o.key, o.type, row_number() OVER (PARTITION BY o.type ORDER BY o.key) AS rn FROM own o LEFT JOIN used u ON u.key = o.key WHERE u.key IS NULL) SELECT key, type, rn FROM r ORDER BY rn, type LIMIT 40",
     "o216_draft_length": f"WITH {M}, t AS (SELECT type, avg(words) AS target FROM m GROUP BY type) SELECT m.key, words >= 0.85 * target AND words <= 1.15 * target AS fits FROM m JOIN t USING (type)",
-    "o217_distractors": f"WITH {M}, r AS (SELECT a.type, b.type AS other, row_number() OVER (PARTITION BY a.type ORDER BY md5(concat(a.type, '/', b.type))) AS rn FROM (SELECT DISTINCT type FROM m) a JOIN (SELECT DISTINCT type FROM m) b ON a.type <> b.type) SELECT type, other, rn FROM r WHERE rn <= 3",
     "o218_scaled_answers": "WITH a AS (SELECT event_type AS answer, user_id AS choice, sum(value) AS p FROM events GROUP BY ALL) SELECT answer, choice, round(p * 100 / (SELECT sum(p) FROM a b WHERE b.answer = a.answer), 5) AS percent FROM a WHERE p > 0",
     "o219_spot_check": f"WITH {M}, r AS (SELECT key, type, row_number() OVER (PARTITION BY type ORDER BY md5(CAST(key AS STRING))) AS rn, count(*) OVER (PARTITION BY type) AS n FROM m) SELECT key, type FROM r WHERE rn <= greatest(1, ceil(n / 10.0))",
     "o220_detector_shift": "WITH s AS (SELECT source AS type, length(regexp_replace(text, '[^e]', '', 'g')) AS score, quality = 1 AS own FROM documents JOIN labels USING (doc_id)) SELECT type, round(avg(score) FILTER (own), 6) AS own_mean, max(score) FILTER (NOT own) AS other_max, round(avg(score) FILTER (own) - avg(score) FILTER (NOT own), 6) AS shift FROM s GROUP BY type",

@@ -43,3 +43,31 @@ w AS (SELECT *, CASE WHEN away IS NOT NULL AND away IS DISTINCT FROM lag(away) O
 z AS (SELECT *, CASE WHEN away IS NULL THEN 1 ELSE 1 + sum(fresh) OVER (PARTITION BY key ORDER BY pos ROWS UNBOUNDED PRECEDING) END AS part FROM w)
 SELECT CASE WHEN part = 1 THEN key::VARCHAR ELSE key || '#' || part END AS key, part, min(coalesce(away, main)) AS lang, count(*) AS blocks, sum(words) AS words FROM z GROUP BY z.key, part""",
 }
+
+_LESS = ", ".join(f"sum({s}) OVER w - coalesce({s}, 0) AS {s}" for s in O.SUMS)
+_FLAG = "CASE WHEN s.value < floor THEN CASE WHEN l.value - s.value > 2 * floor THEN 'overshoot' ELSE 'ok' END WHEN l.value / s.value > overshoot THEN 'overshoot' WHEN NOT sparse AND shortfall > 0.05 AND l.value / s.value < shortfall THEN 'shortfall' ELSE 'ok' END"
+_COUNTS = f"""WITH {O.sums(O.DOCS)}, rest AS (SELECT key, lang, type, {_LESS} FROM sums WINDOW w AS (PARTITION BY lang, type) QUALIFY count(*) OVER w > 1), rv AS (SELECT key, lang, type, {O.value_columns()} FROM rest), slot AS ({O.melted('rv', 'key, lang, type')}),
+vals AS (SELECT key, lang, type, {O.value_columns()} FROM sums), long AS ({O.melted('vals', 'key, lang, type')}), {O.metric_table()}, flags AS (SELECT l.key, l.lang, {_FLAG} AS flag FROM long l JOIN slot s USING (key, metric) JOIN metric_table t USING (metric)),
+counts AS (SELECT key, lang, count(*) FILTER (flag <> 'ok') AS flagged FROM flags GROUP BY key, lang)"""
+SQL["o171_left_out_flags"] = f"{_COUNTS} SELECT key, flagged FROM counts"
+SQL["o223_simulated_check"] = f"""{_COUNTS} SELECT lang, k, count(*) AS units, round(count(*) FILTER (flagged > 0) / count(*), 6) AS any_flag, round(count(*) FILTER (flagged >= k) / count(*), 6) AS fails FROM counts, range(2, 9) t(k) GROUP BY lang, k"""
+_SUMMED = ", ".join(f"sum({s}) AS {s}" for s in O.SUMS)
+SQL["o157_rederived_fingerprints"] = f"""WITH {O.sums(O.DOCS)}, poor AS (SELECT DISTINCT doc_id AS key FROM labels WHERE quality = 0), touched AS (SELECT DISTINCT lang, type FROM sums JOIN poor USING (key)),
+stay AS (SELECT sums.* FROM sums JOIN touched USING (lang, type) LEFT JOIN poor USING (key) WHERE poor.key IS NULL), g AS (SELECT lang, type, count(*) AS n_texts, {_SUMMED} FROM stay GROUP BY lang, type), gv AS (SELECT lang, type, n_texts, {O.value_columns()} FROM g), slot AS ({O.melted('gv', 'lang, type, n_texts')}),
+vals AS (SELECT key, lang, type, {O.value_columns()} FROM stay), long AS ({O.melted('vals', 'key, lang, type')}), q AS (SELECT lang, type, metric, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.95), 6) AS q95 FROM long GROUP BY ALL)
+SELECT lang, type, metric, n_texts, value, q05, q95 FROM slot JOIN q USING (lang, type, metric)"""
+
+SQL["o135_rebuilt_lessons"] = """WITH e AS (SELECT (user_id % 10)::VARCHAR AS slot, user_id AS pair, event_id AS change, event_type AS kind, value FROM events), half AS (SELECT max(change) / 2 AS h FROM e),
+f AS (SELECT slot, kind, list_sort(list(DISTINCT pair)) AS pairs FROM e, half WHERE change < h AND value < 20 AND kind <> 'other' GROUP BY slot, kind), old AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY kind) AS id FROM f WHERE NOT (kind = 'error' AND slot < '5')),
+n AS (SELECT slot, kind, list_sort(list(DISTINCT pair)) AS now FROM e WHERE value > 5 AND kind <> 'other' GROUP BY slot, kind), b AS (SELECT coalesce(n.slot, old.slot) AS slot, coalesce(n.kind, old.kind) AS kind, id, pairs, now FROM n FULL OUTER JOIN old ON n.slot = old.slot AND n.kind = old.kind),
+last AS (SELECT slot, max(id) AS last FROM old GROUP BY slot), fresh AS (SELECT *, kind = 'error' AND slot < '5' AS no FROM b WHERE id IS NULL), r AS (
+SELECT slot, id, kind, coalesce(now, []) AS pairs, CASE WHEN now IS NULL THEN 'drop' WHEN now = pairs THEN 'keep' ELSE 'modify' END AS op FROM b WHERE id IS NOT NULL
+UNION ALL SELECT slot, coalesce(last, 0) + row_number() OVER (PARTITION BY slot ORDER BY kind), kind, now, 'add' FROM fresh LEFT JOIN last USING (slot) WHERE NOT no UNION ALL SELECT slot, NULL, kind, now, 'refused' FROM fresh WHERE no)
+SELECT slot, id, kind, len(pairs) AS pairs, md5(array_to_string(pairs, ',')) AS digest, len(pairs) < 2 AS seen_once, op FROM r"""
+_RING = "SELECT {name}, row_number() OVER (ORDER BY md5('{seed}/' || {name}), {name}) - 1 AS place, count(*) OVER () AS total FROM (SELECT DISTINCT {of} AS {name} FROM documents)"
+SQL["o217_distractors"] = f"WITH r AS ({_RING.format(name='type', seed='d', of='source')}), a AS (SELECT type, unnest([1, 2, 3]) AS rn, place, total FROM r) SELECT a.type, b.type AS other, rn FROM a JOIN r b ON b.place = (a.place + rn) % a.total WHERE rn < a.total"
+SQL["o217_recognition"] = f"""WITH r AS ({_RING.format(name='author', seed='r', of='source')}), p AS (SELECT item_id AS key, CASE WHEN item_id % 3 > 0 THEN 'src' || (item_id % 20) END AS author, md5('r/' || item_id) AS h FROM benchmark),
+a AS (SELECT *, row_number() OVER (ORDER BY h, key) AS ask, ('0x' || h[1:12])::BIGINT AS pl FROM p), e AS (SELECT key, author, unnest(range(6)) AS step, pl FROM a), m AS (SELECT e.key, e.step, r.author AS other FROM e JOIN r ON r.place = (pl + step) % r.total WHERE step < r.total AND r.author IS DISTINCT FROM e.author),
+k AS (SELECT key, author IN (SELECT author FROM r) AS known FROM p), c AS (SELECT key, list(other ORDER BY step) AS o FROM m GROUP BY key)
+SELECT ask, key, CASE WHEN known THEN author ELSE 'none' END AS truth, array_to_string(list_sort(CASE WHEN known THEN list_append(o[1:4], author) ELSE o[1:5] END), ',') AS candidates FROM a JOIN c USING (key) JOIN k USING (key)"""
+SQL["o217_judged_twice"] = "SELECT key, unnest(['blind', 'named']) AS kind FROM (SELECT doc_id AS key FROM documents WHERE lang = 'en' ORDER BY md5('s/' || doc_id), doc_id LIMIT 20)"

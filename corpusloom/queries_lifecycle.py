@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import decisions as D
 from .operators import evaluation as E
 from .operators import ledger as L
-from .operators import matching, trial
+from .operators import leaveout, matching, style, trial
 from .plans.lifecycle_sql import SQL
 from .plans.trial_sql import METRICS
 from .sources import ledger as S
@@ -142,3 +142,56 @@ def o179(s, d):
 @add("o169_trial_metrics")
 def o169(s, d):
     return trial.metrics(documents(s, d))
+
+
+@add("o171_left_out_flags")
+def o171(s, d):
+    """Each document against the other documents of its language and source: how many metrics are off."""
+    docs = style.summed_once(documents(s, d))
+    return leaveout.counted(leaveout.flags(docs.withColumn("unit", F.lit(0)), docs, ["lang", "type"]), ["lang", "type"]).select("key", "flagged")
+
+
+@add("o223_simulated_check")
+def o223(s, d):
+    """What a check that fails from 2 to 8 flags would find among texts that are each left out of their slot."""
+    docs = style.summed_once(documents(s, d))
+    counts = leaveout.counted(leaveout.flags(docs.withColumn("unit", F.lit(0)), docs, ["lang", "type"]), ["lang", "type"])
+    return leaveout.simulated(counts, ["lang"])
+
+
+@add("o157_rederived_fingerprints")
+def o157(s, d):
+    """Fingerprints of all slots, and those that change when texts of poor quality leave, from the sums of these texts alone."""
+    by = ["lang", "type"]
+    docs = documents(s, d)
+    poor = docs.join(table(s, d, "labels").where("quality = 0").select(F.col("doc_id").alias("key")).distinct(), "key", "left_semi")
+    every = style.summed_once(docs)
+    return leaveout.rederived(leaveout.state(every, by), leaveout.histogram(every, by), poor, docs.limit(0), by)
+
+
+@add("o135_rebuilt_lessons")
+def o135(s, d):
+    """Event types as kinds of edits and users as pairs, by a slot of ten: lessons of the first half of the table, rebuilt from all
+    but the lowest values; what says error has been rejected."""
+    e = table(s, d, "events").select((F.col("user_id") % 10).cast("string").alias("slot"), F.col("user_id").alias("pair"), F.col("event_id").alias("change"), F.col("event_type").alias("kind"), "value")
+    half = e.agg(F.max("change")).first()[0] / 2
+    none = lambda schema: s.createDataFrame([], schema)
+    described = e.select("slot", "kind", F.concat(F.lit("Less of "), "kind", F.lit(".")).alias("text")).distinct()
+    rejected = described.where("kind = 'error' and slot < '5'").select("slot", F.upper("text").alias("text"))
+    first = D.rebuilt_lessons(e.where((F.col("change") < half) & (F.col("value") < 20)), none("slot string, id long, kind string, text string, pairs array<long>"), described, rejected).where("op = 'add'")
+    got = D.rebuilt_lessons(e.where("value > 5"), first.drop("seen_once", "op"), described, rejected)
+    return got.select("slot", "id", "kind", F.size("pairs").cast("long").alias("pairs"), F.md5(F.array_join(F.col("pairs").cast("array<string>"), ",")).alias("digest"), "seen_once", "op")
+
+
+@add("o217_recognition")
+def o217(s, d):
+    """A forced choice for each passage of the benchmark between its author, by turns a source or nobody, and four other sources."""
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("key"), F.when(F.col("item_id") % 3 > 0, F.concat(F.lit("src"), F.col("item_id") % 20)).alias("author"))
+    pool = table(s, d, "documents").select(F.col("source").alias("author")).distinct()
+    return E.recognition(b, pool, 5).select("ask", "key", "truth", F.array_join("candidates", ",").alias("candidates"))
+
+
+@add("o217_judged_twice")
+def o217_twice(s, d):
+    """Twenty English documents drawn to be judged blind and once more with the author told."""
+    return E.judged_twice(documents(s, d).select("key", F.col("lang").alias("group")), "en", 20)
