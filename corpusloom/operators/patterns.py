@@ -116,14 +116,30 @@ def _places(names: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return [*REDACTIONS, *[(place, rf"(?U)(?<!\w){_quoted(name)}(?!\w)") for name, place in sorted(names, key=lambda n: (-len(n[0]), n))]]
 
 
-def replacements(text: Column, names: list[tuple[str, str]] = ()) -> Column:
-    """Array of (place, value): what `redacted` takes out, pattern by pattern; each pattern sees what those before it left."""
-    found = []
+def redaction(text: Column, names: list[tuple[str, str]] = ()) -> Column:
+    """Struct of text (as `redacted` leaves it) and found, an array of (place, value): what was taken out, pattern by pattern.
+
+    Each pattern sees what those before it left. What one step leaves is bound to a variable of the next, so every
+    pattern is tried once.
+    """
+
+    def step(place: str, pattern: str):
+        def run(state: Column) -> Column:
+            values = F.regexp_extract_all(state["text"], F.lit(pattern), F.lit(0))
+            taken = F.transform(values, lambda v: F.struct(F.lit(place).alias("place"), v.alias("value")))
+            return F.struct(F.regexp_replace(state["text"], pattern, place).alias("text"), F.concat(state["found"], taken).alias("found"))
+
+        return run
+
+    state = F.struct(text.alias("text"), F.array().cast("array<struct<place:string,value:string>>").alias("found"))
     for place, pattern in _places(names):
-        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        found.append(F.arrays_zip(F.array_repeat(F.lit(place), F.size(values)).alias("place"), values.alias("value")))
-        text = F.regexp_replace(text, pattern, place)
-    return F.concat(*found)
+        state = T.once(state, step(place, pattern))
+    return state
+
+
+def replacements(text: Column, names: list[tuple[str, str]] = ()) -> Column:
+    """Array of (place, value): what `redacted` takes out."""
+    return redaction(text, names)["found"]
 
 
 def redacted(text: Column, names: list[tuple[str, str]] = ()) -> Column:

@@ -117,9 +117,9 @@ def o095(spark, d):
 @add("o039_redacted")
 def o039(spark, d):
     """E-mail, bank, profile, phone and postcode redaction; look-behind keeps it from SQL, a test holds it against hand-made texts."""
-    t = patterns.redacted(F.col("text"), [("Anblewh", "[person]")])
-    n = F.size(patterns.replacements(F.col("text"), [("Anblewh", "[person]")])).cast("long")
-    return table(spark, d, "documents").select("doc_id", F.md5(t).alias("digest"), (t != F.col("text")).alias("changed"), n.alias("replaced"))
+    done = patterns.redaction(F.col("text"), [("Anblewh", "[person]")])
+    said = T.once(done, lambda x: F.struct(F.md5(x["text"]).alias("digest"), (x["text"] != F.col("text")).alias("changed"), F.size(x["found"]).cast("long").alias("replaced")))
+    return table(spark, d, "documents").select("doc_id", said.alias("x")).select("doc_id", "x.*")
 
 
 @add("o033_normal_quotes", "SELECT doc_id, md5(translate(text, '’‘“” ', '''''\"\" ')) AS digest FROM documents")

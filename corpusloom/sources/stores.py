@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,17 @@ def parsed(column: str, schema: str) -> Column:
 
 
 def write_store(rows: DataFrame, path: str, version: int) -> None:
-    """Spark's commit protocol writes to a side folder and moves it: readers see the old files or the new ones."""
-    rows.select(F.lit(version).alias("schema_version"), "*").write.mode("overwrite").json(path)
+    """The job writes beside the store, and only once it has ended the folders are renamed: a failed job leaves the old files as
+    they are. Between the two renames there is no store for a moment; the old one then stands beside it."""
+    spark, mark = rows.sparkSession, uuid.uuid4().hex
+    rows.select(F.lit(version).alias("schema_version"), "*").write.json(f"{path}.new-{mark}")
+    fs, place = _fs(spark, path)
+    new, old = _fs(spark, f"{path}.new-{mark}")[1], _fs(spark, f"{path}.old-{mark}")[1]
+    if fs.exists(place):
+        fs.rename(place, old)
+    if not fs.rename(new, place):
+        raise OSError(f"{path}: the new files could not take their place and stay in {new.toString()}")
+    fs.delete(old, True)
 
 
 def exported(profile: DataFrame) -> DataFrame:

@@ -111,6 +111,8 @@ def test_alignment():
 
 
 def test_formats():
+    assert formats.markdown(b"> [!note] T\n> body")["blocks"] == ["body"]
+    assert formats.markdown(b"a\n\n> [!tip]- T\n> one\n> two\n\n> quote\n\nb\n> [!x]\n\n> quote")["blocks"] == ["a", "one two", "b"]
     md = formats.markdown(b"---\ndate: 2024-01-02\ntags: [a, b]\n---\n# Title\n\nSome [link](x) and **bold**.\n\n> quote\n\n```\ncode\n```\n\n| 1 | 2 |\n| 3 | 4 |\n")
     assert md == {"blocks": ["Title", "Some link and bold."], "doc_date": "2024-01-02", "tags": ["a", "b"]}
     vtt = b"WEBVTT\n\n00:00.000 --> 00:01.000\nAnn: Hello\n\n00:02.990 --> 00:04.000\nAnn: there\n\n00:06.000 --> 00:07.000\nAnn: later\n\n00:07.100 --> 00:08.000\nBob: hi\n"
