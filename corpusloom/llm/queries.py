@@ -76,6 +76,16 @@ def base10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_pii(spark, sf_dir).drop("spans", "n_term")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_embeddings, op3_chat, op4_html, op5_language, op6_quality, op7_packing, op8_lines, op9_simhash, op10_pii, op11_substrings, op12_crosstok, op13_resample, base6_rules, base10_spans)}
+def base8_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8_lines that SQL can express: how many words go."""
+    return op8_lines(spark, sf_dir).select("doc_id", "n_words", "n_removed_words")
+
+
+def base11_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op11_substrings without the number of compacted paths, which SQL cannot express."""
+    return op11_substrings(spark, sf_dir).drop("n_passages")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_embeddings, op3_chat, op4_html, op5_language, op6_quality, op7_packing, op8_lines, op9_simhash, op10_pii, op11_substrings, op12_crosstok, op13_resample, base6_rules, base8_words, base10_spans, base11_words)}
 #: the links of vectors by all pairs: what is found must be all of them on the tables compared
-ORACLE_SQL: dict[str, str] = {"op2_embeddings": sql.VECTORS, "base6_rules": sql.QUALITY, "base10_spans": sql.PII, "op13_resample": sql.RESAMPLE}
+ORACLE_SQL: dict[str, str] = {"op2_embeddings": sql.VECTORS, "base6_rules": sql.QUALITY, "base8_words": sql.LINES, "base10_spans": sql.PII, "base11_words": sql.SUBSTRINGS, "op13_resample": sql.RESAMPLE}

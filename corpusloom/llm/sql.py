@@ -58,3 +58,16 @@ m AS (SELECT x.doc_id, coalesce(n_features, 0) AS n_features, coalesce((gain - (
 z AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM m),
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)"""
+
+
+def _runs(n: int, repeat: str) -> str:
+    """Words w of every document, numbered i, and whether a repeated run of n words covers them; `repeat` says which runs are."""
+    return f"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+h AS (SELECT doc_id, list_transform(range(1, len(ws) - {n - 2}), lambda i: md5(array_to_string(ws[i:i + {n - 1}], ' '))) AS hs FROM t WHERE len(ws) >= {n}),
+g AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS i FROM h), s AS (SELECT doc_id, i, 1 AS hit FROM g QUALIFY {repeat}),
+x AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t), c AS (SELECT doc_id, i, w, coalesce(sum(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 0) > 0 AS gone FROM x LEFT JOIN s USING (doc_id, i))"""
+
+
+LINES = f"""{_runs(50, 'row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1')} SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed_words FROM t LEFT JOIN (SELECT doc_id, count(*) FILTER (gone) AS n FROM c GROUP BY doc_id) USING (doc_id)"""
+SUBSTRINGS = f"""{_runs(35, 'count(*) OVER (PARTITION BY h) > 1')} SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id) USING (doc_id)"""
