@@ -89,7 +89,7 @@ SQL: dict[str, str] = {
     "o157_rederived_slots": f"WITH {M}, hit AS (SELECT DISTINCT lang, type FROM m WHERE key % 3 = 0 AND ownership = 'other'), s AS (SELECT m.*, h.lang IS NOT NULL AS again FROM m LEFT JOIN hit h USING (lang, type)) SELECT concat(lang, '.', type) AS slot, sum(words) AS words, count(*) AS texts FROM s WHERE NOT again OR ownership <> 'other' GROUP BY lang, type",
     "o159_forgotten": f"WITH {M} SELECT key, CASE WHEN folder = 'dir3' THEN 'forgotten' ELSE status END AS status FROM m",
     "o160_holdouts": f"WITH {M}, {OWN}, r AS (SELECT key, type, row_number() OVER (PARTITION BY type ORDER BY md5(concat('holdout/', CAST(key AS STRING)))) AS rn FROM own) SELECT o.key, r.rn IS NOT NULL AND r.rn <= 2 AS holdout FROM own o JOIN r ON r.key = o.key",
-    "o161_starter_rules": "SELECT doc_id AS id, CASE WHEN doc_id >= 40 THEN 'add' WHEN doc_id % 4 = 0 AND text IS NOT NULL THEN 'edited, kept' ELSE 'same' END AS action FROM documents WHERE doc_id < 60",
+    "o161_starter_rules": "SELECT doc_id AS id, CASE WHEN l.doc_id IS NULL OR text IS NULL THEN 'add' WHEN low = 0 THEN 'edited, kept' ELSE 'same' END AS action FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS low FROM labels GROUP BY doc_id) l USING (doc_id)",
     "o162_guide_rules_found": f"WITH q AS ({_QUOTES}) SELECT b.item_id AS item, count(q.key) AS found_in FROM benchmark b LEFT JOIN q ON q.item = b.item_id GROUP BY b.item_id",
     "o165_facet_added": f"WITH {M} SELECT key, concat(lang, '.', type, '._') AS slot FROM m",
     "o170_pair_separation": f"WITH {M}, p AS (SELECT a.type AS author, b.words / a.words AS r FROM m a JOIN m b ON b.key = a.key + 1 AND a.key % 2 = 0 WHERE a.words > 0) SELECT author, round(avg(r), 6) AS ratio, count(*) FILTER (r > 1) AS up, count(*) AS n, (avg(r) >= 1.25 AND count(*) FILTER (r > 1) >= 0.8 * count(*)) OR (avg(r) <= 1 / 1.25 AND count(*) FILTER (NOT r > 1) >= 0.8 * count(*)) AS separates FROM p GROUP BY author",
@@ -109,8 +109,8 @@ SQL: dict[str, str] = {
     "o189_type_resolution": f"WITH {M} SELECT key, coalesce(CASE WHEN key % 4 = 0 THEN 'set' END, nullif(type, 'src1'), CASE WHEN path LIKE 'dir1/sub1/%' THEN 'note' WHEN folder = 'dir1' THEN 'essay' ELSE 'any' END) AS type FROM m",
     "o190_entry_lookup": f"WITH {M}, asked AS (SELECT DISTINCT CASE WHEN key % 9 = 0 THEN key::VARCHAR ELSE path END AS name FROM m WHERE key % 9 IN (0, 2)) SELECT name, key FROM m JOIN asked ON name = key::VARCHAR OR name = path",
     "o191_cascade_delete": f"WITH {M} SELECT m.key AS id, CASE WHEN l.key IS NULL THEN m.key + 1 END AS source, CASE WHEN l.key IS NULL THEN m.path END AS quote FROM m LEFT JOIN (SELECT key FROM m WHERE status = 'forgotten') l ON l.key = m.key + 1",
-    "o192_restored": "SELECT d.doc_id AS id, d.lang AS body, (SELECT max(doc_id) + 1 FROM documents WHERE doc_id <= 180) AS next_id FROM documents d WHERE d.doc_id <= 120 AND d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
-    "o193_item_lookup": f"WITH {M}, items AS (SELECT 'lesson' AS artefact, * FROM m WHERE ownership = 'own' UNION ALL SELECT 'example', * FROM m WHERE holdout UNION ALL SELECT 'ruling', * FROM m WHERE status = 'superseded') SELECT artefact, key FROM items WHERE cached AND lang = 'en'",
+    "o192_restored": "SELECT doc_id AS id, lang AS body, (SELECT max(doc_id) + 1 FROM documents) AS next_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    "o193_item_lookup": f"WITH {M}, items AS (SELECT 'lesson' AS artefact, * FROM m WHERE ownership = 'own' UNION ALL SELECT 'example', * FROM m WHERE holdout UNION ALL SELECT 'ruling', * FROM m WHERE status = 'superseded') SELECT artefact, key FROM items WHERE cached",
     "o194_stripped_records": f"WITH {M} SELECT key, concat_ws(',', CASE WHEN status NOT IN ('other', 'forgotten') THEN 'kim' END, CASE WHEN ownership NOT IN ('other', 'forgotten') THEN 'sam' END) AS profiles FROM m",
     "o195_requirements": f"WITH {M} SELECT folder, string_agg(DISTINCT type, ',' ORDER BY type) AS types FROM m GROUP BY folder",
     "o196_emptied_slots": f"WITH {M}, {OWN}, slots AS (SELECT DISTINCT lang, type FROM m) SELECT s.lang, s.type FROM slots s LEFT JOIN own o ON o.lang = s.lang AND o.type = s.type WHERE o.key IS NULL",

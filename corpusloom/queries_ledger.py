@@ -374,14 +374,12 @@ def o227(s, d):
     return L.seeded(S.manifest(s, d).select("key", "folder"), ["folder"], "x", 3).select("key", "folder")
 
 
-def _starters(s, d):
-    return table(s, d, "documents").where("doc_id < 60").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-
-
 @add("o161_starter_rules")
 def o161(s, d):
-    mine = _starters(s, d).where("id < 40").withColumn("body", F.when(F.col("id") % 4 == 0, F.concat("body", F.lit(" edited"))).otherwise(F.col("body")))
-    return L.starter_actions(_starters(s, d), mine)
+    """All documents as starter rules; a writer has the labelled ones, and has edited those of poor quality."""
+    starters = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    had = table(s, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.min("quality").alias("quality"))
+    return L.starter_actions(starters, starters.join(had, "id").select("id", F.when(F.col("quality") == 0, F.concat("body", F.lit(" edited"))).otherwise(F.col("body")).alias("body")))
 
 
 @add("o162_guide_rules_found")
@@ -465,9 +463,10 @@ def o190(s, d):
 
 @add("o192_restored")
 def o192(s, d):
-    items = lambda lo, hi: table(s, d, "documents").where(f"doc_id between {lo} and {hi}").select(F.col("doc_id").alias("id"), F.col("lang").alias("body"))
+    """All documents are there now; the snapshot had the labelled ones, and toxic ones are rejected for good."""
+    items = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("body"))
     no = table(s, d, "labels").select(F.col("doc_id").alias("id"), (F.col("toxic") == 1).alias("permanent"))
-    return L.restored(items(0, 180), items(0, 120), no)
+    return L.restored(items, items.join(no.select("id").distinct(), "id", "left_semi"), no)
 
 
 @add("o193_item_lookup")
@@ -475,8 +474,7 @@ def o193(s, d):
     m = S.manifest(s, d)
     kinds = (("lesson", "ownership = 'own'"), ("example", "holdout"), ("ruling", "status = 'superseded'"))
     parts = [m.where(c).select(F.lit(k).alias("artefact"), "key") for k, c in kinds]
-    asked = m.where("cached and lang = 'en'").select("key")
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).join(asked, "key", "left_semi")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).join(m.where("cached").select("key"), "key", "left_semi")
 
 
 @add("o194_stripped_records")

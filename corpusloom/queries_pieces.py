@@ -45,10 +45,18 @@ def _matches(words: str, x: str = "text") -> str:
 _WORDS = {"de-article": "der|die|das", "fr-article": "les|des", "en-article": "the"}
 
 
-@add("o031_prose_mask", "WITH l AS (SELECT doc_id AS key, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), m AS (SELECT key, i, CASE WHEN regexp_matches(x, '^\\s*[|>]') THEN '' ELSE x END AS x FROM l WHERE NOT contains(x, '#')) SELECT key, sum(length(x))::BIGINT AS chars, count(*) AS lines FROM m WHERE key NOT IN (SELECT key FROM l WHERE contains(x, '#') OR contains(x, '\"') OR contains(x, '“')) GROUP BY key")
+_REF = "|".join(T.REFERENCES)
+
+
+@add(
+    "o031_prose_mask",
+    "WITH l AS (SELECT doc_id AS key, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),"
+    f" r AS (SELECT key, min(i) AS ref FROM l WHERE starts_with(trim(x), '#') AND regexp_matches(trim(x), '(?i)^[#*\\s]*(?:{_REF})[*\\s]*:?$') GROUP BY key)"
+    " SELECT key, sum(CASE WHEN i >= ref OR regexp_matches(x, '^\\s*[|>]') THEN 0 ELSE length(x) END)::BIGINT AS chars, count(*) AS lines FROM l LEFT JOIN r USING (key) GROUP BY key",
+)
 def o031(spark, d):
-    """Masks of the documents; quotations and headings are compared with plain Python in a test, the others here."""
-    docs = documents(spark, d).where(~F.col("text").rlike('[#"“]')).select("key", F.split(pieces.prose_mask(F.col("text")), "\n").alias("l"))
+    """Masks of all documents; what blanks take the place of counts as before, and a test looks at the signs."""
+    docs = documents(spark, d).where("text is not null").select("key", F.split(pieces.prose_mask(F.col("text")), "\n").alias("l"))
     return docs.select("key", F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("chars"), F.size("l").cast("long").alias("lines"))
 
 
@@ -198,11 +206,20 @@ def o022(spark, d):
     return stores.guide(rulings).select("profile", F.md5("markdown").alias("digest"))
 
 
-@add("o041_front_matter", "SELECT conv_id, turn, md5(coalesce(text, '')) AS digest FROM conversations WHERE NOT starts_with(ltrim(coalesce(text, '')), '---')")
+_AT = "list_position(list_transform(l[2:80], lambda x: trim(x, ' ') IN ('---', '...')), true)"
+
+
+@add(
+    "o041_front_matter",
+    "WITH t AS (SELECT doc_id, string_split(CASE WHEN toxic = 1 THEN '---' || chr(10) || 'lang: ' || lang || chr(10) || '...' || chr(10) ELSE '' END || coalesce(text, ''), chr(10)) AS l FROM documents LEFT JOIN labels USING (doc_id)),"
+    f" e AS (SELECT doc_id, l, CASE WHEN trim(l[1], ' ') = '---' THEN {_AT} END AS e FROM t)"
+    " SELECT doc_id, md5(array_to_string(CASE WHEN e > 0 THEN list_concat(list_transform(range(e + 1), lambda x: ''), l[e + 2:]) ELSE l END, chr(10))) AS digest FROM e",
+)
 def o041(spark, d):
-    """Texts that have no front matter come back as they are; a test has one that does."""
-    rows = table(spark, d, "conversations").where(~F.ltrim(F.coalesce("text", F.lit(""))).startswith("---"))
-    return rows.select("conv_id", "turn", F.md5(pieces.without_front_matter(F.col("text"))).alias("digest"))
+    """All documents; those with a toxic label are stored with front matter before them, as a ledger keeps its marks."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    front = F.when(F.col("toxic") == 1, F.concat(F.lit("---\nlang: "), "lang", F.lit("\n...\n"))).otherwise("")
+    return rows.select("doc_id", F.md5(pieces.without_front_matter(F.concat(front, F.coalesce("text", F.lit(""))))).alias("digest"))
 
 
 _FIRST = "list_filter(" + O.split_sentences("text") + ", lambda s: regexp_matches(s, 'that'))[1]"

@@ -175,13 +175,13 @@ def o034(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(T.content_text(nfc("text")), 256).alias("key"))
 
 
-_SUBJECT = "['Re: ', 'FW: re : ', 'Aw: Antw: ', 'Re[2]: ', '', 'Report: '][1 + doc_id % 6] || substr(text, 1, 25)"
+_SUBJECT = "['Re: ', 'FW: re : ', 'Aw: Antw: ', 'Re[2]: ', '', 'Report: '][1 + doc_id % 6] || split_part(text, chr(10), 1)"
 
 
 @add("o042_thread_subject", f"SELECT doc_id, lower(trim(regexp_replace(regexp_replace({_SUBJECT}, '(?i)^\\s*(?:(?:re|fw|fwd|aw|antw|wg|sv|vs|tr)\\s*(?:\\[\\d+\\])?\\s*:\\s*)+', ''), '\\s+', ' ', 'g'))) AS subject FROM documents")
 def o042(spark, d):
     prefixes = F.array(*[F.lit(x) for x in ("Re: ", "FW: re : ", "Aw: Antw: ", "Re[2]: ", "", "Report: ")])
-    subject = F.concat(F.get(prefixes, (F.col("doc_id") % 6).cast("int")), F.substring("text", 1, 25))
+    subject = F.concat(F.get(prefixes, (F.col("doc_id") % 6).cast("int")), F.split_part("text", F.lit("\n"), F.lit(1)))
     return table(spark, d, "documents").select("doc_id", T.thread_subject(subject).alias("subject"))
 
 
