@@ -52,6 +52,7 @@ def repeated_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     earliest = windows.groupBy("anchor", "edge").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("anchor", "edge", "low")
     later = windows.join(earliest, ["anchor", "edge"]).where("low < mark").groupBy("anchor", "words").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("part"))
     known = kinds.join(later, ["anchor", "words"], "left").where("n > 1 or part is not null").select("anchor", "words", "first", F.coalesce("part", F.lit(0).cast("long")).alias("part"))
+    known = checkpointed(known)  # a join of two plain shuffles can be split at a hot piece
     mask = F.when(place.eqNullSafe(F.col("first")), F.col("part")).otherwise(repeats.full())
     return rows.join(known, ["anchor", "words"]).select("doc_id", "tag", "at", mask.alias("mask")).where("mask <> 0")
 
