@@ -112,6 +112,19 @@ def checked(drafts: DataFrame, detectors: list[dict], rate: DataFrame, by: list[
     return rows.select("key", "hits", allowed.cast("long").alias("allowed"), (F.col("hits") > allowed).alias("flagged"))
 
 
+LINE_SIGNS = 200
+
+
+def flagged_lines(drafts: DataFrame, detectors: list[dict], rate: DataFrame, by: list[str], off: bool = False) -> DataFrame:
+    """key, line (from 1), detector, count, said: the lines with traces, of the drafts that have more of them than `checked` allows."""
+    over = checked(drafts, detectors, rate, by, off).where("flagged").select("key")
+    lines = drafts.join(over, "key", "left_semi").select("key", F.posexplode(F.split("text", "\n")).alias("at", "raw"))
+    line = T.normal_quotes(F.col("raw"))
+    each = F.array(*[F.struct(F.lit(d["id"]).alias("detector"), F.regexp_count(line, F.lit(_pattern(d["pattern"]))).cast("long").alias("count")) for d in detectors])
+    hit = lines.select("key", (F.col("at") + 1).cast("long").alias("line"), F.substring(T.strip(F.col("raw")), 1, LINE_SIGNS).alias("said"), F.explode(each).alias("x")).where("x.count > 0")
+    return hit.select("key", "line", "x.detector", "x.count", "said")
+
+
 def examples_verified(texts: DataFrame, examples: DataFrame) -> DataFrame:
     """Examples (id, key, quote) whose quote stands in the text they name, but for case and white space."""
     fold = lambda c: F.lower(F.trim(T.squeeze(c)))

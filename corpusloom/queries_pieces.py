@@ -116,6 +116,21 @@ def o145(spark, d):
     return flavour.checked(docs, DETECTORS, flavour.rates(docs, DETECTORS, ["lang"]), ["lang"])
 
 
+_LINES = " UNION ALL ".join(f"SELECT key, line, '{x['id']}' AS detector, {_matches(_WORDS[x['id']])}::BIGINT AS count, substr(trim(text), 1, 200) AS said FROM l" for x in DETECTORS)
+
+
+_OVER = f"""a AS ({_ALL}), t AS (SELECT lang, key, sum(hits)::BIGINT AS hits, any_value(w) AS w FROM a GROUP BY lang, key), own AS (SELECT DISTINCT doc_id AS key FROM labels WHERE quality = 1),
+r AS (SELECT lang, round(coalesce(max(CASE WHEN w >= 300 THEN hits * 1000 / w END), max(hits * 1000 / w)), 2) AS most FROM t JOIN own USING (key) WHERE w > 0 GROUP BY lang), f AS (SELECT key FROM t JOIN r USING (lang) WHERE hits > greatest(1, round_even(most * w / 1000, 0)))"""
+
+
+@add("o145_flagged_lines", f"WITH {_OVER}, l AS (SELECT doc_id AS key, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents JOIN f ON f.key = doc_id) SELECT key, line, detector, count, md5(said) AS said FROM ({_LINES}) WHERE count > 0")
+def o145_lines(spark, d):
+    """The lines for which a document has more traces than the good documents of its language allow."""
+    docs = documents(spark, d)
+    own = docs.join(table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("key")).distinct(), "key", "left_semi")
+    return flavour.flagged_lines(docs, DETECTORS, flavour.rates(own, DETECTORS, ["lang"]), ["lang"]).withColumn("said", F.md5("said"))
+
+
 @add("o163_examples_verified", "SELECT item_id AS id, doc_id AS key FROM benchmark JOIN documents ON doc_id = item_id * 3 WHERE contains(lower(trim(regexp_replace(documents.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(CASE WHEN item_id % 2 = 0 THEN benchmark.text ELSE documents.text END, '\\s+', ' ', 'g'))))")
 def o163(spark, d):
     """Examples that name a document: every second one quotes it, the others a passage that may not stand in it."""
