@@ -13,7 +13,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,30 +25,15 @@ MAX_BROADCAST = 500_000
 LONGEST = 62
 #: words of a text that places tell apart
 MOST_WORDS = 1 << 28
-#: words whose hashes a worker remembers
-REMEMBERED = 200_000
 #: signs of texts that are worked on as one array
 TOGETHER = 1_000_000
-
-
-class Hashes(dict):
-    """64-bit hashes of words; a bounded number is remembered, as most words were met before."""
-
-    def __missing__(self, word: bytes) -> int:
-        out = xxhash.xxh3_64_intdigest(word)
-        if len(word) < 50:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = out
-        return out
-
-
-_HASHES = Hashes()
+#: bits of the filter of anchors: it is the one thing that goes through the driver, so 16 MB is its most
+MOST_BITS = 1 << 27
 
 
 def hashed(text: str) -> np.ndarray:
     """A 64-bit hash of each word."""
-    found = [np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words)) for words in parts(text)]
+    found = [pd.util.hash_array(np.array(words, dtype=object), categorize=False) for words in parts(text) if words]
     return found[0] if len(found) == 1 else np.concatenate([np.zeros(0, dtype=np.uint64), *found])
 
 
@@ -139,13 +123,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def _bitmap(anchors: DataFrame) -> np.ndarray:
-    """A filter of the anchors: bit a mod its length is set for each anchor a. It has 32 bits an anchor, and 2^29 at most."""
-    bits = 1 << min(29, max(20, (32 * anchors.count()).bit_length()))
+    """A filter of the anchors: bit a mod its length is set for each anchor a. It has 32 bits an anchor, and `MOST_BITS` at most."""
+    bits = min(MOST_BITS, 1 << max(20, (32 * anchors.count()).bit_length()))
     slot = F.col("anchor").bitwiseAND(F.lit(bits - 1))
     words = anchors.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(anchor & 63 as int))")).alias("bits"))
-    rows = words.toPandas()  # as many as the filter has words, whatever the corpus
+    rows = words.toArrow()  # two numbers for each word of the filter, never a Python object for each
     out = np.zeros(bits // 64, dtype=np.int64)
-    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
 
@@ -248,13 +232,13 @@ def full() -> Column:
 
 def covered(n: int, at: np.ndarray, mask: np.ndarray, window: int) -> np.ndarray:
     """Which of n words the edges of places cover; bit i of a place's mask stands for the edge i words behind it."""
-    change = np.zeros(n + 1, dtype=np.int64)
-    for i in range(int(np.bitwise_or.reduce(mask)).bit_length()):
-        starts = at[mask >> i & 1 == 1].astype(np.int64) + i
-        if len(starts):
-            np.add.at(change, starts, 1)
-            np.add.at(change, starts + window, -1)
-    return np.cumsum(change[:-1]) > 0
+    begins = np.zeros(n + 64, dtype=bool)
+    for lo in range(0, len(at), 10_000):
+        bits = np.unpackbits(mask[lo : lo + 10_000].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(bool)
+        begins[(at[lo : lo + 10_000].astype(np.int64)[:, None] + np.arange(64))[bits]] = True
+    upto = np.cumsum(begins[:n], dtype=np.int32)
+    upto[window:] -= upto[:-window].copy()  # edges that begin among the last `window` words
+    return upto > 0
 
 
 def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:

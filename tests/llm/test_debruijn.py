@@ -4,10 +4,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import debruijn
+from corpusloom.llm import debruijn, repeats
 
 WORDS = "the of and to in is that was for with as his on be at by had not are but from or have an they which one you were all her she there would their".split()
 
@@ -99,3 +100,25 @@ def test_long_texts_in_parts(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert debruijn.substring_dedup(spark.createDataFrame([], "doc_id long, text string")).isEmpty()
+
+
+def test_the_filter_is_bounded_on_the_driver(spark, monkeypatch):
+    assert repeats.MOST_BITS // 8 <= 16 << 20
+    monkeypatch.setattr(repeats, "MOST_BITS", 1 << 20)
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", None)  # a Python object for each word of the filter
+    filled = repeats._bitmap(spark.range(200_000).select(F.xxhash64("id").alias("anchor")))
+    anchors = [r[0] for r in spark.range(500).select(F.xxhash64("id")).collect()]
+    assert len(filled) == 1 << 14 and all(filled[(a & 0xFFFFF) >> 6] >> (a & 63) & 1 for a in anchors)
+
+
+def test_covered_words_against_the_definition():
+    r = np.random.default_rng(3)
+    for n, window in ((35, 35), (200, 35), (90, 50), (40_000, 16)):
+        at = np.sort(r.integers(0, n - window + 1, 1 + n // 3))
+        mask = np.array([int(r.integers(0, 1 << 62)) & (1 << min(62, n - window + 1 - a)) - 1 for a in at.tolist()], dtype=np.int64)
+        want = np.zeros(n, dtype=bool)
+        for a, m in zip(at.tolist(), mask.tolist(), strict=True):
+            for i in range(m.bit_length()):
+                if m >> i & 1:
+                    want[a + i : a + i + window] = True
+        assert (repeats.covered(n, at.astype(np.int32), mask, window) == want).all()
