@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .similarity import checkpointed
+from .similarity import checkpointed, plain_ids
 
 DECIDED = ("approved", "rejected")
 
@@ -62,7 +62,7 @@ def effective(items: DataFrame, requires: DataFrame, follows: DataFrame, quotes:
     # each text of a lesson with the items that stand for it; a text that no item stands for cannot fall
     rests = checkpointed(evidence.select("id", "ref").distinct().join(refs, "ref", "left").select("id", "ref", "on"))
     needs = checkpointed(records.select("id", "record", "on").distinct())
-    now = checkpointed(seeds.distinct())
+    now = checkpointed(plain_ids(seeds))
     fallen = now
     while not now.isEmpty():
         last = now.select(F.col("id").alias("on"))
@@ -73,7 +73,7 @@ def effective(items: DataFrame, requires: DataFrame, follows: DataFrame, quotes:
         lessons = touched.groupBy("id", "ref").agg(F.max("down").alias("down")).groupBy("id").agg(F.count("*").alias("n"), F.count("down").alias("down")).where("n = down").select("id")
         met = needs.join(needs.join(last, "on", "left_semi").select("id").distinct(), "id", "left_semi").join(down, "on", "left")
         bare = met.groupBy("id", "record").agg(F.max("down").alias("down")).groupBy("id").agg(F.count("*").alias("n"), F.count("down").alias("down")).where("n = down").select("id")
-        found = _union([*direct, lessons, bare]).distinct().join(items.select("id"), "id", "left_semi")
+        found = plain_ids(_union([*direct, lessons, bare])).join(items.select("id"), "id", "left_semi")
         now = checkpointed(found.join(fallen, "id", "left_anti"))
         fallen = checkpointed(fallen.union(now))
     mark = fallen.select("id", F.lit("rejected").alias("fell"))

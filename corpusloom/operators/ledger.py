@@ -21,7 +21,7 @@ from ..functions import packs
 from ..functions import text as T
 from ..sources.formats import glob_pattern
 from . import ranks
-from .similarity import checkpointed, near_duplicates
+from .similarity import checkpointed, near_duplicates, plain_ids
 
 MIN_WORDS, BATCH, LIVE = 150, 50, ("active", "unreachable")
 
@@ -403,10 +403,11 @@ def cascade(items: DataFrame, rejected: DataFrame) -> DataFrame:
 
     `items` has id and requires (an id or null), one row for each requirement.
     """
-    fallen = checkpointed(rejected.select("id").distinct())
+    items = checkpointed(items.where("requires is not null").select("id", "requires"))  # read once, not every round
+    fallen = checkpointed(plain_ids(rejected))
     now = fallen
     while True:
-        nxt = items.join(now.select(F.col("id").alias("requires")), "requires", "left_semi").select("id").distinct()
+        nxt = plain_ids(items.join(now.select(F.col("id").alias("requires")), "requires", "left_semi"))
         now = checkpointed(nxt.join(fallen, "id", "left_anti"))
         if now.isEmpty():
             return fallen

@@ -27,6 +27,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def plain_ids(rows: DataFrame) -> DataFrame:
+    """The distinct ids of `rows`, by an aggregate that passes on none of the filters Spark has inferred: a checkpoint keeps
+    these, and in a loop that unites its rounds they would double with each."""
+    return rows.groupBy("id").agg(F.min("id").alias("_id")).select(F.col("_id").alias("id"))
+
+
 def grams(words, size: int):
     """Array of the distinct runs of `size` words, space-joined."""
 

@@ -95,3 +95,14 @@ def test_statistics_of_an_evaluation(spark):
     assert E.rebanded(old, new, ["lang"]).count() == 1
     with pytest.raises(Exception, match="value has changed"):
         E.rebanded(old, new.withColumn("value", F.lit(3.0)), ["lang"]).collect()
+
+
+def test_cascade_of_many_rounds_keeps_no_filters(spark):
+    items = spark.range(1, 3000).select("id", F.when(F.col("id") > 1, F.floor(F.col("id") / 2)).alias("requires"))
+    out = L.cascade(items, items.where("id % 13 = 5").select("id"))
+    down = set()
+    for i in range(1, 3000):
+        if i % 13 == 5 or i // 2 in down:
+            down.add(i)
+    assert {r["id"] for r in out.collect()} == down and out.count() == len(down)
+    assert len(out._jdf.queryExecution().optimizedPlan().constraints().mkString(" ")) < 200
