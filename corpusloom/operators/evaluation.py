@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import packs
 from ..functions import text as T
 from . import ledger, ranks, style
-from .check import log_factorial
+from .check import stirling_rest
 from .similarity import checkpointed
 
 REPORT = "\n## Report"
@@ -36,10 +37,24 @@ def win_rate_bins(answers: DataFrame, width: int = 20) -> DataFrame:
 
 
 def binomial_tail(k: Column, n: Column) -> Column:
-    """P(X >= k) for n fair tosses, summed from logarithms."""
-    ln = log_factorial
-    terms = F.transform(F.sequence(k, n), lambda i: F.exp(ln(n) - ln(i) - ln(n - i) - n * F.lit(0.6931471805599453)))
-    return F.when(k <= 0, 1.0).otherwise(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
+    """P(X >= k) for n fair tosses, summed from logarithms.
+
+    What lies further than 20 square roots of n from the middle has a probability below 1e-300, so it does not change a double:
+    the terms grow with the square root of n, and each is had at once.
+    """
+    k, n = k.cast("long"), n.cast("long")
+    reach = F.ceil(F.sqrt(n) * 20)
+    low, high = F.greatest(k, F.floor(n / 2) - reach), F.least(n, F.ceil(n / 2) + reach)
+    half = n / 2
+
+    def term(i: Column) -> Column:
+        j = n - i
+        apart = i * F.log(i / half) + j * F.log(j / half)
+        inner = F.log(n / (i * j.cast("double") * (2 * math.pi))) / 2 + stirling_rest(n) - stirling_rest(i) - stirling_rest(j) - apart
+        return F.exp(F.when((i == 0) | (j == 0), n * F.lit(-math.log(2))).otherwise(inner))
+
+    terms = F.transform(F.sequence(low, F.greatest(low, high)), term)
+    return F.when(k <= 0, 1.0).when(low > high, 0.0).otherwise(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
 
 
 def win_rates(answers: DataFrame, by: str, win: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Never-lists, tones, replacements, and what slots measure otherwise than one joined text."""
 
+import math
 import random
 
+from pyspark.sql import functions as F
+
 from corpusloom.functions import packs
 from corpusloom.operators import evaluation as E
 from corpusloom.operators import patterns, style
@@ -104,3 +107,14 @@ def test_parts_of_a_text_add_up(spark):
     said += [(2, 0, "de", 5), (2, 1, "en", 9), (3, 0, "de", 50), (3, 1, "en", 50)]
     got = [tuple(x) for x in ledger.segments(spark.createDataFrame(said, "key int, pos int, lang string, words int")).orderBy("key", "part").collect()]
     assert got == [("1", 1, "de", 5, 158), ("1#2", 2, "en", 1, 50), ("1#3", 3, "fr", 1, 44), ("1#4", 4, "en", 1, 80), ("2", 1, "en", 2, 14), ("3", 1, "de", 1, 50), ("3#2", 2, "en", 1, 50)]
+
+
+def test_binomial_tail_costs_little_for_many_tosses(spark):
+    cases = [(k, n) for n in (0, 1, 2, 15, 16, 17, 40, 500) for k in {0, 1, n // 2, n // 2 + 3, n - 1, n} if 0 <= k <= n] + [(150_400, 300_000), (1_000, 300_000), (299_990, 300_000), (5_001_000, 10_000_000)]
+    got = spark.createDataFrame(cases, "k int, n int").select("k", "n", E.binomial_tail(F.col("k"), F.col("n")).alias("p")).collect()
+    for k, n, p in got:
+        if n <= 500:
+            want = sum(math.comb(n, i) for i in range(k, n + 1)) / 2**n
+        else:
+            want = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k, min(n + 1, k + 400_000)))
+        assert math.isclose(p, want, rel_tol=1e-6 if n > 500 else 1e-11), (k, n, p, want)
