@@ -40,7 +40,7 @@ def moving_ttr(words: list[str], window: int = WINDOW, step: int = STEP) -> floa
     if n < window:
         return len(set(words)) / max(1, n)
     counts = Counter(words[:window])
-    total, steps = len(counts), 1
+    total, steps = len(counts) / window, 1  # shares are summed, as a mean of them is told from a quotient of sums in its last digit
     for k in range(n - window):
         gone, came = words[k], words[k + window]
         counts[came] += 1
@@ -48,8 +48,8 @@ def moving_ttr(words: list[str], window: int = WINDOW, step: int = STEP) -> floa
         if not counts[gone]:
             del counts[gone]
         if (k + 1) % step == 0:
-            total, steps = total + len(counts), steps + 1
-    return total / steps / window
+            total, steps = total + len(counts) / window, steps + 1
+    return total / steps
 
 
 @F.pandas_udf(DoubleType())

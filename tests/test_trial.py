@@ -1,5 +1,6 @@
 """The trial's measures against plain Python on texts that hold all that is counted."""
 
+import random
 import re
 import statistics as st
 
@@ -46,3 +47,17 @@ def test_windows_slide():
     for window, step in ((100, 10), (7, 1), (1000, 10), (1001, 3)):
         whole = [len(set(words[i : i + window])) / window for i in range(0, len(words) - window + 1, step)] or [len(set(words)) / 1000]
         assert abs(trial.moving_ttr(words, window, step) - st.mean(whole)) < 1e-12
+
+
+def test_moving_share_is_the_mean_of_shares():
+    r = random.Random(5)
+    apart = 0
+    for _ in range(300):
+        words = [r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(9)) for _ in range(r.randint(100, 500))]
+        sizes = [len(set(words[i : i + 100])) for i in range(0, len(words) - 99, 10)]
+        total = 0.0
+        for n in sizes:
+            total += n / 100
+        assert trial.moving_ttr(words) == total / len(sizes)
+        apart += total / len(sizes) != sum(sizes) / len(sizes) / 100
+    assert apart
