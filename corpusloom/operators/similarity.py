@@ -58,11 +58,11 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     two similar sets must share is indexed; sizes filter candidates before they are verified.
     """
     rows = sets.where(F.size("sh") > 0)
-    df = rows.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
-    ranked = rows.select("id", F.explode("sh").alias("s")).join(df, "s").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
-    n = F.size("o")
-    prefix = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
-    index = ranked.select("id", n.alias("n"), F.explode(F.slice("o", F.lit(1), prefix)).alias("x")).select("id", "n", F.col("x.s").alias("s"))
+    df = rows.select(F.explode("sh").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    # shingles of one set only are the rarest and meet nothing: they are counted, but not sent on
+    ranked = rows.select("id", F.size("sh").alias("n"), F.explode("sh").alias("s")).join(df, "s").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))
+    prefix = F.size("o") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+    index = ranked.where(prefix > 0).select("id", "n", F.explode(F.slice("o", F.lit(1), prefix)).alias("x")).select("id", "n", F.col("x.s").alias("s"))
     a, b = index.alias("a"), index.alias("b")
     fits = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9)
     pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()

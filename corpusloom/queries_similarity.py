@@ -54,8 +54,10 @@ def o072(spark, d):
     """Candidates (odd keys) that are near no text of the corpus (even keys)."""
     own = similarity.shingles(documents(spark, d)).withColumn("id", F.xxhash64("sh"))
     own = similarity.checkpointed(own)
-    pairs = similarity.similar_sets(own.select("id", "sh").dropDuplicates(["id"]))
-    near = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(own.where(F.size("sh") > 0).select(F.col("id").alias("a"), F.col("id").alias("b")).distinct())
+    classes = similarity.checkpointed(own.where(F.size("sh") > 0).select("id", "sh").dropDuplicates(["id"]))  # read four times
+    pairs = similarity.checkpointed(similarity.similar_sets(classes))
+    own = own.select("key", "id", (F.size("sh") > 0).alias("some"))
+    near = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).union(own.where("some").select(F.col("id").alias("a"), F.col("id").alias("b")).distinct())
     corpus = own.where("key % 2 = 0").select(F.col("id").alias("b")).distinct()
     taken = near.join(corpus, "b", "left_semi").select(F.col("a").alias("id")).distinct()
     return own.where("key % 2 = 1").join(taken, "id", "left_anti").select("key")

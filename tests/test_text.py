@@ -130,3 +130,11 @@ def test_files_and_globs(spark, tmp_path):
     rows = {r["path"].rsplit("/", 1)[-1]: r for r in formats.read_files(spark, str(tmp_path)).collect()}
     assert rows["a.md"]["blocks"] == ["Hello world"] and rows["b.msg"]["flags"] == ["skipped: not prose"] and "c.md" not in rows
     assert formats.glob_pattern("a/**/b?.md") == r"^a/(?:[^/]*/)*b[^/]\.md$"
+
+
+def test_shingles_of_one_set_are_not_sent_on(spark):
+    """Of sets that share one shingle in a thousand only that one is sorted and joined."""
+    sets = [(i, sorted([-1, *range(1000 * i, 1000 * i + 999)])) for i in range(1, 4)] + [(9, sorted([-1, *range(1000, 1999)][:-3]))]
+    got = similarity.similar_sets(spark.createDataFrame(sets, "id long, sh array<long>"))
+    assert [(r["a"], r["b"]) for r in got.collect()] == [(1, 9)]
+    assert "> 1)" in got._jdf.queryExecution().optimizedPlan().toString()
