@@ -77,7 +77,7 @@ def _counted(paras: DataFrame, lang: str) -> DataFrame:
 
 def summed_once(texts: DataFrame) -> DataFrame:
     """`texts` with their sums in the place of the text, written once for all that a query does with them."""
-    return checkpointed(sums(texts).drop("text"))
+    return texts if set(SUMS) <= set(texts.columns) else checkpointed(sums(texts).drop("text"))
 
 
 def values(digits: int = 6) -> dict[str, Column]:
@@ -148,8 +148,11 @@ def melted(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 def metric_table(spark) -> DataFrame:
     """metric, overshoot, shortfall, tolerance, floor, sparse, place: a fixed table of fourteen rows."""
+    names = ("metric", "overshoot", "shortfall", "tolerance", "floor", "sparse", "place")
     rows = [(m, *map(float, v[:4]), v[4], i) for i, (m, v) in enumerate(packs.METRICS.items())]
-    return F.broadcast(spark.createDataFrame(rows, "metric string, overshoot double, shortfall double, tolerance double, floor double, sparse boolean, place int"))
+    # as literals: rows from the driver's Python go through workers of their own, which stay beside those of the scan
+    fixed = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, r, strict=True)]) for r in rows])
+    return F.broadcast(spark.range(0, 1, 1, 1).select(F.inline(fixed)))
 
 
 def stability(texts: DataFrame, by: tuple[str, ...] = ("lang", "type"), splits: int = 5) -> DataFrame:
