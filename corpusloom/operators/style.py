@@ -202,15 +202,27 @@ def window_metrics(texts: DataFrame, size: int = 350) -> DataFrame:
     return got.select("key", "lang", "type", "w", "window_words", *values().values())
 
 
+def windowed_once(texts: DataFrame, size: int = 350) -> DataFrame:
+    """`texts` with their sums and those of their windows (an array of w, window_words and SUMS) in the place of the text, from
+    one pass, written once."""
+    found = texts.withColumn("_sums", scan(SUMS, size)(F.col("text"), F.col("lang")))
+    return checkpointed(found.select("*", "_sums.*").drop("_sums", "text"))
+
+
 def bands(texts: DataFrame, by: tuple[str, ...] = ("lang",), size: int = 350, least: int = 20) -> DataFrame:
-    """by, metric, value, n_windows, overshoot, shortfall: the fixed bands, widened to a slot's own windows where there are enough."""
+    """by, metric, value, n_windows, overshoot, shortfall: the fixed bands, widened to a slot's own windows where there are enough.
+
+    `texts` may come from `windowed_once`. Windows of equal values are counted before they meet their slot.
+    """
+    texts = texts if "windows" in texts.columns else windowed_once(texts, size)
     slots = melted(slot_metrics(texts, by), list(by))
-    wins = melted(window_metrics(texts, size), ["key", "w", *by]).withColumnRenamed("value", "own")
+    wins = texts.select(*by, F.explode("windows").alias("x")).select(*by, *[f"x.{s}" for s in SUMS])
+    wins = melted(wins.select(*by, *values().values()), list(by)).groupBy(*by, "metric", F.col("value").alias("own")).agg(F.count("*").alias("n"))
     joined = slots.join(wins, [*by, "metric"], "left").withColumn("r", F.when(F.col("value") > 0, F.col("own") / F.col("value")))
     joined = checkpointed(joined)
     group = [*by, "metric"]
-    got = joined.groupBy(*group, "value").agg(F.count("own").alias("n_windows"))
-    q = ranks.quantiles(joined, group, "r", {"q95": 0.95, "q05": 0.05})
+    got = joined.groupBy(*group, "value").agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n_windows"))
+    q = ranks.quantiles(joined, group, "r", {"q95": 0.95, "q05": 0.05}, "n")
     got = got.join(q.select(*group, F.round("q95", 3).alias("q95"), F.round("q05", 3).alias("q05")), group, "left")
     rows = got.join(metric_table(texts.sparkSession), "metric")
     wide = (F.col("n_windows") >= least) & (F.col("value") >= F.col("floor"))
