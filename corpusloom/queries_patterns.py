@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import packs
 from .functions import text as T
 from .operators import align, check, patterns, shape
+from .operators.similarity import checkpointed
 from .plans import oracle as O
 from .plans import style_sql
 from .sources import formats
@@ -194,7 +195,7 @@ def o098(spark, d):
 
 @add("o148_quirk_flags", style_sql.QUIRKS)
 def o148(spark, d):
-    counts = shape.quirks(documents(spark, d))
+    counts = checkpointed(shape.quirks(documents(spark, d)))  # a filter on counts would else find them before texts are spread, and again after
     return shape.quirk_flags(counts, shape.quirk_ranges(counts, ["lang"]), ["lang"])
 
 
