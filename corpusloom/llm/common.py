@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ def ranked(rows: DataFrame, *order: str) -> DataFrame:
     dealt = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order))
     placed = dealt.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
     counts = sorted(placed.groupBy("part").count().collect())
-    before = accumulate([c["count"] for c in counts], initial=0)
-    starts = rows.sparkSession.createDataFrame([(c["part"], b) for c, b in zip(counts, before, strict=False)], "part int, start long")
+    before = list(accumulate([c["count"] for c in counts], initial=0))[:-1]
+    # by Arrow: rows of Python objects go through workers of their own, which stay beside those of the operators
+    starts = rows.sparkSession.createDataFrame(pa.table({"part": pa.array([c["part"] for c in counts], pa.int32()), "start": pa.array(before, pa.int64())}))
     return placed.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("at")).drop("part", "at", "start")

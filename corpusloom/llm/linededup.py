@@ -25,7 +25,7 @@ lines of fewer than `min_words` words stay, unless their neighbours repeat with
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +37,9 @@ MIN_WORDS = 50
 #: words of a line
 WIDTH = 12
 DONE = "n_words long, n_lines long, n_removed long, n_removed_words long, text string"
+KINDS = pa.struct([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in DONE.split(", ")])
+#: texts that are worked on at a time
+TOGETHER = 500
 
 
 def repeated_places(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -62,20 +65,25 @@ def _lines(text: str) -> int:
 
 
 def _without(min_words: int):
-    def run(texts: pd.Series, at: pd.Series, mask: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, a, m in zip(texts, at, mask, strict=True):
-            n = sum(map(len, parts(text))) if text else 0
-            before = _lines(text or "")
-            if a is None or not len(a) or not n:
-                out.append((n, before, 0, 0, text))
-                continue
-            gone = repeats.covered(n, a, m, min_words)
-            left = repeats.without(text, gone)
-            out.append((n, before, before - _lines(left), int(gone.sum()), left))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in DONE.split(", ")])
-
-    return F.pandas_udf(run, DONE)
+    def one(text: str | None, places: pa.ListScalar, masks: pa.ListScalar) -> tuple:
+        n = sum(map(len, parts(text))) if text else 0
+        before = _lines(text or "")
+        if not places.is_valid or not len(places.values) or not n:
+            return n, before, 0, 0, text
+        gone = repeats.covered(n, places.values.to_numpy(), masks.values.to_numpy(), min_words)
+        left = repeats.without(text, gone)
+        return n, before, before - _lines(left), int(gone.sum()), left
+
+    def run(texts: pa.Array, at: pa.Array, mask: pa.Array) -> pa.Array:
+        """A batch stays in Arrow's buffers; `TOGETHER` texts at a time are Python strings."""
+        out = [pa.array([], KINDS)]
+        for lo in range(0, len(texts), TOGETHER):
+            some = [x.slice(lo, TOGETHER) for x in (texts, at, mask)]
+            columns = zip(*[one(t.as_py(), a, m) for t, a, m in zip(*some, strict=True)], strict=True)
+            out.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, KINDS, strict=True)], fields=list(KINDS)))
+        return pa.concat_arrays(out)
+
+    return F.arrow_udf(run, DONE)
 
 
 def _deduped(docs: DataFrame, min_words: int) -> DataFrame:

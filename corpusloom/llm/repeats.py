@@ -174,25 +174,30 @@ ASKED = ("anchor", "words", "at", "size", "line", "sides", "n")
 def _edges(window: int, width: int, placed: bool):
     half = (window - width + 1) // 2
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b["text"].tolist()
-            for group in _groups(texts, 0):
-                found = [hashed(texts[k]) for k in group]
-                sizes = np.array([len(x) for x in found], dtype=np.int64)
-                counts = np.array([len(b["at"].iat[k]) for k in group])
-                x = {c: np.concatenate([b[c].iat[k] for k in group]).astype(np.int64) for c in ASKED}
-                size = x["size"]
-                of = np.repeat(np.arange(len(size)), size)
-                i = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-                left = x["line"][of] - i  # what an edge has before its anchor
-                met = (x["sides"][of] & 1 > 0) & (left >= half) | (x["sides"][of] & 2 > 0) & (window - width - left >= half)
-                of, i = of[met], i[met]
-                at = x["at"][of] + i
-                begin = np.repeat(np.cumsum(sizes) - sizes, counts)[of]
-                edge = mixed(Runs(np.concatenate(found))(at + begin, at + begin + window)).view(np.int64)
-                mark = np.repeat(b["place"].to_numpy(dtype=np.int64)[group], counts)[of] * MOST_WORDS + at if placed else x["n"][of]
-                yield pd.DataFrame({"anchor": x["anchor"][of], "words": x["words"][of], "i": i.astype(np.int32), "edge": edge, "mark": mark})
+    def edges_of(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, places = b["text"].to_pylist(), b["place"].to_numpy().astype(np.int64)
+        for group in _groups(texts, 0):
+            found = [hashed(texts[k]) for k in group]
+            sizes = np.array([len(x) for x in found], dtype=np.int64)
+            lists = {c: b[c].take(pa.array(group)) for c in ASKED}
+            counts = np.diff(lists["at"].offsets.to_numpy())
+            x = {c: a.flatten().to_numpy().astype(np.int64) for c, a in lists.items()}
+            size = x["size"]
+            of = np.repeat(np.arange(len(size)), size)
+            i = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+            left = x["line"][of] - i  # what an edge has before its anchor
+            met = (x["sides"][of] & 1 > 0) & (left >= half) | (x["sides"][of] & 2 > 0) & (window - width - left >= half)
+            of, i = of[met], i[met]
+            at = x["at"][of] + i
+            begin = np.repeat(np.cumsum(sizes) - sizes, counts)[of]
+            edge = mixed(Runs(np.concatenate(found))(at + begin, at + begin + window)).view(np.int64)
+            mark = np.repeat(places[group], counts)[of] * MOST_WORDS + at if placed else x["n"][of]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x["anchor"][of], x["words"][of], i.astype(np.int32), edge, mark)], names=["anchor", "words", "i", "edge", "mark"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                yield from edges_of(whole.slice(lo, 1000))
 
     return run
 
@@ -214,7 +219,7 @@ def edges(docs: DataFrame, kinds: DataFrame, window: int, width: int, placed: bo
     texts = keyed(docs)
     some = texts.join(F.broadcast(tags), "tag", "left_semi") if tags.count() <= MAX_BROADCAST else texts
     sources = some.join(asked, same("doc_id", "s_id", "tag", "s_tag")).select("text", "place", *ASKED)
-    return checkpointed(sources.mapInPandas(_edges(window, width, placed), "anchor long, words long, i int, edge long, mark long"))
+    return checkpointed(sources.mapInArrow(_edges(window, width, placed), "anchor long, words long, i int, edge long, mark long"))
 
 
 def related(kinds: DataFrame) -> DataFrame:
